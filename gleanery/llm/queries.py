@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import encode_documents
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .near_dedup import near_dedup
+from .packing import pack
 from .secret_scan import secret_scan
+from .token_counts import token_counts, write_token_blocks
 from .url_filter import url_filter
 
 #: (action, host, path)
@@ -23,6 +28,15 @@ RULES = (
 )
 
 
+#: Files of the tokenizer: the vocabulary, and the same as ranks.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), VOCABULARY, RANKS, public_tokenizers.PATTERN)
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed are the URLs of pages whose id is labelled toxic; every page with the same canonical URL is blocked."""
     pages = table(spark, sf_dir, "pages")
@@ -31,11 +45,22 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, RULES, listed)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as flat token files, one for each partition read, and the counts found in their blocks."""
+    blocks = write_token_blocks(table(spark, sf_dir, "documents"), VOCABULARY, RANKS, public_tokenizers.PATTERN)
+    counts = token_counts(blocks)
+    return counts.select(F.col("name").alias("doc_id"), "file", "ordinal", "start", "n_tokens", "ended")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -44,8 +69,22 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), words=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filters, op4_line_dedup, op8_exact_dedup, op9_secret_scans)
+    f.__name__: f
+    for f in (
+        op1_packing,
+        op2_url_filters,
+        op3_token_counts,
+        op4_line_dedup,
+        op5_byte_bpe,
+        op8_exact_dedup,
+        op9_secret_scans,
+        op10_minhash_near_dedup,
+    )
 }
 
 
