@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode_documents
 from .common import table
 from .exact_dedup import exact_dedup
+from .language_id import language_id
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .packing import pack
@@ -61,6 +62,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_counts,
         op4_line_dedup,
         op5_byte_bpe,
+        op7_language_id,
         op8_exact_dedup,
         op9_secret_scans,
         op10_minhash_near_dedup,
