@@ -40,3 +40,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"the components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionAll(now.select("b", "b")).distinct()
+
+
+def component_ids(classes: DataFrame, links: DataFrame, key: str, id_col: str) -> DataFrame:
+    """(key, component_id) of every row of ``classes``: the least ``id_col`` among the classes that ``links`` reach."""
+    joined = components(links).select(F.col("id").alias(key), F.col("component_id").alias("c"))
+    named = classes.select(key, id_col).join(joined, key, "left").withColumn("c", F.coalesce("c", key))
+    least = named.groupBy("c").agg(F.min(id_col).alias("component_id"))
+    return named.join(least, "c").select(key, "component_id")

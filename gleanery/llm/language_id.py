@@ -8,11 +8,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import arrow_type, id_type, slices
+from .tokens import slices
 
 #: Buckets of the hashed n-grams, and their lengths in characters.
 BITS, ORDERS = 16, (1, 2, 3, 4)
@@ -153,6 +154,18 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit([(r["lang"], r["text"]) for r in picked], idf)
 
 
+def predictor(spark: SparkSession, model: Model):
+    """A column function: text to struct (lang, score)."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        said = [shared.value.predict(t or "") for t in texts]
+        return pd.DataFrame({"lang": [s[0] for s in said], "score": [s[1] for s in said]}, columns=["lang", "score"])
+
+    return predict
+
+
 def identify_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 
@@ -161,21 +174,19 @@ def identify_language(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
     ``held_out`` says that crc32(id) mod 4 is 2 (false for a null id), so the model never saw the row. Repeated rows
     are judged alike. An empty table gives no rows. Other columns are ignored. There is no shuffle.
     """
-    kind = id_type(docs, id_col)
-    schema = pa.schema([("doc_id", arrow_type(kind)), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                said = [known.predict(t or "") for t in part.column(2).to_pylist()]
-                columns = [part.column(0).cast(schema.field(0).type), part.column(1), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(remainder(id_col) == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    rows = rows.withColumn("said", predictor(docs.sparkSession, model)("text"))
+    return rows.select("doc_id", "held_out", F.col("said.lang").alias("lang_pred"), F.col("said.score").alias("score"))
+
+
+def in_known_language(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` whose language is told with at least ``least_score``, all columns as they are.
+
+    What goes has no letter (or a null text), or resembles no language more than the others.
+    """
+    said = predictor(docs.sparkSession, model)(F.col(text_col))
+    rows = docs.withColumn("__language", said)
+    return rows.filter((F.col("__language.lang") != UNKNOWN) & (F.col("__language.score") >= least_score)).select(*docs.columns)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 600) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .graph import components
+from .graph import component_ids, components
 from .tokens import arrow_type, id_type, slices
 
 #: Bands and registers of a band; the base of the registers' spacing and their highest value.
@@ -220,9 +220,7 @@ def near_dedup(
     more = cut(_likely(across, classes, bound))
     new = ends(more).join(full, "set_hash", "left_anti")
     full = full.unionAll(_full_sets(plain, classes, new, words))
-    joined = components(first_links.unionAll(_confirmed(more, full, percent))).withColumnRenamed("id", "set_hash")
-    named = classes.join(joined, "set_hash", "left").select("set_hash", "doc_id", F.coalesce("component_id", "set_hash").alias("c"))
-    named = named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("set_hash", "component_id")
+    named = component_ids(classes, first_links.unionAll(_confirmed(more, full, percent)), "set_hash", "doc_id")
     out = sketches.join(named, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -18,6 +18,7 @@ from .packing import pack
 from .secret_scan import secret_scan
 from .token_counts import token_counts, write_token_blocks
 from .url_filter import url_filter
+from .vector_dedup import vector_dedup
 
 #: (action, host, path)
 RULES = (
@@ -62,6 +63,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_token_counts,
         op4_line_dedup,
         op5_byte_bpe,
+        op6_embedding_near_dedup,
         op7_language_id,
         op8_exact_dedup,
         op9_secret_scans,
