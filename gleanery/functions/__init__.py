@@ -1 +1 @@
-
+"""Column functions: text folding, tokens, identifiers, token estimates."""

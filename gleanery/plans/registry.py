@@ -1,4 +1,11 @@
 """All registered queries and their SQL."""
 
+from __future__ import annotations
+
+from . import scan_queries
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for module in (scan_queries,):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
