@@ -8,9 +8,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Line ends of text files: CR LF, or one of these.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 #: A word: letters and digits, parts joined by one underscore or hyphen.
 WORD = r"[\p{L}\p{N}]+(?:[_-][\p{L}\p{N}]+)*"
 TOKEN = r"[\p{L}\p{N}]+"
@@ -47,7 +48,7 @@ def _fold_rare(text: Column) -> Column:
     return F.array_join(pieces, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Composed form; for columns that may hold decomposed characters."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import LINE_END, fold
 from .scan import content_fingerprint
@@ -32,7 +33,7 @@ def route_artifacts(artifacts: DataFrame, contents: DataFrame, allow_sensitive:
     return rows.withColumns({"state": parts[0], "strategy": F.when(parts[0] == "indexed", parts[1]), "diagnostic": F.when(parts[0] != "indexed", parts[1])}).drop("__seen", "__bytes")
 
 
-@F.pandas_udf("array<struct<start:int,text:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())])))
 def _split_bytes(lines: pd.Series, limit: pd.Series) -> pd.Series:
     """Pieces of at most ``limit`` bytes, cut between characters."""
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import nfc
 
@@ -200,7 +201,7 @@ def prune_ignored(files: DataFrame, rules: list[IgnoreRule], allow_include: bool
     return kept.filter(~F.exists(above, prunes))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _utf16(samples: pd.Series) -> pd.Series:
     """Text of samples with a UTF-16 mark; null where they don't decode."""
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import scan_queries
+from . import index_queries, retrieval_queries, scan_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (scan_queries,):
+for module in (scan_queries, index_queries, retrieval_queries):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
