@@ -191,12 +191,12 @@ f AS (
   FROM (SELECT f.task_id, o.i, f.b, f.t, f.n, f.ex, f.arts, o.candidate_id, o.bytes, o.tokens, o.artifact_id, CASE WHEN type = 'full_artifact' THEN 0 ELSE 1 END AS e,
           f.b + o.bytes <= 6000 AND o.bytes <= 900 AND f.n + 1 <= 25 AND f.t + o.tokens <= 1400 AND (list_contains(f.arts, o.artifact_id) OR len(f.arts) + 1 <= 9) AND f.ex + CASE WHEN type = 'full_artifact' THEN 0 ELSE 1 END <= 15 AS ok
         FROM f JOIN o ON f.task_id = o.task_id AND o.i = f.i + 1))
-SELECT s.task_id, s.candidate_id, {_MANDATORY} AS mandatory, CASE WHEN eligibility <> 'eligible' THEN eligibility WHEN deferred THEN 'deferred' WHEN f.fits THEN 'selected' ELSE 'budget_exceeded' END AS outcome, CASE WHEN f.fits THEN f.n::INT END AS selected_rank
+SELECT s.task_id, s.candidate_id, {_MANDATORY} AS mandatory, CASE WHEN eligibility <> 'eligible' THEN eligibility WHEN deferred THEN 'deferred' WHEN f.fits THEN 'selected' ELSE 'budget_exceeded' END AS outcome, CASE WHEN f.fits THEN f.n::INT ELSE 0 END AS selected_rank
 FROM s LEFT JOIN f ON s.task_id = f.task_id AND s.candidate_id = f.cid""")
 def _(spark, sf_dir):
     rows = _candidates(spark, sf_dir)
     budgets = rows.select("task_id").distinct().select("task_id", *(F.lit(v).alias(k) for k, v in (("max_bytes", 6000), ("max_item_bytes", 900), ("max_items", 25), ("max_estimated_tokens", 1400), ("max_artifacts", 9), ("max_excerpts", 15))))
-    return r.select_under_budget(rows, r.score_candidates(rows), budgets, {"bytes": 100})
+    return r.select_under_budget(rows, r.score_candidates(rows), budgets, {"bytes": 100}).withColumn("selected_rank", F.coalesce("selected_rank", F.lit(0)))
 
 
 @query("filter_eligibility", """
@@ -229,7 +229,7 @@ _SELECT = """o5 AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY -
 f AS (SELECT DISTINCT task_id, 0::BIGINT AS i, 0::BIGINT AS b, 0 AS n, []::VARCHAR[] AS arts, NULL::VARCHAR AS cid, false AS fits FROM o5
   UNION ALL SELECT task_id, i, CASE WHEN ok THEN b + bytes ELSE b END, CASE WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok THEN list_distinct(list_append(arts, path)) ELSE arts END, candidate_id, ok
   FROM (SELECT f.task_id, o5.i, f.b, f.n, f.arts, o5.candidate_id, o5.bytes, o5.path, f.b + o5.bytes <= 4000 AND f.n + 1 <= 5 AND (list_contains(f.arts, o5.path) OR len(f.arts) + 1 <= 3) AS ok FROM f JOIN o5 ON f.task_id = o5.task_id AND o5.i = f.i + 1)),
-s5 AS (SELECT s4.*, CASE WHEN f.fits THEN f.n::INT END AS selected_rank, CASE WHEN f.fits THEN 'selected' ELSE 'excluded' END AS outcome,
+s5 AS (SELECT s4.*, CASE WHEN f.fits THEN f.n::INT ELSE 0 END AS selected_rank, CASE WHEN f.fits THEN 'selected' ELSE 'excluded' END AS outcome,
   CASE WHEN duplicate THEN 'duplicate_content' WHEN score <= 0 THEN 'below_relevance_threshold' WHEN NOT coalesce(f.fits, false) THEN 'context_budget_exceeded' ELSE 'lexical_content_match' END AS reason FROM s4 LEFT JOIN f ON f.task_id = s4.task_id AND f.cid = s4.candidate_id)"""
 _VIEWS = ["artifacts", "search_units", "tasks"]
 
@@ -276,12 +276,12 @@ def _(spark, sf_dir):
 
 @query("score_symbols", with_views(["artifacts", "search_units", "symbols", "tasks"], f"""{_TASKS2},
 y AS (SELECT symbol_id, name, 'src/mod_' || (substr(symbol_id, 4)::INT * 200 % 1000) || '.py' AS path FROM symbols), z AS (SELECT path, sum(strlen(text))::BIGINT AS bytes FROM search_units GROUP BY 1),
-k AS (SELECT task_id, list_append(keywords, 'part_' || (task_id % 50)) AS keywords FROM tasks2),
+k AS (SELECT task_id, list_append(keywords, ['gear', 'bolt', 'ring', 'widget'][(task_id % 4 + 1)::INT]) AS keywords FROM tasks2),
 h AS (SELECT task_id, symbol_id, path, 3 * len(list_filter(keywords, lambda k: contains(path, k))) + 6 * len(list_filter(keywords, lambda k: contains(lower(name), k))) AS score FROM y, k)
 SELECT task_id, symbol_id AS candidate_id, score, coalesce(bytes, 0) AS bytes FROM h LEFT JOIN z USING (path) WHERE score > 0"""))
 def _(spark, sf_dir):
     symbols = views.symbols(spark, sf_dir).withColumn("path", F.concat(F.lit("src/mod_"), F.expr("int(substring(symbol_id, 4))") * 200 % 1000, F.lit(".py")))
-    tasks = _tasks(spark, sf_dir).withColumn("search_terms", F.concat("search_terms", F.array(F.concat(F.lit("part_"), F.col("task_id") % 50))))
+    tasks = _tasks(spark, sf_dir).withColumn("search_terms", F.concat("search_terms", F.array(_pick(["gear", "bolt", "ring", "widget"], F.col("task_id")))))
     return r.score_symbols(tasks, symbols, views.search_units(spark, sf_dir)).select("task_id", "candidate_id", "score", "bytes")
 
 
@@ -303,7 +303,7 @@ def _(spark, sf_dir):
 
 @query("retrieve", _chain("select", "SELECT task_id, candidate_id, outcome, reason, selected_rank FROM s5"))
 def _(spark, sf_dir):
-    return _selected(spark, sf_dir).select("task_id", "candidate_id", "outcome", "reason", "selected_rank")
+    return _selected(spark, sf_dir).select("task_id", "candidate_id", "outcome", "reason", F.coalesce("selected_rank", F.lit(0)).alias("selected_rank"))
 
 
 @query("retrieval_status", _chain("select", """, m AS (SELECT task_id, bool_or(list_contains(ph, 'mod_1')) AS met FROM s5 WHERE outcome = 'selected' GROUP BY 1)
