@@ -9,6 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sets import stated
 from ..functions.text import fold, quoted, token_estimate, tokens
 from .budget import greedy
 
@@ -27,6 +28,9 @@ BOOST_KINDS = ["calls", "configures", "depends_on", "imports", "references"]
 CLOSURE_KINDS = ["imports", "depends_on", "extends", "implements", "configures"]
 # ---------------------------------------------------------------------------------------------------------------
 
+#: Distinct terms, or phrases, of the tasks that are ranked at once.
+MOST_TERMS = 100_000
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut off from its lineage in the folder of spark.checkpoint.dir; a temporary one where none is set."""
@@ -84,11 +88,11 @@ def lexical_rank(tasks: DataFrame, units: DataFrame) -> DataFrame:
     tf = counts.join(wanted, "term", "left_semi").groupBy("unit_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     hits = tf.join(asked, "term").groupBy("task_id", "unit_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("tf").alias("occurrences"))
     paths = units.select("path").distinct().select("path", fold(F.col("path")).alias("folded"))
-    by_path = paths.join(wanted, F.contains("folded", "term")).select("path", "term").join(asked, "term").select("task_id", "path").distinct()
+    by_path = paths.join(stated(wanted, MOST_TERMS, "terms"), F.contains("folded", "term")).select("path", "term").join(asked, "term").select("task_id", "path").distinct()
     by_path = by_path.join(units.select("unit_id", "path"), "path").select("task_id", "unit_id", F.lit(True).alias("in_path"))
     phrases = tasks.select("task_id", F.explode(F.transform(quoted(F.col("task_text")), fold)).alias("phrase"))
     distinct_phrases = phrases.select("phrase").distinct()
-    by_phrase = units.select("unit_id", fold(F.col("text")).alias("folded")).join(distinct_phrases, F.contains("folded", "phrase")).select("unit_id", "phrase")
+    by_phrase = units.select("unit_id", fold(F.col("text")).alias("folded")).join(stated(distinct_phrases, MOST_TERMS, "phrases"), F.contains("folded", "phrase")).select("unit_id", "phrase")
     by_phrase = by_phrase.join(phrases, "phrase").select("task_id", "unit_id").distinct().withColumn("in_phrase", F.lit(True))
     keys = ["task_id", "unit_id"]
     found = hits.join(by_path, keys, "full_outer").join(by_phrase, keys, "full_outer")
@@ -267,9 +271,7 @@ def _by_task(tasks: DataFrame, rows: DataFrame, most: int = 5_000) -> DataFrame:
 
     Tasks are a stated set of questions; their number is checked, and they are sent to the rows.
     """
-    if tasks.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} tasks at once: run them in blocks")
-    small = F.broadcast(tasks)
+    small = stated(tasks, most, "tasks")
     return rows.join(small, "project_id") if "project_id" in tasks.columns else rows.crossJoin(small)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sets import stated
 from ..functions.text import fold
 
 #: A path for every document, by (doc_id div 20) mod 10; {} is the id.
@@ -46,11 +47,11 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """case_id, path, relevance of the documents that an item judges."""
     docs = artifacts(spark, sf_dir).select("doc_id", "path", "content")
-    items = F.broadcast(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.substring("text", 1, 60).alias("start")))
+    items = stated(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.substring("text", 1, 60).alias("start")), 20_000, "benchmark items")
     found = docs.join(items, F.contains("content", "start")).select("case_id", "path", F.lit("required").alias("relevance"))
     labels = docs.select("doc_id", "path").join(table(spark, sf_dir, "labels"), "doc_id")
     level = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "irrelevant").otherwise("supporting")
-    cases = F.broadcast(found.select("case_id").distinct())
+    cases = found.select("case_id").distinct()
     spread = labels.join(cases, F.col("doc_id") % 50 == F.col("case_id") % 50).select("case_id", "path", level.alias("relevance"))
     return found.unionByName(spread.join(found.select("case_id", "path"), ["case_id", "path"], "left_anti"))
 
