@@ -39,12 +39,13 @@ def test_query(spark, duck, name):
 
 
 def test_entry_module_without_the_llm_subpackage(monkeypatch):
-    import importlib.util
+    import sys
 
     import __spark_entry__
 
-    find = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n in ("gleanery.llm", "corpus_pipeline") else find(n, *a))
+    for name in [m for m in sys.modules if m.startswith("gleanery.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "gleanery.llm", None)
     assert set(__spark_entry__.queries()) == set(QUERIES)
     assert set(__spark_entry__.oracle_sql()) == set(ORACLE_SQL)
 
