@@ -11,11 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .graph import component_ids, components
+from .graph import components
 from .tokens import arrow_type, id_type, slices
+from .url_filter import bloom_filter, may_contain
 
 #: Bands and registers of a band; the base of the registers' spacing and their highest value.
-BANDS, ROWS, BASE, TOP = 32, 4, 1.2, 254
+BANDS, ROWS, BASE, TOP = 48, 8, 1.2, 254
+#: Members of a bucket that are paired across components; larger buckets are split by further registers, SPLITS ways a time.
+SMALL, SPLITS, LEVELS = 32, 6, 2
+#: Blocks (32 bytes each) of the Bloom filter of wanted documents.
+BLOCKS = 1 << 16
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -80,14 +85,18 @@ def registers(hashes: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
     low, high = hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
     keys = mix(np.arange(1, 2 * m + 1, dtype=np.uint64) * np.uint64(_PRIME)).astype(np.uint32)
     most = np.empty((m, len(starts)), dtype=np.uint32)
+    x, t = np.empty_like(low), np.empty_like(low)
     for i in range(m):
-        x = (low ^ keys[2 * i]) * (keys[2 * i + 1] | np.uint32(1))
-        x += high
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
-        x ^= x >> np.uint32(12)
-        x *= np.uint32(0x297A2D39)
-        most[i] = np.maximum.reduceat(x ^ (x >> np.uint32(15)), starts)
+        np.bitwise_xor(low, keys[2 * i], out=x)
+        np.multiply(x, keys[2 * i + 1] | np.uint32(1), out=x)
+        np.add(x, high, out=x)
+        for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
+            np.right_shift(x, np.uint32(shift), out=t)
+            np.bitwise_xor(x, t, out=x)
+            np.multiply(x, np.uint32(factor), out=x)
+        np.right_shift(x, np.uint32(15), out=t)
+        np.bitwise_xor(x, t, out=x)
+        np.maximum.reduceat(x, starts, out=most[i])
     # The largest uniform value u of a set gives its least exponential one, -log u.
     least = -np.log1p(-(2.0**32 - most.astype(np.float64) - 0.5) / 2.0**32)
     return np.clip(np.floor(1 - np.log(least / 32) / np.log(BASE)), 0, TOP).astype(np.uint8).T.copy()
@@ -136,30 +145,35 @@ def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of classes whose estimated similarity is at least ``least``."""
-    left = classes.select(F.col("set_hash").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("nx"))
-    right = classes.select(F.col("set_hash").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("ny"))
+    left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("nx"))
+    right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("ny"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1) for c in ("x", "y"))
                 j = estimate(x, y, part.column("nx").to_numpy().astype(float), part.column("ny").to_numpy().astype(float))
                 yield part.select(["a", "b"]).filter(pa.array(j >= least))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "nx", "ny").mapInArrow(judge, "a binary, b binary")
+    # A pair whose sizes differ too much cannot reach the threshold.
+    rows = pairs.join(left, "a").join(right, "b").filter(F.least("nx", "ny") >= least * F.greatest("nx", "ny"))
+    return rows.select("a", "b", "x", "y", "nx", "ny").mapInArrow(judge, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("set_hash").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("set_hash").alias("b"), F.col("shingles").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("common"))
     return both.filter(100 * F.col("common") >= percent * (F.col("nx") + F.col("ny") - F.col("common"))).select("a", "b")
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(set_hash, shingles) of the classes in ``wanted``, from the text of one document of each."""
+    """(node, shingles) of the classes in ``wanted``, from the text of one document of each.
+
+    A Bloom filter of fixed size drops most other documents before their text is shuffled.
+    """
     schema = pa.schema([("set_hash", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +182,22 @@ def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: in
             sets = [make(t) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], schema.field(1).type)], schema=schema)
 
-    ids = classes.join(wanted, "set_hash", "left_semi").select("doc_id").distinct()
-    made = docs.join(ids, "doc_id", "left_semi").mapInArrow(shingle, "set_hash binary, shingles array<long>")
-    return made.join(wanted, "set_hash", "left_semi").groupBy("set_hash").agg(F.first("shingles").alias("shingles"))
+    named = cut(classes.join(wanted, "node", "left_semi").select("node", "set_hash", "doc_id"))
+    key = F.col("doc_id").cast("string").alias("key")
+    near = may_contain(docs.select("doc_id", "text", key), bloom_filter(named.select(key), BLOCKS), BLOCKS)
+    made = near.select("doc_id", "text").join(named.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(shingle, "set_hash binary, shingles array<long>")
+    return made.join(named.select("node", "set_hash"), "set_hash").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, bucket, node, c) of the buckets whose members have more than one label."""
+    tagged = members.select("band", "bucket", "node").join(labels, "node")
+    mixed = tagged.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
+    return tagged.join(mixed.select("bucket", "n"), "bucket")
 
 
 def near_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, slack: float = 0.25
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, slack: float = 0.2
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -184,13 +207,15 @@ def near_dedup(
 
     1. Every text gives SetSketch registers (exponentially spaced truncated minima). Texts with the same set are one
        class from here on, so a group of copies is one sketch.
-    2. Registers are cut into ``bands`` of ``rows`` values; classes that share a band value are candidates. At a
-       similarity of 0.8 a band of four fails with probability 0.59 at most, all 32 with 5e-8. In a bucket each member is
-       paired with the smallest id, not with every other.
-    3. A pair stays if the joint likelihood of its registers puts it at no less than the threshold minus ``slack``
-       (six standard errors), and links if the full sets confirm it.
-    4. What of a bucket is in different components by then is paired across them, estimated and confirmed, so no
-       link within a bucket is lost; members of one component are never paired again.
+    2. Registers are cut into ``bands`` of ``rows`` values; classes that share a band value meet in a bucket. At a
+       similarity of 0.8 one band of 8 agrees with probability 0.2, any of 48 with 1 - 3e-5.
+    3. Of a bucket, each member is first paired with the smallest one, not with every other. A pair stays if the joint
+       likelihood of its registers puts it no lower than the threshold minus ``slack`` (ten standard errors), and
+       links if the full sets confirm it. Links join components.
+    4. Buckets that still hold several components are worked on again: first the smallest member against those of other
+       components, then all members across components. For the latter, buckets of more than ``SMALL`` members
+       are split by further registers: near duplicates still meet in one of the ``SPLITS`` parts, documents that only
+       share a passage don't. Members of one component are never paired again.
 
     Null, empty and blank texts have an empty set and link with nothing. A null id is never linked: its component_id
     is null. Rows that repeat an id and a text share their result; texts that share an id are judged one by one. An
@@ -199,28 +224,49 @@ def near_dedup(
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketches = cut(_sketches(plain, words, bands, rows))
     classes = sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash")
-    classes = cut(classes.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
-    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * rows + 1, F.lit(rows))))
-    placed = classes.select("set_hash", F.explode(band).alias("bucket"))
-    firsts = placed.groupBy("bucket").agg(F.min("set_hash").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = cut(placed.join(firsts.select("bucket", "a"), "bucket").select("bucket", "a", F.col("set_hash").alias("b")))
-    stars = members.filter("a <> b").select("a", "b").distinct()
+    classes = classes.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    key = lambda salt, at, n: F.xxhash64(salt, F.substring(F.col("sketch"), at + 1, F.lit(n)))
+    placed = classes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: key(i, i * rows, rows))).alias("band", "bucket"))
+    firsts = placed.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "first")
+    members = cut(placed.join(firsts, "bucket"))
     bound = percent / 100 - slack
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
-    likely = cut(_likely(stars, classes, bound))
-    full = cut(_full_sets(plain, classes, ends(likely), words))
-    first_links = cut(_confirmed(likely, full, percent))
-    joined = components(first_links).withColumnRenamed("id", "b")
-    # Buckets that hold more than one component: pair their members across components.
-    tagged = cut(members.join(joined, "b", "left").select("bucket", "b", F.coalesce("component_id", "b").alias("c")))
-    split = tagged.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("bucket")
-    rest = cut(tagged.join(split, "bucket", "left_semi"))
-    across = rest.alias("x").join(rest.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")))
-    across = across.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut(_likely(across, classes, bound))
-    new = ends(more).join(full, "set_hash", "left_anti")
-    full = full.unionAll(_full_sets(plain, classes, new, words))
-    named = component_ids(classes, first_links.unionAll(_confirmed(more, full, percent)), "set_hash", "doc_id")
+    full: DataFrame | None = None
+    labels = classes.select("node", F.col("node").alias("c"))
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """The labels after links among the pairs (a, b) are confirmed."""
+        nonlocal full
+        likely = cut(_likely(pairs, classes, bound))
+        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        made = cut(_full_sets(plain, classes, ends if full is None else ends.join(full, "node", "left_anti"), words))
+        full = made if full is None else full.unionAll(made)
+        links = _confirmed(likely, full, percent)
+        for end in ("a", "b"):
+            links = links.join(labels.select(F.col("node").alias(end), F.col("c").alias(f"c{end}")), end)
+        moved = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("id", "c")
+        return cut(labels.join(moved, "c", "left").select("node", F.coalesce("component_id", "c").alias("c")))
+
+    labels = joined(members.filter("node <> first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")))
+    mixed = cut(_mixed(members, labels))
+    least = mixed.groupBy("bucket").agg(F.min(F.struct("node", "c")).alias("x"))
+    labels = joined(mixed.join(least, "bucket").filter("c <> x.c").select(F.col("x.node").alias("a"), F.col("node").alias("b")).distinct())
+    mixed = cut(_mixed(mixed, labels))
+    small = mixed.filter(F.col("n") <= SMALL)
+    for level in range(LEVELS):
+        large = mixed.filter(F.col("n") > SMALL).select("band", "bucket", "node")
+        if large.isEmpty():
+            break
+        # Registers behind the band's own, others at each level.
+        groups = [((F.col("band") + 1) * rows + k * (rows // 2)) % (bands * rows) for k in range(SPLITS * level, SPLITS * (level + 1))]
+        parts = F.array(*(key(F.xxhash64("bucket", F.lit(k)), at, rows // 2) for k, at in enumerate(groups)))
+        split = large.join(classes.select("node", "sketch"), "node").select("band", "node", F.explode(parts).alias("bucket"))
+        mixed = cut(_mixed(split, labels))
+        small = small.unionByName(mixed if level == LEVELS - 1 else mixed.filter(F.col("n") <= SMALL))
+    across = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")))
+    labels = joined(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    named = labels.join(classes.select("node", "set_hash", "doc_id"), "node")
+    named = named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("set_hash", "component_id")
     out = sketches.join(named, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
