@@ -17,8 +17,12 @@ from .url_filter import bloom_filter, may_contain
 
 #: Bands and registers of a band; the base of the registers' spacing and their highest value.
 BANDS, ROWS, BASE, TOP = 48, 8, 1.2, 254
-#: Members of a bucket that are paired across components; larger buckets are split by further registers, SPLITS ways a time.
-SMALL, SPLITS, LEVELS = 32, 6, 2
+#: Partners in other components that a member of a bucket may have on average; buckets with more are split by further
+#: registers, SPLITS ways a time.
+SMALL, SPLITS, LEVELS = 16, 6, 2
+#: Bits of a class for the first look at a pair, one from each of so many registers, and how many may differ.
+BITS, MOST_ODD = 256, 45
+_COIN = np.array([bin(i * 0x9E3779B1 & 0xFFFFFFFF).count("1") & 1 for i in range(256)], dtype=np.uint8)
 #: Blocks (32 bytes each) of the Bloom filter of wanted documents.
 BLOCKS = 1 << 16
 BLANK = np.zeros(256, dtype=bool)
@@ -102,6 +106,12 @@ def registers(hashes: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(least / 32) / np.log(BASE)), 0, TOP).astype(np.uint8).T.copy()
 
 
+def coins(sketches: np.ndarray) -> np.ndarray:
+    """A bit for each of the first BITS registers, in words of 64: equal registers agree, others half of the time."""
+    bits = _COIN[sketches[:, :BITS]]
+    return np.packbits(np.pad(bits, ((0, 0), (0, BITS - bits.shape[1]))), axis=1).view("<i8")
+
+
 def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
     """Likeliest Jaccard similarity of pairs, from how many registers are larger, smaller and equal, and the set sizes.
 
@@ -124,7 +134,7 @@ def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: n
 
 def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     kind = id_type(docs, "doc_id")
-    schema = pa.schema([("doc_id", arrow_type(kind)), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", arrow_type(kind)), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("sketch", pa.binary()), ("coins", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
@@ -132,15 +142,16 @@ def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             sets = [shingles(t) for t in texts]
             full = [k for k, s in enumerate(sets) if len(s)]
             out: list[bytes | None] = [None] * len(sets)
+            bits: list[np.ndarray | None] = [None] * len(sets)
             if full:
                 starts = np.concatenate(([0], np.cumsum([len(sets[k]) for k in full])[:-1]))
                 made = registers(np.concatenate([sets[k] for k in full]), starts, bands * rows)
-                for k, row in zip(full, made, strict=True):
-                    out[k] = row.tobytes()
-            columns = [names, [len(s) for s in sets], [set_hash(s) for s in sets], out]
+                for k, row, coin in zip(full, made, coins(made), strict=True):
+                    out[k], bits[k] = row.tobytes(), coin
+            columns = [names, [len(s) for s in sets], [set_hash(s) for s in sets], out, bits]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(sketch, f"doc_id {kind}, n_shingles long, set_hash binary, sketch binary")
+    return docs.mapInArrow(sketch, f"doc_id {kind}, n_shingles long, set_hash binary, sketch binary, coins array<long>")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -190,10 +201,14 @@ def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: in
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, bucket, node, c) of the buckets whose members have more than one label."""
+    """(band, bucket, node, c, others) of the buckets whose members have more than one label.
+
+    ``others`` is how many members of other labels a member has on average, each pair counted once.
+    """
     tagged = members.select("band", "bucket", "node").join(labels, "node")
-    mixed = tagged.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
-    return tagged.join(mixed.select("bucket", "n"), "bucket")
+    mixed = tagged.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"))
+    mixed = mixed.filter("q < n * n").select("bucket", ((F.col("n") - F.col("q") / F.col("n")) / 2).alias("others"))
+    return tagged.join(mixed, "bucket")
 
 
 def near_dedup(
@@ -213,9 +228,11 @@ def near_dedup(
        likelihood of its registers puts it no lower than the threshold minus ``slack`` (ten standard errors), and
        links if the full sets confirm it. Links join components.
     4. Buckets that still hold several components are worked on again: first the smallest member against those of other
-       components, then all members across components. For the latter, buckets of more than ``SMALL`` members
-       are split by further registers: near duplicates still meet in one of the ``SPLITS`` parts, documents that only
-       share a passage don't. Members of one component are never paired again.
+       components, then all members across components. For the latter, buckets in which a member has more than
+       ``SMALL`` partners are split by further registers: near duplicates still meet in one of the ``SPLITS`` parts,
+       documents that only share a passage don't. A bit from each of 256 registers is compared within the join, so
+       unlikely pairs don't leave it (a pair at the threshold differs in 24 bits, five standard errors below the
+       limit). Members of one component are never paired again.
 
     Null, empty and blank texts have an empty set and link with nothing. A null id is never linked: its component_id
     is null. Rows that repeat an id and a text share their result; texts that share an id are judged one by one. An
@@ -224,7 +241,7 @@ def near_dedup(
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketches = cut(_sketches(plain, words, bands, rows))
     classes = sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash")
-    classes = classes.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = classes.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("coins").alias("coins"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     key = lambda salt, at, n: F.xxhash64(salt, F.substring(F.col("sketch"), at + 1, F.lit(n)))
     placed = classes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: key(i, i * rows, rows))).alias("band", "bucket"))
@@ -252,9 +269,9 @@ def near_dedup(
     least = mixed.groupBy("bucket").agg(F.min(F.struct("node", "c")).alias("x"))
     labels = joined(mixed.join(least, "bucket").filter("c <> x.c").select(F.col("x.node").alias("a"), F.col("node").alias("b")).distinct())
     mixed = cut(_mixed(mixed, labels))
-    small = mixed.filter(F.col("n") <= SMALL)
+    small = mixed.filter(F.col("others") <= SMALL)
     for level in range(LEVELS):
-        large = mixed.filter(F.col("n") > SMALL).select("band", "bucket", "node")
+        large = mixed.filter(F.col("others") > SMALL).select("band", "bucket", "node")
         if large.isEmpty():
             break
         # Registers behind the band's own, others at each level.
@@ -262,8 +279,12 @@ def near_dedup(
         parts = F.array(*(key(F.xxhash64("bucket", F.lit(k)), at, rows // 2) for k, at in enumerate(groups)))
         split = large.join(classes.select("node", "sketch"), "node").select("band", "node", F.explode(parts).alias("bucket"))
         mixed = cut(_mixed(split, labels))
-        small = small.unionByName(mixed if level == LEVELS - 1 else mixed.filter(F.col("n") <= SMALL))
-    across = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")))
+        small = small.unionByName(mixed if level == LEVELS - 1 else mixed.filter(F.col("others") <= SMALL))
+    small = small.select("bucket", "node", "c").join(classes.select("node", "coins"), "node")
+    odd = F.lit(0)
+    for k in range(BITS // 64):
+        odd = odd + F.bit_count(F.col("x.coins")[k].bitwiseXOR(F.col("y.coins")[k]))
+    across = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & (odd <= MOST_ODD))
     labels = joined(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     named = labels.join(classes.select("node", "set_hash", "doc_id"), "node")
     named = named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("set_hash", "component_id")
