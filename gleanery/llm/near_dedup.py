@@ -212,7 +212,7 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, slack: float = 0.2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, slack: float = 0.1
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -225,7 +225,7 @@ def near_dedup(
     2. Registers are cut into ``bands`` of ``rows`` values; classes that share a band value meet in a bucket. At a
        similarity of 0.8 one band of 8 agrees with probability 0.2, any of 48 with 1 - 3e-5.
     3. Of a bucket, each member is first paired with the smallest one, not with every other. A pair stays if the joint
-       likelihood of its registers puts it no lower than the threshold minus ``slack`` (ten standard errors), and
+       likelihood of its registers puts it no lower than the threshold minus ``slack`` (over four standard errors), and
        links if the full sets confirm it. Links join components.
     4. Buckets that still hold several components are worked on again: first the smallest member against those of other
        components, then all members across components. For the latter, buckets in which a member has more than
