@@ -1,4 +1,4 @@
-"""Line deduplication: winnowed fingerprints of line runs, joined to their first place and extended both ways."""
+"""Line deduplication: windows of whole lines, compared with their first place."""
 
 from __future__ import annotations
 
@@ -11,25 +11,16 @@ def _hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def _common(left: Column, right: Column) -> Column:
-    """How many leading items of two arrays agree."""
-    both = F.least(F.size(left), F.size(right))
-    agree = F.zip_with(F.slice(left, 1, both), F.slice(right, 1, both), lambda a, b: a["h"] == b["h"])
-    first_odd = F.array_position(agree, False)
-    return F.when(first_odd == 0, both).otherwise(first_odd - 1).cast("int")
-
-
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """One row per line that a repeated run covers: doc_id, text_key, pos (from 0).
 
     Lines are what line feeds separate, compared without blanks at their ends; lines without words are skipped.
-    A gram is the shortest run of lines from a given line on that has ``min_words`` / 2 words; a window is the
-    shortest that has ``min_words``. The smallest gram hash of each window is a fingerprint, so every run of
-    ``min_words`` words holds one: a run that two places share has a fingerprint in both. Every place of a fingerprint
-    is matched with its first place (by id, then position), the match is extended to both sides by up to
-    ``min_words`` words, and the later run is repeated if it has ``min_words`` words. What lies further out has its own
-    fingerprints. As each place meets the first one only, the matches grow with the lines, not with the square of
-    a group; the join has one row per fingerprint on one side, and Spark splits a hot one.
+    A window is the shortest run of lines that has ``min_words`` words, from a given line on or up to a given line.
+    Every line of a shared run of ``min_words`` words lies in a window within that run: the one from the line on, the
+    one up to it, or the one from the run's first line on. Windows depend on their own lines alone, so both places hold
+    the same ones, and the lines to delete are exactly those of windows that stood before. Each place of a window is
+    compared with its first one (by id, then position) by the MD5 of the whole window, so the work grows with the
+    lines, not with the square of a group; the join has one row per window on one side, and Spark splits a hot one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
@@ -39,29 +30,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = lines.repartition("doc_id", "text_key").dropDuplicates(["doc_id", "text_key", "pos"])
     doc = Window.partitionBy("doc_id", "text_key")
     lines = lines.withColumn("upto", F.sum("w").over(doc.orderBy("pos"))).withColumn("at", F.col("upto") - F.col("w"))
-    after = lambda words: doc.orderBy("at").rangeBetween(0, words - 1)  # noqa: E731  the lines that begin within so many words
-    gram_words = min_words // 2
-    lines = lines.withColumns({
-        "gram": F.when(F.max("upto").over(after(gram_words)) - F.col("at") >= gram_words, _hash(F.array_join(F.collect_list("h").over(after(gram_words)).cast("array<string>"), ","))),
-        "gram_end": F.max("upto").over(after(gram_words)),
-        "window_end": F.max("upto").over(after(min_words)),
-    })
-    inside = F.collect_list(F.when(F.col("gram").isNotNull(), F.struct("gram", "pos", "gram_end"))).over(after(min_words))
-    lines = lines.withColumns({
-        "pick": F.when(F.col("window_end") - F.col("at") >= min_words, F.array_min(F.filter(inside, lambda g: g["gram_end"] <= F.col("window_end")))["pos"]),
-        "right": F.collect_list(F.struct("pos", "h", "w")).over(after(min_words)),
-        "left": F.reverse(F.collect_list(F.struct("pos", "h", "w")).over(doc.orderBy("at").rangeBetween(-min_words, -1))),
-    })
-    # A line is a fingerprint if a window that begins at most min_words before it picks it.
-    picked = F.array_contains(F.collect_list("pick").over(doc.orderBy("at").rangeBetween(-min_words, 0)), F.col("pos"))
-    marks = lines.filter("upto is not null").withColumn("picked", picked).filter("picked").select("gram", "doc_id", "text_key", "pos", "left", "right")
-    first = marks.groupBy("gram").agg(F.min(F.struct("doc_id", "text_key", "pos", "left", "right")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = marks.join(first, "gram").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("pos") == F.col("first.pos"))))
-    later = later.withColumns({"fwd": _common(F.col("right"), F.col("first.right")), "back": _common(F.col("left"), F.col("first.left"))})
-    run = F.concat(F.slice("left", 1, F.col("back")), F.slice("right", 1, F.col("fwd")))
-    later = later.select("doc_id", "text_key", run.alias("run"))
-    long_enough = F.aggregate("run", F.lit(0).cast("long"), lambda s, x: s + x["w"]) >= min_words
-    return later.filter(long_enough).select("doc_id", "text_key", F.explode(F.transform("run", lambda x: x["pos"])).alias("pos")).distinct()
+    from_here = doc.orderBy("at").rangeBetween(0, min_words - 1)  # the lines that begin within so many words
+    up_to_here = doc.orderBy("upto").rangeBetween(1 - min_words, 0)  # those that end within so many words before the end
+    line = F.struct("pos", "h", "at", "upto")
+    lines = lines.withColumn("ahead", F.collect_list(line).over(from_here)).withColumn("behind", F.collect_list(line).over(up_to_here))
+    ahead = F.when(F.element_at("ahead", -1)["upto"] - F.col("at") >= min_words, F.col("ahead"))
+    # One that is too short without its last line is the window from its first line on as well.
+    behind = F.when(F.col("at") - F.col("behind")[0]["at"] >= min_words, F.col("behind"))
+    windows = lines.select("doc_id", "text_key", F.explode(F.array_compact(F.array(ahead, behind))).alias("run"))
+    windows = windows.select(
+        F.unhex(F.md5(F.array_join(F.transform("run", lambda x: x["h"].cast("string")), ","))).alias("window"),
+        "doc_id", "text_key", F.col("run")[0]["pos"].alias("pos"), F.transform("run", lambda x: x["pos"]).alias("covered"),
+    )
+    first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "text_key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = windows.join(first, "window").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("pos") == F.col("first.pos"))))
+    return later.select("doc_id", "text_key", F.explode("covered").alias("pos")).distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:

@@ -96,6 +96,24 @@ def test_line_dedup(spark):
     assert line_dedup(table(spark, [])).count() == 0
 
 
+def test_line_dedup_where_the_first_place_shares_only_part_of_a_run(spark):
+    """P stands alone in document 1 and before Q in 2 and 3: the run P, Q of 60 words is repeated in 3."""
+    rng = random.Random(5)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows = []
+    for k in range(12):  # whichever gram of a window is the least
+        p, q = line(30), line(30)
+        rows += [(k, "\n".join([line(9), p, line(9)])), (100 + k, "\n".join([p, q])), (200 + k, "\n".join([line(9), p, q, line(7)]))]
+    # Any mixture of few lines: runs that overlap, themselves too, and end in lines too short for a window of their own.
+    few = [line(n) for n in (1, 3, 7, 12, 20, 26, 30, 45, 50, 60)]
+    rows += [(300 + k, "\n".join(rng.choice([*few, "", line(4)]) for _ in range(rng.randrange(1, 14)))) for k in range(60)]
+    gone = brute_lines(rows)
+    assert all(len(gone[200 + k]) == 2 for k in range(12))
+    for r in line_dedup(table(spark, rows)).collect():
+        kept = [x for n, x in enumerate(dict(rows)[r.doc_id].split("\n")) if n not in gone.get(r.doc_id, ())]
+        assert (r.text, r.n_deleted) == ("\n".join(kept), len(gone.get(r.doc_id, ()))), r.doc_id
+
+
 def shingles(text, k):
     text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = [x for x in re.split(BLANKS + "+", text) if x]
