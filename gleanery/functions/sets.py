@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,3 +14,16 @@ def stated(df: DataFrame, most: int, what: str) -> DataFrame:
     if df.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} {what} at once: run them in blocks")
     return F.broadcast(df)
+
+
+def in_blocks(df: DataFrame, most: int, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that ``use`` gives for each block of ``df``, marked for broadcast.
+
+    As many blocks as ``most`` rows each take; rows fall into them by their hash, so a block may hold a few more. Each
+    block is one broadcast at a time and one pass over the other side.
+    """
+    n = -(-df.count() // most)
+    if n < 2:
+        return use(F.broadcast(df))
+    block = F.pmod(F.xxhash64(*df.columns), F.lit(n))
+    return reduce(DataFrame.unionByName, [use(F.broadcast(df.filter(block == k))) for k in range(n)])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.sets import in_blocks
 from ..functions.text import LINE_END, fold
 from .scan import content_fingerprint
 
@@ -130,19 +131,15 @@ def find_symbols(symbols: DataFrame, names: DataFrame) -> DataFrame:
 def find_text(units: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, unit columns) where the folded query is part of the unit's folded text.
 
-    The queries are a short list of questions, gathered into one row and tested within each unit: units aren't shuffled.
+    The queries are sent to the units in blocks of about ``MOST_QUERIES`` and tested within each unit: units aren't
+    shuffled.
     """
-    asked = [r["query"] for r in queries.select("query").distinct().limit(MOST_QUERIES + 1).collect()]
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: join on tokens instead")
-    if not asked:
-        return units.select(F.lit(None).cast("string").alias("query"), "*").limit(0)
-    options = F.array(*(F.struct(F.lit(q).alias("query"), fold(F.lit(q)).alias("key")) for q in sorted(asked)))
+    asked = queries.select("query").distinct().withColumn("__key", fold(F.col("query")))
     rows = units.withColumn("__text", fold(F.col("text")))
-    return rows.select(F.explode(F.filter(options, lambda o: F.contains(F.col("__text"), o["key"]))).alias("o"), *units.columns).select("o.query", *units.columns)
+    return in_blocks(asked, MOST_QUERIES, lambda block: rows.join(block, F.contains("__text", "__key"))).select("query", *units.columns)
 
 
-#: Substring queries of one look-up.
+#: Substring queries that are sent to the units at a time.
 MOST_QUERIES = 2_000
 
 

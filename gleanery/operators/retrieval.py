@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sets import stated
+from ..functions.sets import in_blocks, stated
 from ..functions.text import fold, quoted, token_estimate, tokens
 from .budget import greedy
 
@@ -266,13 +266,17 @@ def select_under_budget(candidates: DataFrame, scores: DataFrame, budgets: DataF
 # --- The simple retriever --------------------------------------------------------------------------------------
 
 
-def _by_task(tasks: DataFrame, rows: DataFrame, most: int = 5_000) -> DataFrame:
+#: Tasks that are sent to the rows at a time.
+MOST_TASKS = 5_000
+
+
+def _by_task(tasks: DataFrame, rows: DataFrame) -> DataFrame:
     """Every row with every task of its project, or of the whole table where tasks have no project.
 
-    Tasks are a stated set of questions; their number is checked, and they are sent to the rows.
+    Tasks are sent to the rows in blocks of about ``MOST_TASKS``.
     """
-    small = stated(tasks, most, "tasks")
-    return rows.join(small, "project_id") if "project_id" in tasks.columns else rows.crossJoin(small)
+    together = lambda block: rows.join(block, "project_id") if "project_id" in tasks.columns else rows.crossJoin(block)
+    return in_blocks(tasks, MOST_TASKS, together)
 
 
 def _hits(text: Column) -> Column:

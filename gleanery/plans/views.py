@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sets import stated
+from ..functions.sets import in_blocks
 from ..functions.text import fold
 
 #: A path for every document, by (doc_id div 20) mod 10; {} is the id.
@@ -15,6 +15,8 @@ PATHS = [
     "src/mod_{}.py", "docs/page_{}.md", "tests/test_{}.py", "config/app_{}.toml", "dist/bundle_{}.min.js", "assets/img_{}.png",
     ".env.{}", "node_modules/p/{}.js", "src/legacy/archive_{}.py", "build_{}/Makefile",
 ]
+#: Benchmark items that are sent to the documents at a time.
+MOST_ITEMS = 20_000
 SCANNER = "scan-1"
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
@@ -47,8 +49,8 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """case_id, path, relevance of the documents that an item judges."""
     docs = artifacts(spark, sf_dir).select("doc_id", "path", "content")
-    items = stated(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.substring("text", 1, 60).alias("start")), 20_000, "benchmark items")
-    found = docs.join(items, F.contains("content", "start")).select("case_id", "path", F.lit("required").alias("relevance"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.substring("text", 1, 60).alias("start"))
+    found = in_blocks(items, MOST_ITEMS, lambda block: docs.join(block, F.contains("content", "start"))).select("case_id", "path", F.lit("required").alias("relevance"))
     labels = docs.select("doc_id", "path").join(table(spark, sf_dir, "labels"), "doc_id")
     level = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "irrelevant").otherwise("supporting")
     cases = found.select("case_id").distinct()

@@ -129,3 +129,24 @@ def test_sums_of_greedy_sizes_are_no_running_sum(spark):
     budgets = spark.createDataFrame([("t", 100)], "task_id string, max_bytes int")
     got = [r.candidate_id for r in greedy(spark.createDataFrame(rows, CANDIDATES), budgets).filter("fits").orderBy("pos").collect()]
     assert got == ["c0", "c2"] != [f"c{n}" for n, s in enumerate(accumulate([60, 50, 40, 1])) if s <= 100]
+
+
+def test_more_tasks_and_queries_than_a_block_holds(spark, monkeypatch):
+    from gleanery.operators import index
+    from gleanery.plans import views
+    from gleanery.plans.registry import QUERIES
+
+    units = spark.createDataFrame([(f"u{i}", f"src/f{i}.py", f"word{i} word{i + 1}", f"p{i % 3}") for i in range(30)], "unit_id string, path string, text string, project_id string")
+    tasks = spark.createDataFrame([(i, [f"word{i}"], f"p{i % 3}") for i in range(6_001)], "task_id long, search_terms array<string>, project_id string")
+    found = {(r.task_id, r.candidate_id) for r in retrieval.score_units(tasks.drop("project_id"), units).collect()}
+    hit = lambda i, k: f"word{i}" in f"word{k} word{k + 1}"
+    assert found == {(i, f"u{k}") for i in range(100) for k in range(30) if hit(i, k)}
+    assert {(r.task_id, r.candidate_id) for r in retrieval.score_units(tasks, units).collect()} == {(i, u) for i, u in found if i % 3 == int(u[1:]) % 3}
+    queries = spark.createDataFrame([(f"Word{i}",) for i in range(2_500)] + [(None,), ("Word7",)], "query string")
+    assert {(r.query, r.unit_id) for r in index.find_text(units, queries).collect()} == {(f"Word{i}", u) for i, u in found}
+    assert index.find_text(units, queries.limit(0)).count() == 0
+    data = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, views.judgments(spark, data).collect()))
+    monkeypatch.setattr(views, "MOST_ITEMS", 7)
+    assert sorted(map(tuple, views.judgments(spark, data).collect())) == whole and whole
+    assert QUERIES["retrieval_metrics"](spark, data).count() > 0
