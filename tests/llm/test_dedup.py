@@ -201,3 +201,15 @@ def test_vector_dedup(spark):
         assert (r.n_links, r.component_id) == (n, least.get(r.vec_id, r.vec_id)), r.vec_id
         assert r.kept == (r.vec_id == r.component_id)
     assert vector_dedup(df.limit(0)).count() == 0
+
+
+def test_vector_dedup_reaches_links_of_low_rank(spark):
+    """Vectors of a space of 3 dimensions within 64: displacements don't spread over all dimensions."""
+    rng = np.random.default_rng(6)
+    basis = np.linalg.qr(rng.normal(size=(64, 3)))[0]
+    x = rng.normal(size=(1200, 3)) @ basis.T
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    links = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert links.sum() > 200
+    assert {r.vec_id: r.n_links for r in vector_dedup(df).collect()} == dict(enumerate(links.tolist()))
