@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Limits of a budget; a missing or null one doesn't limit.
 LIMITS = ["max_estimated_tokens", "max_characters", "max_bytes", "max_artifacts", "max_excerpts", "max_item_bytes", "max_items"]
@@ -17,7 +22,8 @@ def greedy(candidates: DataFrame, budgets: DataFrame, reserved: dict[str, int] |
     """Adds ``fits`` and ``selected_rank`` to candidates (task_id, pos, candidate_id, artifact_id, bytes, characters, tokens, is_excerpt).
 
     Candidates are tried by (pos, candidate_id); each takes its place if all limits of the task's budget then hold.
-    What is turned away frees nothing and ends nothing, so this is a fold, not a running sum. Items larger than
+    What is turned away frees nothing and ends nothing, so this is a fold, not a running sum. A task's candidates
+    pass by in order, sorted on disk if need be; only sums and the artifacts taken are held. Items larger than
     the item limit never fit and don't enter the fold; a budget whose only limit is the number of items is a plain
     rank. ``budgets`` has task_id and any of the limits (a few numbers a task).
     """
@@ -26,26 +32,35 @@ def greedy(candidates: DataFrame, budgets: DataFrame, reserved: dict[str, int] |
     rows = candidates.join(limits, "task_id", "left")
     small = F.col("limits.max_item_bytes").isNull() | (F.col("bytes") <= F.col("limits.max_item_bytes"))
     item = F.struct("pos", "candidate_id", "artifact_id", "bytes", "characters", "tokens", F.col("is_excerpt").cast("int").alias("excerpt"))
-    per_task = rows.groupBy("task_id").agg(F.first("limits").alias("limits"), F.array_sort(F.collect_list(F.when(small, item))).alias("items"))
-    lim = F.col("limits")
-    zero = F.struct(
-        F.lit(reserved.get("tokens", 0)).cast("long").alias("tokens"), F.lit(reserved.get("characters", 0)).cast("long").alias("characters"), F.lit(reserved.get("bytes", 0)).cast("long").alias("bytes"),
-        F.lit(0).cast("long").alias("excerpts"), F.array().cast("array<string>").alias("artifacts"), F.array().cast("array<string>").alias("chosen"),
-    )
-
-    def step(a: Column, x: Column) -> Column:
-        known = F.array_contains(a["artifacts"], x["artifact_id"])
-        within = lambda used, name: lim[name].isNull() | (used <= lim[name])
-        fits = (
-            within(a["tokens"] + x["tokens"], "max_estimated_tokens") & within(a["characters"] + x["characters"], "max_characters") & within(a["bytes"] + x["bytes"], "max_bytes")
-            & within(F.size(a["chosen"]) + 1, "max_items") & (known | within(F.size(a["artifacts"]) + 1, "max_artifacts")) & ((x["excerpt"] == 0) | within(a["excerpts"] + 1, "max_excerpts"))
-        )
-        taken = F.struct(
-            (a["tokens"] + x["tokens"]).alias("tokens"), (a["characters"] + x["characters"]).alias("characters"), (a["bytes"] + x["bytes"]).alias("bytes"), (a["excerpts"] + x["excerpt"]).alias("excerpts"),
-            F.when(known, a["artifacts"]).otherwise(F.concat(a["artifacts"], F.array(x["artifact_id"]))).alias("artifacts"), F.concat(a["chosen"], F.array(x["candidate_id"])).alias("chosen"),
-        )
-        return F.when(fits, taken).otherwise(a)
-
-    chosen = per_task.select("task_id", F.posexplode(F.aggregate("items", zero, step)["chosen"]).alias("selected_rank", "candidate_id"))
-    chosen = chosen.select("task_id", "candidate_id", (F.col("selected_rank") + 1).alias("selected_rank"))
+    rows = rows.filter(small).select("task_id", item.alias("item"), "limits")
+    rows = rows.repartition("task_id").sortWithinPartitions("task_id", "item")
+    rows = rows.select("task_id", "item.*", *(F.col(f"limits.{n}").alias(n) for n in LIMITS)).drop("pos")
+    kinds = {name: rows.schema[name].dataType for name in ("task_id", "candidate_id")}
+    schema = T.StructType([*(T.StructField(name, kind) for name, kind in kinds.items()), T.StructField("selected_rank", T.IntegerType())])
+    arrow = to_arrow_schema(schema)
+    start = [reserved.get(name, 0) for name in ("tokens", "characters", "bytes")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Holds one task's sums and artifacts; rows come task by task, in order."""
+        task: object = fold
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [batch.column(name).to_pylist() for name in ("task_id", "candidate_id", "artifact_id", "tokens", "characters", "bytes", "excerpt", *LIMITS)]
+            for this, candidate, artifact, n_tokens, n_characters, n_bytes, excerpt, *limits in zip(*columns, strict=True):
+                if this != task:
+                    task, used, artifacts, excerpts, rank = this, list(start), set(), 0, 0
+                most_tokens, most_characters, most_bytes, most_artifacts, most_excerpts, _, most_items = limits
+                sizes = (n_tokens, n_characters, n_bytes)
+                fits = all(m is None or n is not None and u + n <= m for u, n, m in zip(used, sizes, (most_tokens, most_characters, most_bytes), strict=True))
+                fits = fits and (most_items is None or rank + 1 <= most_items)
+                fits = fits and (most_artifacts is None or artifact in artifacts or len(artifacts) + 1 <= most_artifacts)
+                if fits and (most_excerpts is None or not excerpt or excerpts + 1 <= most_excerpts):
+                    used = [u + (n or 0) for u, n in zip(used, sizes, strict=True)]
+                    excerpts, rank = excerpts + (excerpt or 0), rank + 1
+                    if most_artifacts is not None:
+                        artifacts.add(artifact)
+                    out.append((this, candidate, rank))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(arrow)], schema=arrow)
+
+    chosen = rows.mapInArrow(fold, schema)
     return candidates.join(chosen, ["task_id", "candidate_id"], "left").withColumn("fits", F.col("selected_rank").isNotNull())

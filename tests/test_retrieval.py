@@ -150,3 +150,11 @@ def test_more_tasks_and_queries_than_a_block_holds(spark, monkeypatch):
     monkeypatch.setattr(views, "MOST_ITEMS", 7)
     assert sorted(map(tuple, views.judgments(spark, data).collect())) == whole and whole
     assert QUERIES["retrieval_metrics"](spark, data).count() > 0
+
+
+def test_greedy_does_not_gather_a_task_into_one_row(spark):
+    rows = spark.range(20_000).select(F.lit("t").alias("task_id"), (-F.col("id")).cast("int").alias("pos"), F.col("id").cast("string").alias("candidate_id"), (F.col("id") % 7).cast("string").alias("artifact_id"), F.lit(2).cast("long").alias("bytes"), F.lit(2).cast("long").alias("characters"), F.lit(1).cast("long").alias("tokens"), F.lit(True).alias("is_excerpt"))
+    out = greedy(rows, spark.createDataFrame([("t", 30_001, 3)], "task_id string, max_bytes long, max_artifacts long"))
+    taken = [i for i in range(19_999, -1, -1) if i % 7 in {19_999 % 7, 19_998 % 7, 19_997 % 7}][:15_000]
+    assert {r.candidate_id: r.selected_rank for r in out.filter("fits").collect()} == {str(i): k + 1 for k, i in enumerate(taken)}
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
