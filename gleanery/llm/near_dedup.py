@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -17,14 +17,12 @@ from .url_filter import bloom_filter, may_contain
 
 #: Bands and registers of a band; the base of the registers' spacing and their highest value.
 BANDS, ROWS, BASE, TOP = 48, 8, 1.2, 254
-#: Partners in other components that a member of a bucket may have on average; buckets with more are split by further
-#: registers, SPLITS ways a time.
-SMALL, SPLITS, LEVELS = 16, 6, 2
-#: Bits of a class for the first look at a pair, one from each of so many registers, and how many may differ.
-BITS, MOST_ODD = 256, 45
-_COIN = np.array([bin(i * 0x9E3779B1 & 0xFFFFFFFF).count("1") & 1 for i in range(256)], dtype=np.uint8)
-#: Blocks (32 bytes each) of the Bloom filter of wanted documents.
-BLOCKS = 1 << 16
+#: Hubs of a round that a class is compared with.
+HUBS = 4
+#: Size bands of the prefix join grow by this factor.
+BAND = 1.05
+#: Most blocks (32 bytes each) of the Bloom filter of wanted documents.
+MOST_BLOCKS = 1 << 17
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -106,12 +104,6 @@ def registers(hashes: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(least / 32) / np.log(BASE)), 0, TOP).astype(np.uint8).T.copy()
 
 
-def coins(sketches: np.ndarray) -> np.ndarray:
-    """A bit for each of the first BITS registers, in words of 64: equal registers agree, others half of the time."""
-    bits = _COIN[sketches[:, :BITS]]
-    return np.packbits(np.pad(bits, ((0, 0), (0, BITS - bits.shape[1]))), axis=1).view("<i8")
-
-
 def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
     """Likeliest Jaccard similarity of pairs, from how many registers are larger, smaller and equal, and the set sizes.
 
@@ -134,7 +126,7 @@ def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: n
 
 def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     kind = id_type(docs, "doc_id")
-    schema = pa.schema([("doc_id", arrow_type(kind)), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("sketch", pa.binary()), ("coins", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", arrow_type(kind)), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("sketch", pa.binary())])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
@@ -142,20 +134,22 @@ def _sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             sets = [shingles(t) for t in texts]
             full = [k for k, s in enumerate(sets) if len(s)]
             out: list[bytes | None] = [None] * len(sets)
-            bits: list[np.ndarray | None] = [None] * len(sets)
             if full:
                 starts = np.concatenate(([0], np.cumsum([len(sets[k]) for k in full])[:-1]))
                 made = registers(np.concatenate([sets[k] for k in full]), starts, bands * rows)
-                for k, row, coin in zip(full, made, coins(made), strict=True):
-                    out[k], bits[k] = row.tobytes(), coin
-            columns = [names, [len(s) for s in sets], [set_hash(s) for s in sets], out, bits]
+                for k, row in zip(full, made, strict=True):
+                    out[k] = row.tobytes()
+            columns = [names, [len(s) for s in sets], [set_hash(s) for s in sets], out]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(sketch, f"doc_id {kind}, n_shingles long, set_hash binary, sketch binary, coins array<long>")
+    return docs.mapInArrow(sketch, f"doc_id {kind}, n_shingles long, set_hash binary, sketch binary")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of classes whose estimated similarity is at least ``least``."""
+    """The pairs (a, b) of classes whose estimated similarity is at least ``least``.
+
+    The side b is joined first: a hub stands on side a, so its sketch isn't copied into a shuffle.
+    """
     left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("nx"))
     right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("ny"))
 
@@ -168,22 +162,22 @@ def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 yield part.select(["a", "b"]).filter(pa.array(j >= least))
 
     # A pair whose sizes differ too much cannot reach the threshold.
-    rows = pairs.join(left, "a").join(right, "b").filter(F.least("nx", "ny") >= least * F.greatest("nx", "ny"))
+    rows = pairs.join(right, "b").join(left, "a").filter(F.least("nx", "ny") >= least * F.greatest("nx", "ny"))
     return rows.select("a", "b", "x", "y", "nx", "ny").mapInArrow(judge, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+    """The pairs whose full sets have 100 * intersection >= percent * union; a hub's set isn't copied into a shuffle."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("common"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("common"))
     return both.filter(100 * F.col("common") >= percent * (F.col("nx") + F.col("ny") - F.col("common"))).select("a", "b")
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, shingles) of the classes in ``wanted``, from the text of one document of each.
 
-    A Bloom filter of fixed size drops most other documents before their text is shuffled.
+    A Bloom filter, sized by their number up to a limit, drops most other documents before their text is shuffled.
     """
     schema = pa.schema([("set_hash", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
@@ -194,21 +188,62 @@ def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: in
             yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], schema.field(1).type)], schema=schema)
 
     named = cut(classes.join(wanted, "node", "left_semi").select("node", "set_hash", "doc_id"))
+    # About 16 bits for each key.
+    blocks = min(MOST_BLOCKS, 1 << max(8, (named.count() // 16).bit_length()))
     key = F.col("doc_id").cast("string").alias("key")
-    near = may_contain(docs.select("doc_id", "text", key), bloom_filter(named.select(key), BLOCKS), BLOCKS)
+    near = may_contain(docs.select("doc_id", "text", key), bloom_filter(named.select(key), blocks), blocks)
     made = near.select("doc_id", "text").join(named.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(shingle, "set_hash binary, shingles array<long>")
     return made.join(named.select("node", "set_hash"), "set_hash").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, bucket, node, c, others) of the buckets whose members have more than one label.
+    """(bucket, node, met, c) of the buckets whose members have more than one label."""
+    tagged = members.select("bucket", "node", "met").join(labels, "node")
+    several = tagged.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("bucket")
+    return tagged.join(several, "bucket", "left_semi")
+
+
+def _to_hubs(members: DataFrame, order: Column) -> DataFrame:
+    """Pairs (a, b): members b of buckets with up to ``HUBS`` hubs a of other labels, the first of those in its buckets.
+
+    A bucket's hub is the member that comes first by ``order``.
+    """
+    hub = members.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), F.col("node").alias("a"), F.col("c").alias("hc"))).alias("hub"))
+    met = members.join(hub, "bucket").filter("c <> hub.hc").groupBy("node").agg(F.collect_set("hub").alias("hubs"))
+    few = F.slice(F.array_sort("hubs"), 1, HUBS)
+    return met.select(F.col("node").alias("b"), F.explode(few).alias("x")).select("x.a", "b").distinct()
+
+
+def _by_prefix(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across labels that share a rare shingle; among them all with 100 * intersection >= percent * union.
 
-    ``others`` is how many members of other labels a member has on average, each pair counted once.
+    Such a pair has at least need(n_a + n_b) = ceil(percent (n_a + n_b) / (100 + percent)) shingles in common. With
+    each set in one order, rarest first, the first common one stands in a at place n_a - need + 1 or before, and
+    likewise in b. So the smaller set of a pair is entered with a ninth of its shingles (at 80 percent), the larger
+    asks once for each band of partner sizes, and both places are tested in the join. Shingles that a single label holds
+    come first and make no rows. Sets that only share a core too small for a link never meet, as the core is
+    frequent and stands behind.
     """
-    tagged = members.select("band", "bucket", "node").join(labels, "node")
-    mixed = tagged.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"))
-    mixed = mixed.filter("q < n * n").select("bucket", ((F.col("n") - F.col("q") / F.col("n")) / 2).alias("others"))
-    return tagged.join(mixed, "bucket")
+    need = lambda total: F.floor((percent * total + 99 + percent) / (100 + percent))
+    band = lambda n: F.floor(F.log(n) / F.log(F.lit(BAND)))
+    each = sets.join(labels, "node").select("node", "c", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s"))
+    shared = cut(each.groupBy("s").agg(F.count(F.lit(1)).alias("held"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("s", "held"))
+    order = each.join(shared, "s").groupBy("node", "c", "n").agg(F.array_sort(F.collect_list(F.struct("held", "s"))).alias("l"))
+    least = F.ceil(F.lit(percent) * F.col("n") / 100)
+    first = F.col("n") - F.size("l")
+    most = F.greatest(F.col("n") - need(F.col("n") + least) + 1 - first, F.lit(0)).cast("int")
+    entries = order.select("node", "c", "n", first.alias("first"), F.posexplode(F.slice("l", F.lit(1), most)).alias("i", "x"))
+    entries = entries.select("node", "c", "n", "x.s", (F.col("first") + F.col("i") + 1).alias("place"))
+    held = entries.filter(F.col("place") <= F.col("n") - need(2 * F.col("n")) + 1).withColumn("k", band(F.col("n")))
+    asked = entries.withColumn("k", F.explode(F.sequence(band(least), band(F.col("n")))))
+    lowest = F.greatest(F.floor(F.pow(F.lit(BAND), F.col("k"))), least)
+    asked = asked.filter(F.col("place") <= F.col("n") - need(F.col("n") + lowest) + 1)
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    room = need(x("n") + y("n")) - 1
+    meet = (x("k") == y("k")) & (x("s") == y("s")) & (x("c") != y("c")) & (x("place") <= x("n") - room) & (y("place") <= y("n") - room)
+    smaller = (x("n") < y("n")) | ((x("n") == y("n")) & (x("node") < y("node")))
+    pairs = held.alias("x").join(asked.alias("y"), meet & smaller)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def near_dedup(
@@ -224,68 +259,46 @@ def near_dedup(
        class from here on, so a group of copies is one sketch.
     2. Registers are cut into ``bands`` of ``rows`` values; classes that share a band value meet in a bucket. At a
        similarity of 0.8 one band of 8 agrees with probability 0.2, any of 48 with 1 - 3e-5.
-    3. Of a bucket, each member is first paired with the smallest one, not with every other. A pair stays if the joint
-       likelihood of its registers puts it no lower than the threshold minus ``slack`` (over four standard errors), and
-       links if the full sets confirm it. Links join components.
-    4. Buckets that still hold several components are worked on again: first the smallest member against those of other
-       components, then all members across components. For the latter, buckets in which a member has more than
-       ``SMALL`` partners are split by further registers: near duplicates still meet in one of the ``SPLITS`` parts,
-       documents that only share a passage don't. A bit from each of 256 registers is compared within the join, so
-       unlikely pairs don't leave it (a pair at the threshold differs in 24 bits, five standard errors below the
-       limit). Members of one component are never paired again.
+    3. Of a bucket, each member is first paired with the smallest one, not with every other; members of buckets that
+       still hold several components then with a few hubs of theirs. A pair stays if the joint likelihood of its
+       registers puts it no lower than the threshold minus ``slack`` (over four standard errors), and links if the
+       full sets confirm it. Links join components.
+    4. Members of buckets that hold several components even then are joined on their rarest shingles, across
+       components only. No pair at the threshold is lost by this, and documents that merely share a passage don't
+       meet, however many there are. Likelihood and full sets decide as before.
 
     Null, empty and blank texts have an empty set and link with nothing. A null id is never linked: its component_id
     is null. Rows that repeat an id and a text share their result; texts that share an id are judged one by one. An
-    empty table gives no rows. Other columns are ignored.
+    empty table gives no rows. Other columns are ignored, whatever their names. A very long text is read whole: its
+    task holds some 60 bytes per character of it, and its set is one row.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketches = cut(_sketches(plain, words, bands, rows))
     classes = sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash")
-    classes = classes.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("coins").alias("coins"))
+    classes = classes.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    key = lambda salt, at, n: F.xxhash64(salt, F.substring(F.col("sketch"), at + 1, F.lit(n)))
-    placed = classes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: key(i, i * rows, rows))).alias("band", "bucket"))
-    firsts = placed.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "first")
-    members = cut(placed.join(firsts, "bucket"))
-    bound = percent / 100 - slack
-    full: DataFrame | None = None
+    values = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * rows + 1, F.lit(rows))))
+    placed = classes.select("node", F.explode(values).alias("bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = placed.join(sizes, "bucket")
+    # How many others a class meets: most for the one that differs least from the rest of a group.
+    members = cut(members.join(members.groupBy("node").agg(F.sum("n").alias("met")), "node").select("bucket", "node", "met"))
+    full = cut(_full_sets(plain, classes, members.select("node").distinct(), words))
     labels = classes.select("node", F.col("node").alias("c"))
 
-    def joined(pairs: DataFrame) -> DataFrame:
+    def joined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """The labels after links among the pairs (a, b) are confirmed."""
-        nonlocal full
-        likely = cut(_likely(pairs, classes, bound))
-        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        made = cut(_full_sets(plain, classes, ends if full is None else ends.join(full, "node", "left_anti"), words))
-        full = made if full is None else full.unionAll(made)
-        links = _confirmed(likely, full, percent)
+        links = _confirmed(cut(_likely(pairs, classes, percent / 100 - slack)), full, percent)
         for end in ("a", "b"):
             links = links.join(labels.select(F.col("node").alias(end), F.col("c").alias(f"c{end}")), end)
         moved = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("id", "c")
         return cut(labels.join(moved, "c", "left").select("node", F.coalesce("component_id", "c").alias("c")))
 
-    labels = joined(members.filter("node <> first").groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")))
+    labels = joined(_to_hubs(members.join(labels, "node"), -F.col("met")), labels)
     mixed = cut(_mixed(members, labels))
-    least = mixed.groupBy("bucket").agg(F.min(F.struct("node", "c")).alias("x"))
-    labels = joined(mixed.join(least, "bucket").filter("c <> x.c").select(F.col("x.node").alias("a"), F.col("node").alias("b")).distinct())
-    mixed = cut(_mixed(mixed, labels))
-    small = mixed.filter(F.col("others") <= SMALL)
-    for level in range(LEVELS):
-        large = mixed.filter(F.col("others") > SMALL).select("band", "bucket", "node")
-        if large.isEmpty():
-            break
-        # Registers behind the band's own, others at each level.
-        groups = [((F.col("band") + 1) * rows + k * (rows // 2)) % (bands * rows) for k in range(SPLITS * level, SPLITS * (level + 1))]
-        parts = F.array(*(key(F.xxhash64("bucket", F.lit(k)), at, rows // 2) for k, at in enumerate(groups)))
-        split = large.join(classes.select("node", "sketch"), "node").select("band", "node", F.explode(parts).alias("bucket"))
-        mixed = cut(_mixed(split, labels))
-        small = small.unionByName(mixed if level == LEVELS - 1 else mixed.filter(F.col("others") <= SMALL))
-    small = small.select("bucket", "node", "c").join(classes.select("node", "coins"), "node")
-    odd = F.lit(0)
-    for k in range(BITS // 64):
-        odd = odd + F.bit_count(F.col("x.coins")[k].bitwiseXOR(F.col("y.coins")[k]))
-    across = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & (odd <= MOST_ODD))
-    labels = joined(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    labels = joined(_to_hubs(mixed, F.xxhash64("node", "bucket")), labels)
+    several = _mixed(mixed, labels).select("node").distinct()
+    labels = joined(_by_prefix(full.join(several, "node", "left_semi"), labels, percent), labels)
     named = labels.join(classes.select("node", "set_hash", "doc_id"), "node")
     named = named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("set_hash", "component_id")
     out = sketches.join(named, "set_hash", "left")

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.llm import near_dedup as near
 from gleanery.llm.exact_dedup import exact_dedup
@@ -134,9 +135,7 @@ def linked(sets, test):
     return least
 
 
-@pytest.mark.parametrize("small", [32, 1])
-def test_near_dedup(spark, monkeypatch, small):
-    monkeypatch.setattr(near, "SMALL", small)
+def test_near_dedup(spark):
     rng = random.Random(1)
     words = [f"W{i}é" for i in range(400)]
     base = [[rng.choice(words) for _ in range(150)] for _ in range(8)]
@@ -162,6 +161,41 @@ def test_near_dedup(spark, monkeypatch, small):
     assert near_dedup(table(spark, [])).count() == 0
 
 
+def test_near_dedup_of_many_texts_around_one_core(spark):
+    """A core and own words: just below the threshold (no links), beside a few pairs above it."""
+    rng = random.Random(4)
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    core = own(200)
+    rows = [(k, " ".join(core + own(27 + k % 5))) for k in range(150)]
+    for k in range(10):
+        w = rows[k][1].split(" ")
+        rows.append((1000 + k, " ".join(w[:-3] + own(3))))
+    rows.append((2000, " ".join([*own(9), "x" * 3_000_000])))
+    sets = {i: shingles(t, 4) for i, t in rows}
+    expected = linked(sets, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    got = {r.doc_id: r.component_id for r in near_dedup(table(spark, rows), words=4).collect()}
+    assert got == expected
+    assert len(set(expected.values())) > 100
+
+
+def test_prefix_join_loses_no_pair(spark):
+    rng = random.Random(3)
+    sets = {}
+    for k in range(240):
+        core = range(100 * (k % 3), 100 * (k % 3) + 40 + k % 9)
+        sets[k] = {*core, *(rng.randrange(400, 430 if k % 2 else 10**6) for _ in range(rng.randrange(0, 14)))}
+    sets |= {500 + k: set(range(900, 901 + k)) for k in range(12)}
+    label = {k: k - k % 2 if k < 240 else k for k in sets}
+    full = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "node long, shingles array<long>")
+    labels = spark.createDataFrame(list(label.items()), "node long, c long")
+    for percent in (80, 50):
+        alike = {(a, b) for a in sets for b in sets if a < b and label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        got = [tuple(r) for r in near._by_prefix(full, labels, percent).collect()]
+        assert len(got) == len(set(got)) and alike and alike <= set(got)
+    core = spark.createDataFrame([(k, [*range(80), *range(1000 * (k + 1), 1000 * (k + 1) + 11)]) for k in range(200)], "node long, shingles array<long>")
+    assert near._by_prefix(core, core.select("node", F.col("node").alias("c")), 80).count() == 0
+
+
 def test_sketches_are_mergeable_and_estimate_similarity():
     make = Shingler(1)
     a, b = make(" ".join(f"w{i}" for i in range(1000))), make(" ".join(f"w{i}" for i in range(200, 1200)))
