@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sets import in_blocks
+from ..functions.search import containing
 from ..functions.text import LINE_END, fold
 from .scan import content_fingerprint
 
@@ -131,16 +131,11 @@ def find_symbols(symbols: DataFrame, names: DataFrame) -> DataFrame:
 def find_text(units: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, unit columns) where the folded query is part of the unit's folded text.
 
-    The queries are sent to the units in blocks of about ``MOST_QUERIES`` and tested within each unit: units aren't
-    shuffled.
+    Units hold unit_id (unique). Queries meet units by a token (:func:`gleanery.functions.search.containing`).
     """
-    asked = queries.select("query").distinct().withColumn("__key", fold(F.col("query")))
-    rows = units.withColumn("__text", fold(F.col("text")))
-    return in_blocks(asked, MOST_QUERIES, lambda block: rows.join(block, F.contains("__text", "__key"))).select("query", *units.columns)
-
-
-#: Substring queries that are sent to the units at a time.
-MOST_QUERIES = 2_000
+    asked = queries.select("query").distinct().withColumn("phrase", fold(F.col("query")))
+    found = containing(units.select(F.col("unit_id").alias("id"), fold(F.col("text")).alias("text")), asked)
+    return found.withColumnRenamed("id", "unit_id").join(asked, "phrase").join(units, "unit_id").select("query", *units.columns)
 
 
 def find_relationships(edges: DataFrame, references: DataFrame) -> DataFrame:

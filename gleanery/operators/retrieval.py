@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sets import in_blocks, stated
+from ..functions.search import containing
+from ..functions.sets import in_blocks
+from ..functions.shared import checkpointed, written
 from ..functions.text import fold, quoted, token_estimate, tokens
 from .budget import greedy
 
 # ---------------------------------------------------------------------------------------------------------------
 # Weights of edges, score components and candidate types; reasons; words of current and past behaviour.
 EDGE_WEIGHTS = {"imports": 0.95, "depends_on": 1.0, "extends": 0.9, "implements": 0.9, "calls": 0.8, "references": 0.7, "configures": 0.85, "tests": 0.8, "documents": 0.6}
-COMPONENTS = ["explicit_reference", "path_match", "symbol_match", "lexical_relevance", "structural_relevance", "dependency_distance", "artifact_priority", "sensitivity_penalty", "generated_penalty"]
-SCORE_WEIGHTS = dict(zip(COMPONENTS, [1.0, 0.9, 0.9, 0.7, 0.7, 0.6, 0.4, 1.0, 0.5], strict=True))
+SCORE_WEIGHTS = {
+    "explicit_reference": 1.0, "path_match": 0.9, "symbol_match": 0.9, "lexical_relevance": 0.7, "structural_relevance": 0.7,
+    "dependency_distance": 0.6, "artifact_priority": 0.4, "sensitivity_penalty": 1.0, "generated_penalty": 0.5,
+}
+COMPONENTS = list(SCORE_WEIGHTS)
 PENALTIES = ["sensitivity_penalty", "generated_penalty"]
 TYPE_PRIORITY = {"full_artifact": 1.0, "symbol_definition": 0.95, "structural_unit": 0.9, "source_excerpt": 0.85, "test_artifact": 0.75, "configuration_block": 0.8, "manifest_section": 0.75, "documentation_section": 0.6}
 MANDATORY_REASONS = ["explicit_path_reference", "explicit_symbol_reference", "error_location_reference", "exact_path_match", "exact_symbol_match", "required_context", "user_provided_context"]
@@ -28,18 +32,6 @@ BOOST_KINDS = ["calls", "configures", "depends_on", "imports", "references"]
 CLOSURE_KINDS = ["imports", "depends_on", "extends", "implements", "configures"]
 # ---------------------------------------------------------------------------------------------------------------
 
-#: Distinct terms, or phrases, of the tasks that are ranked at once.
-MOST_TERMS = 100_000
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut off from its lineage in the folder of spark.checkpoint.dir; a temporary one where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR")))
-    return df.checkpoint()
-
-
 # --- Explicit references ---------------------------------------------------------------------------------------
 
 
@@ -78,8 +70,8 @@ def lexical_rank(tasks: DataFrame, units: DataFrame) -> DataFrame:
     Tasks have task_id, terms (folded, distinct) and task_text; units have unit_id, path, text.
 
     Tokens are counted per unit and joined to the terms, with tokens that no task asks for dropped before the
-    shuffle where the terms are few. Phrases and paths are tested only for tasks that could match: a path by the
-    distinct terms and distinct paths, phrases by the tasks that have any.
+    shuffle where the terms are few. Terms in paths and phrases in texts are found by joins on tokens
+    (:func:`gleanery.functions.search.containing`).
     """
     asked = tasks.select("task_id", F.size("terms").alias("n_terms"), F.explode(F.array_distinct("terms")).alias("term"))
     counts = units.select("unit_id", F.explode(tokens(fold(F.col("text")))).alias("term"))
@@ -88,11 +80,11 @@ def lexical_rank(tasks: DataFrame, units: DataFrame) -> DataFrame:
     tf = counts.join(wanted, "term", "left_semi").groupBy("unit_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     hits = tf.join(asked, "term").groupBy("task_id", "unit_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("tf").alias("occurrences"))
     paths = units.select("path").distinct().select("path", fold(F.col("path")).alias("folded"))
-    by_path = paths.join(stated(wanted, MOST_TERMS, "terms"), F.contains("folded", "term")).select("path", "term").join(asked, "term").select("task_id", "path").distinct()
+    by_path = containing(paths.select(F.col("path").alias("id"), F.col("folded").alias("text")), wanted.withColumnRenamed("term", "phrase"))
+    by_path = by_path.select(F.col("id").alias("path"), F.col("phrase").alias("term")).join(asked, "term").select("task_id", "path").distinct()
     by_path = by_path.join(units.select("unit_id", "path"), "path").select("task_id", "unit_id", F.lit(True).alias("in_path"))
     phrases = tasks.select("task_id", F.explode(F.transform(quoted(F.col("task_text")), fold)).alias("phrase"))
-    distinct_phrases = phrases.select("phrase").distinct()
-    by_phrase = units.select("unit_id", fold(F.col("text")).alias("folded")).join(stated(distinct_phrases, MOST_TERMS, "phrases"), F.contains("folded", "phrase")).select("unit_id", "phrase")
+    by_phrase = containing(units.select(F.col("unit_id").alias("id"), fold(F.col("text")).alias("text")), phrases).withColumnRenamed("id", "unit_id")
     by_phrase = by_phrase.join(phrases, "phrase").select("task_id", "unit_id").distinct().withColumn("in_phrase", F.lit(True))
     keys = ["task_id", "unit_id"]
     found = hits.join(by_path, keys, "full_outer").join(by_phrase, keys, "full_outer")
@@ -106,10 +98,10 @@ def lexical_rank(tasks: DataFrame, units: DataFrame) -> DataFrame:
 # --- Structure -------------------------------------------------------------------------------------------------
 
 
-def structural_candidates(roots: DataFrame, symbols: DataFrame, units: DataFrame, edges: DataFrame, max_depth: int = 12) -> DataFrame:
+def structural_candidates(roots: DataFrame, symbols: DataFrame, units: DataFrame, edges: DataFrame) -> DataFrame:
     """(task_id, unit_id, role, weight, seq) from the symbols that tasks name (task_id, name).
 
-    The units of a root symbol are definitions (weight 1.0); those of the symbols above it scope, and the units of edges
+    The units of a root symbol are definitions (weight 1.0); those of all symbols above it scope, and the units of edges
     of kind imports out of any of them imports (0.8). The first role of a unit stays, in the order definition, scope,
     imports; ``seq`` numbers a task's units by role, place and id. Units have unit_id, ord and symbol_ids.
     """
@@ -117,7 +109,7 @@ def structural_candidates(roots: DataFrame, symbols: DataFrame, units: DataFrame
     front = roots.select("task_id", fold(F.col("name")).alias("key")).join(by_name, "key").select("task_id", "symbol_id", "parent_symbol_id").distinct()
     chain = front.select("task_id", "symbol_id", F.lit(0).alias("role"))
     parents = symbols.select(F.col("symbol_id"), F.col("parent_symbol_id"))
-    for _ in range(max_depth):
+    while True:
         up = front.filter("parent_symbol_id is not null").select("task_id", F.col("parent_symbol_id").alias("symbol_id")).distinct()
         front = checkpointed(up.join(chain, ["task_id", "symbol_id"], "left_anti").join(parents, "symbol_id").select("task_id", "symbol_id", "parent_symbol_id"))
         if front.isEmpty():
@@ -279,35 +271,65 @@ def _by_task(tasks: DataFrame, rows: DataFrame) -> DataFrame:
     return in_blocks(tasks, MOST_TASKS, together)
 
 
-def _hits(text: Column) -> Column:
-    return F.filter("search_terms", lambda k: F.contains(text, k))
+def _touched(tasks: DataFrame, rows: DataFrame, fields: Mapping[str, str]) -> DataFrame:
+    """(task_id, candidate_id, a list of hits for each of ``fields``, explicit_path_match) of rows that a term touches.
+
+    ``rows`` have candidate_id, path and the columns that ``fields`` names, folded (the keys are the names of the lists).
+    The distinct terms of all tasks are looked up in the distinct values of a field once
+    (:func:`gleanery.functions.search.containing`), and hits are joined to the tasks that ask for them.
+    """
+    own = [c for c in ("project_id",) if c in tasks.columns]
+    asked = tasks.select("task_id", *own, F.posexplode("search_terms").alias("pos", "phrase"))
+    terms = asked.select("phrase").distinct()
+    hits = []
+    for field, column in fields.items():
+        if column == "__text":
+            met = containing(rows.select(F.col("candidate_id").alias("id"), F.col(column).alias("text")), terms).withColumnRenamed("id", "candidate_id")
+            met = met.join(rows.select("candidate_id", *own), "candidate_id") if own else met
+        else:
+            values = rows.select(F.col(column).alias("id")).distinct()
+            met = containing(values.select("id", F.col("id").alias("text")), terms).join(rows.select("candidate_id", *own, F.col(column).alias("id")), "id")
+        hits.append(met.join(asked, ["phrase", *own]).select("task_id", "candidate_id", F.lit(field).alias("field"), "pos", "phrase"))
+    if "explicit_paths" in tasks.columns:
+        named = tasks.select("task_id", *own, F.explode("explicit_paths").alias("__path")).join(rows.select("candidate_id", *own, "__path"), ["__path", *own])
+        hits.append(named.select("task_id", "candidate_id", F.lit("named").alias("field"), F.lit(0).alias("pos"), F.col("__path").alias("phrase")))
+    both = reduce(DataFrame.unionByName, hits)
+    listed = lambda field: F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct("pos", "phrase")))), lambda x: x["phrase"]).alias(field)
+    return both.groupBy("task_id", "candidate_id").agg(*map(listed, fields), F.bool_or(F.col("field") == "named").alias("explicit_path_match"))
 
 
 def score_units(tasks: DataFrame, units: DataFrame) -> DataFrame:
     """(task_id, candidate_id, ...) of units that a term touches: 3 points a term in the path, 1 a term in the text.
 
-    Tasks have task_id and search_terms (and explicit_paths, folded); units unit_id, path, text. Units without a
-    hit are left out unless their path is named.
+    Tasks have task_id and search_terms (and explicit_paths, folded); units unit_id (unique), path, text. Units without
+    a hit are left out unless their path is named.
     """
-    rows = units.select("unit_id", "path", fold(F.col("path")).alias("__path"), fold(F.col("text")).alias("__text"), F.octet_length("text").cast("long").alias("bytes"), F.length("text").cast("long").alias("characters"), *[c for c in ("project_id", "line") if c in units.columns])
-    named = F.array_contains("explicit_paths", F.col("__path")) if "explicit_paths" in tasks.columns else F.lit(False)
-    rows = _by_task(tasks, rows).withColumns({"path_hits": _hits(F.col("__path")), "content_hits": _hits(F.col("__text")), "explicit_path_match": named})
-    rows = rows.withColumn("score", 3 * F.size("path_hits") + F.size("content_hits")).filter("score > 0 or explicit_path_match")
-    return rows.select("task_id", F.col("unit_id").alias("candidate_id"), F.lit("source_excerpt").alias("type"), "path", "bytes", "characters", "score", "path_hits", F.array().cast("array<string>").alias("name_hits"), "content_hits", "explicit_path_match", "search_terms")
+    own = [c for c in ("project_id",) if c in units.columns]
+    rows = units.select(F.col("unit_id").alias("candidate_id"), *own, "path", fold(F.col("path")).alias("__path"), fold(F.col("text")).alias("__text"))
+    sizes = units.select(F.col("unit_id").alias("candidate_id"), "path", F.octet_length("text").cast("long").alias("bytes"), F.length("text").cast("long").alias("characters"))
+    out = _touched(tasks, rows, {"path_hits": "__path", "content_hits": "__text"}).join(sizes, "candidate_id").join(tasks.select("task_id", "search_terms"), "task_id")
+    out = out.withColumns({"type": F.lit("source_excerpt"), "score": 3 * F.size("path_hits") + F.size("content_hits"), "name_hits": F.array().cast("array<string>")})
+    return written(out.select(*SCORED))
 
 
 def score_symbols(tasks: DataFrame, symbols: DataFrame, units: DataFrame) -> DataFrame:
     """As :func:`score_units` for symbols: 3 points a term in the path, 6 in the name, 1 in the signature.
 
-    Symbols have symbol_id, name, path and (perhaps) signature; their size is that of all units of the file.
+    Symbols have symbol_id (unique), name, path and (perhaps) signature; their size is that of all units of the file.
     """
-    sizes = units.groupBy("path").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    own = [c for c in ("project_id",) if c in symbols.columns]
     signature = F.coalesce("signature", F.lit("")) if "signature" in symbols.columns else F.lit("")
-    rows = symbols.select("symbol_id", "path", fold(F.col("path")).alias("__path"), fold(F.col("name")).alias("__name"), fold(signature).alias("__sig"), F.length(F.when(signature != "", signature).otherwise(F.col("name"))).cast("long").alias("characters")).join(sizes, "path", "left")
-    named = F.array_contains("explicit_paths", F.col("__path")) if "explicit_paths" in tasks.columns else F.lit(False)
-    rows = _by_task(tasks, rows).withColumns({"path_hits": _hits(F.col("__path")), "name_hits": _hits(F.col("__name")), "content_hits": _hits(F.col("__sig")), "explicit_path_match": named})
-    rows = rows.withColumn("score", 3 * F.size("path_hits") + 6 * F.size("name_hits") + F.size("content_hits")).filter("score > 0 or explicit_path_match")
-    return rows.select("task_id", F.col("symbol_id").alias("candidate_id"), F.lit("symbol_definition").alias("type"), "path", F.coalesce("bytes", F.lit(0)).alias("bytes"), "characters", "score", "path_hits", "name_hits", "content_hits", "explicit_path_match", "search_terms")
+    rows = symbols.select(F.col("symbol_id").alias("candidate_id"), *own, "path", fold(F.col("path")).alias("__path"), fold(F.col("name")).alias("__name"), fold(signature).alias("__sig"))
+    files = units.groupBy("path").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    characters = F.length(F.when(signature != "", signature).otherwise(F.col("name"))).cast("long")
+    sizes = symbols.select(F.col("symbol_id").alias("candidate_id"), "path", characters.alias("characters")).join(files, "path", "left")
+    out = _touched(tasks, rows, {"path_hits": "__path", "name_hits": "__name", "content_hits": "__sig"}).join(sizes, "candidate_id").join(tasks.select("task_id", "search_terms"), "task_id")
+    out = out.withColumns({"type": F.lit("symbol_definition"), "bytes": F.coalesce("bytes", F.lit(0)), "score": 3 * F.size("path_hits") + 6 * F.size("name_hits") + F.size("content_hits")})
+    return written(out.select(*SCORED))
+
+
+#: Columns of scored candidates.
+SCORED = ["task_id", "candidate_id", "type", "path", "bytes", "characters", "score", "path_hits", "name_hits", "content_hits", "explicit_path_match", "search_terms"]
 
 
 def suppress_historical(scored: DataFrame, units: DataFrame) -> DataFrame:
@@ -327,6 +349,7 @@ def boost_dependencies(scored: DataFrame, edges: DataFrame) -> DataFrame:
     ``edges`` (relationship_id, source_path, target_path, kind, resolution) link files. Files with a top candidate and
     penalised candidates get none.
     """
+    scored = written(scored)
     best = scored.groupBy("task_id").agg(F.max("score").alias("top")).filter("top > 0")
     seeds = scored.join(best, "task_id").filter("score = top and historical_penalty = 0").select("task_id", "path").distinct()
     direct = edges.filter((F.col("resolution") == "resolved_internal") & F.col("kind").isin(BOOST_KINDS)).select("relationship_id", F.col("source_path").alias("path"), "target_path")
@@ -335,7 +358,7 @@ def boost_dependencies(scored: DataFrame, edges: DataFrame) -> DataFrame:
     rows = scored.join(hits, ["task_id", "path"], "left").join(best, "task_id", "left")
     able = F.col("links").isNotNull() & (F.col("historical_penalty") == 0)
     boosted = F.when(able, F.least(F.col("score") + 4 * F.col("links"), F.greatest(F.lit(0), F.col("top") - 1))).otherwise(F.col("score"))
-    return rows.withColumn("__b", boosted).withColumns({"structural_boost": F.col("__b") - F.col("score"), "score": F.col("__b")}).drop("__b", "links", "top")
+    return written(rows.withColumn("__b", boosted).withColumns({"structural_boost": F.col("__b") - F.col("score"), "score": F.col("__b")}).drop("__b", "links", "top"))
 
 
 def dedupe_spans(ranked: DataFrame, span: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gleanery.functions.search import containing
 from gleanery.functions.text import fold, identifier_parts, token_estimate, uuid5
 from gleanery.operators import audit, code, evaluation, retrieval, terms
 from gleanery.operators.budget import greedy
@@ -131,10 +132,8 @@ def test_sums_of_greedy_sizes_are_no_running_sum(spark):
     assert got == ["c0", "c2"] != [f"c{n}" for n, s in enumerate(accumulate([60, 50, 40, 1])) if s <= 100]
 
 
-def test_more_tasks_and_queries_than_a_block_holds(spark, monkeypatch):
+def test_many_tasks_and_queries(spark):
     from gleanery.operators import index
-    from gleanery.plans import views
-    from gleanery.plans.registry import QUERIES
 
     units = spark.createDataFrame([(f"u{i}", f"src/f{i}.py", f"word{i} word{i + 1}", f"p{i % 3}") for i in range(30)], "unit_id string, path string, text string, project_id string")
     tasks = spark.createDataFrame([(i, [f"word{i}"], f"p{i % 3}") for i in range(6_001)], "task_id long, search_terms array<string>, project_id string")
@@ -145,11 +144,35 @@ def test_more_tasks_and_queries_than_a_block_holds(spark, monkeypatch):
     queries = spark.createDataFrame([(f"Word{i}",) for i in range(2_500)] + [(None,), ("Word7",)], "query string")
     assert {(r.query, r.unit_id) for r in index.find_text(units, queries).collect()} == {(f"Word{i}", u) for i, u in found}
     assert index.find_text(units, queries.limit(0)).count() == 0
-    data = "/root/testdata/sf0.001"
-    whole = sorted(map(tuple, views.judgments(spark, data).collect()))
-    monkeypatch.setattr(views, "MOST_ITEMS", 7)
-    assert sorted(map(tuple, views.judgments(spark, data).collect())) == whole and whole
-    assert QUERIES["retrieval_metrics"](spark, data).count() > 0
+
+
+def test_phrases_in_texts_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    piece = lambda: "".join(rng.choice("abé1") for _ in range(rng.randrange(1, 4)))
+    mark = lambda: rng.choice([" ", "_", ".", "--", " - "])
+    text = lambda n: "".join(piece() + mark() for _ in range(n))
+    texts = {i: text(rng.randrange(0, 30)) for i in range(120)} | {200: "", 201: None, 202: "a" * 3_000}
+    phrases = ["", "-", " ", "_", "a", "aa", "é", "1.", ".1", "a_b", "nothing here", "b - a"]
+    for t in list(texts.values())[:100]:
+        if t:
+            at = rng.randrange(len(t))
+            phrases.append(t[at : at + rng.randrange(1, 25)])
+    found = containing(spark.createDataFrame(list(texts.items()), "id long, text string"), spark.createDataFrame([(p,) for p in [*phrases, phrases[-1]]] + [(None,)], "phrase string"))
+    got = [tuple(r) for r in found.select("id", "phrase").collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, p) for i, t in texts.items() if t is not None for p in phrases if p in t}
+    nothing = spark.createDataFrame([], "id long, text string")
+    assert containing(nothing, spark.createDataFrame([("a b c",)], "phrase string")).count() == 0
+
+
+def test_ancestors_of_any_depth(spark):
+    chain = spark.range(40).selectExpr("concat('s', id) as symbol_id", "concat('n', id) as name", "if(id > 0, concat('s', id - 1), null) as parent_symbol_id")
+    units = spark.range(40).selectExpr("concat('u', id) as unit_id", "id as ord", "array(concat('s', id)) as symbol_ids")
+    edges = spark.createDataFrame([], "source_reference string, unit_id string, kind string")
+    out = retrieval.structural_candidates(spark.createDataFrame([("t", "n39")], "task_id string, name string"), chain, units, edges)
+    assert {r.unit_id: r.role for r in out.collect()} == {f"u{i}": "definition" if i == 39 else "scope" for i in range(40)}
 
 
 def test_greedy_does_not_gather_a_task_into_one_row(spark):
