@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .retrieval import checkpointed
+from ..functions.shared import checkpointed
 from .scan import normalize_paths
 
 # Words that mark secrets, severities, stages of an execution, operations of a change.
@@ -284,10 +284,15 @@ def rename_cycles(changes: DataFrame, most_rounds: int = 40) -> DataFrame:
     return ring.groupBy("proposal_id", F.col("least").alias("first_path")).agg(F.count(F.lit(1)).alias("length"))
 
 
-def proposal_verdicts(changes: DataFrame, source: DataFrame) -> DataFrame:
-    """(proposal_id, valid, codes): a proposal is valid if no audit of paths, operations, conflicts or cycles objects."""
+def proposal_verdicts(changes: DataFrame, source: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """(proposal_id, valid, codes): a proposal is valid if no audit of paths, operations, conflicts or cycles objects.
+
+    With ``evidence`` (:func:`mismatched_evidence`), declared files and fingerprints have to fit too.
+    """
     codes = audit_paths(changes).select("proposal_id", "code").unionByName(validate_operations(changes, source).select("proposal_id", "code"))
     codes = codes.unionByName(detect_conflicts(changes).select("proposal_id", "code")).unionByName(rename_cycles(changes).select("proposal_id", F.lit("PATCH_CONFLICT_RENAME_CYCLE").alias("code")))
+    if evidence is not None:
+        codes = codes.unionByName(mismatched_evidence(changes, evidence))
     listed = codes.distinct().groupBy("proposal_id").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
     return changes.select("proposal_id").distinct().join(listed, "proposal_id", "left").select("proposal_id", F.col("codes").isNull().alias("valid"), F.coalesce("codes", F.lit("")).alias("codes"))
 
