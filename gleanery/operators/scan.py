@@ -324,17 +324,23 @@ def artifact_fingerprint(files: DataFrame, include_timestamp: bool = False) -> D
 
 
 def project_fingerprint(artifacts: DataFrame, ordering: str = "ordered", schema: str = "v1") -> DataFrame:
-    """(project_id, project_fingerprint): the digest of all artifact components of a project in a fixed JSON payload.
+    """(project_id, project_fingerprint): the digest of all artifact components of a project in fixed JSON payloads.
 
-    Ordered components come by path, unordered ones sorted. Line ends become line feeds. Only digests, paths and
-    labels are gathered, about a hundred bytes a file.
+    Components fall into blocks by the digest of their path (of themselves, if unordered). A block's digest is
+    that of its components in the order of path (sorted, if unordered); the project's is that of its block digests in
+    the order of blocks. So no task gathers a project, however many files it has. Line ends become line feeds.
     """
     lf = lambda c: F.regexp_replace(c, "\r\n?", "\n")
     component = lf(F.concat_ws("|", "path", "kind", F.array_join("classifications", ","), "availability", "fingerprint"))
-    key = F.struct(F.col("path").alias("k"), component.alias("v")) if ordering == "ordered" else F.struct(component.alias("k"), component.alias("v"))
-    listed = artifacts.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(key)), lambda s: s["v"]).alias("values"))
-    payload = F.to_json(F.struct(F.lit(schema).alias("fingerprint_schema"), F.lit("project").alias("fingerprint_type"), F.lit("lf").alias("line_endings"), F.lit(ordering).alias("ordering"), "values"))
-    return listed.select("project_id", F.concat(F.lit("project_sha256_"), F.sha2(payload, 256)).alias("project_fingerprint"))
+    rows = artifacts.select("project_id", component.alias("v"), (F.col("path") if ordering == "ordered" else component).alias("k"))
+    digest = lambda kind, values: F.sha2(F.to_json(F.struct(F.lit(schema).alias("fingerprint_schema"), F.lit(kind).alias("fingerprint_type"), F.lit("lf").alias("line_endings"), F.lit(ordering).alias("ordering"), F.transform(values, lambda s: s["v"]).alias("values"))), 256)
+    listed = F.array_sort(F.collect_list(F.struct("k", "v")))
+    blocks = rows.groupBy("project_id", F.substring(F.sha2("k", 256), 1, BLOCK_DIGITS).alias("k")).agg(digest("block", listed).alias("v"))
+    return blocks.groupBy("project_id").agg(F.concat(F.lit("project_sha256_"), digest("project", listed)).alias("project_fingerprint"))
+
+
+#: Hexadecimal digits that choose a component's block: 4,096 blocks of a project.
+BLOCK_DIGITS = 3
 
 
 def scan_statistics(files: DataFrame) -> DataFrame:

@@ -103,7 +103,9 @@ def _(spark, sf_dir):
 
 @query("project_fingerprint", with_views(["artifacts"], f"""
 c AS (SELECT project_id, path, path || '|file|all|available|' || {_FINGERPRINT} AS v FROM artifacts),
-g AS (SELECT project_id, list(v ORDER BY path, v) AS vs FROM c GROUP BY project_id)
+b AS (SELECT project_id, substr(sha256(path), 1, 3) AS k, list(v ORDER BY path, v) AS vs FROM c GROUP BY 1, 2),
+h AS (SELECT project_id, k, sha256('{{"fingerprint_schema":"v1","fingerprint_type":"block","line_endings":"lf","ordering":"ordered","values":["' || array_to_string(vs, '","') || '"]}}') AS v FROM b),
+g AS (SELECT project_id, list(v ORDER BY k, v) AS vs FROM h GROUP BY project_id)
 SELECT project_id, 'project_sha256_' || sha256('{{"fingerprint_schema":"v1","fingerprint_type":"project","line_endings":"lf","ordering":"ordered","values":["' || array_to_string(vs, '","') || '"]}}') AS project_fingerprint FROM g"""))
 def _(spark, sf_dir):
     rows = scan.artifact_fingerprint(views.artifacts(spark, sf_dir)).withColumns({"kind": F.lit("file"), "classifications": F.array(F.lit("all")), "availability": F.lit("available")})
