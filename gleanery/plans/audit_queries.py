@@ -106,24 +106,24 @@ def _(spark, sf_dir):
 
 def _patches(spark, sf_dir):
     k = F.col("p_partkey")
-    head = F.format_string("--- a/src/f_%s.py\n+++ b/src/f_%s.py\n@@ -1,2 +1,%s @@ x\n context\n-old\n+%s\n", k, k, F.when(k % 5 == 0, 9).otherwise(3), "p_name")
+    head = F.format_string("--- a/src/f_%s.py\n+++ b/src/f_%s.py\n@@ -1,2 +1,%s @@ x\n context\n-old\n+%s\n", k, k, F.when((k % 5 == 0) & (k % 3 != 0) & (k % 4 != 1) & (k % 7 != 0), 9).otherwise(3), "p_name")
     tail = F.when(k % 3 == 0, "+--- not a header\n@@ -9 +10 @@\n-a\n+b\n\\ No newline at end of file").otherwise("+two")
     new = F.format_string("--- /dev/null\n+++ b/new_%s.py\n@@ -0,0 +1 @@\n+only", k)
     return views.table(spark, sf_dir, "part").select(k.alias("patch_id"), F.when(k % 7 == 0, F.concat(head, tail, F.lit("\n"), new)).when(k % 4 == 1, F.replace(F.concat(head, tail), F.lit("-old"), F.lit("--- old"))).otherwise(F.concat(head, tail)).alias("patch"))
 
 
-@query("diff_lines", """SELECT p_partkey AS patch_id, 1 + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS files, 1 + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS hunks FROM part WHERE p_partkey % 5 <> 0""")
+@query("diff_lines", """SELECT p_partkey AS patch_id, 1 + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS files, 1 + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS hunks FROM part""")
 def _(spark, sf_dir):
-    lines = a.diff_lines(_patches(spark, sf_dir).filter("patch_id % 5 <> 0"))
+    lines = a.diff_lines(_patches(spark, sf_dir))
     return lines.groupBy("patch_id").agg(F.max("file").alias("files"), F.max("hunk").alias("hunks"))
 
 
 @query("diff_stats", """
-WITH p AS (SELECT p_partkey AS k, p_partkey % 3 = 0 AS more, p_partkey % 7 = 0 AS two FROM part WHERE p_partkey % 5 <> 0)
-SELECT k AS patch_id, 1 AS file, 'src/f_' || k || '.py' AS old_path, 'src/f_' || k || '.py' AS new_path, 'modify' AS operation, CASE WHEN more THEN 2 ELSE 1 END AS hunks, CASE WHEN more THEN 3 ELSE 2 END AS added, CASE WHEN more THEN 2 ELSE 1 END AS removed, true AS consistent FROM p
+WITH p AS (SELECT p_partkey AS k, p_partkey % 3 = 0 AS more, p_partkey % 7 = 0 AS two, NOT (p_partkey % 5 = 0 AND p_partkey % 3 <> 0 AND p_partkey % 4 <> 1 AND p_partkey % 7 <> 0) AS consistent FROM part)
+SELECT k AS patch_id, 1 AS file, 'src/f_' || k || '.py' AS old_path, 'src/f_' || k || '.py' AS new_path, 'modify' AS operation, CASE WHEN more THEN 2 ELSE 1 END AS hunks, CASE WHEN more THEN 3 ELSE 2 END AS added, CASE WHEN more THEN 2 ELSE 1 END AS removed, consistent FROM p
 UNION ALL SELECT k, 2, '/dev/null', 'new_' || k || '.py', 'create', 1, 1, 0, true FROM p WHERE two""")
 def _(spark, sf_dir):
-    return a.diff_stats(a.diff_lines(_patches(spark, sf_dir).filter("patch_id % 5 <> 0")))
+    return a.diff_stats(a.diff_lines(_patches(spark, sf_dir)))
 
 
 # --- Changes -------------------------------------------------------------------------------------------------------
@@ -179,12 +179,28 @@ def _(spark, sf_dir):
     return a.rename_cycles(views.proposed_changes(spark, sf_dir))
 
 
-@query("proposal_verdicts", with_views(["proposed_changes"], f"""{_SPARSE.replace('destination_path FROM', 'destination_path, NULL::VARCHAR AS expected FROM')}, {_STATE}, {_OPERATIONS}, {_CONFLICTS}, {_CYCLES},
-k AS (SELECT proposal_id, code FROM vo UNION SELECT proposal_id, code FROM cf UNION SELECT proposal_id, 'PATCH_CONFLICT_RENAME_CYCLE' FROM cy UNION SELECT proposal_id, 'PATCH_PATH_INVALID_RENAME' FROM c WHERE operation = 'rename' AND path = destination_path),
+def _evidence(spark, sf_dir):
+    """Declared files (for every fifth proposal one of them doesn't fit) and fingerprints (odd for every seventh)."""
+    p = F.col("proposal_id")
+    files = F.array_compact(F.array("path", "destination_path"))
+    told = views.proposed_changes(spark, sf_dir, dense=False).groupBy(p).agg(F.array_distinct(F.flatten(F.collect_list(files))).alias("files"))
+    return told.select(p, F.when(p % 5 == 0, F.concat("files", F.array(F.lit("src/other.py")))).otherwise(F.reverse("files")).alias("affected_files"), F.lit("p1").alias("expected_project_fingerprint"), F.when(p % 7 == 0, "p2").otherwise("p1").alias("source_project_fingerprint"))
+
+
+_EVIDENCE = """ev AS (SELECT DISTINCT proposal_id, 'PATCH_CONSISTENCY_AFFECTED_FILES_MISMATCH' AS code FROM c WHERE proposal_id % 5 = 0 UNION SELECT DISTINCT proposal_id, 'PATCH_CONSISTENCY_PROJECT_FINGERPRINT_MISMATCH' FROM c WHERE proposal_id % 7 = 0)"""
+
+
+@query("mismatched_evidence", with_views(["proposed_changes"], f"{_SPARSE}, {_EVIDENCE} SELECT * FROM ev"))
+def _(spark, sf_dir):
+    return a.mismatched_evidence(views.proposed_changes(spark, sf_dir, dense=False), _evidence(spark, sf_dir))
+
+
+@query("proposal_verdicts", with_views(["proposed_changes"], f"""{_SPARSE.replace('destination_path FROM', 'destination_path, NULL::VARCHAR AS expected FROM')}, {_STATE}, {_OPERATIONS}, {_CONFLICTS}, {_CYCLES}, {_EVIDENCE},
+k AS (SELECT proposal_id, code FROM vo UNION SELECT proposal_id, code FROM cf UNION SELECT proposal_id, 'PATCH_CONFLICT_RENAME_CYCLE' FROM cy UNION SELECT proposal_id, 'PATCH_PATH_INVALID_RENAME' FROM c WHERE operation = 'rename' AND path = destination_path UNION SELECT * FROM ev),
 l AS (SELECT proposal_id, string_agg(code, ',' ORDER BY code) AS codes FROM k GROUP BY 1)
 SELECT proposal_id, codes IS NULL AS valid, coalesce(codes, '') AS codes FROM (SELECT DISTINCT proposal_id FROM c) LEFT JOIN l USING (proposal_id)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, sf_dir):
-    return a.proposal_verdicts(views.proposed_changes(spark, sf_dir, dense=False), _source(spark))
+    return a.proposal_verdicts(views.proposed_changes(spark, sf_dir, dense=False), _source(spark), _evidence(spark, sf_dir))
 
 
 _PAYLOAD = "CASE change_id % 4 WHEN 0 THEN 'one' || chr(10) || 'two' WHEN 1 THEN '+++ b/x' || chr(10) || '+new' || chr(10) || '-old' || chr(10) || ' same' END"
@@ -198,20 +214,20 @@ def _(spark, sf_dir):
     return a.review_changes(views.proposed_changes(spark, sf_dir).withColumn("payload", F.expr(_PAYLOAD.replace("chr(10)", "char(10)"))))
 
 
-_PRINT = """j AS (SELECT proposal_id, string_agg('{"change_id":"' || change_id || '",' || CASE WHEN destination_path IS NULL THEN '' ELSE '"destination_path":"' || destination_path || '",' END || '"operation":"' || operation || '","path":"' || path || '"}', ',' ORDER BY path, change_id) AS j FROM proposed_changes GROUP BY 1),
+_PRINT = _SPARSE + """, j AS (SELECT proposal_id, string_agg('{"change_id":"' || change_id || '",' || CASE WHEN destination_path IS NULL THEN '' ELSE '"destination_path":"' || destination_path || '",' END || '"operation":"' || operation || '","path":"' || path || '"}', ',' ORDER BY path, change_id) AS j FROM c GROUP BY 1),
 fp AS (SELECT proposal_id, 'proposal_sha256_' || sha256('{"proposal_id":"' || proposal_id || '","changes":[' || j || ']}') AS proposal_fingerprint FROM j)"""
 
 
 @query("fingerprint_proposals", with_views(["proposed_changes"], f"{_PRINT} SELECT * FROM fp"))
 def _(spark, sf_dir):
-    return a.fingerprint_proposals(views.proposed_changes(spark, sf_dir))
+    return a.fingerprint_proposals(views.proposed_changes(spark, sf_dir, dense=False))
 
 
-@query("revalidate_proposals", with_views(["proposed_changes"], f"""c AS (SELECT *, NULL::VARCHAR AS expected FROM proposed_changes), {_STATE}, {_OPERATIONS}
+@query("revalidate_proposals", with_views(["proposed_changes"], f"""{_SPARSE.replace('destination_path FROM', 'destination_path, NULL::VARCHAR AS expected FROM')}, {_STATE}, {_OPERATIONS}
 SELECT DISTINCT proposal_id, code FROM (SELECT proposal_id, code FROM vo UNION ALL SELECT DISTINCT proposal_id, 'PROPOSAL_CHANGED' FROM c WHERE proposal_id % 4 = 0 UNION ALL SELECT DISTINCT proposal_id, 'PROJECT_CHANGED' FROM c WHERE proposal_id % 5 = 0
   UNION ALL SELECT proposal_id, 'PATH_NOT_WRITABLE' FROM c WHERE path LIKE '%9.py' OR destination_path LIKE '%9.py' UNION ALL SELECT proposal_id, 'PATCH_PATH_INVALID_RENAME' FROM c WHERE operation = 'rename' AND path = destination_path)"""))
 def _(spark, sf_dir):
-    rows = views.proposed_changes(spark, sf_dir)
+    rows = views.proposed_changes(spark, sf_dir, dense=False)
     p = F.col("proposal_id")
     stored = a.fingerprint_proposals(rows).select(p, F.when(p % 4 == 0, "old").otherwise(F.col("proposal_fingerprint")).alias("proposal_fingerprint"), F.when(p % 5 == 0, "old").otherwise("now").alias("project_fingerprint"))
     writable = spark.range(50).filter("id % 10 <> 9").select(F.concat(F.lit("src/f_"), "id", F.lit(".py")).alias("path"))

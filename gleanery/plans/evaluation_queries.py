@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
+from ..functions.text import fold
 from ..operators import evaluation as e
+from ..operators.retrieval import resolve_explicit
 from . import views
+from .retrieval_queries import LEXICAL, lexical_ranks
 from .views import with_views
 
 QUERIES, ORACLE_SQL = {}, {}
-STRATEGIES = ["primary", "baseline-lexical", "baseline-all-files"]
+STRATEGIES = ["primary", "baseline-lexical", "baseline-explicit"]
 
 
 def query(name: str, sql: str | None = None):
@@ -26,19 +30,70 @@ def _strategies(spark):
     return spark.range(1).select(F.explode(F.array(*map(F.lit, STRATEGIES))).alias("strategy_id"))
 
 
+def _estimates(spark, sf_dir):
+    return views.artifacts(spark, sf_dir).select("doc_id", "path", F.col("size_bytes").alias("bytes"), F.length("content").cast("long").alias("characters"))
+
+
+def _budgets(cases, items: int):
+    return cases.select("case_id").distinct().select("case_id", F.lit(items).alias("max_items"), F.lit(4_000).alias("max_item_bytes"))
+
+
+def _lexical(spark, sf_dir):
+    """The baseline that ranks by words alone: the first place of each path under the budget."""
+    ranked = lexical_ranks(spark, sf_dir).select(F.col("task_id").alias("case_id"), "unit_id", "rank")
+    paths = ranked.join(views.search_units(spark, sf_dir).select("unit_id", "path"), "unit_id").groupBy("case_id", "path").agg(F.min("rank").alias("rank"))
+    rows = paths.join(_estimates(spark, sf_dir), "path")
+    return e.baseline("baseline-lexical", rows, _budgets(rows, 10))
+
+
+def _named(spark, sf_dir):
+    """References of each case: paths (every second one in capitals) and the name of a file."""
+    docs = views.table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("size"))
+    k = F.col("item_id")
+    picks = F.transform(F.array(F.lit(7), F.lit(37), F.lit(101)), lambda m: (k * m + 11) % F.col("size"))
+    rows = views.table(spark, sf_dir, "benchmark").crossJoin(F.broadcast(docs)).select("item_id", F.explode(picks).alias("doc_id"))
+    rows = rows.join(views.artifacts(spark, sf_dir).select("doc_id", "path"), "doc_id")
+    path = F.when(F.col("doc_id") % 2 == 0, F.upper("path")).otherwise(F.col("path"))
+    named = F.array(F.struct(F.lit("path").alias("kind"), path.alias("original")), F.struct(F.lit("filename").alias("kind"), F.concat(F.lit("page_"), F.col("doc_id") + 1, F.lit(".md")).alias("original")))
+    terms = rows.select(k.alias("task_id"), F.inline(named)).distinct()
+    return terms.withColumn("normalized", fold(F.col("original")))
+
+
+def _explicit(spark, sf_dir):
+    """The baseline that takes what a task names: paths, then file names."""
+    files = views.artifacts(spark, sf_dir).select(F.concat(F.lit("a"), "doc_id").alias("artifact_id"), "path")
+    symbols = views.symbols(spark, sf_dir)
+    met = resolve_explicit(_named(spark, sf_dir), files, symbols).filter("outcome = 'selected'")
+    rows = met.join(files, F.col("target") == F.col("artifact_id")).select(F.col("task_id").alias("case_id"), "path", F.struct((F.col("kind") != "path").alias("later"), "path").alias("rank"))
+    rows = rows.join(_estimates(spark, sf_dir), "path")
+    return e.baseline("baseline-explicit", rows, _budgets(rows, 3))
+
+
 def _selections(spark, sf_dir):
-    """Judged and other paths in a made order: each strategy takes some of the judged paths and two others."""
-    j = views.judgments(spark, sf_dir).crossJoin(F.broadcast(_strategies(spark)))
-    h = F.length("path") * 7 + F.col("case_id") * 3 + F.length("strategy_id")
-    taken = j.filter(h % 3 != 0).select("case_id", "strategy_id", "path")
-    other = j.select("case_id", "strategy_id").distinct().select("case_id", "strategy_id", F.explode(F.array(F.lit("other/a.py"), F.lit("other/b.py"))).alias("path"))
-    rows = taken.unionByName(other).withColumn("o", (F.length("path") * 13 + F.col("case_id")) % 17)
-    return e.ranked_paths(rows, "o")
-
-
-_SELECTIONS = """st AS (SELECT unnest(['primary', 'baseline-lexical', 'baseline-all-files']) AS strategy_id), jj AS (SELECT * FROM judgments, st),
-tk AS (SELECT case_id, strategy_id, path FROM jj WHERE (length(path) * 7 + case_id * 3 + length(strategy_id)) % 3 <> 0 UNION SELECT DISTINCT case_id, strategy_id, unnest(['other/a.py', 'other/b.py']) FROM jj),
-sel AS (SELECT case_id, strategy_id, path, row_number() OVER (PARTITION BY case_id, strategy_id ORDER BY (length(path) * 13 + case_id) % 17, path) AS rank FROM tk)"""
+    """Real baselines, and a primary strategy in a made order: some of the judged paths and two others."""
+    j = views.judgments(spark, sf_dir)
+    h = F.length("path") * 7 + F.col("case_id") * 3
+    taken = j.filter(h % 3 != 0).select("case_id", "path")
+    other = j.select("case_id").distinct().select("case_id", F.explode(F.array(F.lit("other/a.py"), F.lit("other/b.py"))).alias("path"))
+    rows = taken.unionByName(other).withColumn("o", (F.length("path") * 13 + F.col("case_id")) % 17).withColumn("strategy_id", F.lit("primary"))
+    rows = e.ranked_paths(rows, "o")
+    for made in (_lexical(spark, sf_dir), _explicit(spark, sf_dir)):
+        rows = rows.unionByName(made.select(*rows.columns))
+    return written(rows)
+
+
+_FITTING = "SELECT r.*, row_number() OVER (PARTITION BY case_id ORDER BY pos, path) AS rank FROM r JOIN (SELECT path, max(size_bytes) AS bytes FROM artifacts GROUP BY 1) USING (path) WHERE bytes <= 4000"
+_BASELINES = f"""{LEXICAL},
+lx AS (SELECT case_id, 'baseline-lexical' AS strategy_id, path, rank FROM (WITH r AS (SELECT task_id AS case_id, path, min(rank) AS pos FROM t JOIN k USING (unit_id) GROUP BY 1, 2) {_FITTING}) WHERE rank <= 10),
+nm AS (SELECT item_id AS task_id, doc_id, path FROM (SELECT item_id, (item_id * unnest([7, 37, 101]) + 11) % (SELECT max(doc_id) + 1 FROM documents) AS doc_id FROM benchmark) JOIN artifacts USING (doc_id)),
+ex0 AS (SELECT DISTINCT task_id, 0 AS later, f.path FROM nm JOIN artifacts f ON lower(nm.path) = lower(f.path)
+  UNION SELECT DISTINCT task_id, 1, f.path FROM nm JOIN artifacts f ON regexp_extract(lower(f.path), '[^/]*$') = 'page_' || (nm.doc_id + 1) || '.md' WHERE (task_id, regexp_extract(lower(f.path), '[^/]*$')) NOT IN (SELECT task_id, regexp_extract(lower(path), '[^/]*$') FROM nm)),
+xp AS (SELECT case_id, 'baseline-explicit' AS strategy_id, path, rank FROM (WITH r AS (SELECT task_id AS case_id, path, min(later) AS pos FROM ex0 GROUP BY 1, 2) {_FITTING}) WHERE rank <= 3)"""
+_SELECTIONS = _BASELINES + """,
+st AS (SELECT unnest(['primary', 'baseline-lexical', 'baseline-explicit']) AS strategy_id), jj AS (SELECT * FROM judgments, st),
+tk AS (SELECT case_id, path FROM judgments WHERE (length(path) * 7 + case_id * 3) % 3 <> 0 UNION SELECT DISTINCT case_id, unnest(['other/a.py', 'other/b.py']) FROM judgments),
+sel AS (SELECT case_id, 'primary' AS strategy_id, path, row_number() OVER (PARTITION BY case_id ORDER BY (length(path) * 13 + case_id) % 17, path) AS rank FROM tk UNION ALL SELECT * FROM lx UNION ALL SELECT * FROM xp)"""
+JUDGED = ["artifacts", "search_units", "tasks", "judgments"]
 _METRICS = _SELECTIONS + """,
 g AS (SELECT jj.*, rank FROM jj LEFT JOIN sel USING (case_id, strategy_id, path)),
 n AS (SELECT case_id, strategy_id, count(*) AS n FROM sel GROUP BY 1, 2),
@@ -60,7 +115,7 @@ def _metrics(spark, sf_dir):
 
 
 def _metric(name: str, metric: str):
-    @query(name, with_views(["judgments"], f"{_METRICS} SELECT case_id, strategy_id, round(value, 6) AS value FROM mt WHERE metric_name = '{metric}'"))
+    @query(name, with_views(JUDGED, f"{_METRICS} SELECT case_id, strategy_id, round(value, 6) AS value FROM mt WHERE metric_name = '{metric}'"))
     def _(spark, sf_dir):
         return _metrics(spark, sf_dir).filter(F.col("metric_name") == metric).select("case_id", "strategy_id", F.round("value", 6).alias("value"))
 
@@ -69,34 +124,44 @@ for _name, _m in (("recall_by_level", "required-artifact-recall"), ("judged_prec
     _metric(_name, _m)
 
 
-@query("primary_selections", with_views(["judgments"], f"{_SELECTIONS} SELECT * FROM sel"))
+@query("primary_selections", with_views(JUDGED, f"{_SELECTIONS} SELECT * FROM sel"))
 def _(spark, sf_dir):
     return _selections(spark, sf_dir)
 
 
-@query("retrieval_metrics", with_views(["judgments"], f"{_METRICS} SELECT case_id, strategy_id, metric_name, round(value, 6) AS value FROM mt"))
+@query("retrieval_metrics", with_views(JUDGED, f"{_METRICS} SELECT case_id, strategy_id, metric_name, round(value, 6) AS value FROM mt"))
 def _(spark, sf_dir):
     return _metrics(spark, sf_dir).withColumn("value", F.round("value", 6))
 
 
-@query("aggregate_metrics", with_views(["judgments"], f"{_METRICS} SELECT strategy_id, metric_name, count(*) AS cases, round(avg(value), 6) AS mean FROM mt GROUP BY 1, 2"))
+@query("aggregate_metrics", with_views(JUDGED, f"{_METRICS} SELECT strategy_id, metric_name, count(*) AS cases, round(avg(value), 6) AS mean FROM mt GROUP BY 1, 2"))
 def _(spark, sf_dir):
     return e.aggregate_metrics(_metrics(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
 
 
-@query("baseline_deltas", with_views(["judgments"], f"{_METRICS} SELECT b.case_id, b.metric_name, b.strategy_id AS baseline_id, round(p.value - b.value, 6) + 0.0 AS delta FROM mt b JOIN mt p ON p.case_id = b.case_id AND p.metric_name = b.metric_name AND p.strategy_id = 'primary' WHERE starts_with(b.strategy_id, 'baseline-')"))
+@query("baseline_deltas", with_views(JUDGED, f"{_METRICS} SELECT b.case_id, b.metric_name, b.strategy_id AS baseline_id, round(p.value - b.value, 6) + 0.0 AS delta FROM mt b JOIN mt p ON p.case_id = b.case_id AND p.metric_name = b.metric_name AND p.strategy_id = 'primary' WHERE starts_with(b.strategy_id, 'baseline-')"))
 def _(spark, sf_dir):
     return e.baseline_deltas(_metrics(spark, sf_dir), "primary").withColumn("delta", F.round("delta", 6) + 0.0)
 
 
-@query("regression_gate", with_views(["judgments"], f"""{_METRICS}, a AS (SELECT strategy_id, metric_name, avg(value) AS mean FROM mt GROUP BY 1, 2),
-t AS (SELECT * FROM (VALUES ('primary', 'ndcg', 0.99, NULL), ('primary', 'judged-precision', NULL, 0.01), ('primary', 'reciprocal-rank', 0.0, 1.0), ('primary', 'no-such-metric', 0.5, NULL)) v(strategy_id, metric_name, minimum, maximum))
-SELECT strategy_id, metric_name, f AS failure FROM (SELECT t.strategy_id, t.metric_name, CASE WHEN mean IS NULL THEN 'missing' WHEN mean < minimum THEN 'below_minimum' WHEN mean > maximum THEN 'above_maximum' END AS f FROM t LEFT JOIN a USING (strategy_id, metric_name)) WHERE f IS NOT NULL"""))
+@query("regression_gate", with_views(JUDGED, f"""{_METRICS}, ag AS (SELECT strategy_id, metric_name, avg(value) AS mean FROM mt GROUP BY 1, 2),
+tr AS (SELECT * FROM (VALUES ('primary', 'ndcg', 0.99, NULL), ('primary', 'judged-precision', NULL, 0.01), ('primary', 'reciprocal-rank', 0.0, 1.0), ('primary', 'no-such-metric', 0.5, NULL)) v(strategy_id, metric_name, minimum, maximum))
+SELECT strategy_id, metric_name, f AS failure FROM (SELECT tr.strategy_id, tr.metric_name, CASE WHEN mean IS NULL THEN 'missing' WHEN mean < minimum THEN 'below_minimum' WHEN mean > maximum THEN 'above_maximum' END AS f FROM tr LEFT JOIN ag USING (strategy_id, metric_name)) WHERE f IS NOT NULL"""))
 def _(spark, sf_dir):
     t = spark.sql("SELECT * FROM VALUES ('primary', 'ndcg', 0.99D, CAST(NULL AS DOUBLE)), ('primary', 'judged-precision', CAST(NULL AS DOUBLE), 0.01D), ('primary', 'reciprocal-rank', 0.0D, 1.0D), ('primary', 'no-such-metric', 0.5D, CAST(NULL AS DOUBLE)) AS v(strategy_id, metric_name, minimum, maximum)")
     return e.regression_gate(e.aggregate_metrics(_metrics(spark, sf_dir)), t)
 
 
+@query("baseline_lexical", with_views(["artifacts", "search_units", "tasks"], f"{_BASELINES} SELECT * FROM lx"))
+def _(spark, sf_dir):
+    return _lexical(spark, sf_dir)
+
+
+@query("baseline_explicit", with_views(["artifacts", "search_units", "tasks"], f"{_BASELINES} SELECT * FROM xp"))
+def _(spark, sf_dir):
+    return _explicit(spark, sf_dir)
+
+
 @query("baseline_all_files", with_views(["artifacts"], """
 p AS (SELECT case_id, path, bytes, row_number() OVER (PARTITION BY case_id ORDER BY path) AS i FROM (SELECT doc_id % 20 AS case_id, path, min(size_bytes) AS bytes, min(length(content)) AS ch FROM artifacts GROUP BY 1, 2)),
 f AS (SELECT DISTINCT case_id, 0::BIGINT AS i, 0::BIGINT AS b, 0 AS n, NULL::VARCHAR AS path, false AS fits FROM p
@@ -108,7 +173,7 @@ def _(spark, sf_dir):
     return e.baseline("baseline-all-files", rows, budgets)
 
 
-@query("context_efficiency", with_views(["judgments", "artifacts"], f"""{_METRICS},
+@query("context_efficiency", with_views(JUDGED, f"""{_METRICS},
 it AS (SELECT case_id, strategy_id, rank AS ord, path, path || ' content' AS content FROM sel),
 sz AS (SELECT case_id, strategy_id, count(*) AS items, count(DISTINCT path) AS arts, sum(strlen(content))::BIGINT AS bytes, sum(length(content))::BIGINT AS ch FROM it GROUP BY 1, 2),
 ex AS (SELECT case_id, strategy_id, string_agg(k, ',' ORDER BY k) AS exclusions FROM (SELECT case_id, strategy_id, reason || '=' || count(*) AS k FROM (SELECT case_id, strategy_id, CASE WHEN length(path) % 2 = 0 THEN 'duplicate_content' ELSE 'context_budget_exceeded' END AS reason FROM g WHERE rank IS NULL) GROUP BY case_id, strategy_id, reason) GROUP BY 1, 2),

@@ -79,21 +79,21 @@ def _(spark, sf_dir):
     return index.find_artifacts(rows, wanted).select("reference", "doc_id")
 
 
-@query("find_symbols", with_views(["symbols"], "SELECT wanted, symbol_id FROM (SELECT DISTINCT upper(regexp_replace(p_name, '[ #]', '_', 'g')) AS wanted FROM part WHERE p_partkey % 5 = 0) JOIN symbols ON lower(wanted) = lower(name) OR lower(wanted) = lower(qualified_name)"))
+@query("find_symbols", with_views(["symbols"], "SELECT wanted, symbol_id FROM (SELECT DISTINCT upper(regexp_replace(p_name, '[ #]', '_', 'g')) AS wanted FROM part) JOIN symbols ON lower(wanted) = lower(name) OR lower(wanted) = lower(qualified_name)"))
 def _(spark, sf_dir):
-    wanted = views.table(spark, sf_dir, "part").filter("p_partkey % 5 = 0").select(F.upper(F.regexp_replace("p_name", "[ #]", "_")).alias("wanted")).distinct()
+    wanted = views.table(spark, sf_dir, "part").select(F.upper(F.regexp_replace("p_name", "[ #]", "_")).alias("wanted")).distinct()
     return index.find_symbols(views.symbols(spark, sf_dir), wanted).select("wanted", "symbol_id")
 
 
-@query("find_text", with_views(["search_units"], f"SELECT query, unit_id FROM (SELECT DISTINCT substr(text, 1, 24) AS query FROM benchmark) q JOIN search_units u ON contains({FOLD.format('u.text')}, {FOLD.format('query')})"))
+@query("find_text", with_views(["search_units"], f"SELECT query, unit_id FROM (SELECT DISTINCT unnest(string_split(text, chr(10))) AS query FROM benchmark) q JOIN search_units u ON query <> '' AND contains({FOLD.format('u.text')}, {FOLD.format('query')})"))
 def _(spark, sf_dir):
-    asked = views.table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 24).alias("query"))
+    asked = views.table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("query")).filter("query <> ''")
     return index.find_text(views.search_units(spark, sf_dir), asked).select("query", "unit_id")
 
 
-@query("find_relationships", with_views(["edges_orders"], "SELECT DISTINCT reference, relationship_id FROM (SELECT 'o:' || o_orderkey AS reference FROM orders WHERE o_orderkey % 97 = 0) JOIN edges_orders ON reference = source_reference OR reference = target_reference"))
+@query("find_relationships", with_views(["edges_orders"], "SELECT DISTINCT reference, relationship_id FROM (SELECT 'o:' || o_orderkey AS reference FROM orders) JOIN edges_orders ON reference = source_reference OR reference = target_reference"))
 def _(spark, sf_dir):
-    wanted = views.table(spark, sf_dir, "orders").filter("o_orderkey % 97 = 0").select(F.concat(F.lit("o:"), "o_orderkey").alias("reference"))
+    wanted = views.table(spark, sf_dir, "orders").select(F.concat(F.lit("o:"), "o_orderkey").alias("reference"))
     return index.find_relationships(views.edges_orders(spark, sf_dir), wanted).select("reference", "relationship_id")
 
 
@@ -160,12 +160,23 @@ def _(spark, sf_dir):
     return terms.operation_hints(_texts(spark, sf_dir)).select("task_id", F.array_join("operation_hints", ",").alias("operation_hints"))
 
 
-@query("task_keywords")
+_KEYWORDS = "list_filter(['src', 'pkg', task_id::VARCHAR, 'mod', 'py', 'make', a, 'new', 'core', 'widget' || task_id, b, 'see', 'readme', 'md'], lambda x: length(x) > 1)"
+
+
+@query("task_keywords", with_views(["tasks"], f"{_T} SELECT task_id, array_to_string({_KEYWORDS}, ',') AS keywords FROM t"))
 def _(spark, sf_dir):
     return _normal(spark, sf_dir).select("task_id", F.array_join("keywords", ",").alias("keywords"))
 
 
-@query("task_terms")
+_MADE = f"""{_T}, m AS (SELECT task_id, ['mod.py', 'Core.Widget' || task_id, 'readme.md'] AS files, ['make_' || a, 'New' || c] AS quoted, {_KEYWORDS} AS keywords,
+  list_concat(CASE WHEN task_id % 2 = 0 THEN ['modify'] ELSE [] END, ['fix', 'rename']) AS hints FROM t),
+k AS (SELECT task_id, list_concat(['path:src/pkg_' || task_id || '/mod.py'], list_transform(files, lambda x: 'filename:' || x), list_transform(list_concat(files, quoted), lambda x: 'symbol:' || x),
+  list_transform(quoted, lambda x: 'quoted_identifier:' || x), list_transform(keywords, lambda x: 'keyword:' || x), list_transform(hints, lambda x: 'operation:' || x)) AS l FROM m),
+e AS (SELECT task_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS x FROM k)"""
+
+
+@query("task_terms", with_views(["tasks"], f"""{_MADE},
+o AS (SELECT task_id, pos, split_part(x, ':', 1) AS kind, substr(x, instr(x, ':') + 1) AS original FROM e) SELECT *, {FOLD.format('original')} AS normalized FROM o"""))
 def _(spark, sf_dir):
     return terms.task_terms(_normal(spark, sf_dir))
 

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 # --- Words -------------------------------------------------------------------------------------------------------
 
-_LEXICAL = f"""q AS (SELECT task_id, unnest(keywords) AS term, len(keywords) AS n_terms, keywords[1] || ' ' AS phrase FROM tasks),
+LEXICAL = f"""q AS (SELECT task_id, unnest(keywords) AS term, len(keywords) AS n_terms, keywords[1] || ' ' AS phrase FROM tasks),
 k AS (SELECT unit_id, path, regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{N}}]+') AS ts, {FOLD.format('text')} AS folded FROM search_units),
 x AS (SELECT unit_id, unnest(ts) AS term FROM k),
 h AS (SELECT task_id, unit_id, count(DISTINCT term) AS matched, count(*) AS occ FROM x JOIN q USING (term) GROUP BY 1, 2),
@@ -36,20 +36,20 @@ s AS (SELECT a.task_id, a.unit_id, round(coalesce(matched, 0) / n_terms + least(
 t AS (SELECT task_id, unit_id, round(score, 6) AS score, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, unit_id) AS rank FROM s)"""
 
 
-def _ranked(spark, sf_dir):
+def lexical_ranks(spark, sf_dir):
     tasks = views.tasks(spark, sf_dir).select("task_id", F.col("keywords").alias("terms"), F.concat(F.lit('say "'), F.get("keywords", 0), F.lit(' "')).alias("task_text"))
     return r.lexical_rank(tasks, views.search_units(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query("lexical_rank", with_views(["search_units", "tasks"], f"{_LEXICAL} SELECT * FROM t"))
+@query("lexical_rank", with_views(["search_units", "tasks"], f"{LEXICAL} SELECT * FROM t"))
 def _(spark, sf_dir):
-    return _ranked(spark, sf_dir)
+    return lexical_ranks(spark, sf_dir)
 
 
-@query("lexical_top_document", with_views(["search_units", "tasks"], f"{_LEXICAL} SELECT task_id, unit_id, path, score FROM t JOIN k USING (unit_id) WHERE rank = 1"))
+@query("lexical_top_document", with_views(["search_units", "tasks"], f"{LEXICAL} SELECT task_id, unit_id, path, score FROM t JOIN k USING (unit_id) WHERE rank = 1"))
 def _(spark, sf_dir):
     """The best unit of each task: read, split, count, join, aggregate, rank."""
-    best = _ranked(spark, sf_dir).filter("rank = 1")
+    best = lexical_ranks(spark, sf_dir).filter("rank = 1")
     return best.join(views.search_units(spark, sf_dir).select("unit_id", "path"), "unit_id").select("task_id", "unit_id", "path", "score")
 
 
@@ -58,8 +58,8 @@ def _(spark, sf_dir):
 
 @query("resolve_explicit", with_views(["artifacts", "symbols"], """
 f AS (SELECT 'a' || doc_id AS artifact_id, CASE WHEN doc_id % 9 = 0 THEN 'lib/shared.py' ELSE path END AS path FROM artifacts),
-w AS (SELECT o_orderkey AS task_id, k.kind, CASE kind WHEN 'path' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'SRC/mod_' || (o_orderkey % 1000) || '.py' ELSE 'src/mod_' || (o_orderkey % 1000) || '.py' END WHEN 'filename' THEN 'page_' || (o_orderkey % 1000) || '.md'
-  WHEN 'shared' THEN 'Shared.py' ELSE regexp_replace(p_name, '[ #]', '_', 'g') END AS reference FROM orders JOIN part ON p_partkey = o_orderkey % 500 + 1, (VALUES ('path'), ('filename'), ('shared'), ('symbol')) k(kind) WHERE o_orderkey % 5 = 0),
+w AS (SELECT o_orderkey AS task_id, k.kind, CASE kind WHEN 'path' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'SRC/mod_' || d || '.py' ELSE 'src/mod_' || d || '.py' END WHEN 'filename' THEN 'page_' || d || '.md'
+  WHEN 'shared' THEN 'Shared.py' ELSE regexp_replace(p_name, '[ #]', '_', 'g') END AS reference FROM (SELECT *, o_orderkey % (SELECT count(*) FROM documents) AS d, o_orderkey % (SELECT count(*) FROM part) AS m FROM orders) JOIN part ON p_partkey = m + 1, (VALUES ('path'), ('filename'), ('shared'), ('symbol')) k(kind)),
 n AS (SELECT task_id, CASE kind WHEN 'shared' THEN 'filename' ELSE kind END AS kind, reference FROM w),
 m AS (
   SELECT task_id, n.kind, reference, artifact_id AS target FROM n JOIN f ON lower(reference) = lower(path) WHERE kind = 'path'
@@ -68,9 +68,10 @@ m AS (
 g AS (SELECT task_id, kind, reference, count(*) AS c, min(target) AS t FROM m GROUP BY 1, 2, 3)
 SELECT DISTINCT n.task_id, n.kind, n.reference, CASE WHEN c IS NULL THEN 'not_found' WHEN c = 1 THEN 'selected' ELSE 'ambiguous' END AS outcome, coalesce(c, 0) AS matches, CASE WHEN c = 1 THEN t END AS target FROM n LEFT JOIN g USING (task_id, kind, reference)"""))
 def _(spark, sf_dir):
-    orders = views.table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0")
-    rows = orders.join(views.table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("o_orderkey") % 500 + 1)
-    number = F.col("o_orderkey") % 1000
+    orders, part, docs = (views.table(spark, sf_dir, t) for t in ("orders", "part", "documents"))
+    sizes = part.agg(F.count(F.lit(1)).alias("parts")).crossJoin(docs.agg(F.count(F.lit(1)).alias("docs")))
+    rows = orders.crossJoin(F.broadcast(sizes)).join(part, F.col("p_partkey") == F.col("o_orderkey") % F.col("parts") + 1)
+    number = F.col("o_orderkey") % F.col("docs")
     path = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "SRC").otherwise("src"), F.lit("/mod_"), number, F.lit(".py"))
     wanted = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("original")) for k, v in (("path", path), ("filename", F.concat(F.lit("page_"), number, F.lit(".md"))), ("filename", F.lit("Shared.py")), ("symbol", F.regexp_replace("p_name", "[ #]", "_")))))
     terms = rows.select(F.col("o_orderkey").alias("task_id"), F.inline(wanted)).withColumn("normalized", fold(F.col("original")))
@@ -82,7 +83,7 @@ def _(spark, sf_dir):
 
 
 @query("structural_candidates", """
-WITH c AS (SELECT c_nationkey AS task_id, 'c:' || c_custkey AS sym, 'n:' || c_nationkey AS par FROM customer WHERE c_custkey % 40 = 0),
+WITH c AS (SELECT c_nationkey AS task_id, 'c:' || c_custkey AS sym, 'n:' || c_nationkey AS par FROM customer),
 ch AS (SELECT DISTINCT task_id, sym, 0 AS role FROM c UNION SELECT DISTINCT task_id, par, 1 FROM c UNION SELECT DISTINCT task_id, 'r:' || n_regionkey, 1 FROM c JOIN nation ON n_nationkey = task_id),
 u AS (SELECT 'uc:' || c_custkey AS unit_id, c_custkey AS ord, 'c:' || c_custkey AS sym FROM customer UNION ALL SELECT 'un:' || n_nationkey, n_nationkey, 'n:' || n_nationkey FROM nation UNION ALL SELECT 'ur:' || r_regionkey, r_regionkey, 'r:' || r_regionkey FROM region),
 h AS (SELECT task_id, unit_id, ord, role FROM ch JOIN u USING (sym) UNION ALL SELECT task_id, 'un:' || n_nationkey, n_nationkey, 2 FROM ch JOIN nation ON sym = 'r:' || n_regionkey),
@@ -96,14 +97,14 @@ def _(spark, sf_dir):
     unit = lambda df, u, s, k: df.select(name(u, k).alias("unit_id"), F.col(k).cast("long").alias("ord"), F.array(name(s, k)).alias("symbol_ids"))
     units = unit(customer, "uc:", "c:", "c_custkey").unionByName(unit(nation, "un:", "n:", "n_nationkey")).unionByName(unit(region, "ur:", "r:", "r_regionkey"))
     edges = nation.select(name("r:", "n_regionkey").alias("source_reference"), name("un:", "n_nationkey").alias("unit_id"), F.lit("imports").alias("kind"))
-    roots = customer.filter("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("task_id"), name("c:", "c_custkey").alias("name"))
+    roots = customer.select(F.col("c_nationkey").alias("task_id"), name("c:", "c_custkey").alias("name"))
     return r.structural_candidates(roots, symbols, units, edges)
 
 
 _TRAVERSAL = """
 p AS (SELECT *, row_number() OVER (PARTITION BY source_reference ORDER BY kind, target_reference, relationship_id) AS place FROM edges_orders),
 e AS (SELECT source_reference AS s, target_reference AS t, kind, place, CASE kind WHEN 'depends_on' THEN 1.0 WHEN 'imports' THEN 0.95 ELSE 0.85 END AS w FROM p WHERE place <= 20),
-seeds AS (SELECT c_custkey % 10 AS task_id, 'c:' || c_custkey AS node, c_custkey AS pos FROM customer WHERE c_custkey % 50 = 0),
+seeds AS (SELECT c_custkey AS task_id, 'c:' || c_custkey AS node, c_custkey AS pos FROM customer),
 s1 AS (SELECT task_id, t AS node, node AS seed, [pos, place] AS trail, round(w, 8) AS total, node || '>' || t AS path, kind FROM seeds JOIN e ON node = s),
 d1 AS (SELECT task_id, node, arg_min({'seed': seed, 'trail': trail, 'total': total, 'path': path, 'kind': kind}, trail) AS x FROM s1 WHERE (task_id, node) NOT IN (SELECT task_id, node FROM seeds) GROUP BY 1, 2),
 s2 AS (SELECT task_id, t AS node, x.seed AS seed, list_append(x.trail, place) AS trail, round(x.total * w * 0.8, 8) AS total, x.path || '>' || t AS path, e.kind FROM d1 JOIN e ON node = s),
@@ -114,7 +115,7 @@ t AS (SELECT * FROM g WHERE seq <= 50)"""
 
 
 def _traversed(spark, sf_dir):
-    seeds = views.table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select((F.col("c_custkey") % 10).alias("task_id"), F.concat(F.lit("c:"), "c_custkey").alias("reference"), F.col("c_custkey").alias("pos"))
+    seeds = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task_id"), F.concat(F.lit("c:"), "c_custkey").alias("reference"), F.col("c_custkey").alias("pos"))
     edges = views.edges_orders(spark, sf_dir)
     known = edges.select(F.col("target_reference").alias("reference")).filter("reference not like '%7'").distinct()
     return r.dependency_traversal(seeds, edges, known), seeds
@@ -220,7 +221,7 @@ _UNITS = f"""s0 AS (SELECT task_id, unit_id AS candidate_id, path, line, strlen(
 s1 AS (SELECT *, 3 * len(ph) + len(ch) AS score FROM s0 WHERE len(ph) + len(ch) > 0)"""
 _TASKS2 = "tasks2 AS (SELECT task_id, list_concat(keywords, CASE WHEN task_id % 3 = 0 THEN ['current', 'mod_1'] ELSE ['page_2'] END) AS keywords FROM tasks)"
 _OLD = f"o AS (SELECT path, bool_or(regexp_matches({FOLD.format('text')}, 'archive|deprecated|historical|legacy')) AS old FROM search_units GROUP BY path), s2 AS (SELECT s1.* EXCLUDE (score), CASE WHEN old_now THEN score ELSE 0 END AS historical_penalty, CASE WHEN old_now THEN 0 ELSE score END AS score FROM (SELECT s1.*, list_contains(keywords, 'current') AND (old OR regexp_matches(path, 'archive|deprecated|historical|legacy')) AS old_now FROM s1 JOIN o USING (path)) s1)"
-_LINKS = "l AS (SELECT a.doc_id AS rid, a.path AS sp, b.path AS tp FROM artifacts a JOIN artifacts b ON b.doc_id = (a.doc_id * 3 + 1) % 600 WHERE a.doc_id % 2 = 0)"
+_LINKS = "l AS (SELECT a.doc_id AS rid, a.path AS sp, b.path AS tp FROM artifacts a JOIN artifacts b ON b.doc_id = (a.doc_id * 3 + 1) % (SELECT max(doc_id) + 1 FROM artifacts))"
 _BOOST = """b AS (SELECT task_id, max(score) AS top FROM s2 GROUP BY 1 HAVING max(score) > 0), sd AS (SELECT DISTINCT task_id, path FROM s2 JOIN b USING (task_id) WHERE score = top AND historical_penalty = 0),
 hh AS (SELECT task_id, tp AS path, count(DISTINCT rid) AS links FROM sd JOIN l ON sp = path GROUP BY 1, 2), h2 AS (SELECT * FROM hh WHERE (task_id, path) NOT IN (SELECT task_id, path FROM sd)),
 s3 AS (SELECT s2.* EXCLUDE (score), s2.score AS s2score, CASE WHEN links IS NOT NULL AND historical_penalty = 0 THEN least(s2.score + 4 * links, greatest(0, top - 1)) ELSE s2.score END AS score FROM s2 LEFT JOIN h2 USING (task_id, path) LEFT JOIN b USING (task_id))"""
@@ -248,7 +249,8 @@ def _tasks(spark, sf_dir):
 def _links(spark, sf_dir):
     a = views.artifacts(spark, sf_dir).select("doc_id", "path")
     to = a.select(F.col("doc_id").alias("to"), F.col("path").alias("target_path"))
-    rows = a.filter("doc_id % 2 = 0").withColumn("to", (F.col("doc_id") * 3 + 1) % 600).join(to, "to")
+    size = F.broadcast(a.agg((F.max("doc_id") + 1).alias("size")))
+    rows = a.crossJoin(size).withColumn("to", (F.col("doc_id") * 3 + 1) % F.col("size")).join(to, "to")
     return rows.select(F.col("doc_id").alias("relationship_id"), F.col("path").alias("source_path"), "target_path", F.lit("imports").alias("kind"), F.lit("resolved_internal").alias("resolution"))
 
 

@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sets import in_blocks
+from ..functions.search import containing
+from ..functions.shared import written
 from ..functions.text import fold
 
 #: A path for every document, by (doc_id div 20) mod 10; {} is the id.
@@ -15,8 +16,6 @@ PATHS = [
     "src/mod_{}.py", "docs/page_{}.md", "tests/test_{}.py", "config/app_{}.toml", "dist/bundle_{}.min.js", "assets/img_{}.png",
     ".env.{}", "node_modules/p/{}.js", "src/legacy/archive_{}.py", "build_{}/Makefile",
 ]
-#: Benchmark items that are sent to the documents at a time.
-MOST_ITEMS = 20_000
 SCANNER = "scan-1"
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
@@ -39,18 +38,19 @@ def search_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """task_id, task_text, keywords: the first six distinct words of at least six letters of a benchmark item."""
+    """task_id, task_text, keywords: the distinct words of at least seven letters of a benchmark item."""
     items = table(spark, sf_dir, "benchmark")
-    words = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}{6,}"), F.lit(0))), 1, 6)
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}{7,}"), F.lit(0)))
     rows = items.select(F.col("item_id").alias("task_id"), words.alias("w"))
     return rows.select("task_id", F.concat(F.lit("Explain "), F.array_join("w", " ")).alias("task_text"), F.array_distinct(F.transform("w", fold)).alias("keywords"))
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """case_id, path, relevance of the documents that an item judges."""
+    """case_id, path, relevance of the documents that an item judges: required are those that hold its whole text."""
     docs = artifacts(spark, sf_dir).select("doc_id", "path", "content")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.substring("text", 1, 60).alias("start"))
-    found = in_blocks(items, MOST_ITEMS, lambda block: docs.join(block, F.contains("content", "start"))).select("case_id", "path", F.lit("required").alias("relevance"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("phrase"))
+    met = containing(docs.select(F.col("doc_id").alias("id"), F.col("content").alias("text")), items).withColumnRenamed("id", "doc_id")
+    found = written(met.join(items, "phrase").join(docs.select("doc_id", "path"), "doc_id").select("case_id", "path", F.lit("required").alias("relevance")))
     labels = docs.select("doc_id", "path").join(table(spark, sf_dir, "labels"), "doc_id")
     level = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "irrelevant").otherwise("supporting")
     cases = found.select("case_id").distinct()
@@ -112,11 +112,11 @@ VIEW_SQL = {
     "artifacts": f"SELECT doc_id, source AS project_id, CASE (doc_id // 20) % 10 {_PATH_CASES} END AS path, 'file' AS entry_type, text AS content, strlen(text)::BIGINT AS size_bytes FROM documents",
     "search_units": """SELECT doc_id, project_id, path, printf('u%08d-%06d', doc_id, n + 1) AS unit_id, n + 1 AS line, text
       FROM (SELECT doc_id, project_id, path, unnest(range(len(l))) AS n, unnest(l) AS text FROM (SELECT *, string_split(content, chr(10)) AS l FROM artifacts)) WHERE text <> ''""",
-    "tasks": f"""SELECT item_id AS task_id, 'Explain ' || array_to_string(w, ' ') AS task_text, k[1:6] AS keywords FROM (
+    "tasks": f"""SELECT item_id AS task_id, 'Explain ' || array_to_string(w, ' ') AS task_text, k AS keywords FROM (
       SELECT item_id, w, list_reduce_distinct AS k FROM (SELECT item_id, w, list_transform(w, lambda x: {FOLD.format('x')}) AS list_reduce_distinct FROM (
-        SELECT item_id, list_transform(list_filter(list_transform(a, lambda x, i: {{'x': x, 'i': i}}), lambda s: list_position(a, s.x) = s.i), lambda s: s.x)[1:6] AS w
-        FROM (SELECT item_id, regexp_extract_all(text, '\\p{{L}}{{6,}}') AS a FROM benchmark))))""",
-    "judgments": """WITH f AS (SELECT item_id AS case_id, path FROM artifacts JOIN benchmark ON contains(content, substr(text, 1, 60))),
+        SELECT item_id, list_transform(list_filter(list_transform(a, lambda x, i: {{'x': x, 'i': i}}), lambda s: list_position(a, s.x) = s.i), lambda s: s.x) AS w
+        FROM (SELECT item_id, regexp_extract_all(text, '\\p{{L}}{{7,}}') AS a FROM benchmark))))""",
+    "judgments": """WITH f AS (SELECT item_id AS case_id, path FROM artifacts JOIN benchmark ON contains(content, text)),
       s AS (SELECT DISTINCT c.case_id, a.path, CASE WHEN toxic = 1 OR quality = 0 THEN 'irrelevant' ELSE 'supporting' END AS relevance
             FROM labels l JOIN artifacts a USING (doc_id) JOIN (SELECT DISTINCT case_id FROM f) c ON l.doc_id % 50 = c.case_id % 50)
       SELECT case_id, path, 'required' AS relevance FROM f UNION ALL SELECT * FROM s WHERE (case_id, path) NOT IN (SELECT case_id, path FROM f)""",
