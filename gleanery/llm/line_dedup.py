@@ -1,26 +1,62 @@
-"""Line deduplication: windows of whole lines, compared with their first place."""
+"""Line deduplication: winnowed fingerprints of line hashes, extended to whole windows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 def _hash(text: Column) -> Column:
     """The first 60 bits of the MD5."""
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def _runs(lines: DataFrame, min_words: int, gram_words: int) -> DataFrame:
+    """One row per window: doc_id, text_key, gram, place, window, pos, covered.
+
+    A window is the shortest run of lines that has ``min_words`` words, from a given line on or up to a given line. A gram
+    is the shortest run with ``gram_words`` words from a line on; the least one that lies within a window is the
+    window's fingerprint (``gram``, which begins at line ``place``). ``window`` is the MD5 of the whole window.
+    """
+    doc = Window.partitionBy("doc_id", "text_key")
+    ahead_of = lambda n: doc.orderBy("at").rangeBetween(0, n - 1)  # noqa: E731  the lines that begin within so many words
+    behind_of = lambda n: doc.orderBy("upto").rangeBetween(1 - n, 0)  # noqa: E731  those that end within so many words before
+    lines = lines.withColumn("upto", F.sum("w").over(doc.orderBy("pos"))).withColumn("at", F.col("upto") - F.col("w"))
+    joined = lambda run: F.array_join(F.transform(run, lambda x: x.cast("string")), ",")
+    begun = ahead_of(gram_words)
+    lines = lines.withColumn("until", F.max("upto").over(begun)).withColumn("gram", _hash(joined(F.collect_list("h").over(begun))))
+    lines = lines.withColumn("gram", F.when(F.col("until") - F.col("at") >= gram_words, F.col("gram")))
+    line = F.struct("pos", "h", "at", "upto", "gram", "until")
+    lines = lines.withColumn("ahead", F.collect_list(line).over(ahead_of(min_words))).withColumn("behind", F.collect_list(line).over(behind_of(min_words)))
+    ahead = F.when(F.element_at("ahead", -1)["upto"] - F.col("at") >= min_words, F.col("ahead"))
+    # One that is too short without its last line is the window from its first line on as well.
+    behind = F.when(F.col("at") - F.col("behind")[0]["at"] >= min_words, F.col("behind"))
+    windows = lines.select("doc_id", "text_key", F.explode(F.array_compact(F.array(ahead, behind))).alias("run"))
+    within = F.filter("run", lambda x: x["gram"].isNotNull() & (x["until"] <= F.element_at("run", -1)["upto"]))
+    mark = F.array_min(F.transform(within, lambda x: F.struct(x["gram"].alias("gram"), x["pos"].alias("place"))))
+    return windows.select("doc_id", "text_key", mark.alias("mark"), F.unhex(F.md5(joined(F.transform("run", lambda x: x["h"])))).alias("window"), F.transform("run", lambda x: x["pos"]).alias("covered")).select(
+        "doc_id", "text_key", "mark.gram", "mark.place", "window", F.col("covered")[0].alias("pos"), "covered"
+    )
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """One row per line that a repeated run covers: doc_id, text_key, pos (from 0).
 
     Lines are what line feeds separate, compared without blanks at their ends; lines without words are skipped.
-    A window is the shortest run of lines that has ``min_words`` words, from a given line on or up to a given line.
+
+    1. Winnowing: every window of whole lines with ``min_words`` words picks its least gram of half as many words as its
+       fingerprint (:func:`_runs`). Equal windows pick the same one, so a repeated window has a fingerprint that stands in
+       two places at least; places are counted per fingerprint, and windows of the others are left.
+    2. From each place of a repeated fingerprint the match is extended both ways to the windows that picked it: those
+       before, around and behind it. They are compared by the MD5 of the whole window with the first place of the
+       same window, not of the same fingerprint, which may share less than a full run.
+
     Every line of a shared run of ``min_words`` words lies in a window within that run: the one from the line on, the
-    one up to it, or the one from the run's first line on. Windows depend on their own lines alone, so both places hold
-    the same ones, and the lines to delete are exactly those of windows that stood before. Each place of a window is
-    compared with its first one (by id, then position) by the MD5 of the whole window, so the work grows with the
-    lines, not with the square of a group; the join has one row per window on one side, and Spark splits a hot one.
+    one up to it, or the one from the run's first line on. So exactly the lines of windows that stood before go. The
+    work grows with the lines, not with the square of a group; joins have one row per key on one side, a written
+    table, so that Spark can split a hot key.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
@@ -28,21 +64,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = lines.select("doc_id", "text_key", "pos", trimmed.alias("line")).filter("line <> ''")
     lines = lines.select("doc_id", "text_key", "pos", _hash(F.col("line")).alias("h"), F.size(F.split("line", r"[\x20\x09-\x0D]+")).cast("long").alias("w"))
     lines = lines.repartition("doc_id", "text_key").dropDuplicates(["doc_id", "text_key", "pos"])
-    doc = Window.partitionBy("doc_id", "text_key")
-    lines = lines.withColumn("upto", F.sum("w").over(doc.orderBy("pos"))).withColumn("at", F.col("upto") - F.col("w"))
-    from_here = doc.orderBy("at").rangeBetween(0, min_words - 1)  # the lines that begin within so many words
-    up_to_here = doc.orderBy("upto").rangeBetween(1 - min_words, 0)  # those that end within so many words before the end
-    line = F.struct("pos", "h", "at", "upto")
-    lines = lines.withColumn("ahead", F.collect_list(line).over(from_here)).withColumn("behind", F.collect_list(line).over(up_to_here))
-    ahead = F.when(F.element_at("ahead", -1)["upto"] - F.col("at") >= min_words, F.col("ahead"))
-    # One that is too short without its last line is the window from its first line on as well.
-    behind = F.when(F.col("at") - F.col("behind")[0]["at"] >= min_words, F.col("behind"))
-    windows = lines.select("doc_id", "text_key", F.explode(F.array_compact(F.array(ahead, behind))).alias("run"))
-    windows = windows.select(
-        F.unhex(F.md5(F.array_join(F.transform("run", lambda x: x["h"].cast("string")), ","))).alias("window"),
-        "doc_id", "text_key", F.col("run")[0]["pos"].alias("pos"), F.transform("run", lambda x: x["pos"]).alias("covered"),
-    )
-    first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "text_key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    windows = _runs(lines, min_words, -(-min_words // 2))
+    places = windows.select("doc_id", "text_key", "gram", "place").distinct()
+    repeated = cut(places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
+    windows = cut(windows.join(repeated, "gram", "left_semi").drop("gram", "place"))
+    first = cut(windows.groupBy("window").agg(F.min(F.struct("doc_id", "text_key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     later = windows.join(first, "window").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("pos") == F.col("first.pos"))))
     return later.select("doc_id", "text_key", F.explode("covered").alias("pos")).distinct()
 
@@ -53,7 +79,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Runs of lines with at least ``min_words`` words that stood before, in a document with a smaller id (then text
     hash) or earlier in the same one, are deleted (:func:`repeated_lines`); the first copy always stays. A null text
     counts as empty; an empty text has one empty line. Rows that repeat an id and a text are one document and share
-    their result. A null id comes first. An empty table gives no rows. Other columns are ignored.
+    their result. A null id comes first. An empty table gives no rows. Other columns are ignored, whatever their names.
+    The lines of a very long text are sorted in one task, which can spill; a window holds ``min_words`` lines at most.
     """
     gone = repeated_lines(docs, id_col, text_col, min_words).groupBy("doc_id", "text_key").agg(F.collect_list("pos").alias("gone"))
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -126,45 +126,20 @@ r AS (
 SELECT page_id, host, path, rule, coalesce(hit, false) AS listed,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR hit THEN 'block' ELSE 'allow' END AS verdict
 FROM r""",
+    # Every window of whole lines with 50 words, compared as text with all its places.
     "op4_line_dedup": r"""
 WITH l0 AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l1 AS (SELECT doc_id, unnest(range(len(ls))) AS pos, regexp_replace(unnest(ls), '^[ 	-
-]+|[ 	-
-]+$', '', 'g') AS line FROM l0),
-l2 AS (SELECT doc_id, pos, ('0x' || substr(md5(line), 1, 15))::BIGINT AS h, len(string_split_regex(line, '[ 	-
-]+')) AS w FROM l1 WHERE line <> ''),
+l1 AS (SELECT doc_id, unnest(range(len(ls))) AS pos, regexp_replace(unnest(ls), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM l0),
+l2 AS (SELECT *, len(string_split_regex(line, '[\x20\x09-\x0D]+')) AS w FROM l1 WHERE line <> ''),
 l3 AS (SELECT *, (sum(w) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS upto FROM l2),
 l4 AS (SELECT *, upto - w AS beg FROM l3),
-l5 AS (
-  SELECT *, max(upto) OVER g AS gram_end, max(upto) OVER f AS window_end,
-         CASE WHEN max(upto) OVER g - beg >= 25 THEN ('0x' || substr(md5(array_to_string(list(h) OVER g, ',')), 1, 15))::BIGINT END AS gram
-  FROM l4 WINDOW g AS (PARTITION BY doc_id ORDER BY beg RANGE BETWEEN CURRENT ROW AND 24 FOLLOWING),
-                 f AS (PARTITION BY doc_id ORDER BY beg RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
-pick AS (
-  SELECT DISTINCT a.doc_id, arg_min(b.pos, (b.gram, b.pos)) AS pos FROM l5 a JOIN l5 b ON a.doc_id = b.doc_id AND b.beg BETWEEN a.beg AND a.beg + 49
-  WHERE a.window_end - a.beg >= 50 AND b.gram IS NOT NULL AND b.gram_end <= a.window_end GROUP BY a.doc_id, a.pos),
-marks AS (SELECT DISTINCT p.doc_id, p.pos, x.gram, x.beg FROM pick p JOIN l5 x USING (doc_id, pos)),
-firsts AS (SELECT gram, min((doc_id, pos)) AS f FROM marks GROUP BY gram),
-pairs AS (
-  SELECT m.doc_id, m.pos, m.beg, o.doc_id AS od, o.pos AS op, o.beg AS oa
-  FROM marks m JOIN firsts USING (gram) JOIN marks o ON o.doc_id = f[1] AND o.pos = f[2] WHERE (m.doc_id, m.pos) <> f),
-nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l4),
-mine AS (
-  SELECT p.*, a.n - s.n AS k, a.pos AS apos, a.h, a.w FROM pairs p JOIN nth s ON s.doc_id = p.doc_id AND s.pos = p.pos
-  JOIN nth a ON a.doc_id = p.doc_id AND a.beg BETWEEN p.beg - 50 AND p.beg + 49),
-theirs AS (
-  SELECT p.doc_id, p.pos, a.n - s.n AS k, a.h FROM pairs p JOIN nth s ON s.doc_id = p.od AND s.pos = p.op
-  JOIN nth a ON a.doc_id = p.od AND a.beg BETWEEN p.oa - 50 AND p.oa + 49),
-agree AS (
-  SELECT m.doc_id, m.pos, m.k, m.apos, m.w, t.h IS NOT DISTINCT FROM m.h AS same
-  FROM mine m LEFT JOIN theirs t ON m.doc_id = t.doc_id AND m.pos = t.pos AND m.k = t.k),
-odd AS (
-  SELECT doc_id, pos, coalesce(min(k) FILTER (WHERE k > 0 AND NOT same), 1000000) AS hi,
-         coalesce(max(k) FILTER (WHERE k < 0 AND NOT same), -1000000) AS lo FROM agree GROUP BY doc_id, pos),
-runs AS (
-  SELECT a.doc_id, a.pos, list(a.apos) AS gone FROM agree a JOIN odd o ON a.doc_id = o.doc_id AND a.pos = o.pos
-  WHERE a.k < o.hi AND a.k > o.lo GROUP BY a.doc_id, a.pos HAVING sum(a.w) >= 50),
-gone AS (SELECT doc_id, list_distinct(flatten(list(gone))) AS gone FROM runs GROUP BY doc_id)
+ahead AS (SELECT list(pos) OVER g AS covered, list(line) OVER g AS run, max(upto) OVER g - beg AS words, doc_id FROM l4
+  WINDOW g AS (PARTITION BY doc_id ORDER BY beg RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+behind AS (SELECT list(pos) OVER g AS covered, list(line) OVER g AS run, upto - min(beg) OVER g AS words, doc_id FROM l4
+  WINDOW g AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+runs AS (SELECT doc_id, covered, array_to_string(run, chr(10)) AS run FROM (FROM ahead UNION ALL FROM behind) WHERE words >= 50),
+later AS (SELECT DISTINCT doc_id, unnest(covered) AS pos FROM (SELECT *, min((doc_id, covered[1])) OVER (PARTITION BY run) AS f FROM runs) WHERE (doc_id, covered[1]) <> f),
+gone AS (SELECT doc_id, list(pos) AS gone FROM later GROUP BY doc_id)
 SELECT l0.doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_deleted,
        sha256(CASE WHEN gone IS NULL THEN t ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)), '') END) AS kept_sha256
 FROM l0 LEFT JOIN gone ON l0.doc_id = gone.doc_id""",

@@ -115,6 +115,14 @@ def test_line_dedup_where_the_first_place_shares_only_part_of_a_run(spark):
         assert (r.text, r.n_deleted) == ("\n".join(kept), len(gone.get(r.doc_id, ()))), r.doc_id
 
 
+def test_line_dedup_of_very_long_texts(spark):
+    long = "w " * 400_000 + "end"
+    lines = "\n".join(f"line {k} with some more words" for k in range(20_000))
+    rows = [(1, long), (2, "before\n" + long), (3, lines), (4, lines + "\nlast")]
+    out = {r.doc_id: (r.text, r.n_deleted) for r in line_dedup(table(spark, rows)).collect()}
+    assert out == {1: (long, 0), 2: ("before", 1), 3: (lines, 0), 4: ("last", 20_000)}
+
+
 def shingles(text, k):
     text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = [x for x in re.split(BLANKS + "+", text) if x]
