@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bloom import apart
+from .common import cut
+
 # Kind, pattern, the group that holds the secret, the fewest characters of the match and of that group.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE_KINDS = (
@@ -67,7 +70,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = found.select("doc_id", "text_key", "repo", "owner", F.inline("matches"))
     spans = spans.repartition("doc_id", "text_key").dropDuplicates(["doc_id", "text_key", "repo", "owner", "kind", "pos"])
     before = Window.partitionBy("doc_id", "text_key", "repo", "owner", "kind").orderBy("pos")
-    spans = spans.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(before)).filter("fits")
+    # Written once: counted and judged without a second scan of the texts.
+    spans = cut(spans.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(before)).filter("fits"))
     owners = (
         spans.groupBy("value", "owner", "repo")
         .agg(F.lit(1).alias("one"))
@@ -76,7 +80,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("value")
         .agg(F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
     )
-    judged = spans.join(owners, "value").withColumn("live", F.col("n_owners") <= max_owners)
+    judged = spans.join(cut(owners), "value").withColumn("live", F.col("n_owners") <= max_owners)
     judged = judged.filter(F.col("live") | F.col("kind").isin(BASE))
     return judged.select("doc_id", "text_key", "repo", "owner", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "n_repos", "n_owners", "live")
 
@@ -99,7 +103,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Corpus-wide ownership decides what the method adds and how many spans look live (:func:`secret_spans`).
 
     Null texts count as empty and hold no span. A null owner or repository is one of its own kind. Rows that repeat
-    an id and text share their result. An empty table gives no rows. Other columns are ignored.
+    an id and text share their result. An empty table gives no rows. A very long text is scanned whole, in its own row.
+    Other columns are ignored, whatever their names.
     """
     spans = _per_document(secret_spans(docs, id_col, text_col, repo_col, owner_col, max_owners))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
@@ -120,10 +125,13 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with every live span of the text replaced by ``mark``; all rows and all other columns stay.
 
     Overlapping spans are replaced together. Null texts stay null. Values that many owners publish stay as they are.
+    Only documents with a live span are shuffled (a Bloom filter of their ids passes them to the join). Columns of
+    ``docs`` must not begin with two underscores.
     """
     live = _per_document(secret_spans(docs, id_col, text_col, repo_col, owner_col, max_owners).filter("live"))
-    live = live.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("found").alias("__found"))
-    rows = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    live = cut(live.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("found").alias("__found")))
+    some, clean = apart(docs, F.col(id_col).cast("string"), live.select(F.col("__id").cast("string").alias("key")))
+    rows = some.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     rows = rows.join(live, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
     text = F.col(text_col)
     # Spans come by start: what lies before a span is copied once, and a span that starts inside the last one lengthens it.
@@ -136,4 +144,4 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ),
     )
     cleaned = F.when(F.col("__found").isNull(), text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1)))
-    return rows.select(*(cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    return rows.select(*(cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns)).unionByName(clean)
