@@ -33,14 +33,18 @@ def containing(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     inner = F.array_distinct(F.slice(runs, opens + 1, F.greatest(F.size(runs) - opens - closes, F.lit(0))))
     asked = phrases.select("phrase").distinct().select("phrase", runs.alias("runs"), inner.alias("inner"))
 
-    whole = asked.filter(F.size("inner") > 0).select("phrase", F.size("inner").alias("all"), F.explode("inner").alias("token")).join(vocabulary, "token")
+    whole = asked.filter(F.size("inner") > 0).select(
+        "phrase", F.size("inner").alias("all"), F.explode("inner").alias("token"),
+    ).join(vocabulary, "token")
     whole = whole.groupBy("phrase", "all").agg(F.count(F.lit(1)).alias("met"), F.min_by("token", F.struct("n", "token")).alias("token"))
     whole = whole.filter("met = all").select("phrase", "token")
 
     longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct(F.length(r).alias("n"), r.alias("part")))), -1)["part"]
     partial = asked.filter((F.size("inner") == 0) & (F.size("runs") > 0)).select("phrase", longest.alias("part"))
     lengths = partial.agg(F.collect_set(F.length("part")).alias("lengths"))
-    parts = vocabulary.select("token").crossJoin(F.broadcast(lengths)).select("token", F.explode("lengths").alias("n")).filter(F.length("token") >= F.col("n"))
+    parts = vocabulary.select("token").crossJoin(F.broadcast(lengths)).select(
+        "token", F.explode("lengths").alias("n"),
+    ).filter(F.length("token") >= F.col("n"))
     parts = parts.select("token", "n", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("n") + 1)).alias("at"))
     parts = parts.select("token", F.substr("token", F.col("at"), F.col("n")).alias("part")).join(partial, "part").select("phrase", "token")
 
@@ -49,4 +53,6 @@ def containing(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     tested = found.filter(~alone).join(texts, "id").filter(F.contains("text", "phrase")).select("id", "phrase")
     out = found.filter(alone).unionByName(tested.distinct())
     marks = asked.filter(F.size("runs") == 0).select("phrase")
-    return out.unionByName(in_blocks(marks, MOST_MARKS, lambda block: texts.join(block, F.contains("text", "phrase"))).select("id", "phrase").distinct())
+    return out.unionByName(
+        in_blocks(marks, MOST_MARKS, lambda block: texts.join(block, F.contains("text", "phrase"))).select("id", "phrase").distinct()
+    )

@@ -68,7 +68,10 @@ def merge_diagnostics(*tables: DataFrame) -> DataFrame:
         rows = rows.unionByName(t)
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
     rows = rows.distinct().withColumn("severity_rank", rank)
-    return rows.orderBy("severity_rank", "code", F.col("reference").asc_nulls_first(), F.col("line").asc_nulls_first(), F.col("column").asc_nulls_first(), "message")
+    return rows.orderBy(
+        "severity_rank", "code", F.col("reference").asc_nulls_first(), F.col("line").asc_nulls_first(),
+        F.col("column").asc_nulls_first(), "message",
+    )
 
 
 # --- Responses -------------------------------------------------------------------------------------------------
@@ -84,7 +87,12 @@ def normalize_responses(responses: DataFrame, retention: str = "on_incomplete")
     ``retention`` of the raw content: never, on_incomplete or always.
     """
     bad = (F.col("finish_state") == "completed") & (F.col("response_format") == "structured") & ~_is_object(F.col("content"))
-    rows = responses.withColumns({"final_state": F.when(bad, "failed").otherwise(F.col("finish_state")), "final_reason": F.when(bad, "malformed").otherwise(F.col("finish_reason"))})
+    rows = responses.withColumns(
+        {
+            "final_state": F.when(bad, "failed").otherwise(F.col("finish_state")),
+            "final_reason": F.when(bad, "malformed").otherwise(F.col("finish_reason")),
+        }
+    )
     keep = F.lit(retention == "always") | (F.lit(retention == "on_incomplete") & (F.col("final_state") != "completed"))
     return rows.withColumn("raw", F.when(keep, F.col("content")))
 
@@ -100,11 +108,18 @@ def validate_envelopes(envelopes: DataFrame, required: Sequence[str], kind: str,
     missing = F.lit(False)
     for name in required:
         missing = missing | F.get_json_object("content", f"$.{name}").isNull()
-    files, changes = F.coalesce("__e.affected_files", F.array().cast("array<string>")), F.coalesce(F.col("__e.changes"), F.array().cast("array<struct<path:string,operation:string,destination_path:string,payload:string,change_id:string>>"))
+    files, changes = F.coalesce("__e.affected_files", F.array().cast("array<string>")), F.coalesce(
+        F.col("__e.changes"),
+        F.array().cast("array<struct<path:string,operation:string,destination_path:string,payload:string,change_id:string>>"),
+    )
     touched = F.array_compact(F.concat(F.transform(changes, lambda c: c["path"]), F.transform(changes, lambda c: c["destination_path"])))
     code = (
-        F.when(F.octet_length("content") > max_bytes, "ENVELOPE_TOO_LARGE").when(~F.col("__o"), "ENVELOPE_MALFORMED").when(missing, "ENVELOPE_FIELD_MISSING").when(~F.col("__e.type").eqNullSafe(F.lit(kind)), "ENVELOPE_TYPE_MISMATCH")
-        .when(F.trim(F.coalesce("__e.summary", F.lit(""))) == "", "ENVELOPE_EMPTY_TEXT").when(F.size(files) != F.size(F.array_distinct(files)), "ENVELOPE_DUPLICATE_FILE")
+        F.when(F.octet_length("content") > max_bytes, "ENVELOPE_TOO_LARGE").when(~F.col("__o"), "ENVELOPE_MALFORMED").when(missing, "ENVELOPE_FIELD_MISSING").when(
+            ~F.col("__e.type").eqNullSafe(F.lit(kind)), "ENVELOPE_TYPE_MISMATCH",
+        )
+        .when(F.trim(F.coalesce("__e.summary", F.lit(""))) == "", "ENVELOPE_EMPTY_TEXT").when(
+            F.size(files) != F.size(F.array_distinct(files)), "ENVELOPE_DUPLICATE_FILE",
+        )
         .when(F.array_sort(files) != F.array_sort(F.array_distinct(touched)), "ENVELOPE_FILES_MISMATCH")
     )
     return rows.withColumn("code", code).drop("__o", "__e")
@@ -116,10 +131,16 @@ def ground_findings(findings: DataFrame, references: DataFrame, retrieval: DataF
     No evidence, a reference not in the task's bundle (task_id, reference), or a claim of completeness on an
     incomplete retrieval (task_id, status).
     """
-    none = findings.filter(F.size(F.coalesce("evidence", F.array().cast("array<string>"))) == 0).select("finding_id", F.lit("FINDING_WITHOUT_EVIDENCE").alias("code"))
+    none = findings.filter(
+        F.size(F.coalesce("evidence", F.array().cast("array<string>"))) == 0
+    ).select("finding_id", F.lit("FINDING_WITHOUT_EVIDENCE").alias("code"))
     cited = findings.select("finding_id", "task_id", F.explode("evidence").alias("reference")).distinct()
-    unknown = cited.join(references.select("task_id", "reference").distinct(), ["task_id", "reference"], "left_anti").select("finding_id", F.lit("FINDING_UNKNOWN_REFERENCE").alias("code")).distinct()
-    claims = findings.filter("coverage = 'complete'").join(retrieval.filter("status = 'incomplete'").select("task_id").distinct(), "task_id", "left_semi").select("finding_id", F.lit("FINDING_OVERCLAIMED").alias("code"))
+    unknown = cited.join(
+        references.select("task_id", "reference").distinct(), ["task_id", "reference"], "left_anti",
+    ).select("finding_id", F.lit("FINDING_UNKNOWN_REFERENCE").alias("code")).distinct()
+    claims = findings.filter("coverage = 'complete'").join(
+        retrieval.filter("status = 'incomplete'").select("task_id").distinct(), "task_id", "left_semi",
+    ).select("finding_id", F.lit("FINDING_OVERCLAIMED").alias("code"))
     return none.unionByName(unknown).unionByName(claims)
 
 
@@ -130,14 +151,26 @@ def parse_changes(envelopes: DataFrame) -> DataFrame:
     """(proposal_id, change_id, path, operation, destination_path, payload, error) of the changes in envelopes (proposal_id, content)."""
     schema = "struct<changes:array<struct<path:string,operation:string,destination_path:string,payload:string,change_id:string>>>"
     rows = envelopes.select("proposal_id", F.posexplode(F.from_json("content", schema)["changes"]).alias("n", "c")).select("proposal_id", "n", "c.*")
-    made = F.concat(F.lit("change_"), F.substring(F.sha2(F.concat_ws("\n", F.col("n").cast("string"), "operation", "path", F.coalesce("destination_path", F.lit(""))), 256), 1, 16))
+    made = F.concat(
+        F.lit("change_"),
+        F.substring(F.sha2(F.concat_ws("\n", F.col("n").cast("string"), "operation", "path", F.coalesce("destination_path", F.lit(""))), 256), 1, 16),
+    )
     repeated = F.count(F.lit(1)).over(Window.partitionBy("proposal_id", "path")) > 1
     error = (
-        F.when(F.col("path").isNull() | (F.trim("path") == ""), "path_missing").when(F.col("operation").isNull() | ~F.col("operation").isin(OPERATIONS), "operation_unknown")
-        .when((F.col("operation") == "rename") & F.col("destination_path").isNull(), "destination_missing").when((F.col("operation") != "rename") & F.col("destination_path").isNotNull(), "destination_unexpected")
-        .when(F.col("operation").isin("create", "modify") & F.col("payload").isNull(), "payload_missing").when((F.col("operation") == "delete") & F.col("payload").isNotNull(), "payload_unexpected").when(repeated, "duplicate_path")
+        F.when(F.col("path").isNull() | (F.trim("path") == ""), "path_missing").when(
+            F.col("operation").isNull() | ~F.col("operation").isin(OPERATIONS), "operation_unknown",
+        )
+        .when((F.col("operation") == "rename") & F.col("destination_path").isNull(), "destination_missing").when(
+            (F.col("operation") != "rename") & F.col("destination_path").isNotNull(), "destination_unexpected",
+        )
+        .when(
+            F.col("operation").isin("create", "modify") & F.col("payload").isNull(), "payload_missing",
+        ).when((F.col("operation") == "delete") & F.col("payload").isNotNull(), "payload_unexpected").when(repeated, "duplicate_path")
     )
-    return rows.select("proposal_id", F.coalesce("change_id", made).alias("change_id"), "path", "operation", "destination_path", "payload", error.alias("error"))
+    return rows.select(
+        "proposal_id", F.coalesce("change_id", made).alias("change_id"), "path", "operation", "destination_path",
+        "payload", error.alias("error"),
+    )
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -179,8 +212,12 @@ def diff_lines(patches: DataFrame) -> DataFrame:
     order = Window.partitionBy("patch_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("inside", F.sum(F.col("header").cast("int")).over(order) > 0)
     plain = (
-        F.when(F.col("header"), "hunk").when(F.col("line").startswith("--- "), "old_file").when(F.col("line").startswith("+++ "), "new_file").when(F.col("line").startswith("\\"), "no_newline")
-        .when(~F.col("inside"), "other").when(F.col("line").startswith("+"), "add").when(F.col("line").startswith("-"), "remove").when(F.col("line").startswith(" "), "context").otherwise("other")
+        F.when(F.col("header"), "hunk").when(
+            F.col("line").startswith("--- "), "old_file",
+        ).when(F.col("line").startswith("+++ "), "new_file").when(F.col("line").startswith("\\"), "no_newline")
+        .when(~F.col("inside"), "other").when(F.col("line").startswith("+"), "add").when(F.col("line").startswith("-"), "remove").when(
+            F.col("line").startswith(" "), "context",
+        ).otherwise("other")
     )
     rows = rows.withColumn("kind", F.coalesce(F.get("kinds", F.col("n")), plain))
     count = lambda kind: F.sum((F.col("kind") == kind).cast("int")).over(order)
@@ -192,17 +229,34 @@ def diff_stats(lines: DataFrame) -> DataFrame:
 
     ``consistent`` says that every hunk has as many old and new lines as its header declares.
     """
-    number = lambda group: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("line", r"^@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@", group), F.lit("")), F.lit("999999999")).cast("long"), F.lit(1))
+    number = lambda group: F.coalesce(
+        F.try_to_number(
+            F.nullif(F.regexp_extract("line", r"^@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@", group), F.lit("")),
+            F.lit("999999999"),
+        ).cast("long"),
+        F.lit(1),
+    )
     is_kind = lambda kind: F.col("kind") == kind
     hunks = lines.filter("hunk > 0").groupBy("patch_id", "file", "hunk").agg(
         F.max(F.when(is_kind("hunk"), number(1))).alias("old"), F.max(F.when(is_kind("hunk"), number(2))).alias("new"),
-        F.count_if(F.col("kind").isin("context", "remove")).alias("has_old"), F.count_if(F.col("kind").isin("context", "add")).alias("has_new"), F.max(is_kind("hunk")).alias("own"),
+        F.count_if(
+            F.col("kind").isin("context", "remove")
+        ).alias("has_old"), F.count_if(F.col("kind").isin("context", "add")).alias("has_new"), F.max(is_kind("hunk")).alias("own"),
     ).filter("own")
-    good = hunks.groupBy("patch_id", "file").agg(F.bool_and((F.col("old") == F.col("has_old")) & (F.col("new") == F.col("has_new"))).alias("consistent"))
+    good = hunks.groupBy("patch_id", "file").agg(
+        F.bool_and((F.col("old") == F.col("has_old")) & (F.col("new") == F.col("has_new"))).alias("consistent")
+    )
     path = lambda kind: F.max(F.when(is_kind(kind), F.regexp_replace(F.substr("line", F.lit(5)), r"^[ab]/", "")))
-    files = lines.filter("file > 0").groupBy("patch_id", "file").agg(path("old_file").alias("old_path"), path("new_file").alias("new_path"), F.count_if(is_kind("hunk")).alias("hunks"), F.count_if(is_kind("add")).alias("added"), F.count_if(is_kind("remove")).alias("removed"))
+    files = lines.filter("file > 0").groupBy("patch_id", "file").agg(
+        path("old_file").alias("old_path"), path("new_file").alias("new_path"),
+        F.count_if(is_kind("hunk")).alias("hunks"), F.count_if(is_kind("add")).alias("added"),
+        F.count_if(is_kind("remove")).alias("removed"),
+    )
     operation = F.when(F.col("old_path") == "/dev/null", "create").when(F.col("new_path") == "/dev/null", "delete").otherwise("modify")
-    return files.join(good, ["patch_id", "file"], "left").select("patch_id", "file", "old_path", "new_path", operation.alias("operation"), "hunks", "added", "removed", F.coalesce("consistent", F.lit(True)).alias("consistent"))
+    return files.join(good, ["patch_id", "file"], "left").select(
+        "patch_id", "file", "old_path", "new_path", operation.alias("operation"), "hunks", "added", "removed",
+        F.coalesce("consistent", F.lit(True)).alias("consistent"),
+    )
 
 
 def audit_paths(changes: DataFrame, protected: Sequence[str] = PROTECTED) -> DataFrame:
@@ -210,7 +264,7 @@ def audit_paths(changes: DataFrame, protected: Sequence[str] = PROTECTED) -> Dat
     device = lambda c: F.col(c).rlike(r"^(\\\\|//)|(?i)^(con|prn|aux|nul|com\d|lpt\d)(\.|$)")
     rows = normalize_paths(changes, "path").withColumnsRenamed({"canonical_path": "__p", "path_error": "__pe"})
     rows = normalize_paths(rows, "destination_path").withColumnsRenamed({"canonical_path": "__d", "path_error": "__de"})
-    inside = lambda c: F.exists(F.array(*map(F.lit, protected)), lambda p: (F.col(c) == p) | F.startswith(F.col(c), F.concat(p, F.lit("/"))))
+    inside = lambda c: F.exists(F.array(*map(F.lit, protected)), lambda p: (F.col(c) == p) | F.startswith(F.col(c), F.concat(p, F.lit("/"))))
     rename = F.col("operation") == "rename"
     codes = F.array_compact(F.array(
         F.when(device("path") | device("destination_path"), "PATCH_PATH_UNSUPPORTED"),
@@ -230,32 +284,57 @@ def validate_operations(changes: DataFrame, source: DataFrame) -> DataFrame:
     expected = F.col("expected_old_fingerprint") if "expected_old_fingerprint" in changes.columns else F.lit(None)
     has = F.coalesce("__has", F.lit(False))
     codes = F.array_compact(F.array(
-        F.when((F.col("operation") == "create") & has, "PATCH_CREATE_EXISTS"), F.when((F.col("operation") != "create") & ~has, "PATCH_SOURCE_MISSING"),
-        F.when((F.col("operation") == "rename") & F.coalesce("__taken", F.lit(False)), "PATCH_RENAME_TARGET_EXISTS"), F.when(has & expected.isNotNull() & ~expected.eqNullSafe(F.col("__f")), "PATCH_OLD_FINGERPRINT_MISMATCH"),
+        F.when((F.col("operation") == "create") & has, "PATCH_CREATE_EXISTS"), F.when(
+            (F.col("operation") != "create") & ~has, "PATCH_SOURCE_MISSING",
+        ),
+        F.when(
+            (F.col("operation") == "rename") & F.coalesce("__taken", F.lit(False)), "PATCH_RENAME_TARGET_EXISTS",
+        ), F.when(has & expected.isNotNull() & ~expected.eqNullSafe(F.col("__f")), "PATCH_OLD_FINGERPRINT_MISMATCH"),
     ))
     return rows.select("proposal_id", "change_id", F.explode(codes).alias("code"))
 
 
 def detect_conflicts(changes: DataFrame) -> DataFrame:
     """(proposal_id, code, subject) of changes that contradict each other within a proposal."""
-    ids = changes.groupBy("proposal_id", F.col("change_id").cast("string").alias("subject")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("proposal_id", F.lit("PATCH_CONFLICT_DUPLICATE_CHANGE_ID").alias("code"), "subject")
-    paths = changes.groupBy("proposal_id", F.col("path").alias("subject")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("operation").alias("kinds")).filter("n > 1")
-    paths = paths.select("proposal_id", F.when(F.col("kinds") == 1, "PATCH_CONFLICT_DUPLICATE_OPERATION").otherwise("PATCH_CONFLICT_INCOMPATIBLE_OPERATIONS").alias("code"), "subject")
+    ids = changes.groupBy("proposal_id", F.col("change_id").cast("string").alias("subject")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        "proposal_id", F.lit("PATCH_CONFLICT_DUPLICATE_CHANGE_ID").alias("code"), "subject",
+    )
+    paths = changes.groupBy("proposal_id", F.col("path").alias("subject")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("operation").alias("kinds"),
+    ).filter("n > 1")
+    paths = paths.select(
+        "proposal_id",
+        F.when(F.col("kinds") == 1, "PATCH_CONFLICT_DUPLICATE_OPERATION").otherwise("PATCH_CONFLICT_INCOMPATIBLE_OPERATIONS").alias("code"),
+        "subject",
+    )
     renames = changes.filter("operation = 'rename'")
     targets = renames.groupBy("proposal_id", F.col("destination_path").alias("subject")).agg(F.count(F.lit(1)).alias("n"))
     shared = targets.filter("n > 1").select("proposal_id", F.lit("PATCH_CONFLICT_RENAME_DESTINATION").alias("code"), "subject")
-    direct = changes.filter("operation <> 'rename'").select("proposal_id", F.col("path").alias("subject"), F.col("change_id")).join(targets.select("proposal_id", "subject"), ["proposal_id", "subject"], "left_semi")
-    direct = direct.join(renames.select("proposal_id", F.col("path").alias("subject")).distinct(), ["proposal_id", "subject"], "left_anti").select("proposal_id", F.lit("PATCH_CONFLICT_RENAME_DESTINATION").alias("code"), "subject")
+    direct = changes.filter("operation <> 'rename'").select("proposal_id", F.col("path").alias("subject"), F.col("change_id")).join(
+        targets.select("proposal_id", "subject"), ["proposal_id", "subject"], "left_semi",
+    )
+    direct = direct.join(
+        renames.select("proposal_id", F.col("path").alias("subject")).distinct(), ["proposal_id", "subject"],
+        "left_anti",
+    ).select("proposal_id", F.lit("PATCH_CONFLICT_RENAME_DESTINATION").alias("code"), "subject")
     return ids.unionByName(paths).unionByName(shared).unionByName(direct)
 
 
 def mismatched_evidence(changes: DataFrame, evidence: DataFrame) -> DataFrame:
     """(proposal_id, code) where declared affected files or the project fingerprint (evidence) don't fit the changes."""
-    touched = changes.select("proposal_id", F.explode(F.array_compact(F.array("path", "destination_path"))).alias("path")).groupBy("proposal_id").agg(F.array_sort(F.collect_set("path")).alias("touched"))
+    touched = changes.select(
+        "proposal_id", F.explode(F.array_compact(F.array("path", "destination_path"))).alias("path"),
+    ).groupBy("proposal_id").agg(F.array_sort(F.collect_set("path")).alias("touched"))
     rows = evidence.join(touched, "proposal_id", "left")
     codes = F.array_compact(F.array(
-        F.when(~F.array_sort(F.array_distinct("affected_files")).eqNullSafe(F.coalesce("touched", F.array().cast("array<string>"))), "PATCH_CONSISTENCY_AFFECTED_FILES_MISMATCH"),
-        F.when(~F.col("expected_project_fingerprint").eqNullSafe(F.col("source_project_fingerprint")), "PATCH_CONSISTENCY_PROJECT_FINGERPRINT_MISMATCH"),
+        F.when(
+            ~F.array_sort(F.array_distinct("affected_files")).eqNullSafe(F.coalesce("touched", F.array().cast("array<string>"))),
+            "PATCH_CONSISTENCY_AFFECTED_FILES_MISMATCH",
+        ),
+        F.when(
+            ~F.col("expected_project_fingerprint").eqNullSafe(F.col("source_project_fingerprint")),
+            "PATCH_CONSISTENCY_PROJECT_FINGERPRINT_MISMATCH",
+        ),
     ))
     return rows.select("proposal_id", F.explode(codes).alias("code"))
 
@@ -280,7 +359,11 @@ def rename_cycles(changes: DataFrame, most_rounds: int = 40) -> DataFrame:
     ring = checkpointed(steps.join(on_cycle, ["proposal_id", "path"]).select("proposal_id", "path", "to", F.col("path").alias("least")))
     for _ in range(min(most_rounds, max(1, int(size).bit_length()))):
         ahead = ring.select("proposal_id", F.col("path").alias("to"), F.col("to").alias("further"), F.col("least").alias("other"))
-        ring = checkpointed(ring.join(ahead, ["proposal_id", "to"]).select("proposal_id", "path", F.col("further").alias("to"), F.least("least", "other").alias("least")))
+        ring = checkpointed(
+            ring.join(ahead, ["proposal_id", "to"]).select(
+                "proposal_id", "path", F.col("further").alias("to"), F.least("least", "other").alias("least"),
+            )
+        )
     return ring.groupBy("proposal_id", F.col("least").alias("first_path")).agg(F.count(F.lit(1)).alias("length"))
 
 
@@ -290,11 +373,15 @@ def proposal_verdicts(changes: DataFrame, source: DataFrame, evidence: DataFrame
     With ``evidence`` (:func:`mismatched_evidence`), declared files and fingerprints have to fit too.
     """
     codes = audit_paths(changes).select("proposal_id", "code").unionByName(validate_operations(changes, source).select("proposal_id", "code"))
-    codes = codes.unionByName(detect_conflicts(changes).select("proposal_id", "code")).unionByName(rename_cycles(changes).select("proposal_id", F.lit("PATCH_CONFLICT_RENAME_CYCLE").alias("code")))
+    codes = codes.unionByName(detect_conflicts(changes).select("proposal_id", "code")).unionByName(
+        rename_cycles(changes).select("proposal_id", F.lit("PATCH_CONFLICT_RENAME_CYCLE").alias("code"))
+    )
     if evidence is not None:
         codes = codes.unionByName(mismatched_evidence(changes, evidence))
     listed = codes.distinct().groupBy("proposal_id").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
-    return changes.select("proposal_id").distinct().join(listed, "proposal_id", "left").select("proposal_id", F.col("codes").isNull().alias("valid"), F.coalesce("codes", F.lit("")).alias("codes"))
+    return changes.select("proposal_id").distinct().join(listed, "proposal_id", "left").select(
+        "proposal_id", F.col("codes").isNull().alias("valid"), F.coalesce("codes", F.lit("")).alias("codes"),
+    )
 
 
 def review_changes(changes: DataFrame) -> DataFrame:
@@ -309,25 +396,42 @@ def review_changes(changes: DataFrame) -> DataFrame:
     rows = changes.withColumns({"__a": F.when(unmarked, F.size(lines)).otherwise(added), "__r": removed})
     count = lambda op: F.count_if(F.col("operation") == op).alias(f"{op}s")
     files = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_compact(F.array("path", "destination_path")))))), ",")
-    return rows.groupBy("proposal_id").agg(*(count(op) for op in OPERATIONS), F.sum("__a").alias("added_lines"), F.sum("__r").alias("removed_lines"), files.alias("affected_files"))
+    return rows.groupBy("proposal_id").agg(
+        *(count(op) for op in OPERATIONS), F.sum("__a").alias("added_lines"), F.sum("__r").alias("removed_lines"),
+        files.alias("affected_files"),
+    )
 
 
 def fingerprint_proposals(changes: DataFrame) -> DataFrame:
     """(proposal_id, proposal_fingerprint) over the changes of a proposal as canonical JSON, in the order of path and id."""
     item = F.to_json(F.struct(F.col("change_id").cast("string").alias("change_id"), "destination_path", "operation", "path"))
-    listed = changes.groupBy("proposal_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "change_id", item.alias("j")))), lambda s: s["j"]), ",").alias("j"))
+    listed = changes.groupBy("proposal_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "change_id", item.alias("j")))), lambda s: s["j"]), ",").alias("j")
+    )
     payload = F.concat(F.lit('{"proposal_id":"'), F.col("proposal_id").cast("string"), F.lit('","changes":['), F.col("j"), F.lit("]}"))
     return listed.select("proposal_id", F.concat(F.lit("proposal_sha256_"), F.sha2(payload, 256)).alias("proposal_fingerprint"))
 
 
-def revalidate_proposals(stored: DataFrame, changes: DataFrame, source: DataFrame, project_fingerprint: str, writable: DataFrame | None = None) -> DataFrame:
+def revalidate_proposals(
+    stored: DataFrame, changes: DataFrame, source: DataFrame, project_fingerprint: str,
+    writable: DataFrame | None = None,
+) -> DataFrame:
     """(proposal_id, code) before use: stored fingerprints (proposal_id, proposal_fingerprint, project_fingerprint) against now, paths and operations again."""
     now = fingerprint_proposals(changes).withColumnRenamed("proposal_fingerprint", "__now")
     rows = stored.join(now, "proposal_id", "left")
-    codes = F.array_compact(F.array(F.when(~F.col("proposal_fingerprint").eqNullSafe(F.col("__now")), "PROPOSAL_CHANGED"), F.when(F.col("project_fingerprint") != project_fingerprint, "PROJECT_CHANGED")))
-    out = rows.select("proposal_id", F.explode(codes).alias("code")).unionByName(audit_paths(changes).select("proposal_id", "code")).unionByName(validate_operations(changes, source).select("proposal_id", "code"))
+    codes = F.array_compact(
+        F.array(
+            F.when(~F.col("proposal_fingerprint").eqNullSafe(F.col("__now")), "PROPOSAL_CHANGED"),
+            F.when(F.col("project_fingerprint") != project_fingerprint, "PROJECT_CHANGED"),
+        )
+    )
+    out = rows.select("proposal_id", F.explode(codes).alias("code")).unionByName(audit_paths(changes).select("proposal_id", "code")).unionByName(
+        validate_operations(changes, source).select("proposal_id", "code")
+    )
     if writable is not None:
-        outside = changes.select("proposal_id", F.explode(F.array_compact(F.array("path", "destination_path"))).alias("path")).join(writable.select("path").distinct(), "path", "left_anti")
+        outside = changes.select(
+            "proposal_id", F.explode(F.array_compact(F.array("path", "destination_path"))).alias("path"),
+        ).join(writable.select("path").distinct(), "path", "left_anti")
         out = out.unionByName(outside.select("proposal_id", F.lit("PATH_NOT_WRITABLE").alias("code")))
     return out.distinct()
 
@@ -350,7 +454,9 @@ def list_executions(executions: DataFrame) -> DataFrame:
 def recovery_disposition(executions: DataFrame) -> DataFrame:
     """Adds ``disposition``: terminal, awaiting_action, resumable (stopped or paused before a change was applied) or manual_review."""
     status = F.col("status")
-    disposition = F.when(status.isin(TERMINAL), "terminal").when(status == "awaiting_approval", "awaiting_action").when(status.isin("paused", "interrupted") & ~F.col("stage").isin("apply", "validate"), "resumable").otherwise("manual_review")
+    disposition = F.when(status.isin(TERMINAL), "terminal").when(status == "awaiting_approval", "awaiting_action").when(
+        status.isin("paused", "interrupted") & ~F.col("stage").isin("apply", "validate"), "resumable",
+    ).otherwise("manual_review")
     return executions.withColumn("disposition", disposition)
 
 
@@ -360,7 +466,9 @@ def check_stage_history(executions: DataFrame, stages: Sequence[str] = STAGES) -
     prefix = F.slice(F.array(*map(F.lit, stages)), 1, F.size(done))
     at = F.array_position(F.array(*map(F.lit, stages)), F.col("stage"))
     error = (
-        F.when(at == 0, "unknown_stage").when(~prefix.eqNullSafe(done), "not_a_prefix").when((F.col("status") == "completed") & (F.size(done) != len(stages)), "completed_too_early")
+        F.when(at == 0, "unknown_stage").when(~prefix.eqNullSafe(done), "not_a_prefix").when(
+            (F.col("status") == "completed") & (F.size(done) != len(stages)), "completed_too_early",
+        )
         .when((F.col("status") != "completed") & ~F.size(done).isin(0) & ((at < F.size(done)) | (at > F.size(done) + 1)), "stage_out_of_step")
     )
     return executions.withColumn("history_error", error)

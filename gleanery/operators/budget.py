@@ -45,13 +45,19 @@ def greedy(candidates: DataFrame, budgets: DataFrame, reserved: dict[str, int] |
         task: object = fold
         for batch in batches:
             out: list[tuple] = []
-            columns = [batch.column(name).to_pylist() for name in ("task_id", "candidate_id", "artifact_id", "tokens", "characters", "bytes", "excerpt", *LIMITS)]
+            columns = [
+                batch.column(name).to_pylist() for name in (
+                    "task_id", "candidate_id", "artifact_id", "tokens", "characters", "bytes", "excerpt", *LIMITS,
+                )
+            ]
             for this, candidate, artifact, n_tokens, n_characters, n_bytes, excerpt, *limits in zip(*columns, strict=True):
                 if this != task:
                     task, used, artifacts, excerpts, rank = this, list(start), set(), 0, 0
                 most_tokens, most_characters, most_bytes, most_artifacts, most_excerpts, _, most_items = limits
                 sizes = (n_tokens, n_characters, n_bytes)
-                fits = all(m is None or n is not None and u + n <= m for u, n, m in zip(used, sizes, (most_tokens, most_characters, most_bytes), strict=True))
+                fits = all(
+                    m is None or n is not None and u + n <= m for u, n, m in zip(used, sizes, (most_tokens, most_characters, most_bytes), strict=True)
+                )
                 fits = fits and (most_items is None or rank + 1 <= most_items)
                 fits = fits and (most_artifacts is None or artifact in artifacts or len(artifacts) + 1 <= most_artifacts)
                 if fits and (most_excerpts is None or not excerpt or excerpts + 1 <= most_excerpts):

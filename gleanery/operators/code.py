@@ -44,22 +44,40 @@ def _rows(path: str, text: str) -> list[dict]:
                 first = min([child.lineno, *(d.lineno for d in child.decorator_list)])
                 kind = "class" if isinstance(child, ast.ClassDef) else "method" if in_class else "function"
                 body = "\n".join(lines[first - 1 : child.end_lineno])
-                out.append({"tag": "definition", "name": child.name, "qualified": name, "parent": scope, "kind": kind, "text": body, **span(child, first)})
+                out.append(
+                    {"tag": "definition", "name": child.name, "qualified": name, "parent": scope, "kind": kind, "text": body, **span(child, first)}
+                )
                 visit(child, name, kind == "class")
                 continue
             if isinstance(child, ast.Import):
                 for alias in child.names:
-                    out.append({"tag": "import", "name": alias.asname or alias.name, "parent": scope, "target": alias.name, "text": "\n".join(lines[child.lineno - 1 : child.end_lineno]), **span(child)})
+                    out.append(
+                        {
+                            "tag": "import", "name": alias.asname or alias.name, "parent": scope, "target": alias.name,
+                            "text": "\n".join(lines[child.lineno - 1 : child.end_lineno]), **span(child),
+                        }
+                    )
             elif isinstance(child, ast.ImportFrom):
                 for alias in child.names:
                     target = "." * child.level + ".".join(p for p in (child.module, alias.name) if p)
-                    out.append({"tag": "import", "name": alias.asname or alias.name, "parent": scope, "target": target, "text": "\n".join(lines[child.lineno - 1 : child.end_lineno]), **span(child)})
+                    out.append(
+                        {
+                            "tag": "import", "name": alias.asname or alias.name, "parent": scope, "target": target,
+                            "text": "\n".join(lines[child.lineno - 1 : child.end_lineno]), **span(child),
+                        }
+                    )
             elif isinstance(child, ast.Name) and isinstance(child.ctx, ast.Load):
                 out.append({"tag": "reference", "name": child.id, "parent": scope, "target": child.id, **span(child)})
             visit(child, scope, in_class and not isinstance(child, ast.Lambda))
 
     visit(tree, module, False)
-    out.insert(0, {"tag": "module", "name": module.rsplit(".", 1)[-1], "qualified": module, "kind": "module", "start_line": 1, "start_column": 1, "end_line": max(1, len(lines)), "end_column": 1})
+    out.insert(
+        0,
+        {
+            "tag": "module", "name": module.rsplit(".", 1)[-1], "qualified": module, "kind": "module", "start_line": 1,
+            "start_column": 1, "end_line": max(1, len(lines)), "end_column": 1,
+        },
+    )
     return out
 
 
@@ -93,18 +111,35 @@ def python_symbols(parsed: DataFrame, namespace: str) -> DataFrame:
     """Symbols of modules and definitions with their parent; of repeated qualified names the last definition is the parent."""
     own = parsed.filter(F.col("tag").isin("module", "definition")).withColumn("symbol_id", _symbol_id(namespace))
     scopes = own.groupBy("project_id", "path", F.col("qualified").alias("parent")).agg(F.max_by("symbol_id", "seq").alias("parent_symbol_id"))
-    return own.join(scopes, ["project_id", "path", "parent"], "left").select("project_id", "path", "symbol_id", "name", "kind", F.col("qualified").alias("qualified_name"), "parent_symbol_id", "start_line", "start_column", "end_line", "end_column", F.lit("python").alias("language"))
+    return own.join(scopes, ["project_id", "path", "parent"], "left").select(
+        "project_id", "path", "symbol_id", "name", "kind", F.col("qualified").alias("qualified_name"),
+        "parent_symbol_id", "start_line", "start_column", "end_line", "end_column", F.lit("python").alias("language"),
+    )
 
 
 def python_edges(parsed: DataFrame, symbols: DataFrame, namespace: str) -> DataFrame:
     """Raw edges: contains and defines (resolved) to each definition, imports and depends_on to modules, references to names."""
     scopes = parsed.filter(F.col("tag").isin("module", "definition")).withColumn("symbol_id", _symbol_id(namespace))
     scopes = scopes.groupBy("project_id", "path", F.col("qualified").alias("parent")).agg(F.max_by("symbol_id", "seq").alias("source_reference"))
-    rows = parsed.filter(F.col("tag").isin("definition", "import", "reference")).withColumn("own", _symbol_id(namespace)).join(scopes, ["project_id", "path", "parent"])
-    kinds = F.when(F.col("tag") == "definition", F.array(F.lit("contains"), F.lit("defines"))).when(F.col("tag") == "import", F.array(F.lit("imports"), F.lit("depends_on"))).otherwise(F.array(F.lit("references")))
-    target = F.when(F.col("tag") == "definition", F.col("own")).when(F.col("tag") == "import", F.concat(F.lit("python-module:"), "target")).otherwise(F.concat(F.lit("python-name:"), "target"))
-    rows = rows.select("project_id", "path", "seq", "source_reference", target.alias("target_reference"), F.explode(kinds).alias("kind"), F.when(F.col("tag") == "definition", "resolved_internal").otherwise("unresolved").alias("resolution"), "start_line")
-    return rows.withColumn("relationship_id", uuid5(namespace, F.concat_ws(":", "project_id", "path", "kind", F.col("seq").cast("string"), "target_reference")))
+    rows = parsed.filter(
+        F.col("tag").isin("definition", "import", "reference")
+    ).withColumn("own", _symbol_id(namespace)).join(scopes, ["project_id", "path", "parent"])
+    kinds = F.when(
+        F.col("tag") == "definition", F.array(F.lit("contains"), F.lit("defines")),
+    ).when(F.col("tag") == "import", F.array(F.lit("imports"), F.lit("depends_on"))).otherwise(F.array(F.lit("references")))
+    target = F.when(F.col("tag") == "definition", F.col("own")).when(
+        F.col("tag") == "import", F.concat(F.lit("python-module:"), "target"),
+    ).otherwise(F.concat(F.lit("python-name:"), "target"))
+    rows = rows.select(
+        "project_id", "path", "seq", "source_reference", target.alias("target_reference"),
+        F.explode(kinds).alias("kind"),
+        F.when(F.col("tag") == "definition", "resolved_internal").otherwise("unresolved").alias("resolution"),
+        "start_line",
+    )
+    return rows.withColumn(
+        "relationship_id",
+        uuid5(namespace, F.concat_ws(":", "project_id", "path", "kind", F.col("seq").cast("string"), "target_reference")),
+    )
 
 
 def python_units(parsed: DataFrame, max_unit_bytes: int = MAX_UNIT) -> DataFrame:
@@ -113,13 +148,25 @@ def python_units(parsed: DataFrame, max_unit_bytes: int = MAX_UNIT) -> DataFrame
     Bodies over the limit are given line by line.
     """
     count = lambda tag: F.count_if(F.col("tag") == tag).cast("string")
-    summary = parsed.groupBy("project_id", "path").agg(F.max(F.when(F.col("tag") == "module", F.col("qualified"))).alias("m"), count("definition").alias("d"), count("import").alias("i")).filter("m is not null")
-    summary = summary.select("project_id", "path", F.lit(-1).alias("seq"), F.lit("module_summary").alias("kind"), F.lit(1).alias("start_line"), F.concat(F.lit("module "), "m", F.lit("; definitions="), "d", F.lit("; imports="), "i").alias("text"))
-    imports = parsed.filter("tag = 'import'").groupBy("project_id", "path", "start_line").agg(F.min("seq").alias("seq"), F.first("text").alias("text")).select("project_id", "path", "seq", F.lit("import_block").alias("kind"), "start_line", "text")
+    summary = parsed.groupBy("project_id", "path").agg(
+        F.max(F.when(F.col("tag") == "module", F.col("qualified"))).alias("m"), count("definition").alias("d"),
+        count("import").alias("i"),
+    ).filter("m is not null")
+    summary = summary.select(
+        "project_id", "path", F.lit(-1).alias("seq"), F.lit("module_summary").alias("kind"),
+        F.lit(1).alias("start_line"),
+        F.concat(F.lit("module "), "m", F.lit("; definitions="), "d", F.lit("; imports="), "i").alias("text"),
+    )
+    imports = parsed.filter("tag = 'import'").groupBy("project_id", "path", "start_line").agg(F.min("seq").alias("seq"), F.first("text").alias("text")).select(
+        "project_id", "path", "seq", F.lit("import_block").alias("kind"), "start_line", "text",
+    )
     bodies = parsed.filter("tag = 'definition'").select("project_id", "path", "seq", F.lit("symbol_definition").alias("kind"), "start_line", "text")
     rows = summary.unionByName(bodies).unionByName(imports)
     whole = F.array(F.col("text"))
-    rows = rows.select("project_id", "path", "seq", "kind", "start_line", F.posexplode(F.when(F.octet_length("text") > max_unit_bytes, F.split("text", "\n")).otherwise(whole)).alias("k", "text")).filter("text <> ''")
+    rows = rows.select(
+        "project_id", "path", "seq", "kind", "start_line",
+        F.posexplode(F.when(F.octet_length("text") > max_unit_bytes, F.split("text", "\n")).otherwise(whole)).alias("k", "text"),
+    ).filter("text <> ''")
     number = F.row_number().over(Window.partitionBy("project_id", "path").orderBy("seq", "k")) - 1
     return rows.select("project_id", "path", number.alias("ord"), "kind", (F.col("start_line") + F.col("k")).alias("start_line"), "text")
 
@@ -136,10 +183,16 @@ def resolve_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))
     keyed = symbols.select("project_id", "symbol_id", "kind", F.explode(suffixes).alias("key"))
     names = keyed.groupBy("project_id", "key").agg(F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("s"))
-    modules = keyed.filter("kind = 'module'").groupBy("project_id", F.col("key").alias("module_key")).agg(F.count(F.lit(1)).alias("mn"), F.min("symbol_id").alias("ms"))
+    modules = keyed.filter("kind = 'module'").groupBy("project_id", F.col("key").alias("module_key")).agg(
+        F.count(F.lit(1)).alias("mn"), F.min("symbol_id").alias("ms"),
+    )
     target = F.regexp_replace(F.regexp_replace("target_reference", "^python-(module|name):", ""), r"^\.+", "")
-    rows = edges.drop("resolution").withColumn("key", target).withColumn("module_key", F.when(F.col("key").contains("."), F.regexp_replace("key", r"\.[^.]*$", "")))
+    rows = edges.drop("resolution").withColumn("key", target).withColumn(
+        "module_key", F.when(F.col("key").contains("."), F.regexp_replace("key", r"\.[^.]*$", "")),
+    )
     rows = rows.join(names, ["project_id", "key"], "left").join(modules, ["project_id", "module_key"], "left")
     matches = F.coalesce("n", "mn", F.lit(0))
     resolution = F.when(matches == 1, "resolved_internal").when(matches > 1, "ambiguous").otherwise("unresolved")
-    return rows.withColumns({"matches": matches, "resolution": resolution, "target_symbol": F.when(matches == 1, F.coalesce("s", "ms"))}).drop("key", "module_key", "n", "s", "mn", "ms")
+    return rows.withColumns(
+        {"matches": matches, "resolution": resolution, "target_symbol": F.when(matches == 1, F.coalesce("s", "ms"))}
+    ).drop("key", "module_key", "n", "s", "mn", "ms")

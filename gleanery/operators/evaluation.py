@@ -26,7 +26,9 @@ def judged(judgments: DataFrame, selections: DataFrame, strategies: DataFrame) -
     ``strategies`` (strategy_id) is a short list; every case is measured under each of them, also without a selection.
     A single pass: judgments spread over the strategies, joined to the selections by path, aggregated once.
     """
-    gold = judgments.crossJoin(stated(strategies.select("strategy_id").distinct(), 1_000, "strategies")).join(selections.select(*CASE, "path", "rank"), [*CASE, "path"], "left")
+    gold = judgments.crossJoin(
+        stated(strategies.select("strategy_id").distinct(), 1_000, "strategies")
+    ).join(selections.select(*CASE, "path", "rank"), [*CASE, "path"], "left")
     has = F.col("rank").isNotNull()
     level = lambda name: F.col("relevance") == name
     sums = gold.groupBy(*CASE).agg(
@@ -73,7 +75,11 @@ def ndcg(k: int | None = None) -> Column:
     ideal_limit = F.col("n_selected") if k is None else F.lit(k)
     value = lambda gain, rank: (F.pow(F.lit(2.0), gain) - 1) / F.log2(rank + F.lit(1.0))
     actual = F.aggregate(F.filter("found", lambda s: s["rank"] <= limit), F.lit(0.0), lambda a, s: a + value(s["gain"], s["rank"]))
-    ideal = F.aggregate(F.transform(F.slice("gains", F.lit(1), F.greatest(ideal_limit, F.lit(0)).cast("int")), lambda g, i: value(g, i + 1)), F.lit(0.0), lambda a, v: a + v)
+    ideal = F.aggregate(
+        F.transform(
+            F.slice("gains", F.lit(1), F.greatest(ideal_limit, F.lit(0)).cast("int")), lambda g, i: value(g, i + 1)
+        ), F.lit(0.0), lambda a, v: a + v
+    )
     return F.when(F.col("n_selected") == 0, 0.0).otherwise(F.coalesce(F.try_divide(actual, F.when(ideal > 0, ideal)), F.lit(0.0)))
 
 
@@ -86,10 +92,15 @@ def retrieval_metrics(judgments: DataFrame, selections: DataFrame, strategies: D
     """(case_id, strategy_id, metric_name, value) of all metrics."""
     metrics = {
         "required-artifact-recall": recall_by_level(None, "required"), "supporting-artifact-recall": recall_by_level(None, "supporting"), "judged-precision": judged_precision(),
-        **{f"recall-at-{k}": recall_at(k) for k in ks}, "reciprocal-rank": reciprocal_rank(), "ndcg": ndcg(), "complete-evidence": complete_evidence(),
+        **{
+            f"recall-at-{k}": recall_at(k) for k in ks
+        }, "reciprocal-rank": reciprocal_rank(), "ndcg": ndcg(), "complete-evidence": complete_evidence(),
     }
     rows = judged(judgments, selections, strategies)
-    return rows.select(*CASE, F.inline(F.array(*(F.struct(F.lit(n).alias("metric_name"), v.cast("double").alias("value")) for n, v in metrics.items()))))
+    return rows.select(
+        *CASE,
+        F.inline(F.array(*(F.struct(F.lit(n).alias("metric_name"), v.cast("double").alias("value")) for n, v in metrics.items()))),
+    )
 
 
 def context_efficiency(judgments: DataFrame, items: DataFrame, excluded: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -102,18 +113,32 @@ def context_efficiency(judgments: DataFrame, items: DataFrame, excluded: DataFra
     counts = judged(judgments, paths, items.select("strategy_id"))
     size = items.groupBy(*CASE).agg(
         F.count(F.lit(1)).alias("items"), F.countDistinct("path").alias("artifacts"), F.count_if(F.col("type") == "source_excerpt").alias("excerpts"),
-        F.sum(F.octet_length("content")).alias("context_bytes"), F.sum(F.length("content")).alias("characters"), F.max(F.octet_length("content")).alias("largest"),
+        F.sum(
+            F.octet_length("content")
+        ).alias("context_bytes"), F.sum(F.length("content")).alias("characters"), F.max(F.octet_length("content")).alias("largest"),
     )
-    reasons = excluded.groupBy(*CASE, "reason").agg(F.count(F.lit(1)).alias("n")).groupBy(*CASE).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "reason", F.col("n").cast("string")))), ",").alias("exclusions"))
+    reasons = excluded.groupBy(*CASE, "reason").agg(F.count(F.lit(1)).alias("n")).groupBy(*CASE).agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "reason", F.col("n").cast("string")))), ",").alias("exclusions")
+    )
     rows = counts.join(size, CASE, "left").join(reasons, CASE, "left").join(budgets, "case_id", "left")
     tokens = token_estimate(F.coalesce(F.col("characters") + F.col("items") - 1, F.lit(0)))
-    used = [("max_estimated_tokens", tokens), ("max_characters", F.col("characters")), ("max_bytes", F.col("context_bytes")), ("max_artifacts", F.col("artifacts")), ("max_excerpts", F.col("excerpts")), ("max_items", F.col("items")), ("max_item_bytes", F.col("largest"))]
+    used = [
+        ("max_estimated_tokens", tokens), ("max_characters", F.col("characters")),
+        ("max_bytes", F.col("context_bytes")), ("max_artifacts", F.col("artifacts")),
+        ("max_excerpts", F.col("excerpts")), ("max_items", F.col("items")), ("max_item_bytes", F.col("largest")),
+    ]
     ratios = [F.coalesce(F.coalesce(v, F.lit(0)) / F.col(limit), F.lit(0.0)) for limit, v in used if limit in budgets.columns]
     utilization = F.least(F.greatest(F.lit(0.0), F.lit(0.0), *ratios), F.lit(1.0))
     return rows.select(
-        *CASE, recall_by_level(rows, "required").alias("required_retained"), recall_by_level(rows, "supporting").alias("supporting_retained"), judged_precision().alias("context_precision"),
-        F.coalesce(F.try_divide(F.col("irrelevant_selected"), F.col("n_selected")), F.lit(0.0)).alias("irrelevant_ratio"), utilization.alias("budget_utilization"),
-        F.coalesce("context_bytes", F.lit(0)).alias("context_bytes"), tokens.alias("estimated_tokens"), F.coalesce("exclusions", F.lit("")).alias("exclusions"),
+        *CASE, recall_by_level(rows, "required").alias("required_retained"), recall_by_level(rows, "supporting").alias(
+            "supporting_retained"
+        ), judged_precision().alias("context_precision"),
+        F.coalesce(
+            F.try_divide(F.col("irrelevant_selected"), F.col("n_selected")), F.lit(0.0),
+        ).alias("irrelevant_ratio"), utilization.alias("budget_utilization"),
+        F.coalesce(
+            "context_bytes", F.lit(0),
+        ).alias("context_bytes"), tokens.alias("estimated_tokens"), F.coalesce("exclusions", F.lit("")).alias("exclusions"),
     )
 
 
@@ -134,11 +159,20 @@ def baseline(strategy_id: str, candidates: DataFrame, budgets: DataFrame) -> Dat
     The first place of a path counts. Baselines know no limit of excerpts. Candidates come from :func:`lexical_rank`,
     :func:`resolve_explicit` or, for all files, from the paths in their order.
     """
-    first = candidates.groupBy("case_id", "path").agg(F.min("rank").alias("pos"), F.first("bytes").alias("bytes"), F.first("characters").alias("characters"))
-    tried = first.select(F.col("case_id").alias("task_id"), "pos", F.col("path").alias("candidate_id"), F.col("path").alias("artifact_id"), "bytes", "characters", token_estimate(F.col("characters")).alias("tokens"), F.lit(False).alias("is_excerpt"))
+    first = candidates.groupBy("case_id", "path").agg(
+        F.min("rank").alias("pos"), F.first("bytes").alias("bytes"), F.first("characters").alias("characters"),
+    )
+    tried = first.select(
+        F.col("case_id").alias("task_id"), "pos", F.col("path").alias("candidate_id"),
+        F.col("path").alias("artifact_id"), "bytes", "characters", token_estimate(F.col("characters")).alias("tokens"),
+        F.lit(False).alias("is_excerpt"),
+    )
     limits = budgets.withColumnRenamed("case_id", "task_id")
     chosen = greedy(tried, limits).filter("fits")
-    return chosen.select(F.col("task_id").alias("case_id"), F.lit(strategy_id).alias("strategy_id"), F.col("candidate_id").alias("path"), F.col("selected_rank").alias("rank"))
+    return chosen.select(
+        F.col("task_id").alias("case_id"), F.lit(strategy_id).alias("strategy_id"), F.col("candidate_id").alias("path"),
+        F.col("selected_rank").alias("rank"),
+    )
 
 
 def aggregate_metrics(metrics: DataFrame) -> DataFrame:
@@ -148,8 +182,12 @@ def aggregate_metrics(metrics: DataFrame) -> DataFrame:
 def baseline_deltas(metrics: DataFrame, primary: str, prefix: str = "baseline-") -> DataFrame:
     """(case_id, metric_name, baseline_id, delta): the primary strategy's value minus each baseline's."""
     ours = metrics.filter(F.col("strategy_id") == primary).select("case_id", "metric_name", F.col("value").alias("ours"))
-    theirs = metrics.filter(F.col("strategy_id").startswith(prefix)).select("case_id", "metric_name", F.col("strategy_id").alias("baseline_id"), "value")
-    return theirs.join(ours, ["case_id", "metric_name"]).select("case_id", "metric_name", "baseline_id", (F.col("ours") - F.col("value")).alias("delta"))
+    theirs = metrics.filter(F.col("strategy_id").startswith(prefix)).select(
+        "case_id", "metric_name", F.col("strategy_id").alias("baseline_id"), "value",
+    )
+    return theirs.join(ours, ["case_id", "metric_name"]).select(
+        "case_id", "metric_name", "baseline_id", (F.col("ours") - F.col("value")).alias("delta"),
+    )
 
 
 def repeated_metrics(metrics: DataFrame) -> DataFrame:
@@ -160,7 +198,9 @@ def repeated_metrics(metrics: DataFrame) -> DataFrame:
 def regression_gate(aggregates: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(strategy_id, metric_name, failure) where an aggregate is missing, or outside minimum and maximum (both allowed)."""
     rows = thresholds.join(aggregates.select("strategy_id", "metric_name", "mean"), ["strategy_id", "metric_name"], "left")
-    failure = F.when(F.col("mean").isNull(), "missing").when(F.col("mean") < F.col("minimum"), "below_minimum").when(F.col("mean") > F.col("maximum"), "above_maximum")
+    failure = F.when(F.col("mean").isNull(), "missing").when(
+        F.col("mean") < F.col("minimum"), "below_minimum",
+    ).when(F.col("mean") > F.col("maximum"), "above_maximum")
     return rows.select("strategy_id", "metric_name", failure.alias("failure")).filter("failure is not null")
 
 
@@ -178,7 +218,10 @@ def unknown_cases(cases: DataFrame, ids: DataFrame) -> DataFrame:
 def artifact_estimates(contents: DataFrame) -> DataFrame:
     """(path, bytes, characters, tokens) of contents; invalid bytes count as one replacement character each."""
     characters = F.length(F.make_valid_utf8(F.col("content").cast("string")))
-    return contents.select("path", F.octet_length(F.col("content").cast("binary")).cast("long").alias("bytes"), characters.cast("long").alias("characters"), token_estimate(characters).alias("tokens"))
+    return contents.select(
+        "path", F.octet_length(F.col("content").cast("binary")).cast("long").alias("bytes"),
+        characters.cast("long").alias("characters"), token_estimate(characters).alias("tokens"),
+    )
 
 
 def changed_path_metrics(before: DataFrame, after: DataFrame, expected: DataFrame) -> DataFrame:
@@ -187,6 +230,9 @@ def changed_path_metrics(before: DataFrame, after: DataFrame, expected: DataFram
     a, b = before.select(*keys, F.col("digest").alias("was")), after.select(*keys, F.col("digest").alias("now"))
     changed = a.join(b, keys, "full_outer").filter(~F.col("was").eqNullSafe(F.col("now"))).select(*keys, F.lit(1).alias("c"))
     both = changed.join(expected.select(*keys, F.lit(1).alias("e")).distinct(), keys, "full_outer")
-    sums = both.groupBy("case_id").agg(F.count("c").alias("changed"), F.count("e").alias("expected"), F.count_if(F.col("c").isNotNull() & F.col("e").isNotNull()).alias("hits"))
+    sums = both.groupBy("case_id").agg(
+        F.count("c").alias("changed"), F.count("e").alias("expected"),
+        F.count_if(F.col("c").isNotNull() & F.col("e").isNotNull()).alias("hits"),
+    )
     exact = (F.col("hits") == F.col("changed")) & (F.col("hits") == F.col("expected"))
     return sums.select("*", F.coalesce(F.try_divide(F.col("hits"), F.col("expected")), F.lit(1.0)).alias("recall"), exact.alias("exact"))

@@ -21,17 +21,26 @@ def route_artifacts(artifacts: DataFrame, contents: DataFrame, allow_sensitive:
 
     ``contents`` has project_id, path, content; only its digest and size take part in the join.
     """
-    sized = contents.select("project_id", "path", content_fingerprint(F.col("content")).alias("__seen"), F.octet_length(F.col("content").cast("binary")).alias("__bytes"))
+    sized = contents.select(
+        "project_id", "path", content_fingerprint(F.col("content")).alias("__seen"),
+        F.octet_length(F.col("content").cast("binary")).alias("__bytes"),
+    )
     rows = artifacts.join(sized, ["project_id", "path"], "left")
     has = lambda label: F.array_contains("classifications", label)
     route = (
-        F.when(F.col("ignore_action") != "include", "skipped:not_included").when(has("binary"), "skipped:binary").when(F.col("kind") == "directory", "metadata:directory")
+        F.when(
+            F.col("ignore_action") != "include", "skipped:not_included",
+        ).when(has("binary"), "skipped:binary").when(F.col("kind") == "directory", "metadata:directory")
         .when(has("sensitive") & ~F.lit(allow_sensitive), "skipped:sensitive").when(F.col("__seen").isNull(), "failed:missing_content")
-        .when(F.col("__seen") != F.col("content_fingerprint"), "failed:fingerprint_mismatch").when(F.col("__bytes") > max_content_bytes, "metadata:too_large")
+        .when(
+            F.col("__seen") != F.col("content_fingerprint"), "failed:fingerprint_mismatch",
+        ).when(F.col("__bytes") > max_content_bytes, "metadata:too_large")
         .when(F.col("detected_language") == "python", "indexed:python").otherwise("indexed:generic")
     )
     parts = F.split(route, ":")
-    return rows.withColumns({"state": parts[0], "strategy": F.when(parts[0] == "indexed", parts[1]), "diagnostic": F.when(parts[0] != "indexed", parts[1])}).drop("__seen", "__bytes")
+    return rows.withColumns(
+        {"state": parts[0], "strategy": F.when(parts[0] == "indexed", parts[1]), "diagnostic": F.when(parts[0] != "indexed", parts[1])}
+    ).drop("__seen", "__bytes")
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())])))
@@ -76,23 +85,36 @@ def text_units(contents: DataFrame, max_content_bytes: int = MAX_CONTENT, max_un
     pieces = lines.select("project_id", "path", "n", F.posexplode(F.when(F.col("long"), F.col("pieces")).otherwise(one)).alias("k", "piece"))
     number = F.row_number().over(Window.partitionBy("project_id", "path").orderBy("n", "k")) - 1
     start = F.col("piece.start") + 1
-    return pieces.select("project_id", "path", number.alias("ord"), (F.col("n") + 1).alias("start_line"), start.alias("start_column"), (F.col("n") + 1).alias("end_line"), (start + F.length("piece.text") - 1).alias("end_column"), F.col("piece.text").alias("text"))
+    return pieces.select(
+        "project_id", "path", number.alias("ord"), (F.col("n") + 1).alias("start_line"), start.alias("start_column"),
+        (F.col("n") + 1).alias("end_line"), (start + F.length("piece.text") - 1).alias("end_column"),
+        F.col("piece.text").alias("text"),
+    )
 
 
 def text_diagnostics(contents: DataFrame, max_content_bytes: int = MAX_CONTENT) -> DataFrame:
     """(project_id, path, code) of contents that aren't UTF-8 or are cut."""
     prefix = _valid_prefix(F.col("content"), max_content_bytes)
-    code = F.when(prefix.isNull(), "INDEX_INVALID_ENCODING").when(F.octet_length(F.col("content").cast("binary")) > max_content_bytes, "INDEX_TRUNCATED")
+    code = F.when(prefix.isNull(), "INDEX_INVALID_ENCODING").when(
+        F.octet_length(F.col("content").cast("binary")) > max_content_bytes, "INDEX_TRUNCATED",
+    )
     return contents.filter("content is not null").select("project_id", "path", code.alias("code")).filter("code is not null")
 
 
-def index_statistics(routed: DataFrame, units: DataFrame | None = None, symbols: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+def index_statistics(
+    routed: DataFrame, units: DataFrame | None = None, symbols: DataFrame | None = None, edges: DataFrame | None = None,
+) -> DataFrame:
     """Counts and status of the index per project. Each table is counted before it is joined."""
     state = lambda s: F.count_if(F.col("state") == s)
-    out = routed.groupBy("project_id").agg(F.count(F.lit(1)).alias("evaluated"), state("indexed").alias("indexed"), state("skipped").alias("skipped"), state("metadata").alias("metadata_only"), state("failed").alias("failures"))
+    out = routed.groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("evaluated"), state("indexed").alias("indexed"), state("skipped").alias("skipped"),
+        state("metadata").alias("metadata_only"), state("failed").alias("failures"),
+    )
     for name, table in (("units", units), ("symbols", symbols), ("edges", edges)):
         if table is not None:
-            out = out.join(table.groupBy("project_id").agg(F.count(F.lit(1)).alias(name)), "project_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+            out = out.join(
+                table.groupBy("project_id").agg(F.count(F.lit(1)).alias(name)), "project_id", "left",
+            ).withColumn(name, F.coalesce(name, F.lit(0)))
     status = F.when(F.col("evaluated") == F.col("failures"), "failed").when(F.col("failures") > 0, "incomplete").otherwise("complete")
     return out.withColumn("status", status)
 
@@ -147,7 +169,9 @@ def find_relationships(edges: DataFrame, references: DataFrame) -> DataFrame:
 def stale_indexes(indexes: DataFrame, inventories: DataFrame) -> DataFrame:
     """Projects whose index has another inventory_id or project_fingerprint than their inventory, or none."""
     keys = ["inventory_id", "project_fingerprint"]
-    rows = inventories.select("project_id", F.struct(*keys).alias("now")).join(indexes.select("project_id", F.struct(*keys).alias("was")), "project_id", "left")
+    rows = inventories.select("project_id", F.struct(*keys).alias("now")).join(
+        indexes.select("project_id", F.struct(*keys).alias("was")), "project_id", "left",
+    )
     return rows.filter(~F.col("now").eqNullSafe(F.col("was"))).select("project_id")
 
 
@@ -162,7 +186,11 @@ def check_index(artifacts: DataFrame, symbols: DataFrame, units: DataFrame, edge
         rows = df.join(artifacts.select("artifact_id").distinct(), "artifact_id", "left_anti")
         return rows.select(F.lit("UNKNOWN_ARTIFACT").alias("code"), F.lit(name).alias("table"), F.col(key).cast("string").alias("id"))
 
-    found = [repeated(artifacts, "artifacts", "artifact_id"), repeated(symbols, "symbols", "symbol_id"), repeated(units, "units", "unit_id"), repeated(edges, "edges", "relationship_id"), orphans(symbols, "symbols", "symbol_id"), orphans(units, "units", "unit_id")]
+    found = [
+        repeated(artifacts, "artifacts", "artifact_id"), repeated(symbols, "symbols", "symbol_id"),
+        repeated(units, "units", "unit_id"), repeated(edges, "edges", "relationship_id"),
+        orphans(symbols, "symbols", "symbol_id"), orphans(units, "units", "unit_id"),
+    ]
     if {"start_line", "end_line", "start_column", "end_column"} <= set(units.columns):
         bad = units.filter(F.struct("end_line", "end_column") < F.struct("start_line", "start_column"))
         found.append(bad.select(F.lit("INVALID_LOCATION").alias("code"), F.lit("units").alias("table"), F.col("unit_id").cast("string").alias("id")))

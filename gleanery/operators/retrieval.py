@@ -16,15 +16,24 @@ from .budget import greedy
 
 # ---------------------------------------------------------------------------------------------------------------
 # Weights of edges, score components and candidate types; reasons; words of current and past behaviour.
-EDGE_WEIGHTS = {"imports": 0.95, "depends_on": 1.0, "extends": 0.9, "implements": 0.9, "calls": 0.8, "references": 0.7, "configures": 0.85, "tests": 0.8, "documents": 0.6}
+EDGE_WEIGHTS = {
+    "imports": 0.95, "depends_on": 1.0, "extends": 0.9, "implements": 0.9, "calls": 0.8, "references": 0.7,
+    "configures": 0.85, "tests": 0.8, "documents": 0.6,
+}
 SCORE_WEIGHTS = {
     "explicit_reference": 1.0, "path_match": 0.9, "symbol_match": 0.9, "lexical_relevance": 0.7, "structural_relevance": 0.7,
     "dependency_distance": 0.6, "artifact_priority": 0.4, "sensitivity_penalty": 1.0, "generated_penalty": 0.5,
 }
 COMPONENTS = list(SCORE_WEIGHTS)
 PENALTIES = ["sensitivity_penalty", "generated_penalty"]
-TYPE_PRIORITY = {"full_artifact": 1.0, "symbol_definition": 0.95, "structural_unit": 0.9, "source_excerpt": 0.85, "test_artifact": 0.75, "configuration_block": 0.8, "manifest_section": 0.75, "documentation_section": 0.6}
-MANDATORY_REASONS = ["explicit_path_reference", "explicit_symbol_reference", "error_location_reference", "exact_path_match", "exact_symbol_match", "required_context", "user_provided_context"]
+TYPE_PRIORITY = {
+    "full_artifact": 1.0, "symbol_definition": 0.95, "structural_unit": 0.9, "source_excerpt": 0.85,
+    "test_artifact": 0.75, "configuration_block": 0.8, "manifest_section": 0.75, "documentation_section": 0.6,
+}
+MANDATORY_REASONS = [
+    "explicit_path_reference", "explicit_symbol_reference", "error_location_reference", "exact_path_match",
+    "exact_symbol_match", "required_context", "user_provided_context",
+]
 CURRENT_TERMS = ["active", "current", "production", "runtime"]
 HISTORICAL_MARKS = ["archive", "deprecated", "historical", "legacy"]
 BROAD_TERMS = ["codebase", "project", "repository"]
@@ -42,21 +51,37 @@ def resolve_explicit(terms: DataFrame, artifacts: DataFrame, symbols: DataFrame)
     with it; a symbol by folded name or qualified name, unless it looks like a file. One match is selected, several
     are ambiguous (deferred), none is not_found. ``target`` is the artifact_id or symbol_id, null unless selected.
     """
-    named = terms.filter(F.col("kind").isin("path", "filename", "symbol")).select("task_id", "kind", F.col("original").alias("reference"), F.col("normalized").alias("key"))
-    tails = named.filter("kind = 'path'").select("task_id", F.lit("filename").alias("kind"), F.element_at(F.split("key", "/"), -1).alias("key")).distinct()
+    named = terms.filter(F.col("kind").isin("path", "filename", "symbol")).select(
+        "task_id", "kind", F.col("original").alias("reference"), F.col("normalized").alias("key"),
+    )
+    tails = named.filter("kind = 'path'").select(
+        "task_id", F.lit("filename").alias("kind"), F.element_at(F.split("key", "/"), -1).alias("key"),
+    ).distinct()
     files = artifacts.select("artifact_id", "path", fold(F.col("path")).alias("folded"))
     named = named.join(tails, ["task_id", "kind", "key"], "left_anti")
     named = named.filter(~((F.col("kind") == "symbol") & F.col("key").rlike(r"(/|\.(py|md|toml|json|js|ts|txt|ya?ml|cfg|ini)$)")))
-    paths = named.filter("kind = 'path'").join(files, F.col("key") == F.col("folded")).select("task_id", "kind", "reference", F.col("artifact_id").alias("target"), F.when(F.col("reference") == F.col("path"), 0).otherwise(1).alias("priority"))
-    names = named.filter("kind = 'filename'").join(files.withColumn("last", F.element_at(F.split("folded", "/"), -1)), F.col("key") == F.col("last")).select("task_id", "kind", "reference", F.col("artifact_id").alias("target"), F.lit(0).alias("priority"))
+    paths = named.filter("kind = 'path'").join(files, F.col("key") == F.col("folded")).select(
+        "task_id", "kind", "reference", F.col("artifact_id").alias("target"),
+        F.when(F.col("reference") == F.col("path"), 0).otherwise(1).alias("priority"),
+    )
+    names = named.filter("kind = 'filename'").join(
+        files.withColumn("last", F.element_at(F.split("folded", "/"), -1)), F.col("key") == F.col("last"),
+    ).select("task_id", "kind", "reference", F.col("artifact_id").alias("target"), F.lit(0).alias("priority"))
     keyed = symbols.select("symbol_id", F.explode(F.array_distinct(F.array(fold(F.col("name")), fold(F.col("qualified_name"))))).alias("key"))
-    defined = named.filter("kind = 'symbol'").join(keyed, "key").select("task_id", "kind", "reference", F.col("symbol_id").alias("target"), F.lit(0).alias("priority"))
-    found = paths.unionByName(names).unionByName(defined).groupBy("task_id", "kind", "reference", "priority").agg(F.countDistinct("target").alias("matches"), F.min("target").alias("target"))
+    defined = named.filter("kind = 'symbol'").join(keyed, "key").select(
+        "task_id", "kind", "reference", F.col("symbol_id").alias("target"), F.lit(0).alias("priority"),
+    )
+    found = paths.unionByName(names).unionByName(defined).groupBy("task_id", "kind", "reference", "priority").agg(
+        F.countDistinct("target").alias("matches"), F.min("target").alias("target"),
+    )
     found = found.groupBy("task_id", "kind", "reference").agg(F.min_by(F.struct("matches", "target"), "priority").alias("m"))
     out = named.select("task_id", "kind", "reference").distinct().join(found, ["task_id", "kind", "reference"], "left")
     matches = F.coalesce("m.matches", F.lit(0))
     outcome = F.when(matches == 0, "not_found").when(matches == 1, "selected").otherwise("ambiguous")
-    return out.select("task_id", "kind", "reference", outcome.alias("outcome"), matches.alias("matches"), F.when(matches == 1, F.col("m.target")).alias("target"))
+    return out.select(
+        "task_id", "kind", "reference", outcome.alias("outcome"), matches.alias("matches"),
+        F.when(matches == 1, F.col("m.target")).alias("target"),
+    )
 
 
 # --- Lexical ranking -------------------------------------------------------------------------------------------
@@ -90,7 +115,9 @@ def lexical_rank(tasks: DataFrame, units: DataFrame) -> DataFrame:
     found = hits.join(by_path, keys, "full_outer").join(by_phrase, keys, "full_outer")
     found = found.join(asked.select("task_id", "n_terms").distinct(), "task_id").join(sizes.select("unit_id", "n_tokens"), "unit_id")
     frequency = F.coalesce("occurrences", F.lit(0)) / F.greatest("n_tokens", F.lit(1))
-    score = F.coalesce("matched", F.lit(0)) / F.col("n_terms") + F.least(frequency, F.lit(1.0)) * 0.25 + F.when(F.col("in_phrase"), 0.25).otherwise(0.0) + F.when(F.col("in_path"), 0.15).otherwise(0.0)
+    score = F.coalesce("matched", F.lit(0)) / F.col("n_terms") + F.least(frequency, F.lit(1.0)) * 0.25 + F.when(
+        F.col("in_phrase"), 0.25,
+    ).otherwise(0.0) + F.when(F.col("in_path"), 0.15).otherwise(0.0)
     found = found.select(*keys, F.round(score, 8).alias("score"))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("score"), "unit_id")))
 
@@ -106,18 +133,24 @@ def structural_candidates(roots: DataFrame, symbols: DataFrame, units: DataFrame
     imports; ``seq`` numbers a task's units by role, place and id. Units have unit_id, ord and symbol_ids.
     """
     by_name = symbols.select(fold(F.col("name")).alias("key"), F.col("symbol_id"), F.col("parent_symbol_id"))
-    front = roots.select("task_id", fold(F.col("name")).alias("key")).join(by_name, "key").select("task_id", "symbol_id", "parent_symbol_id").distinct()
+    front = roots.select(
+        "task_id", fold(F.col("name")).alias("key"),
+    ).join(by_name, "key").select("task_id", "symbol_id", "parent_symbol_id").distinct()
     chain = front.select("task_id", "symbol_id", F.lit(0).alias("role"))
     parents = symbols.select(F.col("symbol_id"), F.col("parent_symbol_id"))
     while True:
         up = front.filter("parent_symbol_id is not null").select("task_id", F.col("parent_symbol_id").alias("symbol_id")).distinct()
-        front = checkpointed(up.join(chain, ["task_id", "symbol_id"], "left_anti").join(parents, "symbol_id").select("task_id", "symbol_id", "parent_symbol_id"))
+        front = checkpointed(
+            up.join(chain, ["task_id", "symbol_id"], "left_anti").join(parents, "symbol_id").select("task_id", "symbol_id", "parent_symbol_id")
+        )
         if front.isEmpty():
             break
         chain = checkpointed(chain.unionByName(front.select("task_id", "symbol_id", F.lit(1).alias("role"))))
     imported = edges.filter("kind = 'imports'").select(F.col("source_reference").alias("symbol_id"), F.col("unit_id"))
     held = units.select("unit_id", F.explode("symbol_ids").alias("symbol_id"))
-    rows = chain.join(held, "symbol_id").select("task_id", "unit_id", "role").unionByName(chain.join(imported, "symbol_id").select("task_id", "unit_id", F.lit(2).alias("role")))
+    rows = chain.join(held, "symbol_id").select("task_id", "unit_id", "role").unionByName(
+        chain.join(imported, "symbol_id").select("task_id", "unit_id", F.lit(2).alias("role"))
+    )
     best = rows.groupBy("task_id", "unit_id").agg(F.min("role").alias("r")).join(units.select("unit_id", "ord"), "unit_id")
     seq = F.row_number().over(Window.partitionBy("task_id").orderBy("r", "ord", "unit_id"))
     role = F.get(F.array(F.lit("definition"), F.lit("scope"), F.lit("imports")), F.col("r"))
@@ -140,18 +173,29 @@ def dependency_traversal(
     weight = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
     usable = edges.filter((F.col("resolution") == "resolved_internal") & F.col("kind").isin(list(weights)))
     place = F.row_number().over(Window.partitionBy("source_reference").orderBy("kind", "target_reference", "relationship_id"))
-    out = usable.withColumn("place", place).filter(F.col("place") <= max_fan_out).select("source_reference", "target_reference", "kind", "place", weight[F.col("kind")].alias("edge_weight"))
+    out = usable.withColumn("place", place).filter(F.col("place") <= max_fan_out).select(
+        "source_reference", "target_reference", "kind", "place", weight[F.col("kind")].alias("edge_weight"),
+    )
     start = seeds.groupBy("task_id", "reference").agg(F.min("pos").alias("pos"))
     # ``trail`` orders nodes of a depth as the queue would: by the trail of what led there, then the edge's place.
-    front = start.select("task_id", F.col("reference").alias("node"), F.col("reference").alias("seed"), F.array(F.col("pos").cast("int")).alias("trail"), F.lit(1.0).alias("total"), F.array("reference").alias("path"))
+    front = start.select(
+        "task_id", F.col("reference").alias("node"), F.col("reference").alias("seed"),
+        F.array(F.col("pos").cast("int")).alias("trail"), F.lit(1.0).alias("total"), F.array("reference").alias("path"),
+    )
     visited = start.select("task_id", F.col("reference").alias("node"))
     found = None
     for depth in range(max_depth):
         step = front.join(out, F.col("node") == F.col("source_reference"))
         total = F.round(F.col("total") * F.col("edge_weight") * (decay if depth else 1.0), 8)
-        step = step.select("task_id", F.col("target_reference").alias("node"), "seed", F.concat("trail", F.array("place")).alias("trail"), total.alias("total"), F.concat("path", F.array("target_reference")).alias("path"), "kind")
+        step = step.select(
+            "task_id", F.col("target_reference").alias("node"), "seed",
+            F.concat("trail", F.array("place")).alias("trail"), total.alias("total"),
+            F.concat("path", F.array("target_reference")).alias("path"), "kind",
+        )
         step = step.join(visited, ["task_id", "node"], "left_anti")
-        firsts = step.groupBy("task_id", "node").agg(F.min_by(F.struct("seed", "trail", "total", "path", "kind"), "trail").alias("s")).select("task_id", "node", "s.*")
+        firsts = step.groupBy("task_id", "node").agg(
+            F.min_by(F.struct("seed", "trail", "total", "path", "kind"), "trail").alias("s")
+        ).select("task_id", "node", "s.*")
         firsts = checkpointed(firsts.withColumn("depth", F.lit(depth + 1)))
         found = firsts if found is None else found.unionByName(firsts)
         visited = visited.unionByName(firsts.select("task_id", "node"))
@@ -159,10 +203,15 @@ def dependency_traversal(
     known = found.join(entities.select(F.col("reference").alias("node")).distinct(), "node", "left_semi")
     order = Window.partitionBy("task_id").orderBy("depth", "trail")
     ranked = known.withColumn("seq", F.row_number().over(order)).filter(F.col("seq") <= max_candidates)
-    return ranked.select("task_id", F.col("node").alias("target"), "seed", "depth", "kind", F.col("total").alias("weight"), F.array_join("path", ">").alias("path"), "seq")
+    return ranked.select(
+        "task_id", F.col("node").alias("target"), "seed", "depth", "kind", F.col("total").alias("weight"),
+        F.array_join("path", ">").alias("path"), "seq",
+    )
 
 
-def dependency_closure(primary: DataFrame, traversal: DataFrame, eligible: DataFrame, max_additions: int = 20, least_weight: float = 0.5) -> DataFrame:
+def dependency_closure(
+    primary: DataFrame, traversal: DataFrame, eligible: DataFrame, max_additions: int = 20, least_weight: float = 0.5,
+) -> DataFrame:
     """(task_id, target, weight, place, outcome): dependencies that the selected items cannot do without.
 
     ``primary`` holds (task_id, reference) of what is selected. Kept are targets whose last edge is of a structural kind,
@@ -172,7 +221,9 @@ def dependency_closure(primary: DataFrame, traversal: DataFrame, eligible: DataF
     rows = traversal.filter(F.col("kind").isin(CLOSURE_KINDS) & (F.col("weight") >= least_weight))
     rows = rows.join(primary.select("task_id", F.col("reference").alias("seed")).distinct(), ["task_id", "seed"], "left_semi")
     rows = rows.join(primary.select("task_id", F.col("reference").alias("target")).distinct(), ["task_id", "target"], "left_anti")
-    rows = rows.join(eligible.select(F.col("reference").alias("target"), F.lit(True).alias("ok")).distinct(), "target", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    rows = rows.join(
+        eligible.select(F.col("reference").alias("target"), F.lit(True).alias("ok")).distinct(), "target", "left",
+    ).withColumn("ok", F.coalesce("ok", F.lit(False)))
     place = F.row_number().over(Window.partitionBy("task_id", "ok").orderBy(F.desc("weight"), "target"))
     outcome = F.when(~F.col("ok"), "ineligible").when(F.col("place") > max_additions, "over_limit").otherwise("mandatory")
     return rows.withColumn("place", place).select("task_id", "target", "weight", "place", outcome.alias("outcome"))
@@ -181,32 +232,56 @@ def dependency_closure(primary: DataFrame, traversal: DataFrame, eligible: DataF
 # --- Eligibility and scores ------------------------------------------------------------------------------------
 
 
-def filter_eligibility(candidates: DataFrame, indexed: DataFrame, records: DataFrame, allow_sensitive: bool = False, generated: str = "deprioritize") -> DataFrame:
+def filter_eligibility(
+    candidates: DataFrame, indexed: DataFrame, records: DataFrame, allow_sensitive: bool = False,
+    generated: str = "deprioritize",
+) -> DataFrame:
     """Adds eligibility and reason, and evidence of a penalty for generated files.
 
     ``indexed`` has artifact_id; ``records`` artifact_id, classifications, availability. ``generated`` is keep,
     deprioritize or exclude.
     """
     rows = candidates.join(indexed.select("artifact_id", F.lit(True).alias("__indexed")).distinct(), "artifact_id", "left")
-    rows = rows.join(records.select("artifact_id", F.col("classifications").alias("__labels"), F.col("availability").alias("__state")), "artifact_id", "left")
+    rows = rows.join(
+        records.select("artifact_id", F.col("classifications").alias("__labels"), F.col("availability").alias("__state")),
+        "artifact_id", "left",
+    )
     has = lambda label: F.coalesce(F.array_contains("__labels", label), F.lit(False))
     reason = (
-        F.when(F.col("__indexed").isNull(), "unavailable:not_indexed").when(F.col("__labels").isNull(), "eligible:no_record").when(has("sensitive") & ~F.lit(allow_sensitive), "prohibited:sensitive")
-        .when(has("binary"), "unavailable:binary").when(F.coalesce(F.col("__state"), F.lit("available")) != "available", F.concat(F.lit("unavailable:"), F.col("__state")))
-        .when(has("generated") & (F.lit(generated) == "exclude"), "ineligible:generated").when(has("generated") & (F.lit(generated) == "deprioritize"), "eligible:generated_penalty").otherwise("eligible:clean")
+        F.when(F.col("__indexed").isNull(), "unavailable:not_indexed").when(F.col("__labels").isNull(), "eligible:no_record").when(
+            has("sensitive") & ~F.lit(allow_sensitive), "prohibited:sensitive",
+        )
+        .when(has("binary"), "unavailable:binary").when(
+            F.coalesce(F.col("__state"), F.lit("available")) != "available",
+            F.concat(F.lit("unavailable:"), F.col("__state")),
+        )
+        .when(has("generated") & (F.lit(generated) == "exclude"), "ineligible:generated").when(
+            has("generated") & (F.lit(generated) == "deprioritize"), "eligible:generated_penalty",
+        ).otherwise("eligible:clean")
     )
     rows = rows.withColumn("__reason", F.split(reason, ":"))
-    penalty = F.array(F.struct(F.lit("generated-penalty").alias("type"), F.lit("eligibility").alias("source"), F.lit("Generated file.").alias("detail"), F.lit(1.0).alias("weight")))
+    penalty = F.array(
+        F.struct(
+            F.lit("generated-penalty").alias("type"), F.lit("eligibility").alias("source"),
+            F.lit("Generated file.").alias("detail"), F.lit(1.0).alias("weight"),
+        )
+    )
     evidence = F.when(F.col("__reason")[1] == "generated_penalty", F.concat("evidence", penalty)).otherwise(F.col("evidence"))
-    return rows.withColumns({"eligibility": F.col("__reason")[0], "eligibility_reason": F.col("__reason")[1], "evidence": evidence}).drop("__indexed", "__labels", "__state", "__reason")
+    return rows.withColumns(
+        {"eligibility": F.col("__reason")[0], "eligibility_reason": F.col("__reason")[1], "evidence": evidence}
+    ).drop("__indexed", "__labels", "__state", "__reason")
 
 
 def component_of(evidence_type: Column) -> Column:
     """Score component of an evidence type, by the first rule that holds: "path" comes before "dependency"."""
     v = F.lower(evidence_type)
     return (
-        F.when(v.startswith("explicit-"), "explicit_reference").when(v.contains("path"), "path_match").when(v.contains("symbol"), "symbol_match").when(v.contains("lexical"), "lexical_relevance")
-        .when(v.contains("structural"), "structural_relevance").when(v.contains("dependency") | v.contains("relationship"), "dependency_distance").when(v.contains("generated"), "generated_penalty")
+        F.when(
+            v.startswith("explicit-"), "explicit_reference",
+        ).when(v.contains("path"), "path_match").when(v.contains("symbol"), "symbol_match").when(v.contains("lexical"), "lexical_relevance")
+        .when(v.contains("structural"), "structural_relevance").when(
+            v.contains("dependency") | v.contains("relationship"), "dependency_distance",
+        ).when(v.contains("generated"), "generated_penalty")
         .when(v.contains("sensitive") | v.contains("security"), "sensitivity_penalty")
     )
 
@@ -217,26 +292,42 @@ def score_candidates(candidates: DataFrame, weights: Mapping[str, float] = SCORE
     A component is the largest weight of its evidence, between 0 and 1; reasons set some to 1; penalties are
     subtracted. Raw scores are scaled to the least and largest of the task, which are aggregated first.
     """
-    each = F.filter(F.transform("evidence", lambda e: F.struct(component_of(e["type"]).alias("c"), F.least(F.greatest(F.coalesce(e["weight"], F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("v"))), lambda e: e["c"].isNotNull())
+    each = F.filter(
+        F.transform(
+            "evidence", lambda e: F.struct(
+                component_of(e["type"]).alias("c"),
+                F.least(F.greatest(F.coalesce(e["weight"], F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("v"),
+            )
+        ), lambda e: e["c"].isNotNull()
+    )
     rows = candidates.withColumn("__e", each)
     top = lambda name: F.coalesce(F.array_max(F.transform(F.filter("__e", lambda e: e["c"] == name), lambda e: e["v"])), F.lit(0.0))
     priority = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in TYPE_PRIORITY.items() for x in pair)), F.col("type")), F.lit(0.5))
     reason = F.coalesce("reason", F.lit(""))
     value = {name: top(name) for name in COMPONENTS}
-    value["explicit_reference"] = F.when(reason.isin("explicit_path_reference", "explicit_symbol_reference"), 1.0).otherwise(value["explicit_reference"])
+    value["explicit_reference"] = F.when(
+        reason.isin("explicit_path_reference", "explicit_symbol_reference"), 1.0,
+    ).otherwise(value["explicit_reference"])
     value["path_match"] = F.when(reason.isin("exact_path_match", "partial_path_match"), 1.0).otherwise(value["path_match"])
     value["symbol_match"] = F.when(reason == "exact_symbol_match", 1.0).otherwise(value["symbol_match"])
     value["artifact_priority"] = priority
-    value["sensitivity_penalty"] = F.when((F.col("eligibility") == "prohibited") | (reason == "security_prohibited"), 1.0).otherwise(value["sensitivity_penalty"])
+    value["sensitivity_penalty"] = F.when(
+        (F.col("eligibility") == "prohibited") | (reason == "security_prohibited"), 1.0,
+    ).otherwise(value["sensitivity_penalty"])
     raw = F.lit(0.0)
     for name in COMPONENTS:
         raw = raw + value[name] * (-weights[name] if name in PENALTIES else weights[name])
     rows = rows.select("task_id", "candidate_id", F.round(raw, 8).alias("raw_score"))
     ends = rows.groupBy("task_id").agg(F.min("raw_score").alias("low"), F.max("raw_score").alias("high"))
     rows = rows.join(ends, "task_id")
-    scaled = F.when(F.col("high") == F.col("low"), F.when(F.col("raw_score") > 0, 1.0).otherwise(0.0)).otherwise(F.round(F.try_divide(F.col("raw_score") - F.col("low"), F.col("high") - F.col("low")), 8))
+    scaled = F.when(F.col("high") == F.col("low"), F.when(F.col("raw_score") > 0, 1.0).otherwise(0.0)).otherwise(
+        F.round(F.try_divide(F.col("raw_score") - F.col("low"), F.col("high") - F.col("low")), 8)
+    )
     rows = rows.select("task_id", "candidate_id", "raw_score", scaled.alias("normalized_score"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("normalized_score"), F.desc("raw_score"), "candidate_id")))
+    return rows.withColumn(
+        "rank",
+        F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("normalized_score"), F.desc("raw_score"), "candidate_id")),
+    )
 
 
 def select_under_budget(candidates: DataFrame, scores: DataFrame, budgets: DataFrame, reserved: dict[str, int] | None = None) -> DataFrame:
@@ -247,11 +338,23 @@ def select_under_budget(candidates: DataFrame, scores: DataFrame, budgets: DataF
     """
     characters = F.coalesce("characters", "bytes") if "characters" in candidates.columns else F.col("bytes")
     rows = candidates.join(scores.select("task_id", "candidate_id", "rank"), ["task_id", "candidate_id"])
-    rows = rows.withColumns({"mandatory": F.coalesce(F.col("reason").isin(MANDATORY_REASONS), F.lit(False)), "open": (F.col("eligibility") == "eligible") & ~F.coalesce("deferred", F.lit(False))})
-    tried = rows.filter("open").select("task_id", F.struct((~F.col("mandatory")).alias("later"), "rank").alias("pos"), "candidate_id", "artifact_id", F.col("bytes").cast("long").alias("bytes"), characters.cast("long").alias("characters"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), (F.col("type") != "full_artifact").alias("is_excerpt"))
+    rows = rows.withColumns(
+        {
+            "mandatory": F.coalesce(F.col("reason").isin(MANDATORY_REASONS), F.lit(False)),
+            "open": (F.col("eligibility") == "eligible") & ~F.coalesce("deferred", F.lit(False)),
+        }
+    )
+    tried = rows.filter("open").select(
+        "task_id", F.struct((~F.col("mandatory")).alias("later"), "rank").alias("pos"), "candidate_id", "artifact_id",
+        F.col("bytes").cast("long").alias("bytes"), characters.cast("long").alias("characters"),
+        F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"),
+        (F.col("type") != "full_artifact").alias("is_excerpt"),
+    )
     done = greedy(tried, budgets, reserved).select("task_id", "candidate_id", "selected_rank")
     out = rows.join(done, ["task_id", "candidate_id"], "left")
-    outcome = F.when(~F.col("open"), F.when(F.col("eligibility") != "eligible", F.col("eligibility")).otherwise("deferred")).when(F.col("selected_rank").isNotNull(), "selected").otherwise("budget_exceeded")
+    outcome = F.when(
+        ~F.col("open"), F.when(F.col("eligibility") != "eligible", F.col("eligibility")).otherwise("deferred"),
+    ).when(F.col("selected_rank").isNotNull(), "selected").otherwise("budget_exceeded")
     return out.select("task_id", "candidate_id", outcome.alias("outcome"), "selected_rank", "mandatory")
 
 
@@ -284,17 +387,25 @@ def _touched(tasks: DataFrame, rows: DataFrame, fields: Mapping[str, str]) -> Da
     hits = []
     for field, column in fields.items():
         if column == "__text":
-            met = containing(rows.select(F.col("candidate_id").alias("id"), F.col(column).alias("text")), terms).withColumnRenamed("id", "candidate_id")
+            met = containing(
+                rows.select(F.col("candidate_id").alias("id"), F.col(column).alias("text")), terms,
+            ).withColumnRenamed("id", "candidate_id")
             met = met.join(rows.select("candidate_id", *own), "candidate_id") if own else met
         else:
             values = rows.select(F.col(column).alias("id")).distinct()
-            met = containing(values.select("id", F.col("id").alias("text")), terms).join(rows.select("candidate_id", *own, F.col(column).alias("id")), "id")
+            met = containing(values.select("id", F.col("id").alias("text")), terms).join(
+                rows.select("candidate_id", *own, F.col(column).alias("id")), "id",
+            )
         hits.append(met.join(asked, ["phrase", *own]).select("task_id", "candidate_id", F.lit(field).alias("field"), "pos", "phrase"))
     if "explicit_paths" in tasks.columns:
-        named = tasks.select("task_id", *own, F.explode("explicit_paths").alias("__path")).join(rows.select("candidate_id", *own, "__path"), ["__path", *own])
+        named = tasks.select("task_id", *own, F.explode("explicit_paths").alias("__path")).join(
+            rows.select("candidate_id", *own, "__path"), ["__path", *own],
+        )
         hits.append(named.select("task_id", "candidate_id", F.lit("named").alias("field"), F.lit(0).alias("pos"), F.col("__path").alias("phrase")))
     both = reduce(DataFrame.unionByName, hits)
-    listed = lambda field: F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct("pos", "phrase")))), lambda x: x["phrase"]).alias(field)
+    listed = lambda field: F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct("pos", "phrase")))), lambda x: x["phrase"]
+    ).alias(field)
     return both.groupBy("task_id", "candidate_id").agg(*map(listed, fields), F.bool_or(F.col("field") == "named").alias("explicit_path_match"))
 
 
@@ -305,10 +416,20 @@ def score_units(tasks: DataFrame, units: DataFrame) -> DataFrame:
     a hit are left out unless their path is named.
     """
     own = [c for c in ("project_id",) if c in units.columns]
-    rows = units.select(F.col("unit_id").alias("candidate_id"), *own, "path", fold(F.col("path")).alias("__path"), fold(F.col("text")).alias("__text"))
-    sizes = units.select(F.col("unit_id").alias("candidate_id"), "path", F.octet_length("text").cast("long").alias("bytes"), F.length("text").cast("long").alias("characters"))
-    out = _touched(tasks, rows, {"path_hits": "__path", "content_hits": "__text"}).join(sizes, "candidate_id").join(tasks.select("task_id", "search_terms"), "task_id")
-    out = out.withColumns({"type": F.lit("source_excerpt"), "score": 3 * F.size("path_hits") + F.size("content_hits"), "name_hits": F.array().cast("array<string>")})
+    rows = units.select(
+        F.col("unit_id").alias("candidate_id"), *own, "path", fold(F.col("path")).alias("__path"),
+        fold(F.col("text")).alias("__text"),
+    )
+    sizes = units.select(
+        F.col("unit_id").alias("candidate_id"), "path", F.octet_length("text").cast("long").alias("bytes"),
+        F.length("text").cast("long").alias("characters"),
+    )
+    out = _touched(
+        tasks, rows, {"path_hits": "__path", "content_hits": "__text"},
+    ).join(sizes, "candidate_id").join(tasks.select("task_id", "search_terms"), "task_id")
+    out = out.withColumns(
+        {"type": F.lit("source_excerpt"), "score": 3 * F.size("path_hits") + F.size("content_hits"), "name_hits": F.array().cast("array<string>")}
+    )
     return written(out.select(*SCORED))
 
 
@@ -319,17 +440,30 @@ def score_symbols(tasks: DataFrame, symbols: DataFrame, units: DataFrame) -> Dat
     """
     own = [c for c in ("project_id",) if c in symbols.columns]
     signature = F.coalesce("signature", F.lit("")) if "signature" in symbols.columns else F.lit("")
-    rows = symbols.select(F.col("symbol_id").alias("candidate_id"), *own, "path", fold(F.col("path")).alias("__path"), fold(F.col("name")).alias("__name"), fold(signature).alias("__sig"))
+    rows = symbols.select(
+        F.col("symbol_id").alias("candidate_id"), *own, "path", fold(F.col("path")).alias("__path"),
+        fold(F.col("name")).alias("__name"), fold(signature).alias("__sig"),
+    )
     files = units.groupBy("path").agg(F.sum(F.octet_length("text")).alias("bytes"))
     characters = F.length(F.when(signature != "", signature).otherwise(F.col("name"))).cast("long")
     sizes = symbols.select(F.col("symbol_id").alias("candidate_id"), "path", characters.alias("characters")).join(files, "path", "left")
-    out = _touched(tasks, rows, {"path_hits": "__path", "name_hits": "__name", "content_hits": "__sig"}).join(sizes, "candidate_id").join(tasks.select("task_id", "search_terms"), "task_id")
-    out = out.withColumns({"type": F.lit("symbol_definition"), "bytes": F.coalesce("bytes", F.lit(0)), "score": 3 * F.size("path_hits") + 6 * F.size("name_hits") + F.size("content_hits")})
+    out = _touched(
+        tasks, rows, {"path_hits": "__path", "name_hits": "__name", "content_hits": "__sig"},
+    ).join(sizes, "candidate_id").join(tasks.select("task_id", "search_terms"), "task_id")
+    out = out.withColumns(
+        {
+            "type": F.lit("symbol_definition"), "bytes": F.coalesce("bytes", F.lit(0)),
+            "score": 3 * F.size("path_hits") + 6 * F.size("name_hits") + F.size("content_hits"),
+        }
+    )
     return written(out.select(*SCORED))
 
 
 #: Columns of scored candidates.
-SCORED = ["task_id", "candidate_id", "type", "path", "bytes", "characters", "score", "path_hits", "name_hits", "content_hits", "explicit_path_match", "search_terms"]
+SCORED = [
+    "task_id", "candidate_id", "type", "path", "bytes", "characters", "score", "path_hits", "name_hits", "content_hits",
+    "explicit_path_match", "search_terms",
+]
 
 
 def suppress_historical(scored: DataFrame, units: DataFrame) -> DataFrame:
@@ -352,13 +486,19 @@ def boost_dependencies(scored: DataFrame, edges: DataFrame) -> DataFrame:
     scored = written(scored)
     best = scored.groupBy("task_id").agg(F.max("score").alias("top")).filter("top > 0")
     seeds = scored.join(best, "task_id").filter("score = top and historical_penalty = 0").select("task_id", "path").distinct()
-    direct = edges.filter((F.col("resolution") == "resolved_internal") & F.col("kind").isin(BOOST_KINDS)).select("relationship_id", F.col("source_path").alias("path"), "target_path")
+    direct = edges.filter(
+        (F.col("resolution") == "resolved_internal") & F.col("kind").isin(BOOST_KINDS)
+    ).select("relationship_id", F.col("source_path").alias("path"), "target_path")
     hits = seeds.join(direct, "path").groupBy("task_id", F.col("target_path").alias("path")).agg(F.countDistinct("relationship_id").alias("links"))
     hits = hits.join(seeds, ["task_id", "path"], "left_anti")
     rows = scored.join(hits, ["task_id", "path"], "left").join(best, "task_id", "left")
     able = F.col("links").isNotNull() & (F.col("historical_penalty") == 0)
     boosted = F.when(able, F.least(F.col("score") + 4 * F.col("links"), F.greatest(F.lit(0), F.col("top") - 1))).otherwise(F.col("score"))
-    return written(rows.withColumn("__b", boosted).withColumns({"structural_boost": F.col("__b") - F.col("score"), "score": F.col("__b")}).drop("__b", "links", "top"))
+    return written(
+        rows.withColumn("__b", boosted).withColumns(
+            {"structural_boost": F.col("__b") - F.col("score"), "score": F.col("__b")}
+        ).drop("__b", "links", "top")
+    )
 
 
 def dedupe_spans(ranked: DataFrame, span: list[str]) -> DataFrame:
@@ -372,11 +512,23 @@ def select_simple(candidates: DataFrame, budgets: DataFrame, require_score: bool
 
     Without a score and a named path a candidate is below the threshold and isn't tried.
     """
-    rows = candidates.withColumn("open", (F.lit(not require_score) | (F.col("score") > 0) | F.col("explicit_path_match")) & ~F.coalesce("duplicate", F.lit(False)))
-    tried = rows.filter("open").select("task_id", F.struct((~F.col("explicit_path_match")).alias("later"), (-F.col("score")).alias("low"), "bytes").alias("pos"), "candidate_id", F.col("path").alias("artifact_id"), "bytes", "characters", token_estimate(F.col("characters")).alias("tokens"), (F.col("type") == "source_excerpt").alias("is_excerpt"))
+    rows = candidates.withColumn(
+        "open",
+        (F.lit(not require_score) | (F.col("score") > 0) | F.col("explicit_path_match")) & ~F.coalesce("duplicate", F.lit(False)),
+    )
+    tried = rows.filter("open").select(
+        "task_id",
+        F.struct((~F.col("explicit_path_match")).alias("later"), (-F.col("score")).alias("low"), "bytes").alias("pos"),
+        "candidate_id", F.col("path").alias("artifact_id"), "bytes", "characters",
+        token_estimate(F.col("characters")).alias("tokens"), (F.col("type") == "source_excerpt").alias("is_excerpt"),
+    )
     done = greedy(tried, budgets).select("task_id", "candidate_id", "selected_rank")
     out = rows.join(done, ["task_id", "candidate_id"], "left")
-    reason = F.when(F.coalesce("duplicate", F.lit(False)), "duplicate_content").when(~F.col("open"), "below_relevance_threshold").when(F.col("selected_rank").isNull(), "context_budget_exceeded").when(F.col("explicit_path_match"), "exact_path_match").when(F.col("score") > 0, "lexical_content_match").otherwise("required_context")
+    reason = F.when(
+        F.coalesce("duplicate", F.lit(False)), "duplicate_content",
+    ).when(~F.col("open"), "below_relevance_threshold").when(F.col("selected_rank").isNull(), "context_budget_exceeded").when(F.col(
+        "explicit_path_match"
+    ), "exact_path_match").when(F.col("score") > 0, "lexical_content_match").otherwise("required_context")
     return out.withColumns({"outcome": F.when(F.col("selected_rank").isNotNull(), "selected").otherwise("excluded"), "reason": reason}).drop("open")
 
 
@@ -388,7 +540,12 @@ def fallback_smallest(tasks: DataFrame, selected: DataFrame, units: DataFrame, b
     """
     sizes = units.groupBy("path").agg(F.sum(F.octet_length("text")).alias("bytes"))
     empty = tasks.select("task_id").join(selected.select("task_id").distinct(), "task_id", "left_anti")
-    rows = _by_task(empty, sizes).select("task_id", F.struct("bytes").alias("pos"), F.concat(F.lit("artifact-"), F.col("path")).alias("candidate_id"), F.col("path").alias("artifact_id"), F.col("bytes").cast("long").alias("bytes"), F.col("bytes").cast("long").alias("characters"), token_estimate(F.col("bytes")).alias("tokens"), F.lit(False).alias("is_excerpt"))
+    rows = _by_task(empty, sizes).select(
+        "task_id", F.struct("bytes").alias("pos"), F.concat(F.lit("artifact-"), F.col("path")).alias("candidate_id"),
+        F.col("path").alias("artifact_id"), F.col("bytes").cast("long").alias("bytes"),
+        F.col("bytes").cast("long").alias("characters"), token_estimate(F.col("bytes")).alias("tokens"),
+        F.lit(False).alias("is_excerpt"),
+    )
     return greedy(rows, budgets).filter("fits").select("task_id", "candidate_id", "selected_rank")
 
 
@@ -417,7 +574,10 @@ def retrieval_statistics(selection: DataFrame) -> DataFrame:
     )
 
 
-def retrieve(tasks: DataFrame, units: DataFrame, edges: DataFrame, budgets: DataFrame, symbols: DataFrame | None = None, span: list[str] | None = None) -> DataFrame:
+def retrieve(
+    tasks: DataFrame, units: DataFrame, edges: DataFrame, budgets: DataFrame, symbols: DataFrame | None = None,
+    span: list[str] | None = None,
+) -> DataFrame:
     """The whole chain for tasks with search_terms: score, suppress, boost, drop doubles, select under the budget."""
     scored = score_units(tasks, units)
     if symbols is not None:
@@ -432,5 +592,7 @@ def check_selection(candidates: DataFrame, selected: DataFrame) -> DataFrame:
     twice = candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys, F.lit("DUPLICATE_CANDIDATE").alias("code"))
     barred = candidates.filter("outcome = 'selected' and eligibility <> 'eligible'").select(*keys, F.lit("INELIGIBLE_SELECTED").alias("code"))
     chosen = candidates.filter("outcome = 'selected'").select(*keys, F.lit(1).alias("a")).distinct()
-    odd = chosen.join(selected.select(*keys, F.lit(1).alias("b")).distinct(), keys, "full_outer").filter("a is null or b is null").select(*keys, F.lit("SELECTION_MISMATCH").alias("code"))
+    odd = chosen.join(
+        selected.select(*keys, F.lit(1).alias("b")).distinct(), keys, "full_outer",
+    ).filter("a is null or b is null").select(*keys, F.lit("SELECTION_MISMATCH").alias("code"))
     return twice.unionByName(barred).unionByName(odd)

@@ -136,7 +136,10 @@ def compile_ignore_rules(
     mandatory: Iterable[str] = (), user_exclude: Iterable[str] = (), user_include: Iterable[str] = (), project: Iterable[str] = (), version_control: Iterable[str] = (), defaults: bool = True, base_path: str = ""
 ) -> list[IgnoreRule]:
     """Rules in their order. ``version_control`` holds lines of an ignore file: blank lines and ``#`` are skipped, ``!`` includes."""
-    given = [("mandatory", mandatory), ("user_exclude", user_exclude), ("user_include", user_include), ("project", project), ("version_control", version_control), ("default", DEFAULT_EXCLUSIONS if defaults else ())]
+    given = [
+        ("mandatory", mandatory), ("user_exclude", user_exclude), ("user_include", user_include), ("project", project),
+        ("version_control", version_control), ("default", DEFAULT_EXCLUSIONS if defaults else ()),
+    ]
     rules: list[IgnoreRule] = []
     for source, patterns in given:
         for pattern in patterns:
@@ -151,14 +154,25 @@ def compile_ignore_rules(
             parts = [p for p in text.replace("\\", "/").strip("/").split("/") if p not in ("", ".")]
             if not parts:
                 raise ValueError(f"nothing to match: {pattern!r}")
-            rules.append(IgnoreRule("/".join(parts), source, "include" if include else "exclude", len(rules), base_path if source == "version_control" else "", text[-1] in "/\\", text[0] in "/\\"))
+            rules.append(
+                IgnoreRule(
+                    "/".join(parts), source, "include" if include else "exclude", len(rules),
+                    base_path if source == "version_control" else "", text[-1] in "/\\", text[0] in "/\\",
+                )
+            )
     return rules
 
 
 def _decision(rules: list[IgnoreRule], path: Column, directory: Column) -> Column:
     """The rule that wins: struct (precedence, later first, action, pattern), null if none matches."""
     tries = [
-        F.when(F.when(directory, path.rlike(r.regex(True))).otherwise(path.rlike(r.regex(False))), F.struct(F.lit(r.precedence).alias("precedence"), F.lit(-r.ord).alias("late"), F.lit(r.action).alias("action"), F.lit(r.pattern).alias("pattern")))
+        F.when(
+            F.when(directory, path.rlike(r.regex(True))).otherwise(path.rlike(r.regex(False))),
+            F.struct(
+                F.lit(r.precedence).alias("precedence"), F.lit(-r.ord).alias("late"), F.lit(r.action).alias("action"),
+                F.lit(r.pattern).alias("pattern"),
+            ),
+        )
         for r in rules
     ]
     return F.array_min(F.array_compact(F.array(*tries)))
@@ -222,12 +236,17 @@ def sniff_content(files: DataFrame, content_col: str = "content") -> DataFrame:
     """
     sample = F.substring(F.col(content_col).cast("binary"), 1, SAMPLE_BYTES)
     head = F.hex(F.substring(sample, 1, 3))
-    mark = F.when(head.startswith("FFFE"), "utf-16-le").when(head.startswith("FEFF"), "utf-16-be").when(head == "EFBBBF", "utf-8-sig").otherwise("utf-8")
+    mark = F.when(
+        head.startswith("FFFE"), "utf-16-le",
+    ).when(head.startswith("FEFF"), "utf-16-be").when(head == "EFBBBF", "utf-8-sig").otherwise("utf-8")
     rows = files.withColumns({"__sample": sample, "__mark": mark})
     wide = F.col("__mark").startswith("utf-16")
     rows = rows.withColumn("__wide", _utf16(F.when(wide, F.col("__sample"))))
     text = F.col("__sample").cast("string")
-    plain = F.when(F.is_valid_utf8(text) & ((F.col("__mark") == "utf-8-sig") | ~F.contains(text, F.lit("\x00"))), F.regexp_replace(text, "^\\x{FEFF}", ""))
+    plain = F.when(
+        F.is_valid_utf8(text) & ((F.col("__mark") == "utf-8-sig") | ~F.contains(text, F.lit("\x00"))),
+        F.regexp_replace(text, "^\\x{FEFF}", ""),
+    )
     rows = rows.withColumn("__text", F.when(wide, F.col("__wide")).otherwise(plain))
     empty = F.coalesce(F.octet_length("__sample"), F.lit(0)) == 0
     controls = F.regexp_count("__text", F.lit("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]"))
@@ -273,8 +292,12 @@ def classify_artifacts(files: DataFrame) -> DataFrame:
     kind, file = F.col("kind"), F.col("kind") != "directory"
     label = lambda when, text: F.when(when, F.lit(text))
     labels = F.array_compact(F.array(
-        label(file & binary, "binary"), label(kind.isin("manifest", "build", "configuration"), "configuration"), label(kind == "documentation", "documentation"),
-        label(file & generated, "generated"), label(file & sensitive, "sensitive"), label(kind.isin("test", "source"), "source"), label(kind == "test", "test"),
+        label(file & binary, "binary"), label(
+            kind.isin("manifest", "build", "configuration"), "configuration",
+        ), label(kind == "documentation", "documentation"),
+        label(file & generated, "generated"), label(file & sensitive, "sensitive"), label(
+            kind.isin("test", "source"), "source",
+        ), label(kind == "test", "test"),
         label(kind.isin("unknown", "directory"), "unknown"),
     ))
     evidence = F.array_compact(F.array(
@@ -333,7 +356,16 @@ def project_fingerprint(artifacts: DataFrame, ordering: str = "ordered", schema:
     lf = lambda c: F.regexp_replace(c, "\r\n?", "\n")
     component = lf(F.concat_ws("|", "path", "kind", F.array_join("classifications", ","), "availability", "fingerprint"))
     rows = artifacts.select("project_id", component.alias("v"), (F.col("path") if ordering == "ordered" else component).alias("k"))
-    digest = lambda kind, values: F.sha2(F.to_json(F.struct(F.lit(schema).alias("fingerprint_schema"), F.lit(kind).alias("fingerprint_type"), F.lit("lf").alias("line_endings"), F.lit(ordering).alias("ordering"), F.transform(values, lambda s: s["v"]).alias("values"))), 256)
+    digest = lambda kind, values: F.sha2(
+        F.to_json(
+            F.struct(
+                F.lit(schema).alias("fingerprint_schema"), F.lit(kind).alias("fingerprint_type"),
+                F.lit("lf").alias("line_endings"), F.lit(ordering).alias("ordering"),
+                F.transform(values, lambda s: s["v"]).alias("values"),
+            )
+        ),
+        256,
+    )
     listed = F.array_sort(F.collect_list(F.struct("k", "v")))
     blocks = rows.groupBy("project_id", F.substring(F.sha2("k", 256), 1, BLOCK_DIGITS).alias("k")).agg(digest("block", listed).alias("v"))
     return blocks.groupBy("project_id").agg(F.concat(F.lit("project_sha256_"), digest("project", listed)).alias("project_fingerprint"))
@@ -356,7 +388,9 @@ def scan_statistics(files: DataFrame) -> DataFrame:
         F.sum(F.when(included, F.col("size_bytes")).otherwise(0)).alias("bytes"),
         reused.cast("long").alias("reused"),
     )
-    status = F.when(F.col("included") == 0, "failed").when(F.col("unreadable") > 0, "incomplete").when(F.col("unsupported") > 0, "complete_with_warnings").otherwise("complete")
+    status = F.when(F.col("included") == 0, "failed").when(F.col("unreadable") > 0, "incomplete").when(
+        F.col("unsupported") > 0, "complete_with_warnings",
+    ).otherwise("complete")
     return counts.withColumn("status", status)
 
 
@@ -368,5 +402,7 @@ def diff_snapshots(previous: DataFrame, current: DataFrame) -> DataFrame:
     keys = ["project_id", "path"]
     before = previous.select(*keys, F.struct("fingerprint", "scanner_version").alias("was"))
     after = current.select(*keys, F.struct("fingerprint", "scanner_version").alias("now"))
-    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "deleted").when(F.col("was").eqNullSafe(F.col("now")), "reused").otherwise("changed")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "deleted").when(
+        F.col("was").eqNullSafe(F.col("now")), "reused",
+    ).otherwise("changed")
     return before.join(after, keys, "full_outer").select(*keys, change.alias("change"))

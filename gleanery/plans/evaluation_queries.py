@@ -31,7 +31,9 @@ def _strategies(spark):
 
 
 def _estimates(spark, sf_dir):
-    return views.artifacts(spark, sf_dir).select("doc_id", "path", F.col("size_bytes").alias("bytes"), F.length("content").cast("long").alias("characters"))
+    return views.artifacts(spark, sf_dir).select(
+        "doc_id", "path", F.col("size_bytes").alias("bytes"), F.length("content").cast("long").alias("characters"),
+    )
 
 
 def _budgets(cases, items: int):
@@ -41,7 +43,9 @@ def _budgets(cases, items: int):
 def _lexical(spark, sf_dir):
     """The baseline that ranks by words alone: the first place of each path under the budget."""
     ranked = lexical_ranks(spark, sf_dir).select(F.col("task_id").alias("case_id"), "unit_id", "rank")
-    paths = ranked.join(views.search_units(spark, sf_dir).select("unit_id", "path"), "unit_id").groupBy("case_id", "path").agg(F.min("rank").alias("rank"))
+    paths = ranked.join(
+        views.search_units(spark, sf_dir).select("unit_id", "path"), "unit_id",
+    ).groupBy("case_id", "path").agg(F.min("rank").alias("rank"))
     rows = paths.join(_estimates(spark, sf_dir), "path")
     return e.baseline("baseline-lexical", rows, _budgets(rows, 10))
 
@@ -54,7 +58,10 @@ def _named(spark, sf_dir):
     rows = views.table(spark, sf_dir, "benchmark").crossJoin(F.broadcast(docs)).select("item_id", F.explode(picks).alias("doc_id"))
     rows = rows.join(views.artifacts(spark, sf_dir).select("doc_id", "path"), "doc_id")
     path = F.when(F.col("doc_id") % 2 == 0, F.upper("path")).otherwise(F.col("path"))
-    named = F.array(F.struct(F.lit("path").alias("kind"), path.alias("original")), F.struct(F.lit("filename").alias("kind"), F.concat(F.lit("page_"), F.col("doc_id") + 1, F.lit(".md")).alias("original")))
+    named = F.array(
+        F.struct(F.lit("path").alias("kind"), path.alias("original")),
+        F.struct(F.lit("filename").alias("kind"), F.concat(F.lit("page_"), F.col("doc_id") + 1, F.lit(".md")).alias("original")),
+    )
     terms = rows.select(k.alias("task_id"), F.inline(named)).distinct()
     return terms.withColumn("normalized", fold(F.col("original")))
 
@@ -64,14 +71,17 @@ def _explicit(spark, sf_dir):
     files = views.artifacts(spark, sf_dir).select(F.concat(F.lit("a"), "doc_id").alias("artifact_id"), "path")
     symbols = views.symbols(spark, sf_dir)
     met = resolve_explicit(_named(spark, sf_dir), files, symbols).filter("outcome = 'selected'")
-    rows = met.join(files, F.col("target") == F.col("artifact_id")).select(F.col("task_id").alias("case_id"), "path", F.struct((F.col("kind") != "path").alias("later"), "path").alias("rank"))
+    rows = met.join(files, F.col("target") == F.col("artifact_id")).select(
+        F.col("task_id").alias("case_id"), "path",
+        F.struct((F.col("kind") != "path").alias("later"), "path").alias("rank"),
+    )
     rows = rows.join(_estimates(spark, sf_dir), "path")
     return e.baseline("baseline-explicit", rows, _budgets(rows, 3))
 
 
-def _selections(spark, sf_dir):
+def _selections(spark, sf_dir, judgments=None):
     """Real baselines, and a primary strategy in a made order: some of the judged paths and two others."""
-    j = views.judgments(spark, sf_dir)
+    j = views.judgments(spark, sf_dir) if judgments is None else judgments
     h = F.length("path") * 7 + F.col("case_id") * 3
     taken = j.filter(h % 3 != 0).select("case_id", "path")
     other = j.select("case_id").distinct().select("case_id", F.explode(F.array(F.lit("other/a.py"), F.lit("other/b.py"))).alias("path"))
@@ -84,14 +94,19 @@ def _selections(spark, sf_dir):
 
 _FITTING = "SELECT r.*, row_number() OVER (PARTITION BY case_id ORDER BY pos, path) AS rank FROM r JOIN (SELECT path, max(size_bytes) AS bytes FROM artifacts GROUP BY 1) USING (path) WHERE bytes <= 4000"
 _BASELINES = f"""{LEXICAL},
-lx AS (SELECT case_id, 'baseline-lexical' AS strategy_id, path, rank FROM (WITH r AS (SELECT task_id AS case_id, path, min(rank) AS pos FROM t JOIN k USING (unit_id) GROUP BY 1, 2) {_FITTING}) WHERE rank <= 10),
-nm AS (SELECT item_id AS task_id, doc_id, path FROM (SELECT item_id, (item_id * unnest([7, 37, 101]) + 11) % (SELECT max(doc_id) + 1 FROM documents) AS doc_id FROM benchmark) JOIN artifacts USING (doc_id)),
+lx AS (SELECT case_id, 'baseline-lexical' AS strategy_id, path, rank FROM (WITH r AS (SELECT task_id AS case_id, path, min(rank)
+  AS pos FROM t JOIN k USING (unit_id) GROUP BY 1, 2) {_FITTING}) WHERE rank <= 10),
+nm AS (SELECT item_id AS task_id, doc_id, path FROM (SELECT item_id, (item_id * unnest([7, 37, 101]) + 11) % (SELECT max(doc_id) +
+  1 FROM documents) AS doc_id FROM benchmark) JOIN artifacts USING (doc_id)),
 ex0 AS (SELECT DISTINCT task_id, 0 AS later, f.path FROM nm JOIN artifacts f ON lower(nm.path) = lower(f.path)
-  UNION SELECT DISTINCT task_id, 1, f.path FROM nm JOIN artifacts f ON regexp_extract(lower(f.path), '[^/]*$') = 'page_' || (nm.doc_id + 1) || '.md' WHERE (task_id, regexp_extract(lower(f.path), '[^/]*$')) NOT IN (SELECT task_id, regexp_extract(lower(path), '[^/]*$') FROM nm)),
+  UNION SELECT DISTINCT task_id, 1, f.path FROM nm JOIN artifacts f ON regexp_extract(lower(f.path), '[^/]*$') = 'page_' ||
+  (nm.doc_id + 1) || '.md' WHERE (task_id, regexp_extract(lower(f.path), '[^/]*$')) NOT IN (SELECT task_id,
+  regexp_extract(lower(path), '[^/]*$') FROM nm)),
 xp AS (SELECT case_id, 'baseline-explicit' AS strategy_id, path, rank FROM (WITH r AS (SELECT task_id AS case_id, path, min(later) AS pos FROM ex0 GROUP BY 1, 2) {_FITTING}) WHERE rank <= 3)"""
 _SELECTIONS = _BASELINES + """,
 st AS (SELECT unnest(['primary', 'baseline-lexical', 'baseline-explicit']) AS strategy_id), jj AS (SELECT * FROM judgments, st),
-tk AS (SELECT case_id, path FROM judgments WHERE (length(path) * 7 + case_id * 3) % 3 <> 0 UNION SELECT DISTINCT case_id, unnest(['other/a.py', 'other/b.py']) FROM judgments),
+tk AS (SELECT case_id, path FROM judgments WHERE (length(path) * 7 + case_id * 3) % 3 <> 0 UNION SELECT DISTINCT case_id,
+  unnest(['other/a.py', 'other/b.py']) FROM judgments),
 sel AS (SELECT case_id, 'primary' AS strategy_id, path, row_number() OVER (PARTITION BY case_id ORDER BY (length(path) * 13 + case_id) % 17, path) AS rank FROM tk UNION ALL SELECT * FROM lx UNION ALL SELECT * FROM xp)"""
 JUDGED = ["artifacts", "search_units", "tasks", "judgments"]
 _METRICS = _SELECTIONS + """,
@@ -99,19 +114,27 @@ g AS (SELECT jj.*, rank FROM jj LEFT JOIN sel USING (case_id, strategy_id, path)
 n AS (SELECT case_id, strategy_id, count(*) AS n FROM sel GROUP BY 1, 2),
 gain AS (SELECT g.*, CASE relevance WHEN 'required' THEN 2 WHEN 'supporting' THEN 1 ELSE 0 END AS gn FROM g),
 ideal AS (SELECT case_id, strategy_id, gn, row_number() OVER (PARTITION BY case_id, strategy_id ORDER BY gn DESC) AS k FROM gain WHERE gn > 0),
-idcg AS (SELECT case_id, strategy_id, sum((2 ** gn - 1) / log2(k + 1)) AS v FROM ideal JOIN n USING (case_id, strategy_id) WHERE k <= n GROUP BY 1, 2),
-c AS (SELECT case_id, strategy_id, count(*) FILTER (WHERE relevance = 'required') AS r, count(*) FILTER (WHERE relevance = 'required' AND rank IS NOT NULL) AS rh, count(*) FILTER (WHERE relevance = 'supporting') AS s,
-  count(*) FILTER (WHERE relevance = 'supporting' AND rank IS NOT NULL) AS sh, count(rank) AS js, count(rank) FILTER (WHERE relevance <> 'irrelevant') AS rs, count(rank) FILTER (WHERE relevance = 'irrelevant') AS irs, min(rank) FILTER (WHERE relevance = 'required') AS fr,
-  count(*) FILTER (WHERE relevance = 'required' AND rank <= 1) AS h1, count(*) FILTER (WHERE relevance = 'required' AND rank <= 3) AS h3, count(*) FILTER (WHERE relevance = 'required' AND rank <= 5) AS h5,
+idcg AS (SELECT case_id, strategy_id, sum((2 ** gn - 1) / log2(k + 1)) AS v FROM ideal JOIN n USING (case_id, strategy_id) WHERE k
+  <= n GROUP BY 1, 2),
+c AS (SELECT case_id, strategy_id, count(*) FILTER (WHERE relevance = 'required') AS r, count(*) FILTER (WHERE relevance =
+  'required' AND rank IS NOT NULL) AS rh, count(*) FILTER (WHERE relevance = 'supporting') AS s,
+  count(*) FILTER (WHERE relevance = 'supporting' AND rank IS NOT NULL) AS sh, count(rank) AS js, count(rank) FILTER (WHERE
+  relevance <> 'irrelevant') AS rs, count(rank) FILTER (WHERE relevance = 'irrelevant') AS irs, min(rank) FILTER (WHERE relevance = 'required') AS fr,
+  count(*) FILTER (WHERE relevance = 'required' AND rank <= 1) AS h1, count(*) FILTER (WHERE relevance = 'required' AND rank <= 3)
+  AS h3, count(*) FILTER (WHERE relevance = 'required' AND rank <= 5) AS h5,
   sum((2 ** gn - 1) / log2(rank + 1)) FILTER (WHERE rank IS NOT NULL AND gn > 0) AS dcg FROM gain GROUP BY 1, 2),
-w AS (SELECT c.*, coalesce(rh / nullif(r, 0), 1.0) AS m1, coalesce(sh / nullif(s, 0), 1.0) AS m2, coalesce(rs / nullif(js, 0), 1.0) AS m3, coalesce(h1 / nullif(r, 0), 1.0) AS m4, coalesce(h3 / nullif(r, 0), 1.0) AS m5, coalesce(h5 / nullif(r, 0), 1.0) AS m6,
-  coalesce(1.0 / fr, 0.0) AS m7, coalesce(dcg / v, 0.0) AS m8, CASE WHEN r = rh THEN 1.0 ELSE 0.0 END AS m9 FROM c LEFT JOIN idcg USING (case_id, strategy_id)),
-mt AS (SELECT case_id, strategy_id, unnest(['required-artifact-recall', 'supporting-artifact-recall', 'judged-precision', 'recall-at-1', 'recall-at-3', 'recall-at-5', 'reciprocal-rank', 'ndcg', 'complete-evidence']) AS metric_name,
+w AS (SELECT c.*, coalesce(rh / nullif(r, 0), 1.0) AS m1, coalesce(sh / nullif(s, 0), 1.0) AS m2, coalesce(rs / nullif(js, 0),
+  1.0) AS m3, coalesce(h1 / nullif(r, 0), 1.0) AS m4, coalesce(h3 / nullif(r, 0), 1.0) AS m5, coalesce(h5 / nullif(r, 0), 1.0) AS m6,
+  coalesce(1.0 / fr, 0.0) AS m7, coalesce(dcg / v, 0.0) AS m8, CASE WHEN r = rh THEN 1.0 ELSE 0.0 END AS m9 FROM c LEFT JOIN idcg
+  USING (case_id, strategy_id)),
+mt AS (SELECT case_id, strategy_id, unnest(['required-artifact-recall', 'supporting-artifact-recall', 'judged-precision',
+  'recall-at-1', 'recall-at-3', 'recall-at-5', 'reciprocal-rank', 'ndcg', 'complete-evidence']) AS metric_name,
   unnest([m1, m2, m3, m4, m5, m6, m7, m8, m9])::DOUBLE AS value FROM w)"""
 
 
 def _metrics(spark, sf_dir):
-    return e.retrieval_metrics(views.judgments(spark, sf_dir), _selections(spark, sf_dir), _strategies(spark))
+    judgments = views.judgments(spark, sf_dir)
+    return e.retrieval_metrics(judgments, _selections(spark, sf_dir, judgments), _strategies(spark))
 
 
 def _metric(name: str, metric: str):
@@ -120,7 +143,11 @@ def _metric(name: str, metric: str):
         return _metrics(spark, sf_dir).filter(F.col("metric_name") == metric).select("case_id", "strategy_id", F.round("value", 6).alias("value"))
 
 
-for _name, _m in (("recall_by_level", "required-artifact-recall"), ("judged_precision", "judged-precision"), ("recall_at_k", "recall-at-3"), ("reciprocal_rank", "reciprocal-rank"), ("ndcg", "ndcg"), ("complete_evidence", "complete-evidence")):
+for _name, _m in (
+    ("recall_by_level", "required-artifact-recall"), ("judged_precision", "judged-precision"),
+    ("recall_at_k", "recall-at-3"), ("reciprocal_rank", "reciprocal-rank"), ("ndcg", "ndcg"),
+    ("complete_evidence", "complete-evidence"),
+):
     _metric(_name, _m)
 
 
@@ -134,21 +161,33 @@ def _(spark, sf_dir):
     return _metrics(spark, sf_dir).withColumn("value", F.round("value", 6))
 
 
-@query("aggregate_metrics", with_views(JUDGED, f"{_METRICS} SELECT strategy_id, metric_name, count(*) AS cases, round(avg(value), 6) AS mean FROM mt GROUP BY 1, 2"))
+@query(
+    "aggregate_metrics",
+    with_views(JUDGED, f"{_METRICS} SELECT strategy_id, metric_name, count(*) AS cases, round(avg(value), 6) AS mean FROM mt GROUP BY 1, 2"),
+)
 def _(spark, sf_dir):
     return e.aggregate_metrics(_metrics(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
 
 
-@query("baseline_deltas", with_views(JUDGED, f"{_METRICS} SELECT b.case_id, b.metric_name, b.strategy_id AS baseline_id, round(p.value - b.value, 6) + 0.0 AS delta FROM mt b JOIN mt p ON p.case_id = b.case_id AND p.metric_name = b.metric_name AND p.strategy_id = 'primary' WHERE starts_with(b.strategy_id, 'baseline-')"))
+@query(
+    "baseline_deltas",
+    with_views(
+        JUDGED,
+        f"{_METRICS} SELECT b.case_id, b.metric_name, b.strategy_id AS baseline_id, round(p.value - b.value, 6) + 0.0 AS delta FROM mt b JOIN mt p ON p.case_id = b.case_id AND p.metric_name = b.metric_name AND p.strategy_id = 'primary' WHERE starts_with(b.strategy_id, 'baseline-')",
+    ),
+)
 def _(spark, sf_dir):
     return e.baseline_deltas(_metrics(spark, sf_dir), "primary").withColumn("delta", F.round("delta", 6) + 0.0)
 
 
 @query("regression_gate", with_views(JUDGED, f"""{_METRICS}, ag AS (SELECT strategy_id, metric_name, avg(value) AS mean FROM mt GROUP BY 1, 2),
-tr AS (SELECT * FROM (VALUES ('primary', 'ndcg', 0.99, NULL), ('primary', 'judged-precision', NULL, 0.01), ('primary', 'reciprocal-rank', 0.0, 1.0), ('primary', 'no-such-metric', 0.5, NULL)) v(strategy_id, metric_name, minimum, maximum))
+tr AS (SELECT * FROM (VALUES ('primary', 'ndcg', 0.99, NULL), ('primary', 'judged-precision', NULL, 0.01), ('primary',
+  'reciprocal-rank', 0.0, 1.0), ('primary', 'no-such-metric', 0.5, NULL)) v(strategy_id, metric_name, minimum, maximum))
 SELECT strategy_id, metric_name, f AS failure FROM (SELECT tr.strategy_id, tr.metric_name, CASE WHEN mean IS NULL THEN 'missing' WHEN mean < minimum THEN 'below_minimum' WHEN mean > maximum THEN 'above_maximum' END AS f FROM tr LEFT JOIN ag USING (strategy_id, metric_name)) WHERE f IS NOT NULL"""))
 def _(spark, sf_dir):
-    t = spark.sql("SELECT * FROM VALUES ('primary', 'ndcg', 0.99D, CAST(NULL AS DOUBLE)), ('primary', 'judged-precision', CAST(NULL AS DOUBLE), 0.01D), ('primary', 'reciprocal-rank', 0.0D, 1.0D), ('primary', 'no-such-metric', 0.5D, CAST(NULL AS DOUBLE)) AS v(strategy_id, metric_name, minimum, maximum)")
+    t = spark.sql(
+        "SELECT * FROM VALUES ('primary', 'ndcg', 0.99D, CAST(NULL AS DOUBLE)), ('primary', 'judged-precision', CAST(NULL AS DOUBLE), 0.01D), ('primary', 'reciprocal-rank', 0.0D, 1.0D), ('primary', 'no-such-metric', 0.5D, CAST(NULL AS DOUBLE)) AS v(strategy_id, metric_name, minimum, maximum)"
+    )
     return e.regression_gate(e.aggregate_metrics(_metrics(spark, sf_dir)), t)
 
 
@@ -163,52 +202,94 @@ def _(spark, sf_dir):
 
 
 @query("baseline_all_files", with_views(["artifacts"], """
-p AS (SELECT case_id, path, bytes, row_number() OVER (PARTITION BY case_id ORDER BY path) AS i FROM (SELECT doc_id % 20 AS case_id, path, min(size_bytes) AS bytes, min(length(content)) AS ch FROM artifacts GROUP BY 1, 2)),
+p AS (SELECT case_id, path, bytes, row_number() OVER (PARTITION BY case_id ORDER BY path) AS i FROM (SELECT doc_id % 20 AS
+  case_id, path, min(size_bytes) AS bytes, min(length(content)) AS ch FROM artifacts GROUP BY 1, 2)),
 f AS (SELECT DISTINCT case_id, 0::BIGINT AS i, 0::BIGINT AS b, 0 AS n, NULL::VARCHAR AS path, false AS fits FROM p
-  UNION ALL SELECT f.case_id, p.i, CASE WHEN f.b + bytes <= 30000 AND n + 1 <= 20 THEN f.b + bytes ELSE f.b END, CASE WHEN f.b + bytes <= 30000 AND n + 1 <= 20 THEN n + 1 ELSE n END, p.path, f.b + bytes <= 30000 AND n + 1 <= 20 FROM f JOIN p ON p.case_id = f.case_id AND p.i = f.i + 1)
+  UNION ALL SELECT f.case_id, p.i, CASE WHEN f.b + bytes <= 30000 AND n + 1 <= 20 THEN f.b + bytes ELSE f.b END, CASE WHEN f.b +
+  bytes <= 30000 AND n + 1 <= 20 THEN n + 1 ELSE n END, p.path, f.b + bytes <= 30000 AND n + 1 <= 20 FROM f JOIN p ON p.case_id =
+  f.case_id AND p.i = f.i + 1)
 SELECT case_id, 'baseline-all-files' AS strategy_id, path, n AS rank FROM f WHERE fits""").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, sf_dir):
-    rows = views.artifacts(spark, sf_dir).select((F.col("doc_id") % 20).alias("case_id"), "path", F.col("path").alias("rank"), F.col("size_bytes").alias("bytes"), F.length("content").cast("long").alias("characters"))
+    rows = views.artifacts(spark, sf_dir).select(
+        (F.col("doc_id") % 20).alias("case_id"), "path", F.col("path").alias("rank"),
+        F.col("size_bytes").alias("bytes"), F.length("content").cast("long").alias("characters"),
+    )
     budgets = rows.select("case_id").distinct().select("case_id", F.lit(30_000).alias("max_bytes"), F.lit(20).alias("max_items"))
     return e.baseline("baseline-all-files", rows, budgets)
 
 
 @query("context_efficiency", with_views(JUDGED, f"""{_METRICS},
 it AS (SELECT case_id, strategy_id, rank AS ord, path, path || ' content' AS content FROM sel),
-sz AS (SELECT case_id, strategy_id, count(*) AS items, count(DISTINCT path) AS arts, sum(strlen(content))::BIGINT AS bytes, sum(length(content))::BIGINT AS ch FROM it GROUP BY 1, 2),
-ex AS (SELECT case_id, strategy_id, string_agg(k, ',' ORDER BY k) AS exclusions FROM (SELECT case_id, strategy_id, reason || '=' || count(*) AS k FROM (SELECT case_id, strategy_id, CASE WHEN length(path) % 2 = 0 THEN 'duplicate_content' ELSE 'context_budget_exceeded' END AS reason FROM g WHERE rank IS NULL) GROUP BY case_id, strategy_id, reason) GROUP BY 1, 2),
+sz AS (SELECT case_id, strategy_id, count(*) AS items, count(DISTINCT path) AS arts, sum(strlen(content))::BIGINT AS bytes,
+  sum(length(content))::BIGINT AS ch FROM it GROUP BY 1, 2),
+ex AS (SELECT case_id, strategy_id, string_agg(k, ',' ORDER BY k) AS exclusions FROM (SELECT case_id, strategy_id, reason || '='
+  || count(*) AS k FROM (SELECT case_id, strategy_id, CASE WHEN length(path) % 2 = 0 THEN 'duplicate_content' ELSE
+  'context_budget_exceeded' END AS reason FROM g WHERE rank IS NULL) GROUP BY case_id, strategy_id, reason) GROUP BY 1, 2),
 tt AS (SELECT *, greatest(1, ((ch + items - 1) * 11 + 39) // 40) AS tokens FROM sz)
-SELECT case_id, strategy_id, round(m1, 6)::DOUBLE AS required_retained, round(m2, 6)::DOUBLE AS supporting_retained, round(m3, 6)::DOUBLE AS context_precision, round(irs / items, 6)::DOUBLE AS irrelevant_ratio, round(least(greatest(tokens / 400, bytes / 2000, items / 50), 1.0), 6)::DOUBLE AS budget_utilization,
+SELECT case_id, strategy_id, round(m1, 6)::DOUBLE AS required_retained, round(m2, 6)::DOUBLE AS supporting_retained, round(m3,
+  6)::DOUBLE AS context_precision, round(irs / items, 6)::DOUBLE AS irrelevant_ratio, round(least(greatest(tokens / 400, bytes /
+  2000, items / 50), 1.0), 6)::DOUBLE AS budget_utilization,
   bytes AS context_bytes, tokens::BIGINT AS estimated_tokens, coalesce(exclusions, '') AS exclusions FROM w JOIN tt USING (case_id, strategy_id) LEFT JOIN ex USING (case_id, strategy_id)"""))
 def _(spark, sf_dir):
-    sel = _selections(spark, sf_dir)
-    items = sel.select("case_id", "strategy_id", F.col("rank").alias("ord"), "path", F.concat("path", F.lit(" content")).alias("content"), F.lit("source_excerpt").alias("type"))
     j = views.judgments(spark, sf_dir)
-    out = j.crossJoin(F.broadcast(_strategies(spark))).join(sel, ["case_id", "strategy_id", "path"], "left_anti").select("case_id", "strategy_id", F.when(F.length("path") % 2 == 0, "duplicate_content").otherwise("context_budget_exceeded").alias("reason"))
-    budgets = j.select("case_id").distinct().select("case_id", F.lit(400).alias("max_estimated_tokens"), F.lit(2000).alias("max_bytes"), F.lit(50).alias("max_items"))
+    sel = _selections(spark, sf_dir, j)
+    items = sel.select(
+        "case_id", "strategy_id", F.col("rank").alias("ord"), "path",
+        F.concat("path", F.lit(" content")).alias("content"), F.lit("source_excerpt").alias("type"),
+    )
+    out = j.crossJoin(F.broadcast(_strategies(spark))).join(sel, ["case_id", "strategy_id", "path"], "left_anti").select(
+        "case_id", "strategy_id",
+        F.when(F.length("path") % 2 == 0, "duplicate_content").otherwise("context_budget_exceeded").alias("reason"),
+    )
+    budgets = j.select("case_id").distinct().select(
+        "case_id", F.lit(400).alias("max_estimated_tokens"), F.lit(2000).alias("max_bytes"),
+        F.lit(50).alias("max_items"),
+    )
     rows = e.context_efficiency(j, items, out, budgets)
-    return rows.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in ("required_retained", "supporting_retained", "context_precision", "irrelevant_ratio", "budget_utilization")})
+    return rows.withColumns(
+        {
+            c: F.round(F.col(c).cast("double"), 6) for c in (
+                "required_retained", "supporting_retained", "context_precision", "irrelevant_ratio",
+                "budget_utilization",
+            )
+        }
+    )
 
 
 @query("select_cases", "SELECT o_orderkey AS case_id FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0")
 def _(spark, sf_dir):
     k = F.col("o_orderkey")
-    cases = views.table(spark, sf_dir, "orders").select(k.alias("case_id"), F.array_compact(F.array(F.when(k % 2 == 0, "even"), F.when(k % 3 == 0, "third"), F.lit("all"))).alias("tags"))
+    cases = views.table(spark, sf_dir, "orders").select(
+        k.alias("case_id"),
+        F.array_compact(F.array(F.when(k % 2 == 0, "even"), F.when(k % 3 == 0, "third"), F.lit("all"))).alias("tags"),
+    )
     return e.select_cases(cases, tags=["third", "even"]).select("case_id")
 
 
-@query("artifact_estimates", with_views(["artifacts"], "SELECT path, size_bytes AS bytes, length(content)::BIGINT AS characters, CASE WHEN length(content) = 0 THEN 0 ELSE greatest(1, (length(content) * 11 + 39) // 40) END::BIGINT AS tokens FROM artifacts"))
+@query(
+    "artifact_estimates",
+    with_views(
+        ["artifacts"],
+        "SELECT path, size_bytes AS bytes, length(content)::BIGINT AS characters, CASE WHEN length(content) = 0 THEN 0 ELSE greatest(1, (length(content) * 11 + 39) // 40) END::BIGINT AS tokens FROM artifacts",
+    ),
+)
 def _(spark, sf_dir):
     return e.artifact_estimates(views.artifacts(spark, sf_dir))
 
 
 @query("changed_path_metrics", with_views(["snapshot_previous", "snapshot_current"], """
-c AS (SELECT coalesce(p.project_id, q.project_id) AS case_id, coalesce(p.path, q.path) AS path FROM snapshot_previous p FULL JOIN snapshot_current q ON p.project_id = q.project_id AND p.path = q.path WHERE p.content IS DISTINCT FROM q.content),
+c AS (SELECT coalesce(p.project_id, q.project_id) AS case_id, coalesce(p.path, q.path) AS path FROM snapshot_previous p FULL JOIN
+  snapshot_current q ON p.project_id = q.project_id AND p.path = q.path WHERE p.content IS DISTINCT FROM q.content),
 e AS (SELECT project_id AS case_id, path FROM snapshot_current WHERE doc_id % 14 = 0 OR doc_id % 10 = 0),
 b AS (SELECT case_id, c.path IS NOT NULL AS c, e.path IS NOT NULL AS e FROM c FULL JOIN e USING (case_id, path)),
-g AS (SELECT case_id, count(*) FILTER (WHERE c) AS changed, count(*) FILTER (WHERE e) AS expected, count(*) FILTER (WHERE c AND e) AS hits FROM b GROUP BY 1)
+g AS (SELECT case_id, count(*) FILTER (WHERE c) AS changed, count(*) FILTER (WHERE e) AS expected, count(*) FILTER (WHERE c AND e)
+  AS hits FROM b GROUP BY 1)
 SELECT *, round(coalesce(hits / nullif(expected, 0), 1.0), 6) AS recall, hits = changed AND hits = expected AS exact FROM g"""))
 def _(spark, sf_dir):
-    before, after = (views.snapshot(spark, sf_dir, w).select(F.col("project_id").alias("case_id"), "path", F.sha2("content", 256).alias("digest"), "doc_id") for w in ("previous", "current"))
+    before, after = (
+        views.snapshot(spark, sf_dir, w).select(
+            F.col("project_id").alias("case_id"), "path", F.sha2("content", 256).alias("digest"), "doc_id",
+        ) for w in ("previous", "current")
+    )
     expected = after.filter("doc_id % 14 = 0 or doc_id % 10 = 0").select("case_id", "path")
     return e.changed_path_metrics(before, after, expected).withColumn("recall", F.round("recall", 6))

@@ -9,7 +9,11 @@ from . import views
 from .views import with_views
 
 QUERIES, ORACLE_SQL = {}, {}
-RULES = scan.compile_ignore_rules(mandatory=[".env.1*"], user_exclude=["docs/page_3*"], user_include=["build_7*/**"], project=["/config/", "tests/**/test_9*.py"], version_control=["# notes", "", "*.png", "!img_2*.png", "/src/legacy/"])
+RULES = scan.compile_ignore_rules(
+    mandatory=[".env.1*"], user_exclude=["docs/page_3*"], user_include=["build_7*/**"],
+    project=["/config/", "tests/**/test_9*.py"],
+    version_control=["# notes", "", "*.png", "!img_2*.png", "/src/legacy/"],
+)
 
 
 def query(name: str, sql: str | None = None):
@@ -32,7 +36,8 @@ _RAW = "CASE doc_id % 7 WHEN 0 THEN '/' || path WHEN 1 THEN './' || replace(path
 @query("normalize_paths", with_views(["artifacts"], f"""
 r AS (SELECT doc_id, {_RAW} AS raw FROM artifacts),
 s AS (SELECT *, list_filter(string_split(replace(raw, chr(92), '/'), '/'), lambda x: x NOT IN ('', '.')) AS parts FROM r),
-e AS (SELECT *, CASE WHEN regexp_matches(raw, '^[/\\\\]') THEN 'absolute' WHEN regexp_matches(raw, '^[A-Za-z]:') THEN 'drive' WHEN list_contains(parts, '..') THEN 'parent_traversal' WHEN len(parts) = 0 THEN 'empty' END AS path_error FROM s)
+e AS (SELECT *, CASE WHEN regexp_matches(raw, '^[/\\\\]') THEN 'absolute' WHEN regexp_matches(raw, '^[A-Za-z]:') THEN 'drive' WHEN
+  list_contains(parts, '..') THEN 'parent_traversal' WHEN len(parts) = 0 THEN 'empty' END AS path_error FROM s)
 SELECT doc_id, CASE WHEN path_error IS NULL THEN array_to_string(parts, '/') END AS canonical_path, path_error FROM e"""))
 def _(spark, sf_dir):
     raw = F.expr(_RAW.replace("chr(92)", "char(92)"))
@@ -76,19 +81,33 @@ def _(spark, sf_dir):
 
 @query("classify_artifacts", with_views(["artifacts"], f"""
 s AS (SELECT doc_id, path, (doc_id // 20) % 10 AS p, size_bytes <= 50000 AND {_CUT} AS cut FROM artifacts),
-k AS (SELECT *, CASE WHEN cut OR p = 5 THEN 'binary' ELSE ['source', 'documentation', 'test', 'configuration', 'generated', 'binary', 'configuration', 'source', 'source', 'build'][(p + 1)::INT] END AS kind FROM s)
+k AS (SELECT *, CASE WHEN cut OR p = 5 THEN 'binary' ELSE ['source', 'documentation', 'test', 'configuration', 'generated',
+  'binary', 'configuration', 'source', 'source', 'build'][(p + 1)::INT] END AS kind FROM s)
 SELECT doc_id, path, kind,
-  array_to_string(list_sort(list_distinct(list_filter([CASE WHEN kind = 'binary' THEN 'binary' END, CASE WHEN p = 4 THEN 'generated' END, CASE WHEN p = 6 THEN 'sensitive' END, CASE WHEN kind IN ('test', 'source') THEN 'source' END,
-    CASE WHEN kind = 'test' THEN 'test' END, CASE WHEN kind IN ('build', 'configuration') THEN 'configuration' END, CASE WHEN kind = 'documentation' THEN 'documentation' END], lambda x: x IS NOT NULL))), ',') AS classifications,
+  array_to_string(list_sort(list_distinct(list_filter([CASE WHEN kind = 'binary' THEN 'binary' END, CASE WHEN p = 4 THEN
+  'generated' END, CASE WHEN p = 6 THEN 'sensitive' END, CASE WHEN kind IN ('test', 'source') THEN 'source' END,
+    CASE WHEN kind = 'test' THEN 'test' END, CASE WHEN kind IN ('build', 'configuration') THEN 'configuration' END, CASE WHEN kind
+  = 'documentation' THEN 'documentation' END], lambda x: x IS NOT NULL))), ',') AS classifications,
   CASE WHEN p IN (0, 2, 8) THEN 'python' WHEN p IN (4, 7) THEN 'javascript' END AS detected_language,
-  array_to_string(list_sort(list_filter([CASE WHEN p <> 9 THEN 'extension:' || regexp_extract(path, '[.][^.]*$') END, CASE WHEN cut THEN 'bounded_sample:binary' WHEN p = 5 THEN 'extension:binary' END, CASE WHEN p = 4 THEN 'path:generated_pattern' END,
-    CASE WHEN p = 6 THEN 'filename:sensitive_pattern' END, CASE kind WHEN 'test' THEN 'path:test_convention' WHEN 'build' THEN 'filename:build' WHEN 'configuration' THEN 'filename:configuration' WHEN 'documentation' THEN 'path:documentation'
+  array_to_string(list_sort(list_filter([CASE WHEN p <> 9 THEN 'extension:' || regexp_extract(path, '[.][^.]*$') END, CASE WHEN
+  cut THEN 'bounded_sample:binary' WHEN p = 5 THEN 'extension:binary' END, CASE WHEN p = 4 THEN 'path:generated_pattern' END,
+    CASE WHEN p = 6 THEN 'filename:sensitive_pattern' END, CASE kind WHEN 'test' THEN 'path:test_convention' WHEN 'build' THEN
+  'filename:build' WHEN 'configuration' THEN 'filename:configuration' WHEN 'documentation' THEN 'path:documentation'
     WHEN 'source' THEN 'language:' || CASE WHEN p = 7 THEN 'javascript' ELSE 'python' END END], lambda x: x IS NOT NULL)), ',') AS evidence FROM k"""))
 def _(spark, sf_dir):
-    return classified(spark, sf_dir).select("doc_id", "path", "kind", F.array_join("classifications", ",").alias("classifications"), "detected_language", F.array_join("evidence", ",").alias("evidence"))
-
-
-@query("availability", with_views(["artifacts"], "SELECT doc_id, CASE WHEN content IS NULL THEN 'unreadable' WHEN size_bytes > 50000 THEN 'skipped' ELSE 'available' END AS availability FROM artifacts"))
+    return classified(spark, sf_dir).select(
+        "doc_id", "path", "kind", F.array_join("classifications", ",").alias("classifications"), "detected_language",
+        F.array_join("evidence", ",").alias("evidence"),
+    )
+
+
+@query(
+    "availability",
+    with_views(
+        ["artifacts"],
+        "SELECT doc_id, CASE WHEN content IS NULL THEN 'unreadable' WHEN size_bytes > 50000 THEN 'skipped' ELSE 'available' END AS availability FROM artifacts",
+    ),
+)
 def _(spark, sf_dir):
     return scan.availability(views.artifacts(spark, sf_dir), 50_000).select("doc_id", "availability")
 
@@ -96,7 +115,10 @@ def _(spark, sf_dir):
 _FINGERPRINT = "'artifact_sha256_' || sha256('path=' || path || chr(10) || 'entry_type=file' || chr(10) || 'content=sha256:' || sha256(content) || chr(10) || 'modified_time_ns=ignored')"
 
 
-@query("artifact_fingerprint", with_views(["artifacts"], f"SELECT doc_id, 'sha256:' || sha256(content) AS content_fingerprint, {_FINGERPRINT} AS fingerprint FROM artifacts"))
+@query(
+    "artifact_fingerprint",
+    with_views(["artifacts"], f"SELECT doc_id, 'sha256:' || sha256(content) AS content_fingerprint, {_FINGERPRINT} AS fingerprint FROM artifacts"),
+)
 def _(spark, sf_dir):
     return scan.artifact_fingerprint(views.artifacts(spark, sf_dir)).select("doc_id", "content_fingerprint", "fingerprint")
 
@@ -104,18 +126,25 @@ def _(spark, sf_dir):
 @query("project_fingerprint", with_views(["artifacts"], f"""
 c AS (SELECT project_id, path, path || '|file|all|available|' || {_FINGERPRINT} AS v FROM artifacts),
 b AS (SELECT project_id, substr(sha256(path), 1, 3) AS k, list(v ORDER BY path, v) AS vs FROM c GROUP BY 1, 2),
-h AS (SELECT project_id, k, sha256('{{"fingerprint_schema":"v1","fingerprint_type":"block","line_endings":"lf","ordering":"ordered","values":["' || array_to_string(vs, '","') || '"]}}') AS v FROM b),
+h AS (SELECT project_id, k,
+  sha256('{{"fingerprint_schema":"v1","fingerprint_type":"block","line_endings":"lf","ordering":"ordered","values":["' ||
+  array_to_string(vs, '","') || '"]}}') AS v FROM b),
 g AS (SELECT project_id, list(v ORDER BY k, v) AS vs FROM h GROUP BY project_id)
 SELECT project_id, 'project_sha256_' || sha256('{{"fingerprint_schema":"v1","fingerprint_type":"project","line_endings":"lf","ordering":"ordered","values":["' || array_to_string(vs, '","') || '"]}}') AS project_fingerprint FROM g"""))
 def _(spark, sf_dir):
-    rows = scan.artifact_fingerprint(views.artifacts(spark, sf_dir)).withColumns({"kind": F.lit("file"), "classifications": F.array(F.lit("all")), "availability": F.lit("available")})
+    rows = scan.artifact_fingerprint(views.artifacts(spark, sf_dir)).withColumns(
+        {"kind": F.lit("file"), "classifications": F.array(F.lit("all")), "availability": F.lit("available")}
+    )
     return scan.project_fingerprint(rows)
 
 
 @query("scan_statistics", with_views(["artifacts"], f"""{_IGNORED},
-a AS (SELECT project_id, size_bytes, ignore_action = 'include' AS inc, content IS NULL AS unreadable, content IS NOT NULL AND size_bytes > 50000 AS skipped FROM artifacts JOIN d USING (doc_id)),
-g AS (SELECT project_id, count(*) AS discovered, count(*) FILTER (WHERE inc) AS included, count(*) FILTER (WHERE NOT inc) AS excluded, count(*) FILTER (WHERE inc AND skipped) AS unsupported,
-      count(*) FILTER (WHERE inc AND unreadable) AS unreadable, coalesce(sum(size_bytes) FILTER (WHERE inc), 0)::BIGINT AS bytes, 0::BIGINT AS reused FROM a GROUP BY project_id)
+a AS (SELECT project_id, size_bytes, ignore_action = 'include' AS inc, content IS NULL AS unreadable, content IS NOT NULL AND
+  size_bytes > 50000 AS skipped FROM artifacts JOIN d USING (doc_id)),
+g AS (SELECT project_id, count(*) AS discovered, count(*) FILTER (WHERE inc) AS included, count(*) FILTER (WHERE NOT inc) AS
+  excluded, count(*) FILTER (WHERE inc AND skipped) AS unsupported,
+      count(*) FILTER (WHERE inc AND unreadable) AS unreadable, coalesce(sum(size_bytes) FILTER (WHERE inc), 0)::BIGINT AS bytes,
+  0::BIGINT AS reused FROM a GROUP BY project_id)
 SELECT *, CASE WHEN included = 0 THEN 'failed' WHEN unreadable > 0 THEN 'incomplete' WHEN unsupported > 0 THEN 'complete_with_warnings' ELSE 'complete' END AS status FROM g"""))
 def _(spark, sf_dir):
     return scan.scan_statistics(scan.ignore_decision(scan.availability(views.artifacts(spark, sf_dir), 50_000), RULES))
@@ -126,5 +155,9 @@ SELECT coalesce(p.project_id, c.project_id) AS project_id, coalesce(p.path, c.pa
        CASE WHEN p.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'deleted' WHEN p.content = c.content THEN 'reused' ELSE 'changed' END AS change
 FROM snapshot_previous p FULL JOIN snapshot_current c ON p.project_id = c.project_id AND p.path = c.path"""))
 def _(spark, sf_dir):
-    before, now = (scan.artifact_fingerprint(views.snapshot(spark, sf_dir, w)).withColumn("scanner_version", F.lit(views.SCANNER)) for w in ("previous", "current"))
+    before, now = (
+        scan.artifact_fingerprint(views.snapshot(spark, sf_dir, w)).withColumn(
+            "scanner_version", F.lit(views.SCANNER),
+        ) for w in ("previous", "current")
+    )
     return scan.diff_snapshots(before, now)

@@ -33,14 +33,23 @@ SELECT doc_id AS task_id, count(*) AS item_count, sum(strlen(text))::BIGINT AS b
 def _(spark, sf_dir):
     """All lines of each document as the items of one bundle."""
     units = views.search_units(spark, sf_dir).withColumn("bundle_id", F.col("doc_id"))
-    items = units.select("bundle_id", F.row_number().over(Window.partitionBy("bundle_id").orderBy("unit_id")).alias("ord"), "path", F.lit("lexical_content_match").alias("reason"), F.lit(1.0).alias("score"), F.col("text").alias("content"))
+    items = units.select(
+        "bundle_id", F.row_number().over(Window.partitionBy("bundle_id").orderBy("unit_id")).alias("ord"), "path",
+        F.lit("lexical_content_match").alias("reason"), F.lit(1.0).alias("score"), F.col("text").alias("content"),
+    )
     packets = suites.context_packets(items.select(F.col("bundle_id").alias("task_id"), "bundle_id").distinct(), items)
     read = F.from_json("packet", "struct<item_count:bigint,byte_count:bigint,items:array<struct<ord:int,content:string>>>")
     rows = packets.select("task_id", read.alias("p"))
-    return rows.select("task_id", "p.item_count", "p.byte_count", F.sha2(F.array_join(F.transform("p.items", lambda i: i["content"]), "|"), 256).alias("contents_sha256"))
+    return rows.select(
+        "task_id", "p.item_count", "p.byte_count",
+        F.sha2(F.array_join(F.transform("p.items", lambda i: i["content"]), "|"), 256).alias("contents_sha256"),
+    )
 
 
-@query("read_files", "SELECT source AS folder, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS size_bytes, sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1)::BIGINT AS line_ends FROM documents GROUP BY 1")
+@query(
+    "read_files",
+    "SELECT source AS folder, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS size_bytes, sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1)::BIGINT AS line_ends FROM documents GROUP BY 1",
+)
 def _(spark, sf_dir):
     """The documents as text files below a folder for each source, read back as a file tree."""
     root = new_folder(spark)
@@ -48,28 +57,41 @@ def _(spark, sf_dir):
     files = read_files(spark, root).filter(F.col("path").startswith("source="))
     text = F.col("content").cast("string")
     ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    return files.groupBy(F.regexp_extract("path", "^source=([^/]*)/", 1).alias("folder")).agg(F.sum("size_bytes").alias("size_bytes"), F.sum(ends.cast("long")).alias("line_ends"))
+    return files.groupBy(F.regexp_extract("path", "^source=([^/]*)/", 1).alias("folder")).agg(
+        F.sum("size_bytes").alias("size_bytes"), F.sum(ends.cast("long")).alias("line_ends"),
+    )
 
 
 @query("read_latest_snapshot", with_views(["snapshot_previous", "snapshot_current"], """
-l AS (SELECT project_id, path, 'current' AS snapshot_id, content FROM snapshot_current UNION ALL SELECT project_id, path, 'previous', content FROM snapshot_previous WHERE project_id NOT IN (SELECT project_id FROM snapshot_current))
+l AS (SELECT project_id, path, 'current' AS snapshot_id, content FROM snapshot_current UNION ALL SELECT project_id, path,
+  'previous', content FROM snapshot_previous WHERE project_id NOT IN (SELECT project_id FROM snapshot_current))
 SELECT project_id, path, snapshot_id, sha256(content) AS digest FROM l"""))
 def _(spark, sf_dir):
     """Both versions of the artifacts written as snapshots; the newest of each project is read back."""
     root = new_folder(spark)
     for at, which in enumerate(("previous", "current")):
-        rows = views.snapshot(spark, sf_dir, which).select("project_id", "path", F.sha2("content", 256).alias("digest"), F.lit(at).alias("created_at"))
+        rows = views.snapshot(spark, sf_dir, which).select(
+            "project_id", "path", F.sha2("content", 256).alias("digest"), F.lit(at).alias("created_at"),
+        )
         write_snapshot(rows, root, "inventory", which)
     return read_latest_snapshot(spark, root, "inventory").select("project_id", "path", "snapshot_id", "digest")
 
 
-@query("read_suite", with_views(["judgments"], "SELECT 's' || (case_id // 100) AS suite_id, 'c' || case_id AS case_id, path, relevance FROM judgments"))
+@query(
+    "read_suite",
+    with_views(["judgments"], "SELECT 's' || (case_id // 100) AS suite_id, 'c' || case_id AS case_id, path, relevance FROM judgments"),
+)
 def _(spark, sf_dir):
     """The judgments as JSON suites of up to a hundred cases, a file each, read back by the reader of suites."""
     root = new_folder(spark)
     judgments = views.judgments(spark, sf_dir)
-    listed = judgments.groupBy("case_id").agg(F.collect_list(F.struct("path", "relevance", F.array().cast("array<string>").alias("symbols"))).alias("judgments"))
-    case = F.struct(F.concat(F.lit("c"), "case_id").alias("case_id"), F.lit("Explain").alias("task_text"), F.array(F.lit("made")).alias("tags"), "judgments")
+    listed = judgments.groupBy("case_id").agg(
+        F.collect_list(F.struct("path", "relevance", F.array().cast("array<string>").alias("symbols"))).alias("judgments")
+    )
+    case = F.struct(
+        F.concat(F.lit("c"), "case_id").alias("case_id"), F.lit("Explain").alias("task_text"),
+        F.array(F.lit("made")).alias("tags"), "judgments",
+    )
     suite = F.concat(F.lit("s"), F.expr("case_id div 100"))
     made = listed.groupBy(suite.alias("suite_id")).agg(F.lit("1").alias("suite_version"), F.collect_list(case).alias("cases"))
     made.withColumn("folder", F.col("suite_id")).write.partitionBy("folder").json(root)
@@ -78,21 +100,32 @@ def _(spark, sf_dir):
 
 
 @query("evaluation_report", with_views(JUDGED, f"""{_METRICS}, ag AS (SELECT strategy_id, count(DISTINCT metric_name) AS metrics FROM mt GROUP BY 1),
-dl AS (SELECT b.strategy_id, count(*) AS regressions FROM mt b JOIN mt p USING (case_id, metric_name) WHERE p.strategy_id = 'primary' AND b.strategy_id <> 'primary' AND p.value < b.value - 1e-12 GROUP BY 1)
+dl AS (SELECT b.strategy_id, count(*) AS regressions FROM mt b JOIN mt p USING (case_id, metric_name) WHERE p.strategy_id =
+  'primary' AND b.strategy_id <> 'primary' AND p.value < b.value - 1e-12 GROUP BY 1)
 SELECT strategy_id, metrics, coalesce(regressions, 0) AS regressions FROM ag LEFT JOIN dl USING (strategy_id)"""))
 def _(spark, sf_dir):
     metrics = _metrics(spark, sf_dir)
     aggregates = e.aggregate_metrics(metrics)
-    report = suites.evaluation_report(aggregates, e.baseline_deltas(metrics, "primary"), aggregates.select("strategy_id", "metric_name", F.lit("missing").alias("failure")).limit(0))
-    size = lambda path: F.coalesce(F.size(F.from_json(F.get_json_object("document", path), "array<struct<metric_name:string>>")), F.lit(0)).cast("long")
+    report = suites.evaluation_report(
+        aggregates, e.baseline_deltas(metrics, "primary"),
+        aggregates.select("strategy_id", "metric_name", F.lit("missing").alias("failure")).limit(0),
+    )
+    size = lambda path: F.coalesce(
+        F.size(F.from_json(F.get_json_object("document", path), "array<struct<metric_name:string>>")), F.lit(0),
+    ).cast("long")
     return report.select("strategy_id", size("$.aggregates").alias("metrics"), F.greatest(size("$.regressions"), F.lit(0)).alias("regressions"))
 
 
 @query("check_suite", """
-WITH c AS (SELECT 'c' || (o_orderkey % 9973) AS case_id FROM orders), j AS (SELECT 'c' || (l_orderkey % 500) AS case_id, 'f' || (l_partkey % 700) AS path, CASE WHEN l_partkey % 97 = 0 THEN 'maybe' ELSE 'required' END AS relevance FROM lineitem)
+WITH c AS (SELECT 'c' || (o_orderkey % 9973) AS case_id FROM orders), j AS (SELECT 'c' || (l_orderkey % 500) AS case_id, 'f' ||
+  (l_partkey % 700) AS path, CASE WHEN l_partkey % 97 = 0 THEN 'maybe' ELSE 'required' END AS relevance FROM lineitem)
 SELECT 'SUITE_DUPLICATE_CASE' AS code, case_id AS subject FROM c GROUP BY 2 HAVING count(*) > 1
 UNION ALL SELECT 'SUITE_DUPLICATE_JUDGMENT', case_id || ':' || path FROM j GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'SUITE_UNKNOWN_LEVEL', case_id || ':' || path FROM j WHERE relevance = 'maybe'""")
 def _(spark, sf_dir):
     cases = views.table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_orderkey") % 9973).alias("case_id"))
-    judgments = views.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("c"), F.col("l_orderkey") % 500).alias("case_id"), F.concat(F.lit("f"), F.col("l_partkey") % 700).alias("path"), F.when(F.col("l_partkey") % 97 == 0, "maybe").otherwise("required").alias("relevance"))
+    judgments = views.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("c"), F.col("l_orderkey") % 500).alias("case_id"),
+        F.concat(F.lit("f"), F.col("l_partkey") % 700).alias("path"),
+        F.when(F.col("l_partkey") % 97 == 0, "maybe").otherwise("required").alias("relevance"),
+    )
     return suites.check_suite(cases, judgments)

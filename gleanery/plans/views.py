@@ -27,14 +27,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, project_id, path, entry_type, content (text), size_bytes."""
     docs = table(spark, sf_dir, "documents")
-    path = F.get(F.array(*(F.concat(F.lit(p.split("{}")[0]), F.col("doc_id"), F.lit(p.split("{}")[1])) for p in PATHS)), F.expr("int((doc_id div 20) % 10)"))
-    return docs.select("doc_id", F.col("source").alias("project_id"), path.alias("path"), F.lit("file").alias("entry_type"), F.col("text").alias("content"), F.octet_length("text").cast("long").alias("size_bytes"))
+    path = F.get(
+        F.array(*(F.concat(F.lit(p.split("{}")[0]), F.col("doc_id"), F.lit(p.split("{}")[1])) for p in PATHS)),
+        F.expr("int((doc_id div 20) % 10)"),
+    )
+    return docs.select(
+        "doc_id", F.col("source").alias("project_id"), path.alias("path"), F.lit("file").alias("entry_type"),
+        F.col("text").alias("content"), F.octet_length("text").cast("long").alias("size_bytes"),
+    )
 
 
 def search_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the artifacts: project_id, path, unit_id, line, ord, text."""
-    rows = artifacts(spark, sf_dir).select("doc_id", "project_id", "path", F.posexplode(F.split("content", "\n")).alias("n", "text")).filter("text <> ''")
-    return rows.select("doc_id", "project_id", "path", F.format_string("u%08d-%06d", "doc_id", F.col("n") + 1).alias("unit_id"), (F.col("n") + 1).alias("line"), "text")
+    rows = artifacts(spark, sf_dir).select(
+        "doc_id", "project_id", "path", F.posexplode(F.split("content", "\n")).alias("n", "text"),
+    ).filter("text <> ''")
+    return rows.select(
+        "doc_id", "project_id", "path", F.format_string("u%08d-%06d", "doc_id", F.col("n") + 1).alias("unit_id"),
+        (F.col("n") + 1).alias("line"), "text",
+    )
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +53,10 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}{7,}"), F.lit(0)))
     rows = items.select(F.col("item_id").alias("task_id"), words.alias("w"))
-    return rows.select("task_id", F.concat(F.lit("Explain "), F.array_join("w", " ")).alias("task_text"), F.array_distinct(F.transform("w", fold)).alias("keywords"))
+    return rows.select(
+        "task_id", F.concat(F.lit("Explain "), F.array_join("w", " ")).alias("task_text"),
+        F.array_distinct(F.transform("w", fold)).alias("keywords"),
+    )
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +64,9 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = artifacts(spark, sf_dir).select("doc_id", "path", "content")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("phrase"))
     met = containing(docs.select(F.col("doc_id").alias("id"), F.col("content").alias("text")), items).withColumnRenamed("id", "doc_id")
-    found = written(met.join(items, "phrase").join(docs.select("doc_id", "path"), "doc_id").select("case_id", "path", F.lit("required").alias("relevance")))
+    found = written(
+        met.join(items, "phrase").join(docs.select("doc_id", "path"), "doc_id").select("case_id", "path", F.lit("required").alias("relevance"))
+    )
     labels = docs.select("doc_id", "path").join(table(spark, sf_dir, "labels"), "doc_id")
     level = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "irrelevant").otherwise("supporting")
     cases = found.select("case_id").distinct()
@@ -60,25 +76,45 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """relationship_id, source_reference, target_reference, kind of the links between pages."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("n", "target"))
-    return pages.select(F.format_string("r%08d-%04d", "page_id", "n").alias("relationship_id"), F.regexp_extract("url", r"://[^/]*([^?#]*)", 1).alias("source_reference"), F.col("target").alias("target_reference"), F.lit("references").alias("kind"), F.lit("resolved_internal").alias("resolution"))
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", "url",
+        F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("n", "target"),
+    )
+    return pages.select(
+        F.format_string("r%08d-%04d", "page_id", "n").alias("relationship_id"),
+        F.regexp_extract("url", r"://[^/]*([^?#]*)", 1).alias("source_reference"),
+        F.col("target").alias("target_reference"), F.lit("references").alias("kind"),
+        F.lit("resolved_internal").alias("resolution"),
+    )
 
 
 def edges_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers depend on orders, orders import parts, parts configure suppliers."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     def link(df, kind, a, ac, b, bc):
-        return df.select(F.concat(F.lit(f"{a}:"), ac).alias("source_reference"), F.concat(F.lit(f"{b}:"), bc).alias("target_reference"), F.lit(kind).alias("kind")).distinct()
+        return df.select(
+            F.concat(F.lit(f"{a}:"), ac).alias("source_reference"),
+            F.concat(F.lit(f"{b}:"), bc).alias("target_reference"), F.lit(kind).alias("kind"),
+        ).distinct()
     rows = link(orders, "depends_on", "c", "o_custkey", "o", "o_orderkey")
-    rows = rows.unionByName(link(items, "imports", "o", "l_orderkey", "p", "l_partkey")).unionByName(link(items, "configures", "p", "l_partkey", "s", "l_suppkey"))
-    return rows.select(F.concat_ws(">", "source_reference", "target_reference").alias("relationship_id"), "*", F.lit("resolved_internal").alias("resolution"))
+    rows = rows.unionByName(link(items, "imports", "o", "l_orderkey", "p", "l_partkey")).unionByName(
+        link(items, "configures", "p", "l_partkey", "s", "l_suppkey")
+    )
+    return rows.select(
+        F.concat_ws(">", "source_reference", "target_reference").alias("relationship_id"), "*",
+        F.lit("resolved_internal").alias("resolution"),
+    )
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as symbols: symbol_id, name, qualified_name, kind, artifact_id."""
     part = table(spark, sf_dir, "part")
     plain = lambda c: F.regexp_replace(c, "[ #]", "_")
-    return part.select(F.concat(F.lit("sym"), "p_partkey").alias("symbol_id"), plain("p_name").alias("name"), F.concat_ws(".", plain("p_brand"), plain("p_type"), plain("p_name")).alias("qualified_name"), F.lit("function").alias("kind"), F.concat(F.lit("a"), F.col("p_partkey") % 97).alias("artifact_id"))
+    return part.select(
+        F.concat(F.lit("sym"), "p_partkey").alias("symbol_id"), plain("p_name").alias("name"),
+        F.concat_ws(".", plain("p_brand"), plain("p_type"), plain("p_name")).alias("qualified_name"),
+        F.lit("function").alias("kind"), F.concat(F.lit("a"), F.col("p_partkey") % 97).alias("artifact_id"),
+    )
 
 
 def snapshot(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
@@ -96,12 +132,19 @@ def proposed_changes(spark: SparkSession, sf_dir: str, dense: bool = True) -> Da
     file = lambda n: F.concat(F.lit("src/f_"), n % 50, F.lit(".py"))
     op = F.get(F.array(*(F.lit(x) for x in ("create", "modify", "delete", "rename"))), (F.col("o_orderkey") % 4).cast("int"))
     proposal = F.col("o_custkey") % 20 if dense else F.col("o_custkey")
-    return orders.select(proposal.alias("proposal_id"), F.col("o_orderkey").alias("change_id"), op.alias("operation"), file(F.col("o_orderkey")).alias("path"), F.when(op == "rename", file(F.col("o_orderkey") * 7)).alias("destination_path"))
+    return orders.select(
+        proposal.alias("proposal_id"), F.col("o_orderkey").alias("change_id"), op.alias("operation"),
+        file(F.col("o_orderkey")).alias("path"),
+        F.when(op == "rename", file(F.col("o_orderkey") * 7)).alias("destination_path"),
+    )
 
 
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return events.select(F.col("event_id").alias("execution_id"), F.concat(F.lit("p"), F.col("user_id") % 10).alias("project_id"), F.col("user_id").alias("task_id"), F.col("event_type").alias("stage"), F.col("ts").alias("saved_at"), "value")
+    return events.select(
+        F.col("event_id").alias("execution_id"), F.concat(F.lit("p"), F.col("user_id") % 10).alias("project_id"),
+        F.col("user_id").alias("task_id"), F.col("event_type").alias("stage"), F.col("ts").alias("saved_at"), "value",
+    )
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -113,8 +156,10 @@ VIEW_SQL = {
     "search_units": """SELECT doc_id, project_id, path, printf('u%08d-%06d', doc_id, n + 1) AS unit_id, n + 1 AS line, text
       FROM (SELECT doc_id, project_id, path, unnest(range(len(l))) AS n, unnest(l) AS text FROM (SELECT *, string_split(content, chr(10)) AS l FROM artifacts)) WHERE text <> ''""",
     "tasks": f"""SELECT item_id AS task_id, 'Explain ' || array_to_string(w, ' ') AS task_text, k AS keywords FROM (
-      SELECT item_id, w, list_reduce_distinct AS k FROM (SELECT item_id, w, list_transform(w, lambda x: {FOLD.format('x')}) AS list_reduce_distinct FROM (
-        SELECT item_id, list_transform(list_filter(list_transform(a, lambda x, i: {{'x': x, 'i': i}}), lambda s: list_position(a, s.x) = s.i), lambda s: s.x) AS w
+      SELECT item_id, w, list_reduce_distinct AS k FROM (SELECT item_id, w, list_transform(w, lambda x: {FOLD.format('x')}) AS
+  list_reduce_distinct FROM (
+        SELECT item_id, list_transform(list_filter(list_transform(a, lambda x, i: {{'x': x, 'i': i}}), lambda s: list_position(a,
+  s.x) = s.i), lambda s: s.x) AS w
         FROM (SELECT item_id, regexp_extract_all(text, '\\p{{L}}{{7,}}') AS a FROM benchmark))))""",
     "judgments": """WITH f AS (SELECT item_id AS case_id, path FROM artifacts JOIN benchmark ON contains(content, text)),
       s AS (SELECT DISTINCT c.case_id, a.path, CASE WHEN toxic = 1 OR quality = 0 THEN 'irrelevant' ELSE 'supporting' END AS relevance
@@ -141,4 +186,6 @@ def with_views(names: Iterable[str], body: str) -> str:
     wanted: list[str] = []
     for name in names:
         wanted += [n for n in [*NEEDS.get(name, []), name] if n not in wanted]
-    return "WITH " + ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in wanted) + ("\n" if body.lstrip().upper().startswith("SELECT") else ",\n") + body.strip()
+    return "WITH " + ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in wanted) + (
+        "\n" if body.lstrip().upper().startswith("SELECT") else ",\n"
+    ) + body.strip()

@@ -21,9 +21,15 @@ def read_suite(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def check_suite(cases: DataFrame, judgments: DataFrame) -> DataFrame:
     """(code, subject) of repeated cases, paths judged twice in a case, and unknown levels."""
-    twice = cases.groupBy("case_id").count().filter("count > 1").select(F.lit("SUITE_DUPLICATE_CASE").alias("code"), F.col("case_id").alias("subject"))
-    again = judgments.groupBy("case_id", "path").count().filter("count > 1").select(F.lit("SUITE_DUPLICATE_JUDGMENT").alias("code"), F.concat_ws(":", "case_id", "path").alias("subject"))
-    level = judgments.filter(~F.col("relevance").isin(LEVELS)).select(F.lit("SUITE_UNKNOWN_LEVEL").alias("code"), F.concat_ws(":", "case_id", "path").alias("subject"))
+    twice = cases.groupBy("case_id").count().filter("count > 1").select(
+        F.lit("SUITE_DUPLICATE_CASE").alias("code"), F.col("case_id").alias("subject"),
+    )
+    again = judgments.groupBy("case_id", "path").count().filter("count > 1").select(
+        F.lit("SUITE_DUPLICATE_JUDGMENT").alias("code"), F.concat_ws(":", "case_id", "path").alias("subject"),
+    )
+    level = judgments.filter(~F.col("relevance").isin(LEVELS)).select(
+        F.lit("SUITE_UNKNOWN_LEVEL").alias("code"), F.concat_ws(":", "case_id", "path").alias("subject"),
+    )
     return twice.unionByName(again).unionByName(level)
 
 
@@ -37,7 +43,10 @@ def evaluation_report(aggregates: DataFrame, deltas: DataFrame, failures: DataFr
         return df.groupBy(F.col(key).alias("strategy_id")).agg(F.array_sort(F.collect_list(item)).alias(name))
 
     a = listed(aggregates, "strategy_id", F.struct("metric_name", "cases", F.round("mean", 6).alias("mean")), "aggregates")
-    r = listed(deltas.filter(F.round("delta", 12) < 0), "baseline_id", F.struct("case_id", "metric_name", F.round("delta", 6).alias("delta")), "regressions")
+    r = listed(
+        deltas.filter(F.round("delta", 12) < 0), "baseline_id",
+        F.struct("case_id", "metric_name", F.round("delta", 6).alias("delta")), "regressions",
+    )
     f = listed(failures, "strategy_id", F.struct("metric_name", "failure"), "failures")
     rows = a.join(r, "strategy_id", "left").join(f, "strategy_id", "left")
     return rows.select("strategy_id", F.to_json(F.struct("strategy_id", "aggregates", "regressions", "failures")).alias("document"))
@@ -47,8 +56,13 @@ def report_markdown(aggregates: DataFrame, failures: DataFrame) -> DataFrame:
     """(strategy_id, markdown) with a table of means and a list of failures."""
     line = F.format_string("| %s | %d | %.6f |", "metric_name", "cases", "mean")
     table = aggregates.groupBy("strategy_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("t"))
-    bad = failures.groupBy("strategy_id").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("- %s: %s", "metric_name", "failure"))), "\n").alias("f"))
-    text = F.concat(F.lit("## "), "strategy_id", F.lit("\n\n| metric | cases | mean |\n| --- | --- | --- |\n"), "t", F.coalesce(F.concat(F.lit("\n\nFailures:\n\n"), "f"), F.lit("")))
+    bad = failures.groupBy("strategy_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.format_string("- %s: %s", "metric_name", "failure"))), "\n").alias("f")
+    )
+    text = F.concat(
+        F.lit("## "), "strategy_id", F.lit("\n\n| metric | cases | mean |\n| --- | --- | --- |\n"), "t",
+        F.coalesce(F.concat(F.lit("\n\nFailures:\n\n"), "f"), F.lit("")),
+    )
     return table.join(bad, "strategy_id", "left").select("strategy_id", text.alias("markdown"))
 
 
@@ -58,6 +72,9 @@ def context_packets(bundles: DataFrame, items: DataFrame) -> DataFrame:
     ``bundles`` (task_id, bundle_id), ``items`` (bundle_id, ord, path, reason, score, content).
     """
     entry = F.struct("ord", "path", "reason", "score", "content")
-    packed = items.groupBy("bundle_id").agg(F.array_sort(F.collect_list(entry)).alias("items"), F.count(F.lit(1)).alias("item_count"), F.sum(F.octet_length("content")).alias("byte_count"))
+    packed = items.groupBy("bundle_id").agg(
+        F.array_sort(F.collect_list(entry)).alias("items"), F.count(F.lit(1)).alias("item_count"),
+        F.sum(F.octet_length("content")).alias("byte_count"),
+    )
     rows = bundles.join(packed, "bundle_id", "left")
     return rows.select("task_id", F.to_json(F.struct("task_id", "bundle_id", "item_count", "byte_count", "items")).alias("packet"))

@@ -25,10 +25,15 @@ def follow_versions(versions: DataFrame, root: str, checkpoint: str, **trigger)
 
     def index_batch(batch: DataFrame, batch_id: int) -> None:
         now = newest_versions(batch)
-        units = text_units(now).join(now.select("project_id", "path", "created_at", content_fingerprint(F.col("content")).alias("content_fingerprint")), ["project_id", "path"])
+        units = text_units(now).join(
+            now.select("project_id", "path", "created_at", content_fingerprint(F.col("content")).alias("content_fingerprint")),
+            ["project_id", "path"],
+        )
         write_snapshot(units, root, "units", f"batch-{batch_id:09d}")
 
-    return versions.writeStream.foreachBatch(index_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return versions.writeStream.foreachBatch(index_batch).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"availableNow": True})
+    ).start()
 
 
 def current_units(units: DataFrame) -> DataFrame:
