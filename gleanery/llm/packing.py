@@ -32,17 +32,19 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
+    spread: int = 64,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket (and ids).
 
     A document is its token ids and ``end_id``. It is cut into pieces whose lengths are powers of two, at most
-    ``longest`` (itself a power of two). Every piece is a sequence: none crosses documents, none needs padding, and
-    ``bucket`` (the power) gathers sequences of equal length for a batch. Work is done where the rows are read,
-    without a shuffle; :func:`write_buckets` lays the buckets out.
+    ``longest`` (itself a power of two). Every piece is a sequence: none crosses documents, none needs padding. Tokens
+    are cut where the rows are read; the pieces then move to partitions by ``bucket`` (the power), so that sequences of
+    equal length lie together for batches. A bucket is spread over ``spread`` partitions, as one may hold most pieces.
 
     ``sequence_id`` is unique and, as it numbers the rows of each input partition, the same when a lost task runs
-    again. Null and empty texts are one piece, the end id. Repeated rows are packed each on its own. An empty table
-    gives no rows. Other columns are ignored.
+    again. Null and empty texts are one piece, the end id. Repeated rows are packed each on its own, ties don't arise. A
+    very long text is encoded whole, in memory of its task. An empty table gives no rows. Other columns are ignored,
+    whatever their names.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -68,7 +70,8 @@ def pack(
 
     out = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut_up, out)
-    return rows.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int")})
+    rows = rows.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int")})
+    return rows.repartition("bucket", F.pmod(F.xxhash64("sequence_id"), F.lit(spread))).sortWithinPartitions("bucket", "sequence_id")
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
