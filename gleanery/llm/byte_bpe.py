@@ -241,8 +241,9 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
     separately; special tokens have no meaning. Rows are encoded where they are read, without a shuffle; a worker
     remembers the ids of at most ``REMEMBERED`` words. A word of n bytes takes O(n log n).
 
-    Null and empty texts have no ids. Repeated rows are encoded each on its own. An empty table gives no rows. Other
-    columns are ignored.
+    Null and empty texts have no ids. Repeated rows are encoded each on its own. Of equal ranks the leftmost pair merges
+    first. A very long text is encoded whole, in memory of its task. An empty table gives no rows. Other columns are
+    ignored, whatever their names.
     """
     kind = id_type(docs, id_col)
     fields = [("doc_id", arrow_type(kind)), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import cut
 from .tokens import arrow_type, id_type, little_endian, slices, token_ids
 
 #: Tokens of a block.
@@ -17,19 +19,24 @@ BLOCK = 1 << 18
 
 
 def read_token_files(spark: SparkSession, path: str, bits: int = 16, block: int = BLOCK) -> DataFrame:
-    """Blocks (file, block, data) of flat files of little-endian unsigned ids, without any index."""
+    """Blocks (file, block, data) of flat files of little-endian unsigned ids, without any index.
+
+    Files are listed with their lengths, not read; each task then reads the byte ranges of its blocks, so a file of any
+    size is read by many tasks and no task holds more than a block of it. Empty files have no block.
+    """
     step = block * bits // 8
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                name, data = batch.column(0)[row].as_py(), batch.column(1)[row].as_buffer()
-                for k, at in enumerate(range(0, data.size, step)):
-                    part = data.slice(at, min(step, data.size - at)).to_pybytes()
-                    yield pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([k], pa.int64()), "data": pa.array([part], pa.binary())})
+            for name, k, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, inner = FileSystem.from_uri(name)
+                with system.open_input_file(inner) as file:
+                    data = file.read_at(min(step, length - k * step), k * step)
+                yield pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([k], pa.int64()), "data": pa.array([data], pa.binary())})
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInArrow(blocks, "file string, block long, data binary")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").filter("length > 0")
+    parts = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))).alias("block"), "length")
+    return parts.repartition("path", "block").mapInArrow(ranges, "file string, block long, data binary")
 
 
 def write_token_blocks(
@@ -57,7 +64,10 @@ def write_token_blocks(
                 stop = min(at + block, len(flat))
                 upto = int(np.searchsorted(ends, stop, side="right"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([file]), pa.array([k], pa.int64()), pa.array([flat[at:stop].tobytes()], pa.binary()), pa.array([names[named:upto]], schema.field(3).type)], schema=schema
+                    [
+                        pa.array([file]), pa.array([k], pa.int64()), pa.array([flat[at:stop].tobytes()], pa.binary()),
+                        pa.array([names[named:upto]], schema.field(3).type),
+                    ], schema=schema
                 )
                 at, named, k = stop, upto, k + 1
             held, names, ends, size = [flat[at:]], names[named:], [e - at for e in ends[named:]], len(flat) - at
@@ -81,10 +91,12 @@ def token_counts(blocks: DataFrame, end_id: int = 50256, bits: int = 16) -> Data
 
     Each block is searched on its own, by one vectorised comparison with ``end_id``; a prefix scan over the blocks of
     a file (sums of tokens and of separators, the last separator so far) then gives the place and number of every
-    separator, so documents that cross blocks come out whole. Only the positions are shuffled, no tokens.
+    separator, so documents that cross blocks come out whole. The scan sees four numbers of a block, not its positions
+    or names, so a file of any size fits its task; these are joined to the positions found, a written table.
     ``n_tokens`` counts the separator. Tokens behind the last separator of a file are a document with ended = false.
     A column ``names`` of ``blocks`` names the documents that end in a block. Blocks may be empty or come in
-    any order; no blocks give no rows. Other columns are ignored.
+    any order; no blocks give no rows. A pair of file and block must not repeat. A document of any length counts whole, over
+    as many blocks as it takes. Other columns are ignored, whatever their names.
     """
     named = "names" in blocks.columns
     schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("ends", pa.list_(pa.int64()))])
@@ -94,20 +106,25 @@ def token_counts(blocks: DataFrame, end_id: int = 50256, bits: int = 16) -> Data
             found = [np.frombuffer(x.as_buffer() if x.is_valid else b"", dtype=f"<u{bits // 8}") for x in batch.column(2)]
             ends = pa.array([np.flatnonzero(x == end_id) + 1 for x in found], schema.field(3).type)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int64()), pa.array([len(x) for x in found], pa.int64()), ends, *batch.columns[3:]],
+                [
+                    batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int64()),
+                    pa.array([len(x) for x in found], pa.int64()), ends, *batch.columns[3:],
+                ],
                 names=[*schema.names, *batch.schema.names[3:]],
             )
 
     given = blocks.select("file", F.col("block").cast("long").alias("block"), "data", *["names"] * named)
     kind = f", names {id_type(blocks, 'names')}" if named else ""
-    scanned = given.mapInArrow(search, f"file string, block long, n long, ends array<long>{kind}")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    scanned = scanned.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    scanned = scanned.withColumns({
-        "done": F.coalesce(F.max(F.when(F.size("ends") > 0, F.col("base") + F.element_at("ends", -1))).over(before), F.lit(0)),
-        "first": F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)),
-        "last": F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull(),
-    })
+    scanned = cut(given.mapInArrow(search, f"file string, block long, n long, ends array<long>{kind}"))
+    order = Window.partitionBy("file").orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sums = scanned.select("file", "block", "n", F.size("ends").alias("found"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("end"))
+    sums = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    sums = sums.select(
+        "file", "block", "base", F.coalesce(F.max(F.col("base") + F.col("end")).over(before), F.lit(0)).alias("done"),
+        F.coalesce(F.sum("found").over(before), F.lit(0)).alias("first"), F.lead("block").over(order).isNull().alias("last"),
+    )
+    scanned = scanned.join(sums, ["file", "block"])
     stops = F.transform("ends", lambda e: F.col("base") + e)
     starts = F.slice(F.concat(F.array("done"), stops), 1, F.size("ends"))
     rest_from = F.when(F.size("ends") > 0, F.element_at(stops, -1)).otherwise(F.col("done"))

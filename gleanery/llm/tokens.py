@@ -58,7 +58,14 @@ def id_type(df, column: str) -> str:
 
 
 def arrow_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}[kind]
+    """The Arrow type of an id column."""
+    known = {
+        "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string(),
+        "binary": pa.binary(), "date": pa.date32(),
+    }
+    if kind not in known:
+        raise TypeError(f"ids of type {kind} are not supported: cast them to string")
+    return known[kind]
 
 
 def little_endian(ids: list[int], bits: int = 32) -> np.ndarray:

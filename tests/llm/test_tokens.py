@@ -114,3 +114,12 @@ def test_token_counts_of_flat_files(spark, tmp_path):
     assert sorted((r.file[-5:], r.ordinal, r.start, r.n_tokens, r.ended) for r in found) == [
         ("a.bin", 0, 0, 3, True), ("a.bin", 1, 3, 1, True), ("a.bin", 2, 4, 3, False), ("b.bin", 0, 0, 1, True),
     ]
+
+
+def test_documents_of_many_blocks(spark, tmp_path):
+    """A file of one long document between short ones, with more blocks than separators."""
+    ids = np.concatenate(([1, 2, 50256], np.arange(300_000) % 50_000, [50256, 3, 50256])).astype("<u2")
+    ids.tofile(tmp_path / "long.bin")
+    blocks = read_token_files(spark, str(tmp_path), block=1_000).selectExpr("*", "1 as base", "2 as done", "'x' as name")
+    found = sorted((r.ordinal, r.start, r.n_tokens, r.ended) for r in token_counts(blocks).collect())
+    assert found == [(0, 0, 3, True), (1, 3, 300_001, True), (2, 300_004, 2, True)]
