@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Odd multipliers, one for each 32-bit word of a block.
-SALTS = (0x47B6137B, 0x44974D91, 0x2824AD5B, 0x22B7289D, 0x705495C7, 0x2DF1424B, 0x1EFC4947, 0x5C6BFB31)
+from .bloom import bloom_filter, may_contain, sized
+from .common import cut
+
 #: Query parameters that name a visit, not a page.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 
@@ -40,41 +41,13 @@ def canonical_url(url: Column) -> Column:
     return F.when(url_host(url) != "", whole)
 
 
-def _address(key: Column, blocks: int) -> list[Column]:
-    """The block of a key, and its bit in each of the block's eight words."""
-    high = F.shiftrightunsigned(F.xxhash64(key), 32)
-    low = F.xxhash64(key).bitwiseAND(F.lit(0xFFFFFFFF))
-    bits = [F.shiftright((low * F.lit(s)).bitwiseAND(F.lit(0xFFFFFFFF)), 27).cast("int") for s in SALTS]
-    return [(high % F.lit(blocks)).cast("int").alias("block"), *(b.alias(f"b{i}") for i, b in enumerate(bits))]
-
-
-def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
-    """A blocked Bloom filter of the column ``key``: at most ``blocks`` rows (block, w0 .. w7), 256 bits each.
-
-    Every key sets one bit in each of the eight words of one block. The size is bound by ``blocks`` whatever the
-    number of keys; with more keys, more false positives reach the exact join.
-    """
-    placed = keys.select(*_address(F.col("key"), blocks))
-    return placed.groupBy("block").agg(*(F.expr(f"bit_or(shiftleft(1, b{i}))").alias(f"w{i}") for i in range(8)))
-
-
-def may_contain(rows: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
-    """The rows whose ``key`` the filter may hold. The filter has a proven size and is broadcast."""
-    columns = rows.columns
-    placed = rows.select("*", *_address(F.col("key"), blocks)).join(F.broadcast(bloom), "block")
-    hit = F.lit(True)
-    for i in range(8):
-        hit = hit & (F.expr(f"w{i} & shiftleft(1, b{i})") != 0)
-    return placed.filter(hit).select(*columns)
-
-
 def url_filter(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]],
     listed: DataFrame,
     id_col: str = "page_id",
     url_col: str = "url",
-    blocks: int = 1 << 16,
+    blocks: int | None = None,
 ) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, listed.
 
@@ -84,13 +57,14 @@ def url_filter(
     column ``url``), else allow.
 
     Every URL gives few keys: its canonical form, and the pairs of host suffix and path prefix that a rule could
-    have. A blocked Bloom filter of all listed keys and rule keys, broadcast at a fixed size (``blocks`` x 32 bytes),
+    have. A blocked Bloom filter of all listed keys and rule keys, sized by their number up to a limit and broadcast,
     passes possible hits only; the exact join on the key removes what the filter let through by chance. Only URLs
     are read, and only hits are shuffled besides the pages' own URLs. A key or URL that many pages share is a skewed
-    join with one row on the other side, which Spark splits.
+    join with one row on the other side, a written table, so that Spark can split it.
 
     A null URL or one without ``://`` has an empty host and path, fits no rule and is allowed. Repeated rows share
-    their result. Empty tables, rules or lists give no hits. Other columns are ignored, whatever their names.
+    their result. Empty tables, rules or lists give no hits; of rules of one length the last by name wins. A very long URL is read
+    whole. Other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
@@ -102,15 +76,19 @@ def url_filter(
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     tails = [F.substring_index("host", ".", -n) for n in range(1, 1 + max((h.count(".") + 1 for _, h, _ in rules), default=0))]
     heads = [F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted({len(p) for _, _, p in rules})]
-    candidates = F.array_compact(F.array_distinct(F.array(F.concat(F.lit("u:"), canonical_url(F.col("url"))), *(F.concat(F.lit("r:"), t, h) for t in tails for h in heads))))
+    candidates = F.array_compact(
+        F.array_distinct(F.array(F.concat(F.lit("u:"), canonical_url(F.col("url"))), *(F.concat(F.lit("r:"), t, h) for t in tails for h in heads)))
+    )
     asked = rows.filter(F.col("url").isNotNull()).select("url", host.alias("host"), path.alias("path")).filter("host <> ''")
     asked = asked.select("url", F.explode(candidates).alias("key"))
+    keys = cut(keys)
+    blocks = blocks or sized(keys)
     hits = may_contain(asked, bloom_filter(keys, blocks), blocks).join(keys, "key")
     found = hits.groupBy("url").agg(
         F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule"), "rule", "action"))).alias("best"),
         F.bool_or(F.col("rule").isNull()).alias("listed"),
     )
-    found = found.select("url", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"), "listed")
+    found = cut(found.select("url", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"), "listed"))
     listed_here = F.coalesce("listed", F.lit(False))
     return rows.join(found, "url", "left").select(
         "page_id",
