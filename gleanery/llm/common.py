@@ -18,11 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder that the cluster shares, from spark.checkpoint.dir.
+
+    Where that is unset, the session's checkpoint folder, or a temporary one in a local session (tests); a cluster fails.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext.getCheckpointDir()
         if held is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             held = spark.sparkContext.getCheckpointDir()
         folder = os.path.dirname(held) if held.rstrip("/").count("/") > 2 else held

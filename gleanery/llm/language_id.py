@@ -79,7 +79,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], idf: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002, rounds: int = 3, seed: int = 7) -> Model:
+def fit(
+    rows: list[tuple[str, str]], idf: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002,
+    l2: float = 0.002, rounds: int = 3, seed: int = 7,
+) -> Model:
     """A model from (language, text) rows: FTRL-proximal with an elastic net, then a temperature.
 
     Every fifth row is kept from training; the temperature is the one with which these rows are most likely.
@@ -123,14 +126,21 @@ def remainder(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 4
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 600, most_languages: int = 200) -> Model:
+def learn(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 600,
+    most_languages: int = 200,
+) -> Model:
     """A model of the rows with a language whose crc32(id) mod 4 is not 2.
 
     Document frequencies count all of these rows; each partition sends a count per bucket. The regression is
-    fitted on the driver to a sample of about ``sample`` rows of each of at most ``most_languages`` languages, those
-    with the least hashes, so its size is bound whatever the table's.
+    fitted on the driver to a sample of about ``sample`` rows of each language, those with the least hashes, so its size is
+    bound whatever the table's. The weights of a language take 1.5 MB there, so at most ``most_languages`` are learnt,
+    the most frequent ones (ties by name); rarer ones are never predicted unless the limit is raised.
     """
-    rows = docs.filter((remainder(id_col) != 2) & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.lit("sample"), F.col(id_col)).alias("h"))
+    rows = docs.filter((remainder(id_col) != 2) & F.col(lang_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.xxhash64(F.lit("sample"), F.col(id_col)).alias("h"),
+    )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, dtype=np.int64)
@@ -141,7 +151,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["bucket", "n"])
 
-    per_language = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    per_language = {
+        r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    }
     frequency = np.zeros(1 << BITS)
     for r in rows.select("h", "text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         frequency[r["bucket"]] = r["n"]
@@ -172,9 +184,13 @@ def identify_language(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
     Only the text decides. ``lang_pred`` is the likeliest language of the model and ``score`` its calibrated probability;
     a text that is null or has no letter gets ``und`` and 0, as does every text where the model knows no language.
     ``held_out`` says that crc32(id) mod 4 is 2 (false for a null id), so the model never saw the row. Repeated rows
-    are judged alike. An empty table gives no rows. Other columns are ignored. There is no shuffle.
+    are judged alike; of equally likely languages the first by name wins. A very long text is read whole, some 20 bytes a
+    character in its task. An empty table gives no rows. Other columns are ignored, whatever their names. No shuffle.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(remainder(id_col) == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(remainder(id_col) == 2, F.lit(False)).alias("held_out"),
+        F.col(text_col).alias("text"),
+    )
     rows = rows.withColumn("said", predictor(docs.sparkSession, model)("text"))
     return rows.select("doc_id", "held_out", F.col("said.lang").alias("lang_pred"), F.col("said.score").alias("score"))
 

@@ -138,10 +138,12 @@ ahead AS (SELECT list(pos) OVER g AS covered, list(line) OVER g AS run, max(upto
 behind AS (SELECT list(pos) OVER g AS covered, list(line) OVER g AS run, upto - min(beg) OVER g AS words, doc_id FROM l4
   WINDOW g AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
 runs AS (SELECT doc_id, covered, array_to_string(run, chr(10)) AS run FROM (FROM ahead UNION ALL FROM behind) WHERE words >= 50),
-later AS (SELECT DISTINCT doc_id, unnest(covered) AS pos FROM (SELECT *, min((doc_id, covered[1])) OVER (PARTITION BY run) AS f FROM runs) WHERE (doc_id, covered[1]) <> f),
+later AS (SELECT DISTINCT doc_id, unnest(covered) AS pos FROM (SELECT *, min((doc_id, covered[1])) OVER (PARTITION BY run) AS f
+  FROM runs) WHERE (doc_id, covered[1]) <> f),
 gone AS (SELECT doc_id, list(pos) AS gone FROM later GROUP BY doc_id)
 SELECT l0.doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_deleted,
-       sha256(CASE WHEN gone IS NULL THEN t ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)), '') END) AS kept_sha256
+       sha256(CASE WHEN gone IS NULL THEN t ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i -
+  1)), chr(10)), '') END) AS kept_sha256
 FROM l0 LEFT JOIN gone ON l0.doc_id = gone.doc_id""",
     "op8_exact_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[ 	-
@@ -151,37 +153,51 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.n) AS tex
     "op9_secret_scans": r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 p(kind, rank, pattern, grp, least, least_value, base) AS (VALUES
-  ('assign', 1, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2, 0, 6, true)),
+  ('assign', 1,
+  '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)',
+  2, 0, 6, true)),
 a AS (
-  SELECT doc_id, source, 'assign' AS kind, 1 AS rank, string_split_regex(t, pattern) AS g, regexp_extract_all(t, pattern, 0) AS w, regexp_extract_all(t, pattern, 2) AS v, 0 AS least, 6 AS least_value, true AS base FROM d, p
-  UNION ALL SELECT doc_id, source, 'access', 2, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), 20, 0, true FROM d
-  UNION ALL SELECT doc_id, source, 'hex', 3, string_split_regex(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), 24, 0, true FROM d WHERE regexp_matches(t, '[0-9a-f]{24}')
-  UNION ALL SELECT doc_id, source, 'vendor', 4, string_split_regex(t, 'gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}'),
+  SELECT doc_id, source, 'assign' AS kind, 1 AS rank, string_split_regex(t, pattern) AS g, regexp_extract_all(t, pattern, 0) AS w,
+  regexp_extract_all(t, pattern, 2) AS v, 0 AS least, 6 AS least_value, true AS base FROM d, p
+  UNION ALL SELECT doc_id, source, 'access', 2, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'),
+  regexp_extract_all(t, 'AKIA[A-Z0-9]+'), 20, 0, true FROM d
+  UNION ALL SELECT doc_id, source, 'hex', 3, string_split_regex(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'),
+  regexp_extract_all(t, '[0-9a-f]+'), 24, 0, true FROM d WHERE regexp_matches(t, '[0-9a-f]{24}')
+  UNION ALL SELECT doc_id, source, 'vendor', 4, string_split_regex(t,
+  'gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}'),
     regexp_extract_all(t, 'gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}'),
-    regexp_extract_all(t, 'gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}'), 0, 0, false FROM d
-  UNION ALL SELECT doc_id, source, 'jwt', 5, string_split_regex(t, 'eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+'), regexp_extract_all(t, 'eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+'),
+    regexp_extract_all(t,
+  'gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}'), 0, 0, false FROM d
+  UNION ALL SELECT doc_id, source, 'jwt', 5, string_split_regex(t, 'eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+'),
+  regexp_extract_all(t, 'eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+'),
     regexp_extract_all(t, 'eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+'), 0, 0, false FROM d),
-m AS (SELECT doc_id, source, kind, rank, base, least, least_value, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w, unnest(v) AS v, unnest(g[1:len(w)]) AS g FROM a WHERE len(w) > 0),
+m AS (SELECT doc_id, source, kind, rank, base, least, least_value, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w, unnest(v) AS
+  v, unnest(g[1:len(w)]) AS g FROM a WHERE len(w) > 0),
 e AS (SELECT *, (sum(length(g) + length(w)) OVER (PARTITION BY doc_id, kind ORDER BY i))::BIGINT AS stop FROM m),
 s AS (SELECT *, stop - length(w) AS start FROM e WHERE length(w) >= least AND length(v) >= least_value),
 o AS (SELECT v, count(DISTINCT source) AS owners FROM s GROUP BY v),
 k AS (SELECT s.*, owners <= 4 AS live, kind || ':' || start || ':' || stop AS span FROM s JOIN o USING (v) WHERE base OR owners <= 4),
 f AS (
-  SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
-         string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE base) AS b, string_agg(span, ',' ORDER BY start, rank) AS spans, count(*) FILTER (WHERE live) AS n_live
+  SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+  count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+         string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE base) AS b, string_agg(span, ',' ORDER BY start, rank) AS spans,
+  count(*) FILTER (WHERE live) AS n_live
   FROM k GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
 FROM d LEFT JOIN f USING (doc_id)""",
     "op6_embedding_near_dedup": r"""
-WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND
+  len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
 l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
 r AS (SELECT x AS id, x AS m FROM l UNION SELECT l.y, r.m FROM r JOIN l ON l.x = r.id),
 c AS (SELECT id, min(m) AS component_id FROM r GROUP BY id), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN c ON id = vec_id LEFT JOIN n ON x = vec_id""",
     "op10_minhash_near_dedup": r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE
+  list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 k AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM k JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),

@@ -156,3 +156,92 @@ def test_fit_is_sparse_and_calibrated():
     model = fit(rows, np.ones(1 << 16))
     assert model.languages == ["aa", "bb", "cc"] and 0.05 <= model.temperature <= 20
     assert model.predict("ka lo mi tu")[0] == "aa"
+
+
+def plain_buckets(text):
+    """Counts of the n-grams' buckets, character by character."""
+    letters = [c if c.isalpha() else " " for c in text.lower()]
+    if not any(c != " " for c in letters):
+        return None
+    padded = " " + " ".join("".join(letters).split()) + " "
+    counts = {}
+    for n in (1, 2, 3, 4):
+        for at in range(len(padded) - n + 1):
+            h = n
+            for c in padded[at : at + n]:
+                h = (h ^ ord(c)) * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 15
+            bucket = (h * 0x85EBCA6B & 0xFFFFFFFF) >> 16
+            counts[bucket] = counts.get(bucket, 0) + 1
+    return counts
+
+
+def dense_model(rows, idf, alpha=0.5, beta=1.0, l1=0.002, l2=0.002):
+    """Every weight in every step: w = 0 where |z| <= l1, else (sign(z) l1 - z) / ((beta + sqrt(n)) / alpha + l2)."""
+    import numpy as np
+
+    names = sorted({lang for lang, _ in rows})
+
+    def vector(text):
+        x = np.zeros(len(idf) + 1)
+        for bucket, k in plain_buckets(text).items():
+            x[bucket] = (1 + np.log(k)) * idf[bucket]
+        x /= np.sqrt((x * x).sum())
+        x[-1] = 1
+        return x
+
+    data = [(names.index(lang), vector(text)) for lang, text in rows if plain_buckets(text)]
+    apart, train = [d for k, d in enumerate(data) if k % 5 == 0], [d for k, d in enumerate(data) if k % 5]
+    z, n = np.zeros((len(idf) + 1, len(names))), np.zeros((len(idf) + 1, len(names)))
+    weights = lambda: np.where(np.abs(z) <= l1, 0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
+
+    def shares(logits):
+        e = np.exp(logits - logits.max())
+        return e / e.sum()
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for k in order.permutation(len(train)):
+            truth, x = train[k]
+            w = weights()
+            p = shares(x @ w)
+            g = np.outer(x, p - np.eye(len(names))[truth])
+            z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / alpha * w
+            n += g * g
+    w = weights()
+    sure = 1 - 1 / (len(apart) + 2)
+
+    def loss(t):
+        total = 0
+        for truth, x in apart:
+            p = np.log(shares(x @ w / t) + 1e-12)
+            total -= sum(p[k] * (sure if k == truth else (1 - sure) / (len(names) - 1)) for k in range(len(names)))
+        return total
+
+    best = min(np.geomspace(0.05, 20, 121), key=loss)
+    return lambda text: dict(zip(names, shares(vector(text) @ w / best), strict=True)) if text and plain_buckets(text) else None
+
+
+def test_language_model_equals_a_dense_one(spark):
+    import zlib
+
+    import numpy as np
+
+    rows = [(i, t, lang) for i, t, lang in language_rows() if i is not None and i % 4 == 0 or i in (900, 901, 902)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = learn(df, sample=1_000)
+    learnt = [(t or "", lang) for i, t, lang in rows if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    frequency = np.zeros(1 << 16)
+    for t, _ in learnt:
+        for bucket in plain_buckets(t) or ():
+            frequency[bucket] += 1
+    idf = np.log((1 + len(learnt)) / (1 + frequency)) + 1
+    assert np.allclose(model.idf, idf)
+    ordered = [(r.lang, r.t) for r in df.filter("crc32(cast(doc_id as string)) % 4 <> 2 and lang is not null").selectExpr("lang", "coalesce(text, '') as t", "xxhash64('sample', doc_id) as h").orderBy("h", "lang", "t").collect()]
+    predict = dense_model(ordered, idf)
+    for r in identify_language(df, model).collect():
+        expected = predict({i: t for i, t, _ in rows}[r.doc_id])
+        if expected is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert r.lang_pred == max(expected, key=expected.get) and abs(r.score - expected[r.lang_pred]) < 1e-6
