@@ -14,7 +14,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = cut(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     linked = near.join(least, "a")
     moved = linked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Every round takes a large star and a small star, and ends when no edge changes: then each edge leads from a node
     to the least of its component. The rounds grow with the logarithm of the nodes. Minima are combined before
-    their shuffle, and the join has one row per node on one side, so a hub is a skewed join that Spark splits.
+    their shuffle, and the join has one row per node on one side, a written table, so a hub is a skewed join that Spark
+    can split.
     Each round is written to the shared folder. Loops and repeated edges change nothing; no edges give no rows.
     """
     now = cut(edges.select("a", "b").filter("a <> b").distinct())

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import bloom_filter, may_contain, sized
 from .common import cut
 from .graph import components
 from .tokens import arrow_type, id_type, slices
-from .url_filter import bloom_filter, may_contain
 
 #: Bands and registers of a band; the base of the registers' spacing and their highest value.
 BANDS, ROWS, BASE, TOP = 48, 8, 1.2, 254
@@ -21,8 +21,6 @@ BANDS, ROWS, BASE, TOP = 48, 8, 1.2, 254
 HUBS = 4
 #: Size bands of the prefix join grow by this factor.
 BAND = 1.05
-#: Most blocks (32 bytes each) of the Bloom filter of wanted documents.
-MOST_BLOCKS = 1 << 17
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -170,7 +168,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union; a hub's set isn't copied into a shuffle."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("common"))
+    both = pairs.join(right, "b").join(left, "a").select(
+        "a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("common"),
+    )
     return both.filter(100 * F.col("common") >= percent * (F.col("nx") + F.col("ny") - F.col("common"))).select("a", "b")
 
 
@@ -185,21 +185,25 @@ def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: in
         make = Shingler(words)
         for _, texts in slices(batches):
             sets = [make(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], schema.field(1).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_hash(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], schema.field(1).type)],
+                schema=schema,
+            )
 
     named = cut(classes.join(wanted, "node", "left_semi").select("node", "set_hash", "doc_id"))
-    # About 16 bits for each key.
-    blocks = min(MOST_BLOCKS, 1 << max(8, (named.count() // 16).bit_length()))
+    blocks = sized(named)
     key = F.col("doc_id").cast("string").alias("key")
     near = may_contain(docs.select("doc_id", "text", key), bloom_filter(named.select(key), blocks), blocks)
-    made = near.select("doc_id", "text").join(named.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(shingle, "set_hash binary, shingles array<long>")
+    made = near.select("doc_id", "text").join(
+        named.select("doc_id").distinct(), "doc_id", "left_semi",
+    ).mapInArrow(shingle, "set_hash binary, shingles array<long>")
     return made.join(named.select("node", "set_hash"), "set_hash").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, node, met, c) of the buckets whose members have more than one label."""
     tagged = members.select("bucket", "node", "met").join(labels, "node")
-    several = tagged.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("bucket")
+    several = cut(tagged.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("bucket"))
     return tagged.join(several, "bucket", "left_semi")
 
 
@@ -208,7 +212,7 @@ def _to_hubs(members: DataFrame, order: Column) -> DataFrame:
 
     A bucket's hub is the member that comes first by ``order``.
     """
-    hub = members.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), F.col("node").alias("a"), F.col("c").alias("hc"))).alias("hub"))
+    hub = cut(members.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), F.col("node").alias("a"), F.col("c").alias("hc"))).alias("hub")))
     met = members.join(hub, "bucket").filter("c <> hub.hc").groupBy("node").agg(F.collect_set("hub").alias("hubs"))
     few = F.slice(F.array_sort("hubs"), 1, HUBS)
     return met.select(F.col("node").alias("b"), F.explode(few).alias("x")).select("x.a", "b").distinct()
@@ -227,13 +231,15 @@ def _by_prefix(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     need = lambda total: F.floor((percent * total + 99 + percent) / (100 + percent))
     band = lambda n: F.floor(F.log(n) / F.log(F.lit(BAND)))
     each = sets.join(labels, "node").select("node", "c", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s"))
-    shared = cut(each.groupBy("s").agg(F.count(F.lit(1)).alias("held"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("s", "held"))
+    shared = cut(
+        each.groupBy("s").agg(F.count(F.lit(1)).alias("held"), F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("s", "held")
+    )
     order = each.join(shared, "s").groupBy("node", "c", "n").agg(F.array_sort(F.collect_list(F.struct("held", "s"))).alias("l"))
     least = F.ceil(F.lit(percent) * F.col("n") / 100)
     first = F.col("n") - F.size("l")
     most = F.greatest(F.col("n") - need(F.col("n") + least) + 1 - first, F.lit(0)).cast("int")
     entries = order.select("node", "c", "n", first.alias("first"), F.posexplode(F.slice("l", F.lit(1), most)).alias("i", "x"))
-    entries = entries.select("node", "c", "n", "x.s", (F.col("first") + F.col("i") + 1).alias("place"))
+    entries = cut(entries.select("node", "c", "n", "x.s", (F.col("first") + F.col("i") + 1).alias("place")))
     held = entries.filter(F.col("place") <= F.col("n") - need(2 * F.col("n")) + 1).withColumn("k", band(F.col("n")))
     asked = entries.withColumn("k", F.explode(F.sequence(band(least), band(F.col("n")))))
     lowest = F.greatest(F.floor(F.pow(F.lit(BAND), F.col("k"))), least)
@@ -271,6 +277,9 @@ def near_dedup(
     is null. Rows that repeat an id and a text share their result; texts that share an id are judged one by one. An
     empty table gives no rows. Other columns are ignored, whatever their names. A very long text is read whole: its
     task holds some 60 bytes per character of it, and its set is one row.
+
+    Keys that many rows share (a bucket, a hub, a shingle, a component) meet a written table with one row per key, so
+    that Spark's skew join can split the other side.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketches = cut(_sketches(plain, words, bands, rows))
@@ -279,7 +288,7 @@ def near_dedup(
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     values = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * rows + 1, F.lit(rows))))
     placed = classes.select("node", F.explode(values).alias("bucket"))
-    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = cut(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = placed.join(sizes, "bucket")
     # How many others a class meets: most for the one that differs least from the rest of a group.
     members = cut(members.join(members.groupBy("node").agg(F.sum("n").alias("met")), "node").select("bucket", "node", "met"))
