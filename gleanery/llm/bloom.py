@@ -50,16 +50,13 @@ def sized(keys: DataFrame, most: int = MOST_BLOCKS) -> int:
 def apart(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose ``key`` may be in ``keys``, rows whose key is not): only the former need an exact join.
 
-    ``keys`` has a column ``key`` and should be a written table. Both parts have the columns of ``rows``.
+    ``keys`` has a column ``key`` and should be a written table. Both parts have the columns of ``rows``, whatever
+    their names. A null key is a key like others.
     """
     blocks = sized(keys)
-    bloom = F.broadcast(bloom_filter(keys, blocks))
-    names = [*_address(F.col("__key"), blocks)]
-    parts = ["__block", *(f"__b{i}" for i in range(8))]
-    placed = rows.withColumn("__key", key).select("*", *(c.alias(n) for c, n in zip(names, parts, strict=True)))
-    placed = placed.join(bloom, F.col("__block") == F.col("block"), "left")
-    hit = F.col("block").isNotNull()
+    placed = rows.select(F.struct("*").alias("row"), *_address(key, blocks)).join(F.broadcast(bloom_filter(keys, blocks)), "block", "left")
+    hit = F.col("w0").isNotNull()
     for i in range(8):
-        hit = hit & (F.expr(f"w{i} & shiftleft(1, __b{i})") != 0)
-    maybe = placed.withColumn("__maybe", F.coalesce(hit, F.lit(False)))
-    return maybe.filter("__maybe").select(*rows.columns), maybe.filter("not __maybe").select(*rows.columns)
+        hit = hit & (F.expr(f"w{i} & shiftleft(1, b{i})") != 0)
+    placed = placed.withColumn("maybe", F.coalesce(hit, F.lit(False)))
+    return placed.filter("maybe").select("row.*"), placed.filter("not maybe").select("row.*")

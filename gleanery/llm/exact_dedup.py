@@ -29,7 +29,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text is one value of a row, hashed whole. Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
-    norm = lambda df: df.select("doc_id", F.length("raw").alias("points"), without_blanks(F.col("raw")).alias("norm")).withColumn("hash", F.unhex(F.md5("norm")))
+    norm = lambda df: df.select(
+        "doc_id", F.length("raw").alias("points"), without_blanks(F.col("raw")).alias("norm"),
+    ).withColumn("hash", F.unhex(F.md5("norm")))
     members = cut(norm(rows).select("doc_id", "hash", F.sha2("norm", 256).alias("text_sha256")))
     repeated = cut(members.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"))
     again = cut(members.join(repeated, "hash", "left_semi").select(F.col("doc_id").cast("string").alias("key")))
@@ -42,5 +44,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = members.join(groups, ["hash", "text_sha256"], "left")
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
-        "doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256"
+        "doc_id", keep_id.alias("keep_id"), F.coalesce(
+            "group_size", F.lit(1).cast("long"),
+        ).alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256"
     )

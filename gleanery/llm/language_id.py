@@ -201,8 +201,8 @@ def in_known_language(docs: DataFrame, model: Model, text_col: str = "text", lea
     What goes has no letter (or a null text), or resembles no language more than the others.
     """
     said = predictor(docs.sparkSession, model)(F.col(text_col))
-    rows = docs.withColumn("__language", said)
-    return rows.filter((F.col("__language.lang") != UNKNOWN) & (F.col("__language.score") >= least_score)).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), said.alias("said"))
+    return rows.filter((F.col("said.lang") != UNKNOWN) & (F.col("said.score") >= least_score)).select("row.*")
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 600) -> DataFrame:

@@ -51,7 +51,10 @@ def _matches(kind: str, pattern: str, group: int, least: int, least_group: int)
     )
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 4) -> DataFrame:
+def secret_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id",
+    owner_col: str = "source", max_owners: int = 4,
+) -> DataFrame:
     """One row per span: doc_id, text_key, kind, start, end (code points, end exclusive), n_repos, n_owners, live.
 
     A span is live if at most ``max_owners`` distinct owners publish its value; a value with more is a widely
@@ -82,7 +85,10 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     judged = spans.join(cut(owners), "value").withColumn("live", F.col("n_owners") <= max_owners)
     judged = judged.filter(F.col("live") | F.col("kind").isin(BASE))
-    return judged.select("doc_id", "text_key", "repo", "owner", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "n_repos", "n_owners", "live")
+    return judged.select(
+        "doc_id", "text_key", "repo", "owner", "kind", (F.col("end") - F.col("len")).alias("start"), "end", "n_repos",
+        "n_owners", "live",
+    )
 
 
 def _listed(spans: Column) -> Column:
@@ -95,7 +101,10 @@ def _per_document(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "text_key").agg(listed.alias("found"))
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 4) -> DataFrame:
+def secret_scan(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id",
+    owner_col: str = "source", max_owners: int = 4,
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live.
 
     The base kinds are assign, access and hex; ``spans`` lists all spans as kind:start:end by start, then kind as
@@ -109,7 +118,10 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = _per_document(secret_spans(docs, id_col, text_col, repo_col, owner_col, max_owners))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
     found = F.coalesce("found", F.expr("array()").cast("array<struct<start:bigint,rank:bigint,end:bigint,kind:string,live:boolean>>"))
-    joined = rows.alias("r").join(spans.alias("s"), F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.text_key") == F.col("s.text_key")), "left")
+    joined = rows.alias("r").join(
+        spans.alias("s"),
+        F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.text_key") == F.col("s.text_key")), "left",
+    )
     joined = joined.select(F.col("r.doc_id").alias("doc_id"), found.alias("found"))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     return joined.select(
@@ -121,27 +133,33 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 4, mark: str = "[SECRET]") -> DataFrame:
+def redact_secrets(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id",
+    owner_col: str = "source", max_owners: int = 4, mark: str = "[SECRET]",
+) -> DataFrame:
     """``docs`` with every live span of the text replaced by ``mark``; all rows and all other columns stay.
 
     Overlapping spans are replaced together. Null texts stay null. Values that many owners publish stay as they are.
-    Only documents with a live span are shuffled (a Bloom filter of their ids passes them to the join). Columns of
-    ``docs`` must not begin with two underscores.
+    Only documents with a live span are shuffled (a Bloom filter of their ids passes them to the join). Other columns may
+    have any names.
     """
     live = _per_document(secret_spans(docs, id_col, text_col, repo_col, owner_col, max_owners).filter("live"))
-    live = cut(live.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("found").alias("__found")))
-    some, clean = apart(docs, F.col(id_col).cast("string"), live.select(F.col("__id").cast("string").alias("key")))
-    rows = some.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.join(live, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left")
-    text = F.col(text_col)
+    live = cut(live.select(F.col("doc_id").alias("live_id"), F.col("text_key").alias("live_key"), "found"))
+    some, clean = apart(docs, F.col(id_col).cast("string"), live.select(F.col("live_id").cast("string").alias("key")))
+    rows = some.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
+    rows = rows.join(live, F.col("id").eqNullSafe(F.col("live_id")) & (F.col("text_key") == F.col("live_key")), "left")
+    text = F.col("row").getField(text_col)
     # Spans come by start: what lies before a span is copied once, and a span that starts inside the last one lengthens it.
     done = F.aggregate(
-        "__found",
+        "found",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+            F.when(
+                s["start"] >= acc["at"],
+                F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)),
+            ).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["at"], s["end"]).alias("at"),
         ),
     )
-    cleaned = F.when(F.col("__found").isNull(), text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1)))
-    return rows.select(*(cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns)).unionByName(clean)
+    cleaned = F.when(F.col("found").isNull(), text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1)))
+    return rows.select(*(cleaned.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns)).unionAll(clean)

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.llm.queries import ORACLE_SQL, QUERIES
 
@@ -37,6 +38,19 @@ def test_stages_keep_clean_documents(spark, tmp_path):
     assert sorted(map(str, ran.drop("sequence_id").collect())) == sorted(map(str, pieces.drop("sequence_id").collect()))
 
 
+def test_columns_with_names_of_inner_ones_pass_through(spark, tmp_path):
+    docs = documents(spark, tmp_path)
+    names = ["row", "block", "w0", "b0", "key", "maybe", "kept", "own", "sha", "found", "said", "id", "live_id", "node", "component_id", "__id", "stays"]
+    docs = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.cut(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == columns
+    rows = docs.filter("doc_id is not null").collect()
+    assert sorted(r.doc_id for r in rows) == [2, 4, 7]
+    assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
 def test_stages_of_an_empty_table(spark, tmp_path):
     docs = documents(spark, tmp_path).limit(0)
     for _, stage in corpus_pipeline.STAGES:
