@@ -1,7 +1,8 @@
 """A corpus pipeline: each stage works on all that the one before it kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
-``run`` writes each result as a table in the shared folder and reads it again for the next stage.
+``run`` writes each result as a table in the shared folder and reads it again for the next stage. Further columns of
+``documents`` pass through, whatever their names. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.llm.bloom import apart
 from gleanery.llm.common import cut, table, without_blanks
 from gleanery.llm.exact_dedup import exact_dedup
 from gleanery.llm.language_id import in_known_language, learn
@@ -19,35 +21,42 @@ from gleanery.llm.secret_scan import redact_secrets
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters, or with a language that the model can't tell."""
+    """Drops documents without letters (null texts too), or with a language that the model can't tell."""
     return in_known_language(docs, learn(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts. Rows equal in all columns become one."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    rows = docs.withColumn("__own", F.sha2(without_blanks(F.coalesce("text", F.lit(""))), 256))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return rows.select(*docs.columns).distinct()
+    """Keeps one document of each group of equal texts. Rows equal in all columns become one.
+
+    Only documents of groups with several rows are shuffled.
+    """
+    judged = cut(exact_dedup(docs).filter("group_size > 1").select("doc_id", F.col("text_sha256").alias("sha"), "kept"))
+    some, single = apart(docs, F.col("doc_id").cast("string"), judged.select(F.col("doc_id").cast("string").alias("key")))
+    rows = some.distinct().select(F.struct("*").alias("row"), "doc_id", F.sha2(without_blanks(F.coalesce("text", F.lit(""))), 256).alias("own"))
+    gone = judged.filter("not kept").select(F.col("doc_id").alias("gone_id"), "sha").distinct()
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("own") == F.col("sha")), "left_anti")
+    return rows.select("row.*").unionAll(single)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
 
-    Documents without an id are in no group and stay.
+    Documents without an id are in no group and stay. Only documents that may go are shuffled.
     """
-    kept = near_dedup(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
+    gone = cut(near_dedup(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).filter("not stays").select("doc_id"))
+    some, clean = apart(docs, F.col("doc_id").cast("string"), gone.select(F.col("doc_id").cast("string").alias("key")))
+    rows = some.select(F.struct("*").alias("row"), "doc_id").join(gone, "doc_id", "left_anti")
+    return rows.select("row.*").unionAll(clean)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps all documents; live-looking secrets are replaced by a mark, and n_chars follows."""
+    """Keeps all documents, null texts too; live-looking secrets are replaced by a mark, and n_chars follows."""
     cleaned = redact_secrets(docs)
     return cleaned.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every document into pieces of binary length."""
+    """Cuts every document into pieces of binary length; a null or empty text is one piece, the end id."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
