@@ -536,9 +536,14 @@ def fallback_smallest(tasks: DataFrame, selected: DataFrame, units: DataFrame, b
     """(task_id, candidate_id, selected_rank) for tasks without any scored candidate: whole files, the smallest first.
 
     ``selected`` holds (task_id) of all candidates with a score. Sizes are summed per file, once. A task takes as many
-    files as its budget allows, so tasks without limits are not filled.
+    files as its budget allows, so tasks without limits are not filled. Every limit rises with the size, so behind a
+    file that doesn't fit no other does: where all budgets limit the items, tasks meet only as many of the smallest files.
     """
     sizes = units.groupBy("path").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    if "max_items" in budgets.columns:
+        bound = budgets.agg(F.max("max_items").alias("most"), F.count_if(F.col("max_items").isNull()).alias("open")).first()
+        if bound["most"] is not None and not bound["open"]:
+            sizes = sizes.orderBy("bytes", "path").limit(int(bound["most"]))
     empty = tasks.select("task_id").join(selected.select("task_id").distinct(), "task_id", "left_anti")
     rows = _by_task(empty, sizes).select(
         "task_id", F.struct("bytes").alias("pos"), F.concat(F.lit("artifact-"), F.col("path")).alias("candidate_id"),

@@ -181,3 +181,14 @@ def test_greedy_does_not_gather_a_task_into_one_row(spark):
     taken = [i for i in range(19_999, -1, -1) if i % 7 in {19_999 % 7, 19_998 % 7, 19_997 % 7}][:15_000]
     assert {r.candidate_id: r.selected_rank for r in out.filter("fits").collect()} == {str(i): k + 1 for k, i in enumerate(taken)}
     assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fallback_takes_the_smallest_files(spark):
+    units = spark.createDataFrame([(f"f{i:02d}", "x" * (i % 7 + 1)) for i in range(30)] + [("f00", "y")], "path string, text string")
+    tasks = spark.createDataFrame([("a",), ("b",), ("c",)], "task_id string")
+    expected = [f"artifact-{p}" for _, p in sorted((i % 7 + 1 + (i == 0), f"f{i:02d}") for i in range(30))]
+    for limits in ([("a", 4, 6), ("b", 9, 11), ("c", 1, 1)], [("a", 4, 6), ("b", None, 11), ("c", 1, 1)]):
+        budgets = spark.createDataFrame(limits, "task_id string, max_items long, max_bytes long")
+        out = retrieval.fallback_smallest(tasks, tasks.filter("task_id = 'c'"), units, budgets).collect()
+        got = {t: [r.candidate_id for r in sorted((r for r in out if r.task_id == t), key=lambda r: r.selected_rank)] for t in "abc"}
+        assert got == {"a": expected[:4], "b": expected[: len(got["b"])], "c": []} and len(got["b"]) > 4
