@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BLANKS, cut
 
 
 def _hash(text: Column) -> Column:
@@ -29,7 +29,9 @@ def _runs(lines: DataFrame, min_words: int, gram_words: int) -> DataFrame:
     lines = lines.withColumn("until", F.max("upto").over(begun)).withColumn("gram", _hash(joined(F.collect_list("h").over(begun))))
     lines = lines.withColumn("gram", F.when(F.col("until") - F.col("at") >= gram_words, F.col("gram")))
     line = F.struct("pos", "h", "at", "upto", "gram", "until")
-    lines = lines.withColumn("ahead", F.collect_list(line).over(ahead_of(min_words))).withColumn("behind", F.collect_list(line).over(behind_of(min_words)))
+    lines = lines.withColumn("ahead", F.collect_list(line).over(ahead_of(min_words))).withColumn(
+        "behind", F.collect_list(line).over(behind_of(min_words)),
+    )
     ahead = F.when(F.element_at("ahead", -1)["upto"] - F.col("at") >= min_words, F.col("ahead"))
     # One that is too short without its last line is the window from its first line on as well.
     behind = F.when(F.col("at") - F.col("behind")[0]["at"] >= min_words, F.col("behind"))
@@ -60,16 +62,25 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    trimmed = F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    lines = lines.select("doc_id", "text_key", "pos", trimmed.alias("line")).filter("line <> ''")
-    lines = lines.select("doc_id", "text_key", "pos", _hash(F.col("line")).alias("h"), F.size(F.split("line", r"[\x20\x09-\x0D]+")).cast("long").alias("w"))
+    lines = lines.select("doc_id", "text_key", "pos", F.btrim("line", F.lit("".join(BLANKS))).alias("line")).filter("line <> ''")
+    # Hashes and word counts of the lines, written once: texts are read a single time.
+    lines = cut(
+        lines.select(
+            "doc_id", "text_key", "pos", _hash(F.col("line")).alias("h"),
+            F.size(F.split("line", r"[\x20\x09-\x0D]+")).cast("long").alias("w"),
+        )
+    )
     lines = lines.repartition("doc_id", "text_key").dropDuplicates(["doc_id", "text_key", "pos"])
     windows = _runs(lines, min_words, -(-min_words // 2))
     places = windows.select("doc_id", "text_key", "gram", "place").distinct()
     repeated = cut(places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
     windows = cut(windows.join(repeated, "gram", "left_semi").drop("gram", "place"))
-    first = cut(windows.groupBy("window").agg(F.min(F.struct("doc_id", "text_key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    later = windows.join(first, "window").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("pos") == F.col("first.pos"))))
+    first = cut(
+        windows.groupBy("window").agg(F.min(F.struct("doc_id", "text_key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    )
+    later = windows.join(first, "window").filter(
+        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("pos") == F.col("first.pos")))
+    )
     return later.select("doc_id", "text_key", F.explode("covered").alias("pos")).distinct()
 
 
@@ -89,7 +100,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split("text", "\n")
     return rows.select(
         F.col("r.doc_id").alias("doc_id"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")).alias("text"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(
+            F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
+        ).alias("text"),
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"),
     )
