@@ -1,4 +1,4 @@
-"""Small sides of joins whose size is checked."""
+"""Small sides of joins, and small tables, whose size is checked."""
 
 from __future__ import annotations
 
@@ -27,3 +27,14 @@ def in_blocks(df: DataFrame, most: int, use: Callable[[DataFrame], DataFrame]) -
         return use(F.broadcast(df))
     block = F.pmod(F.xxhash64(*df.columns), F.lit(n))
     return reduce(DataFrame.unionByName, [use(F.broadcast(df.filter(block == k))) for k in range(n)])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores if all of it is smaller than one input split.
+
+    Such a table often lies in a single row group, which one task reads and works on; larger ones stay where they are.
+    """
+    spark = df.sparkSession
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < split else df

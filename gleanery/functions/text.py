@@ -16,7 +16,8 @@ LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}]+(?:[_-][\p{L}\p{N}]+)*"
 TOKEN = r"[\p{L}\p{N}]+"
 QUOTED = "`([^`\r\n]+)`|\"([^\"\r\n]+)\"|'([^'\r\n]+)'"
-ASCII = "^[\\x00-\\x7F]*$"
+#: Texts whose folding is the lower case with ss for the sharp s: up to U+00FF without the micro sign.
+LATIN = "^[\\x00-\\xB4\\xB6-\\xFF]*$"
 
 
 def _foldings() -> tuple[str, str, list[tuple[str, str]]]:
@@ -37,9 +38,10 @@ RARE = "[" + "".join(c for c, _ in SEVERAL if c != "ß") + "]"
 
 
 def fold(text: Column) -> Column:
-    """Case folding (not just lower case) of composed text; ASCII texts take the short way."""
-    wide = F.replace(F.translate(F.lower(text), ONE_FROM, ONE_TO), F.lit("ß"), F.lit("ss"))
-    return F.when(text.rlike(ASCII), F.lower(text)).otherwise(F.when(text.rlike(RARE), _fold_rare(text)).otherwise(wide))
+    """Case folding (not just lower case) of composed text; Latin texts take the short way."""
+    lower = F.lower(text)
+    wide = F.replace(F.translate(lower, ONE_FROM, ONE_TO), F.lit("ß"), F.lit("ss"))
+    return F.when(text.rlike(LATIN), F.replace(lower, F.lit("ß"), F.lit("ss"))).otherwise(F.when(text.rlike(RARE), _fold_rare(text)).otherwise(wide))
 
 
 def _fold_rare(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.search import containing
+from ..functions.sets import spread
 from ..functions.shared import written
 from ..functions.text import fold
 
@@ -21,7 +22,8 @@ NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
