@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.llm import near_dedup as near
+from gleanery.llm.bloom import apart
 from gleanery.llm.exact_dedup import exact_dedup
 from gleanery.llm.graph import components
 from gleanery.llm.line_dedup import line_dedup
@@ -255,3 +256,16 @@ def test_vector_dedup_reaches_links_of_low_rank(spark):
     links = (x @ x.T >= 0.95).sum(axis=1) - 1
     assert links.sum() > 200
     assert {r.vec_id: r.n_links for r in vector_dedup(df).collect()} == dict(enumerate(links.tolist()))
+
+
+def test_bloom_filter_sets_no_row_aside_wrongly(spark):
+    rows = spark.createDataFrame([(k if k % 10 else None, "t" * (k % 3), k) for k in range(500)], "doc_id long, text string, block long").selectExpr("*", "'x' as w0", "'y' as row")
+    keys = spark.createDataFrame([(str(k),) for k in range(0, 500, 7)] + [(None,)], "key string")
+    maybe, other = apart(rows, F.col("doc_id").cast("string"), keys)
+    assert maybe.columns == other.columns == rows.columns
+    inside = {r.block for r in maybe.collect()}
+    outside = {r.block for r in other.collect()}
+    assert inside | outside == set(range(500)) and not inside & outside
+    wanted = {k for k in range(500) if k % 10 == 0 or k % 7 == 0}
+    assert wanted <= inside and len(inside) < len(wanted) + 40
+    assert apart(rows, F.col("doc_id").cast("string"), keys.limit(0))[0].count() == 0
