@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode_documents
 from .common import table
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .language_id import language_id
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .packing import pack
+from .quality_rules import quality_rules
 from .secret_scan import secret_scan
+from .spelling import corpus_variants
 from .token_counts import token_counts, write_token_blocks
 from .url_filter import url_filter
 from .vector_dedup import vector_dedup
@@ -83,6 +86,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), words=4)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of rows whose id is divisible by 7 move on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line model learns from the quality labels of other documents."""
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_dedup,
         op9_secret_scans,
         op10_minhash_near_dedup,
+        op11_spelling_variants,
+        op12_hard_negatives,
+        op13_quality_rules,
     )
 }
 
@@ -205,4 +226,40 @@ r AS (SELECT x AS id, x AS m FROM l UNION SELECT l.y, r.m FROM r JOIN l ON l.x =
 c AS (SELECT id, min(m) AS component_id FROM r GROUP BY id)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON id = d.doc_id""",
+    # crc32 bit by bit over the bytes of "<doc_id>:<word>"; near words meet in a form with one code point left out or masked.
+    "op11_spelling_variants": r"""
+WITH RECURSIVE r0 AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+r1 AS (SELECT doc_id, run, count(*) AS n FROM r0 WHERE length(run) >= 6 GROUP BY ALL),
+b AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r1),
+c AS (SELECT run, n, list_transform(range(length(x) * 4), lambda i: (('0x' || substr(x, 2 * (i // 8) + 1, 2))::BIGINT >> (i % 8)) & 1) AS bits FROM b),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bits), lambda a, t: xor(a >> 1, (xor(a, t) & 1) * 3988292384)), 4294967295) AS h FROM c),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM v),
+cut AS (SELECT DISTINCT word, n, substr(word, 1, k - 1) || substr(word, k + 1) AS form FROM p),
+mask AS (SELECT word, n, substr(word, 1, k - 1) || '*' || substr(word, k + 1) AS form FROM p),
+near AS (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM mask a JOIN mask b ON a.form = b.form AND a.word <> b.word
+  UNION SELECT cut.word, cut.n, v.word, v.n FROM cut JOIN v ON cut.form = v.word
+  UNION SELECT v.word, v.n, cut.word, cut.n FROM cut JOIN v ON cut.form = v.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS form, first(m ORDER BY m DESC, encode(other)) AS form_n FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * v.n THEN form END AS form,
+  CASE WHEN form_n >= 5 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+walk AS (SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL),
+root AS (SELECT walk.word, walk.at AS root FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN root ON root.word = f.word""",
+    "op12_hard_negatives": r"""
+WITH e AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, b.label = a.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.id % 100 = 0 AND (a.id <> b.id OR a.label <> b.label)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score,
+    (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id))::INT AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }
