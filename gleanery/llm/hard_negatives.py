@@ -25,6 +25,12 @@ def _angles(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1.0, 1.0))
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows, whose squares may overflow or vanish."""
+    most = np.abs(x).max(axis=1, initial=1e-300)
+    return most * np.sqrt(((x / most[:, None]) ** 2).sum(axis=1))
+
+
 @dataclass
 class Scale:
     """Sizes of all candidates: columns, largest component, and largest length in units of it."""
@@ -49,15 +55,15 @@ class Scale:
 
     def scores(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Exact inner products, held to the range of a long."""
-        if self.largest**2 * self.longest**2 < 1 << 53:
+        if self.largest * self.longest < 1 << 26:
             return (queries @ rows.T).astype(np.int64)
         whole = lambda x: np.array([[int(v) for v in row] for row in x], dtype=object).reshape(x.shape)
         return np.clip(whole(queries) @ whole(rows).T, LOWEST, HIGHEST).astype(np.int64)
 
     def reach(self, queries: np.ndarray) -> np.ndarray:
         """The score of a query at angle 0."""
-        y = queries / self.largest
-        return np.sqrt((y * y).sum(axis=1)) * self.longest * self.largest * self.largest
+        with np.errstate(over="ignore"):
+            return np.minimum(_lengths(queries) * self.longest * self.largest, 1e300)
 
 
 class CoverTree:
@@ -107,10 +113,10 @@ class CoverTree:
 
 
 def bounds(cosines: np.ndarray, radii: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The most and the least that queries (rows) can score within balls (columns)."""
+    """The most and the least that queries (rows) can score within balls (columns), held to the range of a long."""
     angle, radii, reach = _angles(cosines), radii + SLACK, reach[:, None]
-    extra = SLACK * reach + 1e-9
-    return np.cos(np.maximum(angle - radii, 0)) * reach + extra, np.cos(np.minimum(angle + radii, np.pi)) * reach - extra
+    extra, held = SLACK * reach + 1e-9, lambda x: np.clip(x, float(LOWEST), float(HIGHEST))
+    return held(np.cos(np.maximum(angle - radii, 0)) * reach + extra), held(np.cos(np.minimum(angle + radii, np.pi)) * reach - extra)
 
 
 @dataclass
@@ -124,7 +130,7 @@ class _Best:
 
     def add(self, window: np.ndarray, score: np.ndarray, row: np.ndarray, ids: np.ndarray) -> None:
         window, score, row = (np.concatenate(p) for p in ((self.window, window), (self.score, score), (self.row, row)))
-        order = np.lexsort((ids[row], -score, window))
+        order = np.lexsort((ids[row], ~score, window))  # ~score: no overflow
         window, score, row = window[order], score[order], row[order]
         first = np.searchsorted(window, window)
         keep = np.arange(len(window)) - first < self.k
@@ -167,11 +173,10 @@ class _Asked:
         return np.maximum(self.low.astype(np.float64), self.least)
 
 
-def _rays(queries: np.ndarray, scale: Scale) -> np.ndarray:
+def _rays(queries: np.ndarray) -> np.ndarray:
     """Unit vectors of queries, the further component 0; a query of length 0 is at a right angle to all."""
-    y = queries / scale.largest
-    length = np.sqrt((y * y).sum(axis=1, keepdims=True))
-    return np.concatenate((y / np.where(length > 0, length, 1.0), np.zeros((len(y), 1))), axis=1)
+    lengths = _lengths(queries)
+    return np.concatenate((queries / np.where(lengths > 0, lengths, 1.0)[:, None], np.zeros((len(queries), 1))), axis=1)
 
 
 def _search(tree: CoverTree, x: np.ndarray, ids: np.ndarray, labels: np.ndarray, scale: Scale, asked: _Asked, same: bool, k: int) -> _Best:
@@ -183,7 +188,7 @@ def _search(tree: CoverTree, x: np.ndarray, ids: np.ndarray, labels: np.ndarray,
     reach, firsts, needed = scale.reach(asked.x), asked.firsts(), asked.needed()
     slack = SLACK * reach + 1e-9  # more than doubles lose of large scores
     upper = tree.descend(
-        _rays(asked.x, scale), reach, np.minimum.reduceat(needed, firsts) - slack, np.maximum.reduceat(asked.high.astype(np.float64), firsts) + slack,
+        _rays(asked.x), reach, np.minimum.reduceat(needed, firsts) - slack, np.maximum.reduceat(asked.high.astype(np.float64), firsts) + slack,
     )
     order = np.argsort(-upper, axis=1, kind="stable")
     windows = np.append(firsts[1:], len(needed)) - firsts
@@ -369,7 +374,7 @@ def _round(
                 part = pa.Table.from_batches([batch.slice(at, 256)])
                 query = _Asked.read(part, scale, kind)
                 starts, reach = query.firsts(), scale.reach(query.x)
-                upper, lower = bounds((_rays(query.x, scale) @ cells.centres.T)[:, cells.top], cells.radius, reach)
+                upper, lower = bounds((_rays(query.x) @ cells.centres.T)[:, cells.top], cells.radius, reach)
                 slack = (SLACK * reach + 1e-9)[:, None]
                 high = np.maximum.reduceat(query.high.astype(np.float64), starts)[:, None]
                 able = (upper >= np.minimum.reduceat(query.low.astype(np.float64), starts)[:, None] - slack) & (lower <= high + slack)
