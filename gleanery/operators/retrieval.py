@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.search import containing
+from ..functions.search import TextIndex, candidates, containing, text_index, token_key, verified
 from ..functions.sets import in_blocks
 from ..functions.shared import checkpointed, written
-from ..functions.text import fold, quoted, token_estimate, tokens
+from ..functions.text import TOKEN, fold, quoted, token_estimate
 from .budget import greedy
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -87,39 +87,76 @@ def resolve_explicit(terms: DataFrame, artifacts: DataFrame, symbols: DataFrame)
 # --- Lexical ranking -------------------------------------------------------------------------------------------
 
 
-def lexical_rank(tasks: DataFrame, units: DataFrame) -> DataFrame:
-    """(task_id, unit_id, score, rank): units by overlap of terms, frequency, quoted phrases and path.
+#: What a quoted phrase, a term in the path and the frequency add to a score at most.
+PHRASE, PATH, FREQUENCY = 0.25, 0.15, 0.25
+
+
+def _first(rows: DataFrame, k: int | None) -> DataFrame:
+    """Ranked by score and unit within each task; with ``k`` only so many, cut in each task of Spark before they are shuffled."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("score"), "unit_id")))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+
+
+def lexical_rank(tasks: DataFrame, units: DataFrame, k: int | None = None, index: TextIndex | None = None) -> DataFrame:
+    """(task_id, unit_id, score, rank): units by overlap of terms, frequency, quoted phrases and path; the first ``k`` of a task.
 
     score = overlap + 0.25 min(frequency, 1) + 0.25 phrase + 0.15 path, to 8 digits; overlap is the share of the
     task's distinct terms among the unit's tokens (a term of several words is no token, but counts in the share).
-    Tasks have task_id, terms (folded, distinct) and task_text; units have unit_id, path, text.
+    Tasks have task_id, terms (folded, distinct) and task_text; units have unit_id, path, text. Ties go by unit_id.
 
-    Tokens are counted per unit and joined to the terms, with tokens that no task asks for dropped before the
-    shuffle where the terms are few. Terms in paths and phrases in texts are found by joins on tokens
-    (:func:`gleanery.functions.search.containing`).
+    Overlap and frequency come from the index of the units' tokens alone (``index``, of their folded texts, if there is one
+    already), without tokens that no task asks for. With ``k``, the k-th best of these sums bounds what can
+    still come in: phrase and path add 0.40 at most, so units further below it meet neither phrases, paths nor a rank. The bound is a
+    top-k that merges partial ones; units without any token of a task are looked at only where 0.40 reaches it.
     """
+    texts = units.select(F.col("unit_id").alias("id"), fold(F.col("text")).alias("text"))
+    index = index or text_index(texts)
+    keys = ["task_id", "unit_id"]
     asked = tasks.select("task_id", F.size("terms").alias("n_terms"), F.explode(F.array_distinct("terms")).alias("term"))
-    counts = units.select("unit_id", F.explode(tokens(fold(F.col("text")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    sizes = units.select("unit_id", "path", F.size(tokens(fold(F.col("text")))).alias("n_tokens"))
-    tf = counts.join(wanted, "term", "left_semi").groupBy("unit_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    hits = tf.join(asked, "term").groupBy("task_id", "unit_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("tf").alias("occurrences"))
-    paths = units.select("path").distinct().select("path", fold(F.col("path")).alias("folded"))
-    by_path = containing(paths.select(F.col("path").alias("id"), F.col("folded").alias("text")), wanted.withColumnRenamed("term", "phrase"))
+    keyed = asked.select("task_id", "n_terms", token_key(F.col("term")).alias("token"))
+    tf = index.occurrences.select("id", "n_tokens", "token").join(keyed.select("token").distinct(), "token", "left_semi")
+    tf = tf.groupBy("id", "n_tokens", "token").agg(F.count(F.lit(1)).alias("tf"))
+    hits = tf.join(keyed, "token").groupBy("task_id", F.col("id").alias("unit_id"), "n_terms", "n_tokens").agg(
+        F.count(F.lit(1)).alias("matched"), F.sum("tf").alias("occurrences"),
+    )
+    frequency = F.col("occurrences") / F.greatest("n_tokens", F.lit(1))
+    base = F.col("matched") / F.col("n_terms") + F.least(frequency, F.lit(1.0)) * FREQUENCY
+    hits = written(hits.select(*keys, base.alias("base")))
+    others = None  # tasks whose first k may hold units without any of their tokens
+    if k is not None:
+        edge = _first(hits.withColumnRenamed("base", "score"), k).filter(F.col("rank") == k).select("task_id", (F.col("score") - PHRASE - PATH - 1e-6).alias("edge"))
+        edge = written(edge)
+        hits = hits.join(edge, "task_id", "left").filter(F.col("edge").isNull() | (F.col("base") >= F.col("edge"))).drop("edge")
+        hits = written(hits)
+        others = tasks.select("task_id").join(edge.filter("edge > 0"), "task_id", "left_anti")
+
+    def wanted(found: DataFrame) -> DataFrame:
+        """Of (task_id, unit_id): those that the bound leaves."""
+        if others is None:
+            return found
+        return found.join(hits.select(*keys), keys, "left_semi").unionByName(found.join(others, "task_id", "left_semi")).distinct()
+
+    paths = units.select("path").distinct().select(F.col("path").alias("id"), fold(F.col("path")).alias("text"))
+    by_path = containing(paths, asked.select(F.col("term").alias("phrase")).distinct())
     by_path = by_path.select(F.col("id").alias("path"), F.col("phrase").alias("term")).join(asked, "term").select("task_id", "path").distinct()
-    by_path = by_path.join(units.select("unit_id", "path"), "path").select("task_id", "unit_id", F.lit(True).alias("in_path"))
+    places = units.select("unit_id", "path")
+    if others is None:
+        by_path = by_path.join(places, "path").select(*keys)
+    else:
+        some = hits.select(*keys).join(places, "unit_id").join(by_path, ["task_id", "path"], "left_semi").select(*keys)
+        by_path = some.unionByName(by_path.join(others, "task_id", "left_semi").join(places, "path").select(*keys)).distinct()
     phrases = tasks.select("task_id", F.explode(F.transform(quoted(F.col("task_text")), fold)).alias("phrase"))
-    by_phrase = containing(units.select(F.col("unit_id").alias("id"), fold(F.col("text")).alias("text")), phrases).withColumnRenamed("id", "unit_id")
-    by_phrase = by_phrase.join(phrases, "phrase").select("task_id", "unit_id").distinct().withColumn("in_phrase", F.lit(True))
-    keys = ["task_id", "unit_id"]
-    found = hits.join(by_path, keys, "full_outer").join(by_phrase, keys, "full_outer")
-    found = found.join(asked.select("task_id", "n_terms").distinct(), "task_id").join(sizes.select("unit_id", "n_tokens"), "unit_id")
-    frequency = F.coalesce("occurrences", F.lit(0)) / F.greatest("n_tokens", F.lit(1))
-    score = F.coalesce("matched", F.lit(0)) / F.col("n_terms") + F.least(frequency, F.lit(1.0)) * 0.25 + F.when(
-        F.col("in_phrase"), 0.25,
-    ).otherwise(0.0) + F.when(F.col("in_path"), 0.15).otherwise(0.0)
-    found = found.select(*keys, F.round(score, 8).alias("score"))
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("score"), "unit_id")))
+    spoken = phrases.filter(F.col("phrase").rlike(TOKEN))
+    maybe = candidates(index, spoken).join(phrases, "phrase").select("task_id", F.col("id").alias("unit_id"), "phrase", "sure")
+    if others is not None:
+        maybe = maybe.join(wanted(maybe.select(*keys)), keys, "left_semi")
+    by_phrase = verified(maybe.withColumnRenamed("unit_id", "id"), texts).select("task_id", F.col("id").alias("unit_id"))
+    marks = phrases.filter(~F.col("phrase").rlike(TOKEN)).select("phrase")
+    by_mark = containing(texts, marks, index).join(phrases, "phrase").select("task_id", F.col("id").alias("unit_id"))
+    by_phrase = by_phrase.unionByName(wanted(by_mark)).distinct()
+    found = hits.join(by_path.withColumn("in_path", F.lit(True)), keys, "full_outer").join(by_phrase.withColumn("in_phrase", F.lit(True)), keys, "full_outer")
+    score = F.coalesce("base", F.lit(0.0)) + F.when(F.col("in_phrase"), PHRASE).otherwise(0.0) + F.when(F.col("in_path"), PATH).otherwise(0.0)
+    return _first(found.select(*keys, F.round(score, 8).alias("score")), k)
 
 
 # --- Structure -------------------------------------------------------------------------------------------------

@@ -39,12 +39,12 @@ s AS (SELECT a.task_id, a.unit_id, round(coalesce(matched, 0) / n_terms + least(
 t AS (SELECT task_id, unit_id, round(score, 6) AS score, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, unit_id) AS rank FROM s)"""
 
 
-def lexical_ranks(spark, sf_dir):
+def lexical_ranks(spark, sf_dir, k=None):
     tasks = views.tasks(spark, sf_dir).select(
         "task_id", F.col("keywords").alias("terms"),
         F.concat(F.lit('say "'), F.get("keywords", 0), F.lit(' "')).alias("task_text"),
     )
-    return r.lexical_rank(tasks, views.search_units(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return r.lexical_rank(tasks, views.search_units(spark, sf_dir), k).withColumn("score", F.round("score", 6))
 
 
 @query("lexical_rank", with_views(["search_units", "tasks"], f"{LEXICAL} SELECT * FROM t"))
@@ -52,13 +52,19 @@ def _(spark, sf_dir):
     return lexical_ranks(spark, sf_dir)
 
 
+@query("lexical_top_ten", with_views(["search_units", "tasks"], f"{LEXICAL} SELECT * FROM t WHERE rank <= 10"))
+def _(spark, sf_dir):
+    """Pruned by the bound of the tenth place; every task's first ten."""
+    return lexical_ranks(spark, sf_dir, 10)
+
+
 @query(
     "lexical_top_document",
     with_views(["search_units", "tasks"], f"{LEXICAL} SELECT task_id, unit_id, path, score FROM t JOIN k USING (unit_id) WHERE rank = 1"),
 )
 def _(spark, sf_dir):
     """The best unit of each task: read, split, count, join, aggregate, rank."""
-    best = lexical_ranks(spark, sf_dir).filter("rank = 1")
+    best = lexical_ranks(spark, sf_dir, 1)
     return best.join(views.search_units(spark, sf_dir).select("unit_id", "path"), "unit_id").select("task_id", "unit_id", "path", "score")
 
 

@@ -192,3 +192,30 @@ def test_fallback_takes_the_smallest_files(spark):
         out = retrieval.fallback_smallest(tasks, tasks.filter("task_id = 'c'"), units, budgets).collect()
         got = {t: [r.candidate_id for r in sorted((r for r in out if r.task_id == t), key=lambda r: r.selected_rank)] for t in "abc"}
         assert got == {"a": expected[:4], "b": expected[: len(got["b"])], "c": []} and len(got["b"]) > 4
+
+
+def test_parts_of_very_long_tokens(spark):
+    """Pieces of a long token overlap, so parts across their ends are found; its letters enter no shuffle."""
+    import random
+
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh") for _ in range(3_000))
+    texts = {1: f"x {long} y", 2: long[:65], 3: long[10:74], 4: "𝄞" + "é𝄞" * 90, 5: "A" + long[:64], 6: long[500:900]}
+    phrases = [long[a : a + n] for a in (0, 1, 60, 63, 64, 65, 127, 128, 700, 2_900) for n in (2, 4, 30, 64, 65, 129, 400)] + ["x " + long[:5], long[-3:] + " y", "é𝄞é", "z"]
+    found = containing(spark.createDataFrame(list(texts.items()), "id long, text string"), spark.createDataFrame([(p,) for p in phrases], "phrase string"))
+    assert {tuple(r) for r in found.select("id", "phrase").collect()} == {(i, p) for i, t in texts.items() for p in phrases if p in t}
+
+
+def test_first_places_equal_the_full_rank(spark):
+    import random
+
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(30)]
+    units = spark.createDataFrame([(f"u{i:03d}", f"src/{rng.choice(words)}_{i % 9}.py", " ".join(rng.choice(words) for _ in range(rng.randrange(0, 12)))) for i in range(150)], "unit_id string, path string, text string")
+    rows = [(f"t{i}", rng.sample(words, rng.randrange(1, 8)), f'say "{rng.choice(words)} {rng.choice(words)}" or `{rng.choice(["-", "_1", "zzz"])}`') for i in range(25)]
+    rows += [("none", ["absent"], "nothing"), ("path", ["src"], ""), ("phrase", ["absent"], f'"{words[0]} "')]
+    tasks = spark.createDataFrame(rows, "task_id string, terms array<string>, task_text string")
+    full = {tuple(r) for r in retrieval.lexical_rank(tasks, units).collect()}
+    for k in (1, 4, 40):
+        got = [tuple(r) for r in retrieval.lexical_rank(tasks, units, k).collect()]
+        assert len(got) == len(set(got)) and set(got) == {r for r in full if r[3] <= k}
