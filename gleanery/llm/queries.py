@@ -159,8 +159,9 @@ ahead AS (SELECT list(pos) OVER g AS covered, list(line) OVER g AS run, max(upto
 behind AS (SELECT list(pos) OVER g AS covered, list(line) OVER g AS run, upto - min(beg) OVER g AS words, doc_id FROM l4
   WINDOW g AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
 runs AS (SELECT doc_id, covered, array_to_string(run, chr(10)) AS run FROM (FROM ahead UNION ALL FROM behind) WHERE words >= 50),
-later AS (SELECT DISTINCT doc_id, unnest(covered) AS pos FROM (SELECT *, min((doc_id, covered[1])) OVER (PARTITION BY run) AS f
-  FROM runs) WHERE (doc_id, covered[1]) <> f),
+later AS (SELECT DISTINCT doc_id, unnest(covered) AS pos FROM (
+  SELECT *, min({'doc': doc_id, 'pos': covered[1], 'last': covered[len(covered)]}) OVER (PARTITION BY run) AS f FROM runs)
+  WHERE doc_id <> f.doc OR covered[1] > f.last),
 gone AS (SELECT doc_id, list(pos) AS gone FROM later GROUP BY doc_id)
 SELECT l0.doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_deleted,
        sha256(CASE WHEN gone IS NULL THEN t ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i -

@@ -56,7 +56,7 @@ def test_exact_dedup_compares_bytes_where_hashes_collide(spark, monkeypatch):
 
 
 def brute_lines(rows, min_words=50):
-    """Lines covered by a run of lines with so many words that stood before."""
+    """Lines covered by a run of lines with so many words that stood before without overlapping."""
     docs = [(i, [(n, x.strip(" \t\n\x0b\x0c\r")) for n, x in enumerate((t or "").split("\n"))]) for i, t in sorted(rows)]
     seen, gone = [], {}
     for i, lines in docs:
@@ -68,7 +68,7 @@ def brute_lines(rows, min_words=50):
                     if other is flat and b >= a:
                         continue
                     k = 0
-                    while a + k < len(flat) and b + k < len(other) and flat[a + k] == other[b + k]:
+                    while a + k < len(flat) and b + k < len(other) and (other is not flat or k < a - b) and flat[a + k] == other[b + k]:
                         k += 1
                     if sum(len(x.split()) for x in flat[a : a + k]) >= min_words:
                         gone.setdefault(i, set()).update(n for n, _ in lines[a : a + k])
@@ -116,6 +116,16 @@ def test_line_dedup_where_the_first_place_shares_only_part_of_a_run(spark):
         assert (r.text, r.n_deleted) == ("\n".join(kept), len(gone.get(r.doc_id, ()))), r.doc_id
 
 
+def test_line_dedup_keeps_the_first_run_of_a_repeated_line(spark):
+    ten = " ".join(f"w{i}" for i in range(10))
+    two = [" ".join(f"{c}{i}" for i in range(10)) for c in "ab"]
+    rows = [(1, "\n".join([ten] * 20)), (2, "\n".join([ten] * 20)), (3, "\n".join(two * 10)), (4, "\n".join([ten] * 4)), (5, "\n".join([ten] * 9))]
+    gone = brute_lines(rows)
+    out = {r.doc_id: (r.text, r.n_deleted) for r in line_dedup(table(spark, rows)).collect()}
+    assert out[1] == ("\n".join([ten] * 5), 15) and out[2] == ("", 20) and out[4][1] == 0 and out[5] == ("", 9)
+    assert {i: n for i, (_, n) in out.items() if n} == {i: len(g) for i, g in gone.items()}
+
+
 def test_line_dedup_of_very_long_texts(spark):
     long = "w " * 400_000 + "end"
     lines = "\n".join(f"line {k} with some more words" for k in range(20_000))
