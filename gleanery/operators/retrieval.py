@@ -50,6 +50,7 @@ def resolve_explicit(terms: DataFrame, artifacts: DataFrame, symbols: DataFrame)
     A path is found as written, else by folding; a file name by the folded last segment, unless a path of the task ends
     with it; a symbol by folded name or qualified name, unless it looks like a file. One match is selected, several
     are ambiguous (deferred), none is not_found. ``target`` is the artifact_id or symbol_id, null unless selected.
+    Matches are counted per name before terms are joined to them.
     """
     named = terms.filter(F.col("kind").isin("path", "filename", "symbol")).select(
         "task_id", "kind", F.col("original").alias("reference"), F.col("normalized").alias("key"),
@@ -60,21 +61,20 @@ def resolve_explicit(terms: DataFrame, artifacts: DataFrame, symbols: DataFrame)
     files = artifacts.select("artifact_id", "path", fold(F.col("path")).alias("folded"))
     named = named.join(tails, ["task_id", "kind", "key"], "left_anti")
     named = named.filter(~((F.col("kind") == "symbol") & F.col("key").rlike(r"(/|\.(py|md|toml|json|js|ts|txt|ya?ml|cfg|ini)$)")))
-    paths = named.filter("kind = 'path'").join(files, F.col("key") == F.col("folded")).select(
-        "task_id", "kind", "reference", F.col("artifact_id").alias("target"),
-        F.when(F.col("reference") == F.col("path"), 0).otherwise(1).alias("priority"),
-    )
-    names = named.filter("kind = 'filename'").join(
-        files.withColumn("last", F.element_at(F.split("folded", "/"), -1)), F.col("key") == F.col("last"),
-    ).select("task_id", "kind", "reference", F.col("artifact_id").alias("target"), F.lit(0).alias("priority"))
     keyed = symbols.select("symbol_id", F.explode(F.array_distinct(F.array(fold(F.col("name")), fold(F.col("qualified_name"))))).alias("key"))
-    defined = named.filter("kind = 'symbol'").join(keyed, "key").select(
-        "task_id", "kind", "reference", F.col("symbol_id").alias("target"), F.lit(0).alias("priority"),
-    )
-    found = paths.unionByName(names).unionByName(defined).groupBy("task_id", "kind", "reference", "priority").agg(
-        F.countDistinct("target").alias("matches"), F.min("target").alias("target"),
-    )
-    found = found.groupBy("task_id", "kind", "reference").agg(F.min_by(F.struct("matches", "target"), "priority").alias("m"))
+
+    def counted(rows: DataFrame, target: str, *key: str) -> DataFrame:
+        return rows.groupBy(*key).agg(F.countDistinct(target).alias("matches"), F.min(target).alias("target"))
+
+    # One row per key on the right, counted before the join, so that a name that many files share doesn't fan out.
+    last = F.element_at(F.split("folded", "/"), -1)
+    known = counted(files.withColumn("key", F.col("folded")), "artifact_id", "key").withColumn("kind", F.lit("path"))
+    known = known.unionByName(counted(files.withColumn("key", last), "artifact_id", "key").withColumn("kind", F.lit("filename")))
+    known = known.unionByName(counted(keyed, "symbol_id", "key").withColumn("kind", F.lit("symbol")))
+    exact = counted(files.withColumn("reference", F.col("path")), "artifact_id", "reference").withColumn("kind", F.lit("path"))
+    exact = exact.select("kind", "reference", F.struct("matches", "target").alias("exact"))
+    found = named.join(known, ["kind", "key"]).join(exact, ["kind", "reference"], "left")
+    found = found.select("task_id", "kind", "reference", F.coalesce("exact", F.struct("matches", "target")).alias("m")).distinct()
     out = named.select("task_id", "kind", "reference").distinct().join(found, ["task_id", "kind", "reference"], "left")
     matches = F.coalesce("m.matches", F.lit(0))
     outcome = F.when(matches == 0, "not_found").when(matches == 1, "selected").otherwise("ambiguous")
@@ -575,8 +575,9 @@ def fallback_smallest(tasks: DataFrame, selected: DataFrame, units: DataFrame, b
     ``selected`` holds (task_id) of all candidates with a score. Sizes are summed per file, once. A task takes as many
     files as its budget allows, so tasks without limits are not filled. Every limit rises with the size, so behind a
     file that doesn't fit no other does: where all budgets limit the items, tasks meet only as many of the smallest files.
+    Files without any text (all null) have no size and are no candidates; empty ones have the size 0.
     """
-    sizes = units.groupBy("path").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    sizes = units.groupBy("path").agg(F.sum(F.octet_length("text")).alias("bytes")).filter("bytes is not null")
     if "max_items" in budgets.columns:
         bound = budgets.agg(F.max("max_items").alias("most"), F.count_if(F.col("max_items").isNull()).alias("open")).first()
         if bound["most"] is not None and not bound["open"]:

@@ -219,3 +219,21 @@ def test_first_places_equal_the_full_rank(spark):
     for k in (1, 4, 40):
         got = [tuple(r) for r in retrieval.lexical_rank(tasks, units, k).collect()]
         assert len(got) == len(set(got)) and set(got) == {r for r in full if r[3] <= k}
+
+
+def test_fallback_passes_over_files_without_text(spark):
+    units = spark.createDataFrame([("n1", None), ("n2", None), ("a", "x" * 10), ("b", "x" * 20), ("c", "x" * 30), ("d", None), ("d", "")], "path string, text string")
+    tasks = spark.createDataFrame([("t",)], "task_id string")
+    for items, expected in ((2, ["artifact-d", "artifact-a"]), (3, ["artifact-d", "artifact-a", "artifact-b"])):
+        budgets = spark.createDataFrame([("t", items, 1000)], "task_id string, max_items long, max_bytes long")
+        out = retrieval.fallback_smallest(tasks, tasks.limit(0), units, budgets).orderBy("selected_rank")
+        assert [r.candidate_id for r in out.collect()] == expected
+
+
+def test_a_name_of_many_files_does_not_fan_out(spark):
+    files = spark.range(500).selectExpr("concat('a', id) as artifact_id", "concat('d', id, '/Shared.py') as path")
+    terms = spark.createDataFrame([(f"t{i}", "filename", "shared.py", "shared.py") for i in range(50)] + [("t0", "path", "D3/shared.py", "d3/shared.py"), ("t1", "path", "d3/Shared.py", "d3/shared.py")], "task_id string, kind string, original string, normalized string")
+    symbols = spark.createDataFrame([], "symbol_id string, name string, qualified_name string")
+    out = {(r.task_id, r.kind): (r.outcome, r.matches, r.target) for r in retrieval.resolve_explicit(terms, files, symbols).collect()}
+    assert out["t5", "filename"] == ("ambiguous", 500, None) and out["t0", "path"] == ("selected", 1, "a3") == out["t1", "path"]
+    assert ("t0", "filename") not in out and len(out) == 50
