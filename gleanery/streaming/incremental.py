@@ -37,6 +37,6 @@ def follow_versions(versions: DataFrame, root: str, checkpoint: str, **trigger)
 
 
 def current_units(units: DataFrame) -> DataFrame:
-    """The units of the newest version of each file, from all snapshots."""
+    """The units of the newest version of each file, from all snapshots (:func:`gleanery.sources.snapshots.read_snapshots`)."""
     latest = units.groupBy("project_id", "path").agg(F.max_by("snapshot_id", F.struct("created_at", "snapshot_id")).alias("snapshot_id"))
     return units.join(latest, ["project_id", "path", "snapshot_id"], "left_semi")

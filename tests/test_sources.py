@@ -6,7 +6,7 @@ from gleanery.operators.context import materialize
 from gleanery.operators.index import text_units, update_index
 from gleanery.operators.scan import content_fingerprint
 from gleanery.sources.files import read_files
-from gleanery.sources.snapshots import read_latest_snapshot, write_snapshot
+from gleanery.sources.snapshots import read_latest_snapshot, read_snapshot, read_snapshots, write_snapshot
 from gleanery.sources.suites import check_suite, read_suite, report_markdown
 from gleanery.streaming.incremental import current_units, follow_versions
 
@@ -26,6 +26,26 @@ def test_snapshots(spark, tmp_path):
     assert sorted(r.value for r in read_latest_snapshot(spark, str(tmp_path), "files").collect()) == ["only", "v2"]
 
 
+def test_only_committed_and_newest_partitions_are_read(spark, tmp_path):
+    root, schema = str(tmp_path), "project_id string, value string, created_at timestamp"
+    import datetime
+
+    at = lambda n: datetime.datetime(2026, 1, n)
+    for n in (1, 2, 3):
+        write_snapshot(spark.createDataFrame([(f"p{k}", f"v{n}", at(n)) for k in range(4) if n < 3 or k < 2], schema), root, "files", f"00{n}")
+    # A write that failed before its log entry, and one that is repeated.
+    half = spark.createDataFrame([("p3", "half", at(9))], schema).withColumns({"snapshot_id": F.lit("009"), "version": F.lit("x")})
+    half.write.mode("append").partitionBy("project_id", "snapshot_id", "version").parquet(f"{root}/files")
+    write_snapshot(spark.createDataFrame([("p2", "again", at(2))], schema), root, "files", "002")
+    write_snapshot(spark.createDataFrame([], schema), root, "files", "010")
+    latest = read_latest_snapshot(spark, root, "files")
+    assert sorted((r.project_id, r.value) for r in latest.collect()) == [("p0", "v3"), ("p1", "v3"), ("p2", "again"), ("p3", "v2")]
+    assert sorted(r.value for r in read_snapshot(spark, root, "files", "002").collect()) == ["again", "v2", "v2", "v2"]
+    assert read_snapshots(spark, root, "files").count() == 10
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+
+
 def test_read_suite(spark, tmp_path):
     case = {"case_id": "c1", "task_text": "t", "tags": ["x"], "context_budget": {"max_items": 3}, "judgments": [{"path": "a", "relevance": "required", "symbols": []}, {"path": "a", "relevance": "odd"}]}
     (tmp_path / "s.json").write_text(json.dumps({"suite_id": "s", "suite_version": "1", "cases": [case]}))
@@ -66,5 +86,5 @@ def test_stream_of_versions(spark, tmp_path):
     for n in (1, 2):
         spark.createDataFrame([("p", "a", f"text {n}", n), *([("p", "b", "stays", 1)] if n == 1 else [])], schema).coalesce(1).write.mode("append").parquet(versions)
         follow_versions(spark.readStream.schema(schema).parquet(versions), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
-    units = spark.read.parquet(str(tmp_path / "out" / "units"))
+    units = read_snapshots(spark, str(tmp_path / "out"), "units")
     assert sorted(r.text for r in current_units(units).collect()) == ["stays", "text 2"]
