@@ -15,7 +15,7 @@ from .common import cut
 #: Groups that labels are hashed to, centres of the uppermost level, rows that they are chosen from.
 GROUPS, MOST_TOPS, SAMPLE = 64, 256, 4096
 #: Children of a tree's node, rows of a leaf.
-FAN_OUT, LEAF = 16, 128
+FAN_OUT, LEAF = 16, 256
 #: What rounding may add to an angle, and to a bound in units of its largest value.
 SLACK = 1e-6
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
@@ -70,8 +70,8 @@ class CoverTree:
     """Levels of balls over unit vectors; the balls of a level cover its parents' rows.
 
     A ball has the row that is its centre and its measured covering radius (an angle). A ball's children are the rows
-    farthest from those chosen before, until all rows lie within half the ball's radius, or ``fan_out`` of them;
-    each row goes to its nearest. Balls with few rows, or of radius 0, are leaves.
+    farthest from those chosen before, until all rows lie within half the ball's radius, or ``fan_out`` of them (or as many
+    as leaves would hold the rows); each row goes to its nearest. Balls with few rows, or of radius 0, are leaves.
     """
 
     def __init__(self, x: np.ndarray, fan_out: int = FAN_OUT, leaf: int = LEAF):
@@ -88,7 +88,7 @@ class CoverTree:
                 numbers.append(-1)
                 angle, nearest = _angles(x[rows] @ centre), np.zeros(len(rows), dtype=np.int64)
                 chosen = [centre]
-                while len(chosen) < fan_out and angle.max() > radius / 2:
+                while len(chosen) < max(2, min(fan_out, -(-len(rows) // leaf))) and angle.max() > radius / 2:
                     chosen.append(x[rows[angle.argmax()]])
                     now = _angles(x[rows] @ chosen[-1])
                     nearest[now < angle] = len(chosen) - 1
@@ -183,7 +183,8 @@ def _search(tree: CoverTree, x: np.ndarray, ids: np.ndarray, labels: np.ndarray,
     """The first ``k`` rows of every window.
 
     ``same`` wants rows of the query's label other than itself, else rows of other labels. Every query takes its leaves
-    best first, the queries that are at a leaf together, and ends when no leaf can better any of its windows.
+    best first, one, then two, then four; the queries that are at a leaf are verified together. It ends when no leaf can
+    better any of its windows.
     """
     reach, firsts, needed = scale.reach(asked.x), asked.firsts(), asked.needed()
     slack = SLACK * reach + 1e-9  # more than doubles lose of large scores
@@ -191,25 +192,33 @@ def _search(tree: CoverTree, x: np.ndarray, ids: np.ndarray, labels: np.ndarray,
         _rays(asked.x), reach, np.minimum.reduceat(needed, firsts) - slack, np.maximum.reduceat(asked.high.astype(np.float64), firsts) + slack,
     )
     order = np.argsort(-upper, axis=1, kind="stable")
-    windows = np.append(firsts[1:], len(needed)) - firsts
+    windows, highest = np.append(firsts[1:], len(needed)) - firsts, np.maximum.reduceat(asked.high, firsts)
     found = _Best(k, *(np.zeros(0, dtype=np.int64) for _ in range(3)))
-    for turn in range(len(tree.leaves)):
-        leaf = order[:, turn]
-        most, last = upper[np.arange(len(asked.x)), leaf], np.maximum(needed, found.last(len(needed)))
-        active = np.flatnonzero((most >= np.minimum.reduceat(last, firsts) - slack) & (most > -np.inf))
-        if not len(active):
+    turn, width = 0, 1
+    while turn < len(tree.leaves):
+        # The next best leaves of each query, twice as many each time.
+        leaf = order[:, turn : turn + width]
+        turn, width = turn + width, 2 * width
+        last = np.maximum(needed, found.last(len(needed)))
+        lowest = np.minimum.reduceat(last, firsts)
+        most = np.take_along_axis(upper, leaf, axis=1)
+        who, place = np.nonzero((most >= (lowest - slack)[:, None]) & (most > -np.inf))
+        if not len(who):
             break
+        by_leaf = np.argsort(leaf[who, place], kind="stable")
+        who, leaf = who[by_leaf], leaf[who, place][by_leaf]
         hits = []
-        for number in np.unique(leaf[active]):
-            who, rows = active[leaf[active] == number], tree.leaves[number]
-            score = scale.scores(asked.x[who], x[rows])
-            fits = (labels[rows] == asked.labels[who][:, None]) == same
-            for q, c in np.argwhere(ids[rows] == asked.ids[who][:, None]):
-                fits[q, c] &= bool((x[rows[c]] != asked.x[who[q]]).any())
-            at, column = np.nonzero(fits)
-            hits.append((who[at], rows[column], score[at, column]))
+        for at in np.split(np.arange(len(who)), np.flatnonzero(leaf[1:] != leaf[:-1]) + 1):
+            asking, rows = who[at], tree.leaves[leaf[at[0]]]
+            score = scale.scores(asked.x[asking], x[rows])
+            fits = (score >= lowest[asking, None]) & (score <= highest[asking, None]) & ((labels[rows] == asked.labels[asking][:, None]) == same)
+            if same:
+                for q, c in np.argwhere(ids[rows] == asked.ids[asking][:, None]):
+                    fits[q, c] &= bool((x[rows[c]] != asked.x[asking[q]]).any())
+            q, column = np.nonzero(fits)
+            hits.append((asking[q], rows[column], score[q, column]))
         query, row, score = (np.concatenate(part) for part in zip(*hits, strict=True))
-        for w in range(int(windows[active].max())):
+        for w in range(int(windows[who].max())):
             window = np.minimum(firsts[query] + w, len(needed) - 1)
             good = (w < windows[query]) & (score >= asked.low[window]) & (score <= asked.high[window]) & (score >= last[window])
             found.add(window[good], score[good], row[good], ids)
