@@ -51,6 +51,25 @@ def test_columns_with_names_of_inner_ones_pass_through(spark, tmp_path):
     assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
 
 
+def test_dedup_stages_with_shared_ids_and_any_columns(spark, tmp_path):
+    """Ids that two texts share, nulls, ties, very long texts, and columns that sets can't compare."""
+    base = [f"lorem{i}" for i in range(150)]
+    near = " ".join([*base[:70], "other", *base[71:]])
+    long = " ".join(f"w{i}" for i in range(250_000))
+    rows = [
+        (-5, " ".join(base)), (3, near), (3, "a text of its own that shares the id"), (4, None), (4, None), (5, ""), (6, "same text"), (6, "same text"), (7, "same  text"), (8, long), (9, long + " end"), (10, long + " "), (None, near + " without an id"), (None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "map('k', doc_id) as m", "array(named_struct('x', text)) as s", "rand() as r", "cast(length(text) as bigint) as n_chars", "'en' as lang", "'s' as source")
+    kept = corpus_pipeline.cut(corpus_pipeline.exact(spark, docs, str(tmp_path)))
+    assert kept.columns == docs.columns
+    key = lambda r: (r.doc_id if r.doc_id is not None else 99, len(r.text or ""))
+    assert sorted(map(key, kept.collect())) == sorted([(-5, len(rows[0][1])), (3, len(near)), (3, 36), (4, 0), (7, 10), (9, len(long) + 4), (10, len(long) + 1), (99, len(near) + 14)])
+    left = corpus_pipeline.cut(corpus_pipeline.near(spark, kept, str(tmp_path)))
+    assert left.columns == docs.columns
+    assert sorted(map(key, left.collect())) == sorted([(-5, len(rows[0][1])), (3, 36), (4, 0), (7, 10), (9, len(long) + 4), (99, len(near) + 14)])
+    assert left.filter("doc_id = 7").first().m == {"k": 7}
+
+
 def test_stages_of_an_empty_table(spark, tmp_path):
     docs = documents(spark, tmp_path).limit(0)
     for _, stage in corpus_pipeline.STAGES:
