@@ -12,7 +12,7 @@ from ..functions.search import TextIndex, candidates, containing, text_index, to
 from ..functions.sets import in_blocks
 from ..functions.shared import checkpointed, written
 from ..functions.text import TOKEN, fold, quoted, token_estimate
-from .budget import greedy
+from .budget import SIZES, USAGE, folded, greedy
 
 # ---------------------------------------------------------------------------------------------------------------
 # Weights of edges, score components and candidate types; reasons; words of current and past behaviour.
@@ -182,7 +182,7 @@ def structural_candidates(roots: DataFrame, symbols: DataFrame, units: DataFrame
         )
         if front.isEmpty():
             break
-        chain = checkpointed(chain.unionByName(front.select("task_id", "symbol_id", F.lit(1).alias("role"))))
+        chain = chain.unionByName(front.select("task_id", "symbol_id", F.lit(1).alias("role")))
     imported = edges.filter("kind = 'imports'").select(F.col("source_reference").alias("symbol_id"), F.col("unit_id"))
     held = units.select("unit_id", F.explode("symbol_ids").alias("symbol_id"))
     rows = chain.join(held, "symbol_id").select("task_id", "unit_id", "role").unionByName(
@@ -194,32 +194,24 @@ def structural_candidates(roots: DataFrame, symbols: DataFrame, units: DataFrame
     return best.select("task_id", "unit_id", role.alias("role"), F.when(F.col("r") == 0, 1.0).otherwise(0.8).alias("weight"), seq.alias("seq"))
 
 
-def dependency_traversal(
-    seeds: DataFrame, edges: DataFrame, entities: DataFrame, max_depth: int = 2, max_candidates: int = 50, max_fan_out: int = 20, decay: float = 0.8, weights: Mapping[str, float] = EDGE_WEIGHTS
-) -> DataFrame:
-    """(task_id, target, seed, depth, kind, weight, path, seq): what resolved edges reach from the seeds (task_id, reference, pos).
+def _usable(edges: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    return edges.filter((F.col("resolution") == "resolved_internal") & F.col("kind").isin(list(weights)))
 
-    Breadth first with all seeds of a task sharing what was visited. The edges of a node come by kind, target and id, and
-    ``max_fan_out`` of them count, whether their targets were visited or not. The weight of a step is the edge's, times
-    ``decay`` behind the first step, times what led there, to 8 digits. Only targets in ``entities`` (reference)
-    are returned, the first ``max_candidates`` of a task; others are walked through.
 
-    A hop is a join of the frontier with the pruned edges and a first-visit window; no row is looped over. The
-    fan-out limit is applied to the edges before any join, so a hub costs no more than its limit.
+def _walk(seeds: DataFrame, edges: DataFrame, max_depth: int, max_fan_out: int, decay: float, weights: Mapping[str, float]) -> tuple[DataFrame, DataFrame]:
+    """The seeds, and the first visit of every node behind them: task_id, node, seed, trail, total, path, kind, depth.
+
+    ``trail`` orders nodes of a depth as a queue would: by the trail of what led there, then the edge's place.
     """
     weight = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
-    usable = edges.filter((F.col("resolution") == "resolved_internal") & F.col("kind").isin(list(weights)))
     place = F.row_number().over(Window.partitionBy("source_reference").orderBy("kind", "target_reference", "relationship_id"))
-    out = usable.withColumn("place", place).filter(F.col("place") <= max_fan_out).select(
+    out = _usable(edges, weights).withColumn("place", place).filter(F.col("place") <= max_fan_out).select(
         "source_reference", "target_reference", "kind", "place", weight[F.col("kind")].alias("edge_weight"),
     )
     start = seeds.groupBy("task_id", "reference").agg(F.min("pos").alias("pos"))
-    # ``trail`` orders nodes of a depth as the queue would: by the trail of what led there, then the edge's place.
-    front = start.select(
-        "task_id", F.col("reference").alias("node"), F.col("reference").alias("seed"),
-        F.array(F.col("pos").cast("int")).alias("trail"), F.lit(1.0).alias("total"), F.array("reference").alias("path"),
-    )
-    visited = start.select("task_id", F.col("reference").alias("node"))
+    start = start.select("task_id", F.col("reference").alias("node"), F.array(F.col("pos").cast("int")).alias("trail"))
+    front = start.select("task_id", "node", F.col("node").alias("seed"), "trail", F.lit(1.0).alias("total"), F.array("node").alias("path"))
+    visited = start.select("task_id", "node")
     found = None
     for depth in range(max_depth):
         step = front.join(out, F.col("node") == F.col("source_reference"))
@@ -237,15 +229,65 @@ def dependency_traversal(
         found = firsts if found is None else found.unionByName(firsts)
         visited = visited.unionByName(firsts.select("task_id", "node"))
         front = firsts.drop("kind", "depth")
+    return start, found
+
+
+def _numbered(found: DataFrame, entities: DataFrame, max_candidates: int) -> DataFrame:
     known = found.join(entities.select(F.col("reference").alias("node")).distinct(), "node", "left_semi")
     order = Window.partitionBy("task_id").orderBy("depth", "trail")
-    ranked = known.withColumn("seq", F.row_number().over(order)).filter(F.col("seq") <= max_candidates)
+    return known.withColumn("seq", F.row_number().over(order)).filter(F.col("seq") <= max_candidates)
+
+
+def dependency_traversal(
+    seeds: DataFrame, edges: DataFrame, entities: DataFrame, max_depth: int = 2, max_candidates: int = 50, max_fan_out: int = 20, decay: float = 0.8, weights: Mapping[str, float] = EDGE_WEIGHTS
+) -> DataFrame:
+    """(task_id, target, seed, depth, kind, weight, path, seq): what resolved edges reach from the seeds (task_id, reference, pos).
+
+    Breadth first with all seeds of a task sharing what was visited. The edges of a node come by kind, target and id, and
+    ``max_fan_out`` of them count, whether their targets were visited or not. The weight of a step is the edge's, times
+    ``decay`` behind the first step, times what led there, to 8 digits. Only targets in ``entities`` (reference)
+    are returned, the first ``max_candidates`` of a task; others are walked through.
+
+    A hop is a join of the frontier with the pruned edges and a first-visit aggregate; no row is looped over. The
+    fan-out limit is applied to the edges before any join, so a hub costs no more than its limit.
+    """
+    ranked = _numbered(_walk(seeds, edges, max_depth, max_fan_out, decay, weights)[1], entities, max_candidates)
     return ranked.select(
         "task_id", F.col("node").alias("target"), "seed", "depth", "kind", F.col("total").alias("weight"),
         F.array_join("path", ">").alias("path"), "seq",
     )
 
 
+def traversal_limits(
+    seeds: DataFrame, edges: DataFrame, entities: DataFrame, max_depth: int = 2, max_candidates: int = 50, max_fan_out: int = 20, weights: Mapping[str, float] = EDGE_WEIGHTS
+) -> DataFrame:
+    """(task_id, depth_limited, fan_out_limited, candidate_limited, codes): which limits cut a task's traversal short.
+
+    A queue of nodes in the order of their visits ends at the parent of the last candidate allowed, or with its last node. Of
+    the nodes it comes to, one at ``max_depth`` with edges is a depth limit, one above with more than ``max_fan_out`` edges
+    a fan-out limit; nodes that wait when the last candidate is found are a candidate limit. ``codes`` are
+    RETRIEVAL_RELATIONSHIP_LIMIT (depth or candidates) and RETRIEVAL_HIGH_FAN_OUT. Each task of the seeds has a row.
+    """
+    start, found = _walk(seeds, edges, max_depth, max_fan_out, 1.0, weights)
+    degree = _usable(edges, weights).groupBy(F.col("source_reference").alias("node")).agg(F.count(F.lit(1)).alias("edges"))
+    place = F.struct("depth", "trail")
+    last = _numbered(found, entities, max_candidates).filter(F.col("seq") == max_candidates).select(
+        "task_id", place.alias("last"), F.struct((F.col("depth") - 1).alias("depth"), F.slice("trail", F.lit(1), F.size("trail") - 1).alias("trail")).alias("parent"),
+    )
+    nodes = start.withColumn("depth", F.lit(0)).unionByName(found.select("task_id", "node", "trail", "depth"))
+    nodes = nodes.withColumn("at", place).join(degree, "node", "left").join(last, "task_id", "left")
+    ended, many = F.col("last").isNotNull(), F.coalesce("edges", F.lit(0))
+    flags = nodes.groupBy("task_id").agg(
+        F.bool_or(~ended & (F.col("depth") == max_depth) & (many > 0)).alias("depth_limited"),
+        F.bool_or((~ended | (F.col("at") <= F.col("parent"))) & (F.col("depth") < max_depth) & (many > max_fan_out)).alias("fan_out_limited"),
+        F.coalesce(F.bool_or(ended & (F.col("at") > F.col("parent")) & (F.col("at") < F.col("last"))), F.lit(False)).alias("candidate_limited"),
+    )
+    codes = F.array_compact(
+        F.array(F.when(F.col("depth_limited") | F.col("candidate_limited"), "RETRIEVAL_RELATIONSHIP_LIMIT"), F.when(F.col("fan_out_limited"), "RETRIEVAL_HIGH_FAN_OUT"))
+    )
+    return flags.withColumn("codes", codes)
+
+
 def dependency_closure(
     primary: DataFrame, traversal: DataFrame, eligible: DataFrame, max_additions: int = 20, least_weight: float = 0.5,
 ) -> DataFrame:
@@ -367,12 +409,8 @@ def score_candidates(candidates: DataFrame, weights: Mapping[str, float] = SCORE
     )
 
 
-def select_under_budget(candidates: DataFrame, scores: DataFrame, budgets: DataFrame, reserved: dict[str, int] | None = None) -> DataFrame:
-    """(task_id, candidate_id, outcome, selected_rank, mandatory): mandatory candidates first, then by rank, under all limits.
-
-    Ineligible and deferred candidates pass through. Candidates have artifact_id, type, reason, eligibility, deferred,
-    bytes, tokens and (perhaps) characters.
-    """
+def _openly(candidates: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates with rank, ``mandatory`` and ``open``; and those that are open, as :func:`folded` takes them."""
     characters = F.coalesce("characters", "bytes") if "characters" in candidates.columns else F.col("bytes")
     rows = candidates.join(scores.select("task_id", "candidate_id", "rank"), ["task_id", "candidate_id"])
     rows = rows.withColumns(
@@ -387,14 +425,56 @@ def select_under_budget(candidates: DataFrame, scores: DataFrame, budgets: DataF
         F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"),
         (F.col("type") != "full_artifact").alias("is_excerpt"),
     )
-    done = greedy(tried, budgets, reserved).select("task_id", "candidate_id", "selected_rank")
-    out = rows.join(done, ["task_id", "candidate_id"], "left")
+    return rows, tried
+
+
+def _selection(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    out = rows.join(taken.filter("candidate_id is not null").select("task_id", "candidate_id", "selected_rank"), ["task_id", "candidate_id"], "left")
     outcome = F.when(
         ~F.col("open"), F.when(F.col("eligibility") != "eligible", F.col("eligibility")).otherwise("deferred"),
     ).when(F.col("selected_rank").isNotNull(), "selected").otherwise("budget_exceeded")
     return out.select("task_id", "candidate_id", outcome.alias("outcome"), "selected_rank", "mandatory")
 
 
+def select_under_budget(candidates: DataFrame, scores: DataFrame, budgets: DataFrame, reserved: dict[str, int] | None = None) -> DataFrame:
+    """(task_id, candidate_id, outcome, selected_rank, mandatory): mandatory candidates first, then by rank, under all limits.
+
+    Ineligible and deferred candidates pass through. Candidates have artifact_id, type, reason, eligibility, deferred,
+    bytes, tokens and (perhaps) characters.
+    """
+    rows, tried = _openly(candidates, scores)
+    return _selection(rows, folded(tried, budgets, reserved))
+
+
+def plan_under_budget(
+    candidates: DataFrame, scores: DataFrame, budgets: DataFrame, reserved: dict[str, int] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The selection of :func:`select_under_budget`, and a row for each task of ``budgets``, from one pass over the candidates.
+
+    The latter: task_id, what is used (tokens, characters, bytes, items, artifacts, excerpts; reserved capacity doesn't
+    count), reservation_overflow (more is reserved than the budget has), mandatory_overflow (a mandatory candidate that
+    is eligible didn't fit) and code, RETRIEVAL_BUDGET_EXCEEDED if either holds. Tasks without candidates use nothing.
+    """
+    reserved = reserved or {}
+    rows, tried = _openly(candidates, scores)
+    taken = written(folded(tried, budgets, reserved))
+    selection = written(_selection(rows, taken))
+    left = selection.groupBy("task_id").agg(F.bool_or(F.col("mandatory") & (F.col("outcome") == "budget_exceeded")).alias("mandatory_overflow"))
+    over = F.lit(False)
+    for limit, size in SIZES.items():
+        if limit in budgets.columns:
+            over = over | F.coalesce(F.lit(reserved.get(size, 0)) > F.col(limit), F.lit(False))
+    usage = budgets.select("task_id", over.alias("reservation_overflow")).join(
+        taken.filter("candidate_id is null").select("task_id", *USAGE), "task_id", "left",
+    ).join(left, "task_id", "left")
+    overflow = F.coalesce("mandatory_overflow", F.lit(False))
+    usage = usage.select(
+        "task_id", *(F.coalesce(u, F.lit(0)).cast("long").alias(u) for u in USAGE), "reservation_overflow", overflow.alias("mandatory_overflow"),
+        F.when(F.col("reservation_overflow") | overflow, "RETRIEVAL_BUDGET_EXCEEDED").alias("code"),
+    )
+    return selection, usage
+
+
 # --- The simple retriever --------------------------------------------------------------------------------------
 
 

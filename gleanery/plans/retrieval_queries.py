@@ -159,16 +159,35 @@ g AS (SELECT task_id, node AS target, x.seed AS seed, depth, x.kind AS kind, rou
 t AS (SELECT * FROM g WHERE seq <= 50)"""
 
 
-def _traversed(spark, sf_dir):
+def _traversal_inputs(spark, sf_dir):
     seeds = views.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("task_id"), F.concat(F.lit("c:"), "c_custkey").alias("reference"),
         F.col("c_custkey").alias("pos"),
     )
     edges = views.edges_orders(spark, sf_dir)
     known = edges.select(F.col("target_reference").alias("reference")).filter("reference not like '%7'").distinct()
+    return seeds, edges, known
+
+
+def _traversed(spark, sf_dir):
+    seeds, edges, known = _traversal_inputs(spark, sf_dir)
     return r.dependency_traversal(seeds, edges, known), seeds
 
 
+@query("traversal_limits", with_views(["edges_orders"], f"""{_TRAVERSAL},
+deg AS (SELECT source_reference AS node, count(*) AS edges FROM edges_orders GROUP BY 1),
+nodes AS (SELECT task_id, node, {{'d': 0, 't': [pos]}} AS spot FROM seeds UNION ALL SELECT task_id, node, {{'d': depth, 't': x.trail}} FROM f),
+g2 AS (SELECT task_id, depth, x.trail AS trail, row_number() OVER (PARTITION BY task_id ORDER BY depth, x.trail) AS seq FROM f WHERE node NOT LIKE '%7'),
+l AS (SELECT task_id, {{'d': depth, 't': trail}} AS last, {{'d': depth - 1, 't': trail[1:len(trail) - 1]}} AS parent FROM g2 WHERE seq = 50),
+w AS (SELECT n.task_id, n.spot, coalesce(edges, 0) AS edges, last, parent FROM nodes n LEFT JOIN deg ON deg.node = n.node LEFT JOIN l ON l.task_id = n.task_id)
+SELECT task_id, bool_or(last IS NULL AND spot.d = 2 AND edges > 0) AS depth_limited,
+  bool_or((last IS NULL OR spot <= parent) AND spot.d < 2 AND edges > 20) AS fan_out_limited,
+  coalesce(bool_or(last IS NOT NULL AND spot > parent AND spot < last), false) AS candidate_limited FROM w GROUP BY task_id"""))
+def _(spark, sf_dir):
+    """Which of the limits of depth, fan-out and candidates cut each task's traversal."""
+    return r.traversal_limits(*_traversal_inputs(spark, sf_dir)).drop("codes")
+
+
 @query("dependency_traversal", with_views(["edges_orders"], f"{_TRAVERSAL} SELECT * FROM t"))
 def _(spark, sf_dir):
     return _traversed(spark, sf_dir)[0].withColumn("weight", F.round("weight", 6))
@@ -256,7 +275,7 @@ def _(spark, sf_dir):
 _MANDATORY = "reason IN ('exact_path_match', 'explicit_symbol_reference', 'exact_symbol_match', 'required_context')"
 
 
-@query("select_under_budget", f"""WITH RECURSIVE {_CANDIDATES},
+_FOLD = f"""WITH RECURSIVE {_CANDIDATES},
 o AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY NOT ({_MANDATORY}), rank, candidate_id) AS i FROM s WHERE
   eligibility = 'eligible' AND NOT deferred),
 f AS (
@@ -269,13 +288,22 @@ f AS (
   'full_artifact' THEN 0 ELSE 1 END AS e,
           f.b + o.bytes <= 6000 AND o.bytes <= 900 AND f.n + 1 <= 25 AND f.t + o.tokens <= 1400 AND (list_contains(f.arts,
   o.artifact_id) OR len(f.arts) + 1 <= 9) AND f.ex + CASE WHEN type = 'full_artifact' THEN 0 ELSE 1 END <= 15 AS ok
-        FROM f JOIN o ON f.task_id = o.task_id AND o.i = f.i + 1))
+        FROM f JOIN o ON f.task_id = o.task_id AND o.i = f.i + 1))"""
+
+
+@query("select_under_budget", f"""{_FOLD}
 SELECT s.task_id, s.candidate_id, {_MANDATORY} AS mandatory, CASE WHEN eligibility <> 'eligible' THEN eligibility WHEN deferred
   THEN 'deferred' WHEN f.fits THEN 'selected' ELSE 'budget_exceeded' END AS outcome, CASE WHEN f.fits THEN f.n::INT ELSE 0 END AS selected_rank
 FROM s LEFT JOIN f ON s.task_id = f.task_id AND s.candidate_id = f.cid""")
 def _(spark, sf_dir):
-    rows = _candidates(spark, sf_dir)
-    budgets = rows.select("task_id").distinct().select(
+    rows, budgets = _candidates(spark, sf_dir), _candidate_budgets(spark, sf_dir)
+    return r.select_under_budget(
+        rows, r.score_candidates(rows), budgets, {"bytes": 100},
+    ).withColumn("selected_rank", F.coalesce("selected_rank", F.lit(0)))
+
+
+def _candidate_budgets(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("task_id").distinct().select(
         "task_id",
         *(
             F.lit(v).alias(k) for k, v in (
@@ -284,9 +312,20 @@ def _(spark, sf_dir):
             )
         ),
     )
-    return r.select_under_budget(
-        rows, r.score_candidates(rows), budgets, {"bytes": 100},
-    ).withColumn("selected_rank", F.coalesce("selected_rank", F.lit(0)))
+
+
+@query("budget_usage", f"""{_FOLD},
+used AS (SELECT f.task_id, sum(s.tokens)::BIGINT AS tokens, sum(s.bytes)::BIGINT AS bytes, count(*) AS items, count(DISTINCT s.artifact_id) AS artifacts,
+  count(*) FILTER (WHERE type <> 'full_artifact') AS excerpts FROM f JOIN s ON s.task_id = f.task_id AND s.candidate_id = f.cid WHERE f.fits GROUP BY 1),
+bb AS (SELECT s.task_id, bool_or({_MANDATORY} AND eligibility = 'eligible' AND NOT deferred AND NOT coalesce(f.fits, false)) AS over
+  FROM s LEFT JOIN f ON s.task_id = f.task_id AND s.candidate_id = f.cid GROUP BY 1)
+SELECT bb.task_id, coalesce(tokens, 0) AS tokens, coalesce(bytes, 0) AS characters, coalesce(bytes, 0) AS bytes, coalesce(items, 0) AS items,
+  coalesce(artifacts, 0) AS artifacts, coalesce(excerpts, 0) AS excerpts, false AS reservation_overflow, over AS mandatory_overflow,
+  CASE WHEN over THEN 'RETRIEVAL_BUDGET_EXCEEDED' END AS code FROM bb LEFT JOIN used USING (task_id)""")
+def _(spark, sf_dir):
+    """What each task's selection uses, and whether a mandatory candidate was left out."""
+    rows = _candidates(spark, sf_dir)
+    return r.plan_under_budget(rows, r.score_candidates(rows), _candidate_budgets(spark, sf_dir), {"bytes": 100})[1]
 
 
 @query("filter_eligibility", """

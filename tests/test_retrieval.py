@@ -237,3 +237,87 @@ def test_a_name_of_many_files_does_not_fan_out(spark):
     out = {(r.task_id, r.kind): (r.outcome, r.matches, r.target) for r in retrieval.resolve_explicit(terms, files, symbols).collect()}
     assert out["t5", "filename"] == ("ambiguous", 500, None) and out["t0", "path"] == ("selected", 1, "a3") == out["t1", "path"]
     assert ("t0", "filename") not in out and len(out) == 50
+
+
+CANDIDATE = "task_id string, candidate_id string, artifact_id string, type string, reason string, eligibility string, deferred boolean, bytes long, tokens long, characters long"
+
+
+def planned(spark, rows, budgets, reserved=None):
+    made = spark.createDataFrame([("t", c, None, kind, reason, "eligible", False, size, tokens, chars) for c, kind, reason, size, tokens, chars, _ in rows], CANDIDATE)
+    scores = spark.createDataFrame([("t", r[0], r[-1]) for r in rows], "task_id string, candidate_id string, rank int")
+    selection, usage = retrieval.plan_under_budget(made, scores, budgets, reserved)
+    return {r.candidate_id: r.outcome for r in selection.collect()}, {r.task_id: tuple(r)[1:] for r in usage.collect()}
+
+
+def test_budget_usage_and_overflow(spark):
+    limits = spark.createDataFrame([("t", 50, 50, 15), ("none", 10, None, None)], "task_id string, max_bytes long, max_characters long, max_estimated_tokens long")
+    high, low = ("high", "full_artifact", "x", 40, 10, 30, 1), ("low", "full_artifact", "x", 40, 10, 30, 2)
+    outcomes, usage = planned(spark, [low, high], limits)
+    assert outcomes == {"high": "selected", "low": "budget_exceeded"}
+    assert usage == {"t": (10, 30, 40, 1, 0, 0, False, False, None), "none": (0, 0, 0, 0, 0, 0, False, False, None)}
+    outcomes, usage = planned(spark, [high], limits, {"tokens": 6, "characters": 11, "bytes": 11})
+    assert outcomes == {"high": "budget_exceeded"}
+    assert usage["t"] == (0, 0, 0, 0, 0, 0, False, False, None) and usage["none"][-3:] == (True, False, "RETRIEVAL_BUDGET_EXCEEDED")
+    must = ("must", "source_excerpt", "required_context", 45, 1, 1, 9)
+    outcomes, usage = planned(spark, [high, must, ("huge", "source_excerpt", "required_context", 60, 1, 1, 10)], limits)
+    assert outcomes == {"must": "selected", "high": "budget_exceeded", "huge": "budget_exceeded"}
+    assert usage["t"] == (1, 1, 45, 1, 0, 1, False, True, "RETRIEVAL_BUDGET_EXCEEDED")
+
+
+def test_fold_equals_one_by_one(spark):
+    import random
+
+    rng = random.Random(8)
+    rows, limits = [], []
+    for t in range(12):
+        limits.append((t, *(rng.choice([None, rng.randrange(1, 400)]) for _ in range(5))))
+        rows += [(t, k, f"c{k:05d}", rng.choice([None, *"abcdef"]), rng.choice([None, *range(1, 60)]), rng.randrange(1, 60), rng.randrange(0, 20), rng.random() < 0.5) for k in range(rng.choice([0, 5, 700, 2500]))]
+    cols = ["max_bytes", "max_characters", "max_estimated_tokens", "max_artifacts", "max_items"]
+    budgets = spark.createDataFrame(limits, "task_id int, " + ", ".join(f"{c} int" for c in cols))
+    made = spark.createDataFrame(rows, "task_id int, pos int, candidate_id string, artifact_id string, bytes long, characters long, tokens long, is_excerpt boolean")
+    got = {(r.task_id, r.candidate_id): r.selected_rank for r in greedy(made, budgets).filter("fits").collect()}
+    expected = {}
+    for t, by, ch, tk, art, items in limits:
+        used, seen, n = [0, 0, 0], set(), 0
+        for _, _, c, a, b, h, k, _ in (r for r in rows if r[0] == t):
+            fits = all(m is None or v is not None and u + v <= m for u, v, m in zip(used, (b, h, k), (by, ch, tk), strict=True))
+            if fits and (items is None or n < items) and (art is None or len(seen | ({a} - {None})) <= art):
+                used, seen, n = [u + (v or 0) for u, v in zip(used, (b, h, k), strict=True)], seen | ({a} - {None}), n + 1
+                expected[t, c] = n
+    assert got == expected and len(got) > 50
+
+
+def test_traversal_limits_as_a_queue_meets_them(spark):
+    """Against a queue that is worked off node by node."""
+    import random
+    from collections import deque
+
+    rng = random.Random(11)
+    edges = sorted({(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", rng.choice(["calls", "imports"])) for _ in range(260)} | {("hub", f"n{i}", "calls") for i in range(30)})
+    table = spark.createDataFrame([(f"{a}>{b}>{k}", a, b, k, "resolved_internal") for a, b, k in edges], "relationship_id string, source_reference string, target_reference string, kind string, resolution string")
+    entities = {f"n{i}" for i in range(60) if i % 4}
+    seeds = [(f"t{t}", s, p) for t in range(30) for p, s in enumerate(rng.sample([f"n{i}" for i in range(60)] + ["hub", "alone"], 1 + t % 3))]
+
+    def queue(starts, depth, most, fan):
+        waiting, seen, found, flags = deque((s, 0) for s in starts), set(starts), 0, [False, False]
+        while waiting and found < most:
+            node, at = waiting.popleft()
+            out = sorted((k, b) for a, b, k in edges if a == node)
+            if at >= depth:
+                flags[0] |= bool(out)
+                continue
+            flags[1] |= len(out) > fan
+            for _, b in out[:fan]:
+                if b not in seen:
+                    seen.add(b)
+                    found += b in entities
+                    if b in entities and found >= most:
+                        break
+                    waiting.append((b, at + 1))
+        return (*flags, bool(waiting) and found >= most)
+
+    for depth, most, fan in ((2, 50, 20), (2, 6, 3), (1, 3, 2), (2, 2, 20)):
+        out = retrieval.traversal_limits(spark.createDataFrame(seeds, "task_id string, reference string, pos int"), table, spark.createDataFrame([(e,) for e in entities], "reference string"), depth, most, fan)
+        got = {r.task_id: (r.depth_limited, r.fan_out_limited, r.candidate_limited) for r in out.collect()}
+        expected = {t: queue([s for u, s, _ in seeds if u == t], depth, most, fan) for t, _, _ in seeds}
+        assert got == expected
