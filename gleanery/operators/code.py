@@ -6,9 +6,10 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
 from ..functions.text import uuid5
 
 MAX_UNIT = 4096
@@ -171,6 +172,60 @@ def python_units(parsed: DataFrame, max_unit_bytes: int = MAX_UNIT) -> DataFrame
     return rows.select("project_id", "path", number.alias("ord"), "kind", (F.col("start_line") + F.col("k")).alias("start_line"), "text")
 
 
+def _suffixes(symbols: DataFrame) -> DataFrame:
+    """(project_id, key, symbol_id, module): every dotted suffix of every qualified name."""
+    parts = F.split("qualified_name", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))
+    return symbols.select("project_id", F.explode(suffixes).alias("key"), "symbol_id", (F.col("kind") == "module").cast("long").alias("module"))
+
+
+def _least(module_only: bool = False) -> Column:
+    return F.min(F.when(F.col("module") == 1, F.col("symbol_id")) if module_only else F.col("symbol_id"))
+
+
+def suffix_counts(symbols: DataFrame) -> DataFrame:
+    """(project_id, key, n, s, mn, ms): how many symbols, and modules, a dotted suffix names, and the least of them."""
+    return _suffixes(symbols).groupBy("project_id", "key").agg(
+        F.count(F.lit(1)).alias("n"), _least().alias("s"), F.sum("module").alias("mn"), _least(True).alias("ms"),
+    )
+
+
+def change_counts(counts: DataFrame, symbols: DataFrame, added: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ``counts`` of :func:`suffix_counts` after symbols came and went, and the suffixes (project_id, key) that this touches.
+
+    Counts are changed by the suffixes of ``added`` and ``removed`` alone. Only for touched suffixes that name a single
+    symbol or module is that one looked up among ``symbols``, the current ones; of others it isn't known (nor needed).
+    """
+    keys = ["project_id", "key"]
+    delta = _suffixes(added).withColumn("d", F.lit(1)).unionByName(_suffixes(removed).withColumn("d", F.lit(-1)))
+    delta = written(delta.groupBy(*keys).agg(F.sum("d").alias("dn"), F.sum(F.col("d") * F.col("module")).alias("dmn")))
+    moved = counts.join(delta, keys, "full_outer").select(
+        *keys, (F.coalesce("n", F.lit(0)) + F.coalesce("dn", F.lit(0))).alias("n"), "s",
+        (F.coalesce("mn", F.lit(0)) + F.coalesce("dmn", F.lit(0))).alias("mn"), "ms", F.col("dn").isNotNull().alias("touched"),
+    )
+    moved = written(moved.filter("n > 0"))
+    single = moved.filter("touched and (n = 1 or mn = 1)").select(*keys)
+    found = _suffixes(symbols).join(single, keys, "left_semi").groupBy(*keys).agg(_least().alias("one"), _least(True).alias("one_module"))
+    now = moved.join(found, keys, "left")
+    known = lambda old, new: F.when(F.col("touched"), F.col(new)).otherwise(F.col(old)).alias(old)
+    return now.select(*keys, "n", known("s", "one"), "mn", known("ms", "one_module")), delta.select(*keys)
+
+
+def _keyed(edges: DataFrame) -> DataFrame:
+    target = F.regexp_replace(F.regexp_replace("target_reference", "^python-(module|name):", ""), r"^\.+", "")
+    return edges.withColumn("key", target).withColumn("module_key", F.when(F.col("key").contains("."), F.regexp_replace("key", r"\.[^.]*$", "")))
+
+
+def _resolved(edges: DataFrame, counts: DataFrame) -> DataFrame:
+    names = counts.select("project_id", "key", "n", "s")
+    modules = counts.filter("mn > 0").select("project_id", F.col("key").alias("module_key"), "mn", "ms")
+    rows = edges.join(names, ["project_id", "key"], "left").join(modules, ["project_id", "module_key"], "left")
+    matches = F.coalesce("n", "mn", F.lit(0))
+    resolution = F.when(matches == 1, "resolved_internal").when(matches > 1, "ambiguous").otherwise("unresolved")
+    one = F.when(F.col("n").isNotNull(), F.col("s")).otherwise(F.col("ms"))
+    return rows.withColumns({"matches": matches, "resolution": resolution, "target_symbol": F.when(matches == 1, one)}).drop("n", "s", "mn", "ms")
+
+
 def resolve_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Adds target_symbol, matches and resolution to edges (relationship_id, project_id, target_reference).
 
@@ -179,20 +234,52 @@ def resolve_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     resolved_internal, several are ambiguous, none is unresolved. All dotted suffixes of a name are keys of an
     equality join, counted per key before it, so popular names don't multiply rows.
     """
-    parts = F.split("qualified_name", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))
-    keyed = symbols.select("project_id", "symbol_id", "kind", F.explode(suffixes).alias("key"))
-    names = keyed.groupBy("project_id", "key").agg(F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("s"))
-    modules = keyed.filter("kind = 'module'").groupBy("project_id", F.col("key").alias("module_key")).agg(
-        F.count(F.lit(1)).alias("mn"), F.min("symbol_id").alias("ms"),
-    )
-    target = F.regexp_replace(F.regexp_replace("target_reference", "^python-(module|name):", ""), r"^\.+", "")
-    rows = edges.drop("resolution").withColumn("key", target).withColumn(
-        "module_key", F.when(F.col("key").contains("."), F.regexp_replace("key", r"\.[^.]*$", "")),
-    )
-    rows = rows.join(names, ["project_id", "key"], "left").join(modules, ["project_id", "module_key"], "left")
-    matches = F.coalesce("n", "mn", F.lit(0))
-    resolution = F.when(matches == 1, "resolved_internal").when(matches > 1, "ambiguous").otherwise("unresolved")
-    return rows.withColumns(
-        {"matches": matches, "resolution": resolution, "target_symbol": F.when(matches == 1, F.coalesce("s", "ms"))}
-    ).drop("key", "module_key", "n", "s", "mn", "ms")
+    return _resolved(_keyed(edges.drop("resolution")), suffix_counts(symbols)).drop("key", "module_key")
+
+
+def update_edges(resolved: DataFrame, gone: DataFrame, fresh: DataFrame, counts: DataFrame, touched: DataFrame) -> DataFrame:
+    """The edges of a new version from those of the one before: equal to resolving all of them.
+
+    ``resolved`` are edges of :func:`resolve_edges` with a path, ``gone`` the files (project_id, path) whose edges leave, ``fresh``
+    the unresolved edges of new and changed files; ``counts`` and ``touched`` come from :func:`change_counts`. Only fresh
+    edges and those whose target (or its module) is a touched suffix are resolved again.
+    """
+    kept = _keyed(resolved.join(gone.select("project_id", "path").distinct(), ["project_id", "path"], "left_anti"))
+    by_name = touched.select("project_id", "key", F.lit(True).alias("named"))
+    by_module = touched.select("project_id", F.col("key").alias("module_key"), F.lit(True).alias("held"))
+    kept = kept.join(by_name, ["project_id", "key"], "left").join(by_module, ["project_id", "module_key"], "left")
+    again = F.coalesce("named", "held", F.lit(False))
+    still = kept.filter(~again).drop("named", "held")
+    raw = kept.filter(again).drop("named", "held", "matches", "resolution", "target_symbol")
+    now = _resolved(raw.unionByName(_keyed(fresh.drop("resolution")).select(*raw.columns)), counts)
+    return still.unionByName(now.select(*still.columns)).drop("key", "module_key")
+
+
+def update_code(
+    symbols: DataFrame, edges: DataFrame, counts: DataFrame, changed: DataFrame, namespace: str,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Symbols, resolved edges and suffix counts after the files of ``changed`` (project_id, path, content) took their new content.
+
+    Null content deletes a file. Unchanged files aren't parsed. Edges whose target is known when they are made (contains,
+    defines) keep it. Each result is written.
+    """
+    files = changed.select("project_id", "path").distinct()
+    parsed = written(parse_python(changed.filter("content is not null")))
+    added = written(python_symbols(parsed, namespace))
+    keys = ["project_id", "path"]
+    removed = symbols.join(files, keys, "left_semi")
+    symbols = written(symbols.join(files, keys, "left_anti").unionByName(added.select(*symbols.columns)))
+    counts, touched = change_counts(counts, symbols, added, removed)
+    counts = written(counts)
+    fresh = python_edges(parsed, added, namespace)
+    fixed = fresh.filter("resolution = 'resolved_internal'").withColumns({"matches": F.lit(1).cast("long"), "target_symbol": F.col("target_reference")})
+    own = F.col("kind").isin("contains", "defines")
+    rest = update_edges(edges.filter(~own), files, fresh.filter("resolution <> 'resolved_internal'"), counts, touched)
+    kept = edges.filter(own).join(files, keys, "left_anti").unionByName(fixed.select(*edges.columns))
+    return symbols, written(kept.unionByName(rest.select(*edges.columns))), counts
+
+
+#: Empty tables that :func:`update_code` starts from.
+SYMBOLS = "project_id string, path string, symbol_id string, name string, kind string, qualified_name string, parent_symbol_id string, start_line int, start_column int, end_line int, end_column int, language string"
+EDGES = "project_id string, path string, seq int, source_reference string, target_reference string, kind string, resolution string, start_line int, relationship_id string, matches long, target_symbol string"
+COUNTS = "project_id string, key string, n long, s string, mn long, ms string"

@@ -328,7 +328,7 @@ def _(spark, sf_dir):
     return code.python_units(code.parse_python(_sources(spark, sf_dir))).select("path", "ord", "kind", "start_line")
 
 
-@query("resolve_edges", with_views(["symbols"], """
+_RESOLVED = with_views(["symbols"], """
 e AS (SELECT p_partkey AS relationship_id, CASE p_partkey % 4 WHEN 0 THEN regexp_replace(p_name, '[ #]', '_', 'g') WHEN 1 THEN
   '..' || regexp_replace(p_type, '[ #]', '_', 'g') || '.' || regexp_replace(p_name, '[ #]', '_', 'g') WHEN 2 THEN 'nowhere.' || p_partkey
       ELSE regexp_replace(p_brand, '[ #]', '_', 'g') || '.' || regexp_replace(p_type, '[ #]', '_', 'g') || '.' ||
@@ -336,8 +336,10 @@ e AS (SELECT p_partkey AS relationship_id, CASE p_partkey % 4 WHEN 0 THEN regexp
 k AS (SELECT e.relationship_id, s.symbol_id FROM e JOIN symbols s ON s.qualified_name = ltrim(target, '.') OR
   suffix(s.qualified_name, '.' || ltrim(target, '.'))),
 g AS (SELECT relationship_id, count(*) AS n, min(symbol_id) AS s FROM k GROUP BY 1)
-SELECT e.relationship_id, coalesce(n, 0) AS matches, CASE WHEN n = 1 THEN 'resolved_internal' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution, CASE WHEN n = 1 THEN s END AS target_symbol FROM e LEFT JOIN g USING (relationship_id)"""))
-def _(spark, sf_dir):
+SELECT e.relationship_id, coalesce(n, 0) AS matches, CASE WHEN n = 1 THEN 'resolved_internal' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution, CASE WHEN n = 1 THEN s END AS target_symbol FROM e LEFT JOIN g USING (relationship_id)""")
+
+
+def _edges(spark, sf_dir):
     part = views.table(spark, sf_dir, "part")
     plain = lambda c: F.regexp_replace(c, "[ #]", "_")
     m = F.col("p_partkey") % 4
@@ -346,4 +348,26 @@ def _(spark, sf_dir):
     ).when(m == 2, F.concat(F.lit("nowhere."), "p_partkey")).otherwise(F.concat_ws(".", plain("p_brand"), plain("p_type"), plain("p_name")))
     edges = part.select(F.col("p_partkey").alias("relationship_id"), F.lit("p").alias("project_id"), target.alias("target_reference"))
     symbols = views.symbols(spark, sf_dir).withColumn("project_id", F.lit("p"))
+    return edges, symbols
+
+
+@query("resolve_edges", _RESOLVED)
+def _(spark, sf_dir):
+    edges, symbols = _edges(spark, sf_dir)
     return code.resolve_edges(edges, symbols).select("relationship_id", "matches", "resolution", "target_symbol")
+
+
+@query("update_edges", _RESOLVED)
+def _(spark, sf_dir):
+    """From a version with other symbols and edges to the current one, by what changed between them."""
+    edges, symbols = _edges(spark, sf_dir)
+    edges = edges.withColumn("path", F.concat(F.lit("f"), F.col("relationship_id") % 50))
+    number = F.expr("int(substring(symbol_id, 4))")
+    kept = symbols.filter(number % 5 != 0)
+    other = symbols.filter(number % 7 == 0).withColumn("symbol_id", F.concat("symbol_id", F.lit("-old")))
+    late = F.col("path").isin("f3", "f14")
+    before = code.resolve_edges(edges.filter(~late).unionByName(edges.filter("path = 'f15'").withColumn("path", F.lit("gone"))), kept.unionByName(other))
+    counts, touched = code.change_counts(code.suffix_counts(kept.unionByName(other)), symbols, symbols.filter(number % 5 == 0), other)
+    gone = spark.range(1).select(F.lit("p").alias("project_id"), F.lit("gone").alias("path"))
+    out = code.update_edges(before, gone, edges.filter(late), counts, touched)
+    return out.select("relationship_id", "matches", "resolution", "target_symbol")

@@ -61,11 +61,13 @@ def read_snapshot(spark: SparkSession, root: str, kind: str, snapshot_id: str) -
     return _rows(spark, root, kind, committed(spark, root, kind).filter(F.col("snapshot_id") == snapshot_id))
 
 
-def read_latest_snapshot(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """The rows of the newest snapshot of each project, by created_at, then id.
+def read_latest_snapshot(spark: SparkSession, root: str, kind: str, before: str | None = None) -> DataFrame:
+    """The rows of the newest snapshot of each project, by created_at, then id; with ``before`` of those with a smaller id.
 
     Which one that is the log tells; only its partitions of the data are read.
     """
-    entry = F.struct("snapshot_id", "version", "n_rows")
-    newest = committed(spark, root, kind).groupBy("project_id").agg(F.max_by(entry, F.struct("created_at", "snapshot_id")).alias("e"))
+    entry, entries = F.struct("snapshot_id", "version", "n_rows"), committed(spark, root, kind)
+    if before is not None:
+        entries = entries.filter(F.col("snapshot_id") < before)
+    newest = entries.groupBy("project_id").agg(F.max_by(entry, F.struct("created_at", "snapshot_id")).alias("e"))
     return _rows(spark, root, kind, newest.select("project_id", "e.*"))
