@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.shared import checkpointed
 from .scan import normalize_paths
@@ -82,9 +80,11 @@ def _is_object(text: Column) -> Column:
 
 
 def normalize_responses(responses: DataFrame, retention: str = "on_incomplete") -> DataFrame:
-    """Adds final_state, final_reason and raw: a completed structured response that is no JSON object has failed.
+    """Adds final_state, final_reason, raw and usage_error: a completed structured response that is no JSON object has failed.
 
-    ``retention`` of the raw content: never, on_incomplete or always.
+    ``retention`` of the raw content: never, on_incomplete or always. ``usage_error`` of the counts that there are
+    (input_tokens, output_tokens, total_tokens, input_bytes, output_bytes): negative, or total_mismatch where all
+    three of tokens are known and don't add up; null if neither holds.
     """
     bad = (F.col("finish_state") == "completed") & (F.col("response_format") == "structured") & ~_is_object(F.col("content"))
     rows = responses.withColumns(
@@ -93,17 +93,25 @@ def normalize_responses(responses: DataFrame, retention: str = "on_incomplete")
             "final_reason": F.when(bad, "malformed").otherwise(F.col("finish_reason")),
         }
     )
+    count = lambda name: (F.col(name) if name in responses.columns else F.lit(None)).cast("long")
+    below = F.lit(False)
+    for name in ("input_tokens", "output_tokens", "total_tokens", "input_bytes", "output_bytes"):
+        below = below | F.coalesce(count(name) < 0, F.lit(False))
+    odd = count("input_tokens") + count("output_tokens") != count("total_tokens")
+    rows = rows.withColumn("usage_error", F.when(below, "negative").when(odd, "total_mismatch"))
     keep = F.lit(retention == "always") | (F.lit(retention == "on_incomplete") & (F.col("final_state") != "completed"))
     return rows.withColumn("raw", F.when(keep, F.col("content")))
 
 
-def validate_envelopes(envelopes: DataFrame, required: Sequence[str], kind: str, max_bytes: int) -> DataFrame:
+def validate_envelopes(
+    envelopes: DataFrame, required: Sequence[str], kind: str, max_bytes: int, formats: Sequence[str] | None = None,
+) -> DataFrame:
     """Adds ``code``, the first rule that an envelope (column ``content``) breaks; null if it is valid.
 
-    The order: size, JSON object, required fields, type, empty summary, repeated affected files, affected files other
+    The order: size, JSON object, required fields, type, patch format (a string of ``formats``, if given), empty summary, repeated affected files, affected files other
     than those of the changes.
     """
-    schema = "struct<type:string,summary:string,affected_files:array<string>,changes:array<struct<path:string,operation:string,destination_path:string,payload:string,change_id:string>>>"
+    schema = "struct<type:string,patch_format:string,summary:string,affected_files:array<string>,changes:array<struct<path:string,operation:string,destination_path:string,payload:string,change_id:string>>>"
     rows = envelopes.withColumns({"__o": _is_object(F.col("content")), "__e": F.from_json("content", schema)})
     missing = F.lit(False)
     for name in required:
@@ -113,10 +121,15 @@ def validate_envelopes(envelopes: DataFrame, required: Sequence[str], kind: str,
         F.array().cast("array<struct<path:string,operation:string,destination_path:string,payload:string,change_id:string>>"),
     )
     touched = F.array_compact(F.concat(F.transform(changes, lambda c: c["path"]), F.transform(changes, lambda c: c["destination_path"])))
+    # A value that is no string isn't one of the formats, whatever it reads as.
+    string = F.schema_of_variant(F.try_variant_get(F.try_parse_json("content"), "$.patch_format", "variant")) == "STRING"
+    known = F.coalesce(string & F.col("__e.patch_format").isin(list(formats or [])), F.lit(False))
+    unknown = F.lit(formats is not None) & ~known
     code = (
         F.when(F.octet_length("content") > max_bytes, "ENVELOPE_TOO_LARGE").when(~F.col("__o"), "ENVELOPE_MALFORMED").when(missing, "ENVELOPE_FIELD_MISSING").when(
             ~F.col("__e.type").eqNullSafe(F.lit(kind)), "ENVELOPE_TYPE_MISMATCH",
         )
+        .when(unknown, "ENVELOPE_UNKNOWN_FORMAT")
         .when(F.trim(F.coalesce("__e.summary", F.lit(""))) == "", "ENVELOPE_EMPTY_TEXT").when(
             F.size(files) != F.size(F.array_distinct(files)), "ENVELOPE_DUPLICATE_FILE",
         )
@@ -173,54 +186,48 @@ def parse_changes(envelopes: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _diff_kinds(patches: pd.Series) -> pd.Series:
-    """Kind of each line of patches in which a line like a file header may be content: by the lines that a hunk still lacks."""
-
-    def kinds(patch: str | None) -> list[str] | None:
-        if patch is None:
-            return None
-        import re
+#: The head of a hunk; the groups are the numbers of old and new lines, 1 where they aren't given.
+HUNK = r"^@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@"
 
-        out, old, new = [], 0, 0
-        for line in patch.split("\n"):
-            head = re.match(r"@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@", line)
-            if old <= 0 and new <= 0:
-                kind = "hunk" if head else "old_file" if line.startswith("--- ") else "new_file" if line.startswith("+++ ") else "no_newline" if line.startswith("\\") else "other"
-                if head:
-                    old, new = (int(g) if g is not None else 1 for g in head.groups())
-            else:
-                kind = {"-": "remove", "+": "add", "\\": "no_newline"}.get(line[:1], "context")
-                old -= kind in ("remove", "context")
-                new -= kind in ("add", "context")
-            out.append(kind)
-        return out
 
-    return patches.map(kinds)
+def _declared(group: int) -> Column:
+    digits = F.nullif(F.regexp_extract("line", HUNK, group), F.lit(""))
+    return F.coalesce(F.try_to_number(digits, F.lit("999999999")).cast("long"), F.lit(1))
 
 
 def diff_lines(patches: DataFrame) -> DataFrame:
     """(patch_id, n, file, hunk, kind, line) of unified diffs (patch_id, patch).
 
     Kinds: old_file, new_file, hunk, context, add, remove, no_newline, other. ``file`` and ``hunk`` count headers so
-    far. A line ``--- `` within an unfinished hunk is content: only patches with such a line take the way in Python.
+    far. Within an unfinished hunk every line is content, one like ``--- `` too.
+
+    What a line is depends on how many old and new lines its hunk still lacks. That state needs no walk over the lines:
+    behind each head the old and the new lines so far are running sums, and up to the place where both reach what the head
+    declares they count content only. Lines of one patch are sorted in one task, which can spill; each is moved once.
     """
-    unclear = F.col("patch").rlike("(?m)^(---|\\+\\+\\+) ") & F.col("patch").rlike("(?s)@@.*\n(---|\\+\\+\\+) ")
-    rows = patches.select("patch_id", F.split("patch", "\n").alias("lines"), _diff_kinds(F.when(unclear, F.col("patch"))).alias("kinds"))
-    rows = rows.select("patch_id", F.posexplode("lines").alias("n", "line"), "kinds")
-    rows = rows.withColumn("header", F.col("line").rlike(r"^@@ -\d+(,\d+)? \+\d+(,\d+)? @@"))
+    rows = patches.select("patch_id", F.posexplode(F.split("patch", "\n")).alias("n", "line"))
+    rows = rows.withColumn("head", F.col("line").rlike(HUNK))
     order = Window.partitionBy("patch_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("inside", F.sum(F.col("header").cast("int")).over(order) > 0)
-    plain = (
-        F.when(F.col("header"), "hunk").when(
-            F.col("line").startswith("--- "), "old_file",
-        ).when(F.col("line").startswith("+++ "), "new_file").when(F.col("line").startswith("\\"), "no_newline")
-        .when(~F.col("inside"), "other").when(F.col("line").startswith("+"), "add").when(F.col("line").startswith("-"), "remove").when(
-            F.col("line").startswith(" "), "context",
-        ).otherwise("other")
+    first = F.substr("line", F.lit(1), F.lit(1))
+    old, new = ~F.col("head") & ~first.isin("+", "\\"), ~F.col("head") & ~first.isin("-", "\\")
+    upto = lambda flag: F.sum(flag.cast("long")).over(order)
+    rows = rows.withColumns({"heads": upto(F.col("head")), "old_upto": upto(old), "new_upto": upto(new)})
+    at_head = lambda value: F.max_by(F.when(F.col("head"), value), F.when(F.col("head"), F.col("n"))).over(order)
+    state = F.struct(
+        (F.col("old_upto") + _declared(1)).alias("old_end"), (F.col("new_upto") + _declared(2)).alias("new_end"),
+    )
+    rows = rows.withColumn("end", at_head(state))
+    # Lines before this one: the sums without its own share.
+    before = lambda total, own: F.col(total) - own.cast("long")
+    lacking = (F.col("heads") > 0) & ~F.col("head") & ((before("old_upto", old) < F.col("end.old_end")) | (before("new_upto", new) < F.col("end.new_end")))
+    surplus = F.col("heads") > 0  # lines behind a hunk that is complete make it inconsistent
+    kind = (
+        F.when(F.col("head"), "hunk").when(lacking & (first == "+"), "add").when(lacking & (first == "-"), "remove").when(first == "\\", "no_newline")
+        .when(lacking, "context").when(F.col("line").startswith("--- "), "old_file").when(F.col("line").startswith("+++ "), "new_file")
+        .when(surplus & (first == "+"), "add").when(surplus & (first == "-"), "remove").when(surplus & (first == " "), "context").otherwise("other")
     )
-    rows = rows.withColumn("kind", F.coalesce(F.get("kinds", F.col("n")), plain))
-    count = lambda kind: F.sum((F.col("kind") == kind).cast("int")).over(order)
+    rows = rows.withColumn("kind", kind)
+    count = lambda name: F.sum((F.col("kind") == name).cast("int")).over(order)
     return rows.select("patch_id", "n", count("old_file").alias("file"), count("hunk").alias("hunk"), "kind", "line")
 
 
@@ -229,16 +236,9 @@ def diff_stats(lines: DataFrame) -> DataFrame:
 
     ``consistent`` says that every hunk has as many old and new lines as its header declares.
     """
-    number = lambda group: F.coalesce(
-        F.try_to_number(
-            F.nullif(F.regexp_extract("line", r"^@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@", group), F.lit("")),
-            F.lit("999999999"),
-        ).cast("long"),
-        F.lit(1),
-    )
     is_kind = lambda kind: F.col("kind") == kind
     hunks = lines.filter("hunk > 0").groupBy("patch_id", "file", "hunk").agg(
-        F.max(F.when(is_kind("hunk"), number(1))).alias("old"), F.max(F.when(is_kind("hunk"), number(2))).alias("new"),
+        F.max(F.when(is_kind("hunk"), _declared(1))).alias("old"), F.max(F.when(is_kind("hunk"), _declared(2))).alias("new"),
         F.count_if(
             F.col("kind").isin("context", "remove")
         ).alias("has_old"), F.count_if(F.col("kind").isin("context", "add")).alias("has_new"), F.max(is_kind("hunk")).alias("own"),
@@ -413,16 +413,20 @@ def fingerprint_proposals(changes: DataFrame) -> DataFrame:
 
 
 def revalidate_proposals(
-    stored: DataFrame, changes: DataFrame, source: DataFrame, project_fingerprint: str,
-    writable: DataFrame | None = None,
+    stored: DataFrame, changes: DataFrame, source: DataFrame, projects: DataFrame, writable: DataFrame | None = None,
 ) -> DataFrame:
-    """(proposal_id, code) before use: stored fingerprints (proposal_id, proposal_fingerprint, project_fingerprint) against now, paths and operations again."""
+    """(proposal_id, code) before use: stored fingerprints against those of now, paths and operations again.
+
+    ``stored`` has proposal_id, project_id, proposal_fingerprint and project_fingerprint; ``projects`` the current
+    project_fingerprint of each project_id. A project that is no longer known has changed.
+    """
     now = fingerprint_proposals(changes).withColumnRenamed("proposal_fingerprint", "__now")
-    rows = stored.join(now, "proposal_id", "left")
+    current = projects.select("project_id", F.col("project_fingerprint").alias("__project"))
+    rows = stored.join(now, "proposal_id", "left").join(current, "project_id", "left")
     codes = F.array_compact(
         F.array(
             F.when(~F.col("proposal_fingerprint").eqNullSafe(F.col("__now")), "PROPOSAL_CHANGED"),
-            F.when(F.col("project_fingerprint") != project_fingerprint, "PROJECT_CHANGED"),
+            F.when(~F.col("project_fingerprint").eqNullSafe(F.col("__project")), "PROJECT_CHANGED"),
         )
     )
     out = rows.select("proposal_id", F.explode(codes).alias("code")).unionByName(audit_paths(changes).select("proposal_id", "code")).unionByName(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,7 @@ MAX_CONTENT, MAX_UNIT = 1_000_000, 4_096
 
 
 def route_artifacts(artifacts: DataFrame, contents: DataFrame, allow_sensitive: bool = False, max_content_bytes: int = MAX_CONTENT) -> DataFrame:
-    """Adds strategy, state and diagnostic to artifacts (project_id, path, ignore_action, kind, classifications, content_fingerprint).
+    """Adds strategy, state, diagnostic and content_bytes to artifacts (project_id, path, ignore_action, kind, classifications, content_fingerprint).
 
     ``contents`` has project_id, path, content; only its digest and size take part in the join.
     """
@@ -40,26 +40,34 @@ def route_artifacts(artifacts: DataFrame, contents: DataFrame, allow_sensitive:
     parts = F.split(route, ":")
     return rows.withColumns(
         {"state": parts[0], "strategy": F.when(parts[0] == "indexed", parts[1]), "diagnostic": F.when(parts[0] != "indexed", parts[1])}
-    ).drop("__seen", "__bytes")
+    ).withColumnRenamed("__bytes", "content_bytes").drop("__seen")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())])))
-def _split_bytes(lines: pd.Series, limit: pd.Series) -> pd.Series:
-    """Pieces of at most ``limit`` bytes, cut between characters."""
+_UNIT = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())])
 
-    def cut(line: str | None, most: int) -> list[dict] | None:
-        if line is None:
+
+def _pieces(line: str, most: int) -> Iterator[tuple[int, str]]:
+    """Pieces of at most ``most`` bytes with where they start, cut between characters."""
+    start, size = 0, 0
+    for at, c in enumerate(line):
+        width = len(c.encode("utf-8", "surrogatepass"))
+        if size + width > most and at > start:
+            yield start, line[start:at]
+            start, size = at, 0
+        size += width
+    yield start, line[start:]
+
+
+@F.pandas_udf(T.ArrayType(_UNIT))
+def _cut_lines(files: pd.Series, limit: pd.Series) -> pd.Series:
+    """The units of files some of whose lines are longer than ``limit`` bytes."""
+
+    def cut(lines: list[str] | None, most: int) -> list[dict] | None:
+        if lines is None:
             return None
-        out, start, size = [], 0, 0
-        for at, c in enumerate(line):
-            width = len(c.encode("utf-8", "surrogatepass"))
-            if size + width > most and at > start:
-                out.append({"start": start, "text": line[start:at]})
-                start, size = at, 0
-            size += width
-        return [*out, {"start": start, "text": line[start:]}]
+        return [{"n": n, "start": start, "text": text} for n, line in enumerate(lines) if line for start, text in _pieces(line, most)]
 
-    return pd.Series([cut(*x) for x in zip(lines, limit, strict=True)])
+    return pd.Series([cut(*x) for x in zip(files, limit, strict=True)])
 
 
 def _valid_prefix(content: Column, limit: int) -> Column:
@@ -73,22 +81,21 @@ def _valid_prefix(content: Column, limit: int) -> Column:
 def text_units(contents: DataFrame, max_content_bytes: int = MAX_CONTENT, max_unit_bytes: int = MAX_UNIT) -> DataFrame:
     """(project_id, path, ord, start_line, start_column, end_line, end_column, text): a unit for each non-empty line.
 
-    Lines longer than ``max_unit_bytes`` are cut between characters (those alone in Python). Lines and columns count
+    Lines longer than ``max_unit_bytes`` are cut between characters (files with such a line in Python). A file's units are
+    numbered where it is read: no row moves. Lines and columns count
     from one, ends included; ``ord`` numbers the units of a file from 0. Content that isn't UTF-8 has no units; longer
     content is read up to its longest valid prefix.
     """
     rows = contents.select("project_id", "path", F.split(_valid_prefix(F.col("content"), max_content_bytes), LINE_END).alias("lines"))
-    lines = rows.select("project_id", "path", F.posexplode("lines").alias("n", "line")).filter("line <> ''")
-    long = F.octet_length("line") > max_unit_bytes
-    lines = lines.withColumn("long", long).withColumn("pieces", _split_bytes(F.when(F.col("long"), F.col("line")), F.lit(max_unit_bytes)))
-    one = F.array(F.struct(F.lit(0).alias("start"), F.col("line").alias("text")))
-    pieces = lines.select("project_id", "path", "n", F.posexplode(F.when(F.col("long"), F.col("pieces")).otherwise(one)).alias("k", "piece"))
-    number = F.row_number().over(Window.partitionBy("project_id", "path").orderBy("n", "k")) - 1
-    start = F.col("piece.start") + 1
+    long = F.exists("lines", lambda line: F.octet_length(line) > max_unit_bytes)
+    rows = rows.withColumn("long", long).withColumn("cut", _cut_lines(F.when(F.col("long"), F.col("lines")), F.lit(max_unit_bytes)))
+    plain = F.transform("lines", lambda line, n: F.struct(n.alias("n"), F.lit(0).alias("start"), line.alias("text")))
+    units = F.when(F.col("long"), F.col("cut")).otherwise(F.filter(plain, lambda unit: unit["text"] != ""))
+    pieces = rows.select("project_id", "path", F.posexplode(units).alias("ord", "unit"))
+    line, start = F.col("unit.n") + 1, F.col("unit.start") + 1
     return pieces.select(
-        "project_id", "path", number.alias("ord"), (F.col("n") + 1).alias("start_line"), start.alias("start_column"),
-        (F.col("n") + 1).alias("end_line"), (start + F.length("piece.text") - 1).alias("end_column"),
-        F.col("piece.text").alias("text"),
+        "project_id", "path", "ord", line.alias("start_line"), start.alias("start_column"), line.alias("end_line"),
+        (start + F.length("unit.text") - 1).alias("end_column"), F.col("unit.text").alias("text"),
     )
 
 
@@ -104,11 +111,20 @@ def text_diagnostics(contents: DataFrame, max_content_bytes: int = MAX_CONTENT)
 def index_statistics(
     routed: DataFrame, units: DataFrame | None = None, symbols: DataFrame | None = None, edges: DataFrame | None = None,
 ) -> DataFrame:
-    """Counts and status of the index per project. Each table is counted before it is joined."""
+    """Counts and status of the index per project. Each table is counted before it is joined.
+
+    ``indexed_bytes`` sums content_bytes of what is indexed; ``fallbacks`` and ``reused`` count indexed files with the flag ``fallback``
+    (kept as plain text, as it doesn't parse) or ``reused`` (taken from the index before), where ``routed`` has them.
+    """
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in routed.columns else F.lit(False)
+    size = F.col("content_bytes") if "content_bytes" in routed.columns else F.lit(0)
+    indexed = F.col("state") == "indexed"
     state = lambda s: F.count_if(F.col("state") == s)
     out = routed.groupBy("project_id").agg(
         F.count(F.lit(1)).alias("evaluated"), state("indexed").alias("indexed"), state("skipped").alias("skipped"),
         state("metadata").alias("metadata_only"), state("failed").alias("failures"),
+        F.coalesce(F.sum(F.when(indexed, size)), F.lit(0)).cast("long").alias("indexed_bytes"),
+        F.count_if(indexed & flag("fallback")).alias("fallbacks"), F.count_if(indexed & flag("reused")).alias("reused"),
     )
     for name, table in (("units", units), ("symbols", symbols), ("edges", edges)):
         if table is not None:

@@ -100,6 +100,21 @@ def _(spark, sf_dir):
     return a.normalize_responses(rows).select("response_id", "turn", "final_state", "final_reason", F.col("raw").isNotNull().alias("kept_raw"))
 
 
+@query("response_usage", """
+SELECT l_orderkey AS response_id, l_linenumber AS turn, CASE WHEN l_orderkey % 17 = 3 THEN 'negative' WHEN l_orderkey % 5 = 1 AND l_orderkey % 7 <> 2
+  THEN 'total_mismatch' END AS usage_error FROM lineitem""")
+def _(spark, sf_dir):
+    """Line items as the token counts of responses: some don't add up, some are below zero, some are unknown."""
+    k = F.col("l_orderkey")
+    rows = views.table(spark, sf_dir, "lineitem").select(
+        k.alias("response_id"), F.col("l_linenumber").alias("turn"), F.lit("completed").alias("finish_state"), F.lit("stop").alias("finish_reason"),
+        F.lit("text").alias("response_format"), F.lit("x").alias("content"), F.col("l_partkey").alias("input_tokens"),
+        F.when(k % 7 != 2, F.col("l_suppkey")).alias("output_tokens"), (F.col("l_partkey") + F.col("l_suppkey") + F.when(k % 5 == 1, 1).otherwise(0)).alias("total_tokens"),
+        F.when(k % 17 == 3, -1).otherwise(1).alias("output_bytes"),
+    )
+    return a.normalize_responses(rows).select("response_id", "turn", "usage_error")
+
+
 def _envelopes(spark, sf_dir):
     """An envelope for each order, each with a flaw of its own kind."""
     k = F.col("o_orderkey")
@@ -122,6 +137,7 @@ def _envelopes(spark, sf_dir):
     body = F.to_json(
         F.struct(
             F.when(k % 13 == 4, "analysis").otherwise("patch").alias("type"),
+            F.when(k % 13 == 10, "ed_script").when(k % 13 != 11, "unified_diff").alias("patch_format"),
             F.when(k % 13 == 5, " ").otherwise("done").alias("summary"),
             F.when(k % 13 != 6, files).alias("affected_files"), changes.alias("changes"),
         )
@@ -135,11 +151,11 @@ def _envelopes(spark, sf_dir):
 @query("validate_envelopes", """
 WITH e AS (SELECT o_orderkey AS k, o_orderkey % 13 AS m, o_orderkey % 11 AS n, o_orderkey % 10 = 1 AS two, o_orderkey % 5 = 1 AS same FROM orders)
 SELECT k AS proposal_id, CASE WHEN m = 9 THEN 'ENVELOPE_TOO_LARGE' WHEN m IN (7, 8) THEN 'ENVELOPE_MALFORMED' WHEN m = 6 THEN
-  'ENVELOPE_FIELD_MISSING' WHEN m = 4 THEN 'ENVELOPE_TYPE_MISMATCH' WHEN m = 5 THEN 'ENVELOPE_EMPTY_TEXT'
+  'ENVELOPE_FIELD_MISSING' WHEN m = 4 THEN 'ENVELOPE_TYPE_MISMATCH' WHEN m IN (10, 11) THEN 'ENVELOPE_UNKNOWN_FORMAT' WHEN m = 5 THEN 'ENVELOPE_EMPTY_TEXT'
   WHEN n = 2 OR (n <> 3 AND two AND same AND k % 50 = 1) THEN 'ENVELOPE_DUPLICATE_FILE' WHEN n = 3 THEN 'ENVELOPE_FILES_MISMATCH' END AS code FROM e""")
 def _(spark, sf_dir):
     return a.validate_envelopes(
-        _envelopes(spark, sf_dir), ["type", "summary", "affected_files", "changes"], "patch", 2_500,
+        _envelopes(spark, sf_dir), ["type", "summary", "affected_files", "changes"], "patch", 2_500, ["unified_diff", "structured_changes"],
     ).select("proposal_id", "code")
 
 
@@ -337,17 +353,18 @@ def _(spark, sf_dir):
 
 @query("revalidate_proposals", with_views(["proposed_changes"], f"""{_SPARSE.replace('destination_path FROM', 'destination_path, NULL::VARCHAR AS expected FROM')}, {_STATE}, {_OPERATIONS}
 SELECT DISTINCT proposal_id, code FROM (SELECT proposal_id, code FROM vo UNION ALL SELECT DISTINCT proposal_id, 'PROPOSAL_CHANGED'
-  FROM c WHERE proposal_id % 4 = 0 UNION ALL SELECT DISTINCT proposal_id, 'PROJECT_CHANGED' FROM c WHERE proposal_id % 5 = 0
+  FROM c WHERE proposal_id % 4 = 0 UNION ALL SELECT DISTINCT proposal_id, 'PROJECT_CHANGED' FROM c WHERE proposal_id % 5 = 0 OR proposal_id % 3 = 2
   UNION ALL SELECT proposal_id, 'PATH_NOT_WRITABLE' FROM c WHERE path LIKE '%9.py' OR destination_path LIKE '%9.py' UNION ALL SELECT proposal_id, 'PATCH_PATH_INVALID_RENAME' FROM c WHERE operation = 'rename' AND path = destination_path)"""))
 def _(spark, sf_dir):
     rows = views.proposed_changes(spark, sf_dir, dense=False)
     p = F.col("proposal_id")
     stored = a.fingerprint_proposals(rows).select(
-        p, F.when(p % 4 == 0, "old").otherwise(F.col("proposal_fingerprint")).alias("proposal_fingerprint"),
-        F.when(p % 5 == 0, "old").otherwise("now").alias("project_fingerprint"),
+        p, F.concat(F.lit("p"), p % 3).alias("project_id"), F.when(p % 4 == 0, "old").otherwise(F.col("proposal_fingerprint")).alias("proposal_fingerprint"),
+        F.when(p % 5 == 0, "old").otherwise(F.concat(F.lit("now"), p % 3)).alias("project_fingerprint"),
     )
+    projects = spark.range(2).select(F.concat(F.lit("p"), "id").alias("project_id"), F.concat(F.lit("now"), "id").alias("project_fingerprint"))
     writable = spark.range(50).filter("id % 10 <> 9").select(F.concat(F.lit("src/f_"), "id", F.lit(".py")).alias("path"))
-    return a.revalidate_proposals(stored, rows, _source(spark), "now", writable)
+    return a.revalidate_proposals(stored, rows, _source(spark), projects, writable)
 
 
 # --- Executions ----------------------------------------------------------------------------------------------------

@@ -59,10 +59,14 @@ def _(spark, sf_dir):
 u AS (SELECT project_id, count(*) AS units FROM search_units GROUP BY 1),
 g AS (SELECT project_id, count(*) AS evaluated, count(*) FILTER (WHERE x LIKE 'indexed%') AS indexed, count(*) FILTER (WHERE x
   LIKE 'skipped%') AS skipped, count(*) FILTER (WHERE x LIKE 'metadata%') AS metadata_only, count(*) FILTER (WHERE x LIKE
-  'failed%') AS failures FROM r GROUP BY 1)
+  'failed%') AS failures, coalesce(sum(b) FILTER (WHERE x LIKE 'indexed%'), 0)::BIGINT AS indexed_bytes, count(*) FILTER (WHERE x = 'indexed:python' AND doc_id % 7 = 0) AS fallbacks,
+  count(*) FILTER (WHERE x LIKE 'indexed%' AND doc_id % 3 = 0) AS reused FROM (SELECT r.*, size_bytes AS b FROM r JOIN artifacts USING (doc_id)) GROUP BY 1)
 SELECT g.*, coalesce(units, 0) AS units, CASE WHEN evaluated = failures THEN 'failed' WHEN failures > 0 THEN 'incomplete' ELSE 'complete' END AS status FROM g LEFT JOIN u USING (project_id)"""))
 def _(spark, sf_dir):
-    return index.index_statistics(_routed(spark, sf_dir), units=views.search_units(spark, sf_dir))
+    routed = _routed(spark, sf_dir).withColumns(
+        {"fallback": (F.col("strategy") == "python") & (F.col("doc_id") % 7 == 0), "reused": F.col("doc_id") % 3 == 0}
+    )
+    return index.index_statistics(routed, units=views.search_units(spark, sf_dir))
 
 
 _UNITS = """l AS (SELECT doc_id, project_id, path, unnest(range(len(s))) AS n, unnest(s) AS line FROM (SELECT *, string_split(content, chr(10)) AS s FROM artifacts)),
