@@ -102,18 +102,54 @@ def _(spark, sf_dir):
 @query("evaluation_report", with_views(JUDGED, f"""{_METRICS}, ag AS (SELECT strategy_id, count(DISTINCT metric_name) AS metrics FROM mt GROUP BY 1),
 dl AS (SELECT b.strategy_id, count(*) AS regressions FROM mt b JOIN mt p USING (case_id, metric_name) WHERE p.strategy_id =
   'primary' AND b.strategy_id <> 'primary' AND p.value < b.value - 1e-12 GROUP BY 1)
-SELECT strategy_id, metrics, coalesce(regressions, 0) AS regressions FROM ag LEFT JOIN dl USING (strategy_id)"""))
+SELECT strategy_id, metrics, coalesce(regressions, 0) AS regressions, coalesce(deltas, 0) AS deltas, cases, 'core' AS suite FROM ag LEFT JOIN dl USING (strategy_id)
+LEFT JOIN (SELECT b.strategy_id, count(*) AS deltas FROM mt b JOIN mt p USING (case_id, metric_name) WHERE p.strategy_id = 'primary' AND b.strategy_id <> 'primary' GROUP BY 1) USING (strategy_id)
+JOIN (SELECT strategy_id, count(DISTINCT case_id) AS cases FROM mt GROUP BY 1) USING (strategy_id)"""))
 def _(spark, sf_dir):
     metrics = _metrics(spark, sf_dir)
     aggregates = e.aggregate_metrics(metrics)
     report = suites.evaluation_report(
         aggregates, e.baseline_deltas(metrics, "primary"),
-        aggregates.select("strategy_id", "metric_name", F.lit("missing").alias("failure")).limit(0),
+        aggregates.select("strategy_id", "metric_name", F.lit("missing").alias("failure")).limit(0), metrics, {"suite": "core"},
     )
     size = lambda path: F.coalesce(
         F.size(F.from_json(F.get_json_object("document", path), "array<struct<metric_name:string>>")), F.lit(0),
     ).cast("long")
-    return report.select("strategy_id", size("$.aggregates").alias("metrics"), F.greatest(size("$.regressions"), F.lit(0)).alias("regressions"))
+    return report.select(
+        "strategy_id", size("$.aggregates").alias("metrics"), size("$.regressions").alias("regressions"), size("$.deltas").alias("deltas"),
+        size("$.cases").alias("cases"), F.get_json_object("document", "$.metadata.suite").alias("suite"),
+    )
+
+
+_FLAWS = [
+    "", '"extra":1,', '"task_kind":"dance",', '"tags":["a",1],', '"judgments":[{"path":"p","relevance":"maybe","symbols":[],"note":0},{"path":3}],',
+    '"context_budget":{"max_items":null,"max_bytes":2.5,"most":1},', '"context_budget":[],', '"case_id":7,',
+]
+_CASE = {
+    "case_id": '"c"', "context_budget": "{}", "expected_changed_paths": "[]", "expected_evidence": "[]", "fixture_fingerprint": '"f"', "fixture_project_id": '"p"', "judgments": "[]",
+    "requested_output": f'"{suites.OUTPUTS[0]}"', "tags": "[]", "task_kind": '"explain"', "task_text": '"t"',
+}
+
+
+@query("suite_faults", """WITH f AS (SELECT o_orderkey AS file, o_orderkey % 10 AS m FROM orders)
+SELECT file, code, subject FROM f JOIN (VALUES (1, 'SUITE_UNEXPECTED_FIELD', 'suite.cases[0].extra'), (2, 'SUITE_UNKNOWN_VALUE', 'suite.cases[0].task_kind'),
+  (3, 'SUITE_WRONG_TYPE', 'suite.cases[0].tags'), (4, 'SUITE_UNKNOWN_VALUE', 'suite.cases[0].judgments[0].relevance'),
+  (4, 'SUITE_UNEXPECTED_FIELD', 'suite.cases[0].judgments[0].note'), (4, 'SUITE_WRONG_TYPE', 'suite.cases[0].judgments[1].path'),
+  (4, 'SUITE_MISSING_FIELD', 'suite.cases[0].judgments[1].relevance'), (4, 'SUITE_MISSING_FIELD', 'suite.cases[0].judgments[1].symbols'),
+  (5, 'SUITE_WRONG_TYPE', 'suite.cases[0].context_budget.max_bytes'), (5, 'SUITE_UNEXPECTED_FIELD', 'suite.cases[0].context_budget.most'),
+  (6, 'SUITE_WRONG_TYPE', 'suite.cases[0].context_budget'), (7, 'SUITE_WRONG_TYPE', 'suite.cases[0].case_id'), (8, 'SUITE_MALFORMED', 'suite'),
+  (9, 'SUITE_MISSING_FIELD', 'suite.suite_version'), (9, 'SUITE_WRONG_TYPE', 'suite.cases')) v(m, code, subject) USING (m)""")
+def _(spark, sf_dir):
+    """Orders as suites of one case, most with a flaw."""
+    k = F.col("o_orderkey")
+
+    def case(flaw: str) -> str:
+        own = flaw.split('"')[1] if flaw else ""
+        return "{" + flaw + ",".join(f'"{n}":{v}' for n, v in _CASE.items() if n != own) + "}"
+
+    texts = [f'{{"suite_id":"s","suite_version":"1","cases":[{case(flaw)}]}}' for flaw in _FLAWS] + ['{"suite_id":"s","suite_id":"s"}', '{"suite_id":"s","cases":{}}']
+    text = F.get(F.array(*map(F.lit, texts)), (k % 10).cast("int"))
+    return suites.suite_faults(views.table(spark, sf_dir, "orders").select(k.alias("file"), text.alias("text")))
 
 
 @query("check_suite", """

@@ -118,6 +118,40 @@ def test_header_like_content_of_a_hunk(spark):
     assert [(r.new_path, r.added, r.removed, r.consistent) for r in stats] == [("x", 0, 1, True), ("y", 1, 1, True)]
 
 
+def test_lines_of_random_diffs_equal_a_walk(spark):
+    import random
+    import re
+
+    rng = random.Random(4)
+    head = lambda: f"@@ -{rng.randrange(9)}" + rng.choice(["", f",{rng.randrange(4)}"]) + f" +{rng.randrange(9)}" + rng.choice(["", f",{rng.randrange(4)}"]) + " @@"
+    pick = lambda: rng.choice(["--- a/x", "+++ b/x", "-old", "+new", " same", "\\ No newline", "", "diff --git", "--- ", head(), head()])
+    patches = {k: "\n".join(pick() for _ in range(rng.randrange(0, 40))) for k in range(80)} | {90: None}
+
+    def walk(patch):
+        old, new, begun = 0, 0, False
+        for line in patch.split("\n"):
+            found = re.match(r"@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@", line)
+            first = line[:1]
+            if found:
+                begun, old, new = True, *(int(g) if g is not None else 1 for g in found.groups())
+                yield "hunk"
+            elif begun and (old > 0 or new > 0):
+                kind = {"-": "remove", "+": "add", "\\": "no_newline"}.get(first, "context")
+                old, new = old - (kind in ("remove", "context")), new - (kind in ("add", "context"))
+                yield kind
+            elif first == "\\":
+                yield "no_newline"
+            elif line.startswith(("--- ", "+++ ")):
+                yield "old_file" if first == "-" else "new_file"
+            else:
+                yield {"-": "remove", "+": "add", " ": "context"}.get(first, "other") if begun else "other"
+
+    out = audit.diff_lines(spark.createDataFrame(list(patches.items()), "patch_id int, patch string"))
+    every = {(r.patch_id, r.n): r.kind for r in out.collect()}
+    assert every == {(k, n): kind for k, p in patches.items() if p is not None for n, kind in enumerate(walk(p))}
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rename_cycles(spark):
     rows = [(1, n, "rename", a, b) for n, (a, b) in enumerate([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("x", "y"), ("s", "s")])] + [(2, 9, "rename", "a", "b")]
     df = spark.createDataFrame(rows, "proposal_id int, change_id int, operation string, path string, destination_path string")

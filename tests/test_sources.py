@@ -7,7 +7,7 @@ from gleanery.operators.index import text_units, update_index
 from gleanery.operators.scan import content_fingerprint
 from gleanery.sources.files import read_files
 from gleanery.sources.snapshots import read_latest_snapshot, read_snapshot, read_snapshots, write_snapshot
-from gleanery.sources.suites import check_suite, read_suite, report_markdown
+from gleanery.sources.suites import check_suite, read_documents, read_suite, report_markdown, suite_faults
 from gleanery.streaming.incremental import current_units, follow_versions
 
 
@@ -58,6 +58,16 @@ def test_report_markdown(spark):
     a = spark.createDataFrame([("s", "ndcg", 2, 0.5)], "strategy_id string, metric_name string, cases long, mean double")
     f = spark.createDataFrame([("s", "ndcg", "below_minimum")], "strategy_id string, metric_name string, failure string")
     assert "| ndcg | 2 | 0.500000 |" in report_markdown(a, f).first().markdown
+    d = spark.createDataFrame([("s", 7, "ndcg", -0.25), ("s", 8, "ndcg", 0.5)], "baseline_id string, case_id long, metric_name string, delta double")
+    text = report_markdown(a, f, d).first().markdown
+    assert text.endswith("Failures:\n\n- ndcg: below_minimum\n\nRegressions:\n\n- 7, ndcg: -0.250000")
+
+
+def test_suite_files_with_faults(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"suite_id": "s", "suite_version": "1", "cases": [3], "more": null}')
+    (tmp_path / "broken.json").write_text("{")
+    out = suite_faults(read_documents(spark, str(tmp_path))).collect()
+    assert sorted((r.file.rsplit("/", 1)[-1], r.code, r.subject) for r in out) == [("bad.json", "SUITE_UNEXPECTED_FIELD", "suite.more"), ("bad.json", "SUITE_WRONG_TYPE", "suite.cases[0]"), ("broken.json", "SUITE_MALFORMED", "suite")]
 
 
 def test_text_units_and_spans(spark):
