@@ -18,6 +18,8 @@ from .tokens import arrow_type, id_type, read_ranks, slices
 NONE = np.int64(1) << 62
 #: Words that a worker remembers.
 REMEMBERED = 600_000
+#: Characters of the longest word whose ids are remembered behind its batch.
+LONGEST = 64
 #: Trees of words up to so many bytes are merged side by side.
 SIDE_BY_SIDE = 256
 
@@ -220,7 +222,10 @@ class ByteBpe:
             self.known.clear()
         known = self.known.__getitem__
         parts = [list(map(known, self.words(t))) for t in texts]
+        long = [word for word in self.known.new if len(word) > LONGEST]
         self.learn()
+        for word in long:  # seldom seen again, and of any length
+            del self.known[word]
         return [list(chain.from_iterable(p)) for p in parts]
 
     def decode(self, ids: list[int]) -> bytes:
@@ -239,7 +244,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
     ``ids_sha256`` is the digest of the decimal ids joined by a space, ``decoded_sha256`` that of the bytes that the ids
     decode to: the digest of the text itself, as byte-level BPE loses nothing. Every match of ``pattern`` is encoded
     separately; special tokens have no meaning. Rows are encoded where they are read, without a shuffle; a worker
-    remembers the ids of at most ``REMEMBERED`` words. A word of n bytes takes O(n log n).
+    remembers the ids of at most ``REMEMBERED`` words, none of more than ``LONGEST`` characters. A word of n bytes takes O(n log n).
 
     Null and empty texts have no ids. Repeated rows are encoded each on its own. Of equal ranks the leftmost pair merges
     first. A very long text is encoded whole, in memory of its task. An empty table gives no rows. Other columns are

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import encode_documents
-from .common import table
+from .common import shared_folder, table
 from .exact_dedup import exact_dedup
 from .hard_negatives import hard_negatives
 from .language_id import language_id
@@ -19,7 +20,7 @@ from .packing import pack
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
 from .spelling import corpus_variants
-from .token_counts import token_counts, write_token_blocks
+from .token_counts import count_documents, write_token_files
 from .url_filter import url_filter
 from .vector_dedup import vector_dedup
 
@@ -51,10 +52,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as flat token files, one for each partition read, and the counts found in their blocks."""
-    blocks = write_token_blocks(table(spark, sf_dir, "documents"), VOCABULARY, RANKS, public_tokenizers.PATTERN)
-    counts = token_counts(blocks)
-    return counts.select(F.col("name").alias("doc_id"), "file", "ordinal", "start", "n_tokens", "ended")
+    """The documents as flat token files in the shared folder, one for each partition read, and the counts found in them."""
+    folder = f"{shared_folder(spark)}/tokens/{uuid.uuid4().hex}"
+    names = write_token_files(table(spark, sf_dir, "documents"), folder, VOCABULARY, RANKS, public_tokenizers.PATTERN)
+    counts = count_documents(spark, names, folder)
+    return counts.select(F.col("name").alias("doc_id"), F.col("part").alias("file"), "ordinal", "start", "n_tokens", "ended")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,51 +40,53 @@ def read_token_files(spark: SparkSession, path: str, bits: int = 16, block: int
     return parts.repartition("path", "block").mapInArrow(ranges, "file string, block long, data binary")
 
 
-def write_token_blocks(
-    docs: DataFrame, vocabulary: str, ranks: str, pattern: str, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text", bits: int = 16, block: int = BLOCK
+def write_token_files(
+    docs: DataFrame, folder: str, vocabulary: str, ranks: str, pattern: str, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text", bits: int = 16,
 ) -> DataFrame:
-    """Blocks (file, block, data, names) of flat token files, one file per partition of ``docs``.
+    """Flat token files below ``folder``, one for each partition of ``docs``; returns their names (file, part, ordinal, name).
 
-    A file holds the ids of its documents one after the other, each document ended by ``end_id``; blocks cut it
-    wherever they are full. ``names`` lists the ids of the documents that end in the block, in their order: the
-    list of names that belongs to a file, not an index of places. Special strings of a text are ordinary text, so
-    ``end_id`` occurs at ends only.
+    A file holds the ids of its documents one after the other, each document ended by ``end_id``, and nothing else: no index,
+    no lengths. ``name`` is the id of the ordinal-th document of a file, ``part`` the file's name without the attempt.
+    Special strings of a text are ordinary text, so ``end_id`` occurs at ends only. A task that is repeated writes a
+    file of its own; only files that the returned table names are complete. Files go through ``pyarrow`` to any
+    file system that driver and executors share.
     """
     kind = id_type(docs, id_col)
-    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("data", pa.binary()), ("names", pa.list_(arrow_type(kind)))])
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file = f"part-{TaskContext.get().partitionId():08d}"
-        held, names, ends, size, k = [], [], [], 0, 0
-
-        def full(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, names, ends, size, k
-            flat = np.concatenate(held) if held else little_endian([], bits)
-            at, named = 0, 0
-            while len(flat) - at >= block or last and len(flat) > at:
-                stop = min(at + block, len(flat))
-                upto = int(np.searchsorted(ends, stop, side="right"))
+    schema = pa.schema([("file", pa.string()), ("part", pa.string()), ("ordinal", pa.int64()), ("name", arrow_type(kind))])
+    system, inner = FileSystem.from_uri(folder)
+    system.create_dir(inner)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = f"part-{TaskContext.get().partitionId():08d}"
+        file, out, ordinal = f"{part}-{uuid.uuid4().hex}", None, 0
+        system, inner = FileSystem.from_uri(folder)
+        try:
+            for names, texts in slices(batches):
+                out = out or system.open_output_stream(f"{inner}/{file}")
+                for ids in token_ids(texts, vocabulary, ranks, pattern, specials=False):
+                    out.write(little_endian([*ids, end_id], bits).tobytes())
+                n = len(names)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([file]), pa.array([k], pa.int64()), pa.array([flat[at:stop].tobytes()], pa.binary()),
-                        pa.array([names[named:upto]], schema.field(3).type),
-                    ], schema=schema
+                    [pa.array([file] * n), pa.array([part] * n), pa.array(range(ordinal, ordinal + n), pa.int64()), pa.array(names, schema.field(3).type)], schema=schema,
                 )
-                at, named, k = stop, upto, k + 1
-            held, names, ends, size = [flat[at:]], names[named:], [e - at for e in ends[named:]], len(flat) - at
-
-        for some, texts in slices(batches):
-            for name, ids in zip(some, token_ids(texts, vocabulary, ranks, pattern, specials=False), strict=True):
-                held.append(little_endian([*ids, end_id], bits))
-                size += len(ids) + 1
-                names.append(name)
-                ends.append(size)
-            if size >= block:
-                yield from full(last=False)
-        yield from full(last=True)
+                ordinal += n
+        finally:
+            if out is not None:
+                out.close()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(stream, f"file string, block long, data binary, names array<{kind}>")
+    return cut(rows.mapInArrow(write, f"file string, part string, ordinal long, name {kind}"))
+
+
+def count_documents(spark: SparkSession, names: DataFrame, folder: str, end_id: int = 50256, bits: int = 16, block: int = BLOCK) -> DataFrame:
+    """(name, part, ordinal, start, n_tokens, ended) of the documents in the files that :func:`write_token_files` wrote.
+
+    The files are read by byte ranges and searched (:func:`token_counts`); names are joined by file and ordinal
+    afterwards. Which file a document is in, and so its ordinal and start, depends on how the input was split.
+    """
+    blocks = read_token_files(spark, folder, bits, block).withColumn("file", F.element_at(F.split("file", "/"), -1))
+    blocks = blocks.join(names.select("file").distinct(), "file", "left_semi")
+    return token_counts(blocks, end_id, bits).join(names, ["file", "ordinal"]).select("name", "part", "ordinal", "start", "n_tokens", "ended")
 
 
 def token_counts(blocks: DataFrame, end_id: int = 50256, bits: int = 16) -> DataFrame:

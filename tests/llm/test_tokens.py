@@ -1,15 +1,18 @@
 import hashlib
+import uuid
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyarrow.fs import FileSystem
 from tokenizers import Tokenizer
 
-from gleanery.llm.byte_bpe import ByteBpe, decode_documents, encode_documents, merge_one, merge_side_by_side
+from gleanery.llm.byte_bpe import ByteBpe, byte_bpe, decode_documents, encode_documents, merge_one, merge_side_by_side
+from gleanery.llm.common import shared_folder
 from gleanery.llm.packing import binary_pieces, pack, write_buckets
-from gleanery.llm.token_counts import read_token_files, token_counts, write_token_blocks
+from gleanery.llm.token_counts import count_documents, read_token_files, token_counts, write_token_files
 from gleanery.llm.tokens import read_ranks
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -93,19 +96,40 @@ def test_encode_and_decode_documents(spark):
     assert encode_documents(docs(spark, []), RANKS, P.PATTERN).count() == 0
 
 
-@pytest.mark.parametrize("block", [1, 7, 100, 1 << 18])
+@pytest.mark.parametrize("block", [7, 100, 1 << 18])
 def test_token_counts_over_block_borders(spark, block):
     rows = [(i, t) for i, t in TEXTS if i in (1, 2, 3, 4, 5, None)]
-    blocks = write_token_blocks(docs(spark, rows).repartition(2), JSON, RANKS, P.PATTERN, block=block)
-    found = token_counts(blocks.repartition(3)).collect()
+    folder = f"{shared_folder(spark)}/flat-{block}-{uuid.uuid4().hex}"
+    names = write_token_files(docs(spark, rows).repartition(2), folder, JSON, RANKS, P.PATTERN)
+    # What an attempt that failed has left is not counted.
+    orphan = FileSystem.from_uri(folder)
+    with orphan[0].open_output_stream(f"{orphan[1]}/part-00000000-dead") as out:
+        out.write(np.array([7, 50256, 8], dtype="<u2").tobytes())
+    found = count_documents(spark, names, folder, block=block).collect()
+    assert all(r.ended for r in found)
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
     assert {(r.name, r.n_tokens) for r in found} == {(i, len(library.encode_ordinary(t or "")) + 1) for i, t in rows}
-    for file in {r.file for r in found}:
-        own = sorted((r for r in found if r.file == file), key=lambda r: r.ordinal)
+    for file in {r.part for r in found}:
+        own = sorted((r for r in found if r.part == file), key=lambda r: r.ordinal)
         assert [r.ordinal for r in own] == list(range(len(own)))
         assert [r.start for r in own] == [sum(x.n_tokens for x in own[:k]) for k in range(len(own))]
 
 
+def test_no_documents_give_no_files(spark):
+    folder = f"{shared_folder(spark)}/flat-none-{uuid.uuid4().hex}"
+    names = write_token_files(docs(spark, []), folder, JSON, RANKS, P.PATTERN)
+    assert names.count() == 0 == count_documents(spark, names, folder).count()
+
+
+def test_long_words_are_not_remembered():
+    bpe = byte_bpe(RANKS, P.PATTERN)
+    long = "Ab3" * 20_000
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    for _ in range(2):
+        assert bpe.encode([f"a {long} b {long}", "short"]) == [library.encode_ordinary(f"a {long} b {long}"), library.encode_ordinary("short")]
+        assert max(map(len, bpe.known)) <= 65
+
+
 def test_token_counts_of_flat_files(spark, tmp_path):
     np.array([5, 6, 50256, 50256, 7, 8, 9], dtype="<u2").tofile(tmp_path / "a.bin")
     np.array([50256], dtype="<u2").tofile(tmp_path / "b.bin")
