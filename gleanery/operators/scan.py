@@ -346,29 +346,61 @@ def artifact_fingerprint(files: DataFrame, include_timestamp: bool = False) -> D
     return rows.withColumn("fingerprint", F.concat(F.lit("artifact_sha256_"), F.sha2(text, 256)))
 
 
-def project_fingerprint(artifacts: DataFrame, ordering: str = "ordered", schema: str = "v1") -> DataFrame:
-    """(project_id, project_fingerprint): the digest of all artifact components of a project in fixed JSON payloads.
+def _component() -> Column:
+    text = F.concat_ws("|", "path", "kind", F.array_join("classifications", ","), "availability", "fingerprint")
+    return F.regexp_replace(text, "\r\n?", "\n")
+
+
+def _block_of(key: Column) -> Column:
+    return F.substring(F.sha2(key, 256), 1, BLOCK_DIGITS)
+
+
+def _payload_digest(kind: str, rows: Column, ordering: str, schema: str) -> Column:
+    """The digest of the values of rows (k, v), in their order, in a fixed JSON payload."""
+    payload = F.struct(
+        F.lit(schema).alias("fingerprint_schema"), F.lit(kind).alias("fingerprint_type"), F.lit("lf").alias("line_endings"),
+        F.lit(ordering).alias("ordering"), F.transform(F.array_sort(rows), lambda s: s["v"]).alias("values"),
+    )
+    return F.sha2(F.to_json(payload), 256)
+
+
+def block_digests(artifacts: DataFrame, ordering: str = "ordered", schema: str = "v1") -> DataFrame:
+    """(project_id, k, v): the digest of each block of a project's components; k is the block's key.
 
     Components fall into blocks by the digest of their path (of themselves, if unordered). A block's digest is
-    that of its components in the order of path (sorted, if unordered); the project's is that of its block digests in
-    the order of blocks. So no task gathers a project, however many files it has. Line ends become line feeds.
+    that of its components in the order of path (sorted, if unordered). Line ends become line feeds.
     """
-    lf = lambda c: F.regexp_replace(c, "\r\n?", "\n")
-    component = lf(F.concat_ws("|", "path", "kind", F.array_join("classifications", ","), "availability", "fingerprint"))
+    component = _component()
     rows = artifacts.select("project_id", component.alias("v"), (F.col("path") if ordering == "ordered" else component).alias("k"))
-    digest = lambda kind, values: F.sha2(
-        F.to_json(
-            F.struct(
-                F.lit(schema).alias("fingerprint_schema"), F.lit(kind).alias("fingerprint_type"),
-                F.lit("lf").alias("line_endings"), F.lit(ordering).alias("ordering"),
-                F.transform(values, lambda s: s["v"]).alias("values"),
-            )
-        ),
-        256,
-    )
-    listed = F.array_sort(F.collect_list(F.struct("k", "v")))
-    blocks = rows.groupBy("project_id", F.substring(F.sha2("k", 256), 1, BLOCK_DIGITS).alias("k")).agg(digest("block", listed).alias("v"))
-    return blocks.groupBy("project_id").agg(F.concat(F.lit("project_sha256_"), digest("project", listed)).alias("project_fingerprint"))
+    listed = _payload_digest("block", F.collect_list(F.struct("k", "v")), ordering, schema)
+    return rows.groupBy("project_id", _block_of(F.col("k")).alias("block")).agg(listed.alias("v")).select("project_id", F.col("block").alias("k"), "v")
+
+
+def update_block_digests(blocks: DataFrame, artifacts: DataFrame, changes: DataFrame, schema: str = "v1") -> DataFrame:
+    """The :func:`block_digests` (ordered) of ``artifacts``, the current ones, from those of the version before.
+
+    ``changes`` (project_id, path, change) come from :func:`diff_snapshots`. Only blocks with a path that isn't reused are
+    hashed again; artifacts of other blocks go no further than the key of their block. Blocks left empty vanish.
+    """
+    keys = ["project_id", "k"]
+    touched = changes.filter("change <> 'reused'").select("project_id", _block_of(F.col("path")).alias("k")).distinct()
+    rows = artifacts.withColumn("k", _block_of(F.col("path"))).join(touched, keys, "left_semi").drop("k")
+    return blocks.join(touched, keys, "left_anti").unionByName(block_digests(rows, "ordered", schema))
+
+
+def combined_fingerprint(blocks: DataFrame, ordering: str = "ordered", schema: str = "v1") -> DataFrame:
+    """(project_id, project_fingerprint): the digest of a project's block digests in the order of blocks."""
+    digest = _payload_digest("project", F.collect_list(F.struct("k", "v")), ordering, schema)
+    return blocks.groupBy("project_id").agg(F.concat(F.lit("project_sha256_"), digest).alias("project_fingerprint"))
+
+
+def project_fingerprint(artifacts: DataFrame, ordering: str = "ordered", schema: str = "v1") -> DataFrame:
+    """(project_id, project_fingerprint): the digest of all artifact components of a project in fixed JSON payloads.
+
+    It is the digest of block digests (:func:`block_digests`), so no task gathers a project, however many files it has; kept
+    ones can be brought up to date by the changed files alone (:func:`update_block_digests`).
+    """
+    return combined_fingerprint(block_digests(artifacts, ordering, schema), ordering, schema)
 
 
 #: Hexadecimal digits that choose a component's block: 4,096 blocks of a project.

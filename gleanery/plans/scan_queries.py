@@ -123,19 +123,33 @@ def _(spark, sf_dir):
     return scan.artifact_fingerprint(views.artifacts(spark, sf_dir)).select("doc_id", "content_fingerprint", "fingerprint")
 
 
-@query("project_fingerprint", with_views(["artifacts"], f"""
+_PROJECTS = f"""
 c AS (SELECT project_id, path, path || '|file|all|available|' || {_FINGERPRINT} AS v FROM artifacts),
 b AS (SELECT project_id, substr(sha256(path), 1, 3) AS k, list(v ORDER BY path, v) AS vs FROM c GROUP BY 1, 2),
 h AS (SELECT project_id, k,
   sha256('{{"fingerprint_schema":"v1","fingerprint_type":"block","line_endings":"lf","ordering":"ordered","values":["' ||
   array_to_string(vs, '","') || '"]}}') AS v FROM b),
 g AS (SELECT project_id, list(v ORDER BY k, v) AS vs FROM h GROUP BY project_id)
-SELECT project_id, 'project_sha256_' || sha256('{{"fingerprint_schema":"v1","fingerprint_type":"project","line_endings":"lf","ordering":"ordered","values":["' || array_to_string(vs, '","') || '"]}}') AS project_fingerprint FROM g"""))
-def _(spark, sf_dir):
-    rows = scan.artifact_fingerprint(views.artifacts(spark, sf_dir)).withColumns(
+SELECT project_id, 'project_sha256_' || sha256('{{"fingerprint_schema":"v1","fingerprint_type":"project","line_endings":"lf","ordering":"ordered","values":["' || array_to_string(vs, '","') || '"]}}') AS project_fingerprint FROM g"""
+
+
+def _components(rows):
+    return scan.artifact_fingerprint(rows).withColumns(
         {"kind": F.lit("file"), "classifications": F.array(F.lit("all")), "availability": F.lit("available")}
     )
-    return scan.project_fingerprint(rows)
+
+
+@query("project_fingerprint", with_views(["artifacts"], _PROJECTS))
+def _(spark, sf_dir):
+    return scan.project_fingerprint(_components(views.artifacts(spark, sf_dir)))
+
+
+@query("updated_project_fingerprint", with_views(["snapshot_current"], _PROJECTS.replace("FROM artifacts", "FROM snapshot_current")))
+def _(spark, sf_dir):
+    """The current fingerprint from the block digests of the version before and the files that changed."""
+    before, now = (_components(views.snapshot(spark, sf_dir, w)).withColumn("scanner_version", F.lit(views.SCANNER)) for w in ("previous", "current"))
+    blocks = scan.update_block_digests(scan.block_digests(before), now, scan.diff_snapshots(before, now))
+    return scan.combined_fingerprint(blocks)
 
 
 @query("scan_statistics", with_views(["artifacts"], f"""{_IGNORED},
