@@ -9,13 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def stated(df: DataFrame, most: int, what: str) -> DataFrame:
-    """``df`` marked for broadcast, as a stated set of at most ``most`` rows; with more it raises: use blocks of it."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} {what} at once: run them in blocks")
-    return F.broadcast(df)
-
-
 def in_blocks(df: DataFrame, most: int, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows that ``use`` gives for each block of ``df``, marked for broadcast.
 

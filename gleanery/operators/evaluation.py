@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sets import stated
+from ..functions.sets import in_blocks
 from ..functions.text import token_estimate
 from .budget import greedy
 
@@ -23,12 +23,10 @@ def _gain(relevance: Column) -> Column:
 def judged(judgments: DataFrame, selections: DataFrame, strategies: DataFrame) -> DataFrame:
     """One row per case and strategy with the counts that all metrics need.
 
-    ``strategies`` (strategy_id) is a short list; every case is measured under each of them, also without a selection.
+    ``strategies`` (strategy_id) go to the judgments in blocks; every case is measured under each of them, also without a selection.
     A single pass: judgments spread over the strategies, joined to the selections by path, aggregated once.
     """
-    gold = judgments.crossJoin(
-        stated(strategies.select("strategy_id").distinct(), 1_000, "strategies")
-    ).join(selections.select(*CASE, "path", "rank"), [*CASE, "path"], "left")
+    gold = in_blocks(strategies.select("strategy_id").distinct(), 1_000, judgments.crossJoin).join(selections.select(*CASE, "path", "rank"), [*CASE, "path"], "left")
     has = F.col("rank").isNotNull()
     level = lambda name: F.col("relevance") == name
     sums = gold.groupBy(*CASE).agg(

@@ -137,18 +137,20 @@ def _metrics(spark, sf_dir):
     return e.retrieval_metrics(judgments, _selections(spark, sf_dir, judgments), _strategies(spark))
 
 
-def _metric(name: str, metric: str):
-    @query(name, with_views(JUDGED, f"{_METRICS} SELECT case_id, strategy_id, round(value, 6) AS value FROM mt WHERE metric_name = '{metric}'"))
+def _metric(name: str, *metrics: str):
+    named = ", ".join(f"'{m}'" for m in metrics)
+
+    @query(name, with_views(JUDGED, f"{_METRICS} SELECT case_id, strategy_id, metric_name, round(value, 6) AS value FROM mt WHERE metric_name IN ({named})"))
     def _(spark, sf_dir):
-        return _metrics(spark, sf_dir).filter(F.col("metric_name") == metric).select("case_id", "strategy_id", F.round("value", 6).alias("value"))
+        return _metrics(spark, sf_dir).filter(F.col("metric_name").isin(*metrics)).withColumn("value", F.round("value", 6))
 
 
-for _name, _m in (
-    ("recall_by_level", "required-artifact-recall"), ("judged_precision", "judged-precision"),
-    ("recall_at_k", "recall-at-3"), ("reciprocal_rank", "reciprocal-rank"), ("ndcg", "ndcg"),
+for _name, *_m in (
+    ("recall_by_level", "required-artifact-recall", "supporting-artifact-recall"), ("judged_precision", "judged-precision"),
+    ("recall_at_k", "recall-at-1", "recall-at-3", "recall-at-5"), ("reciprocal_rank", "reciprocal-rank"), ("ndcg", "ndcg"),
     ("complete_evidence", "complete-evidence"),
 ):
-    _metric(_name, _m)
+    _metric(_name, *_m)
 
 
 @query("primary_selections", with_views(JUDGED, f"{_SELECTIONS} SELECT * FROM sel"))
