@@ -84,8 +84,8 @@ def _by_part(index: TextIndex, partial: DataFrame) -> DataFrame:
     return found.unionByName(heads.join(little, "part").select("phrase", "token"))
 
 
-def candidates(index: TextIndex, phrases: DataFrame) -> DataFrame:
-    """(id, phrase, sure): texts that may hold a phrase with a letter or digit; those that are ``sure`` do.
+def candidates(index: TextIndex, phrases: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, phrase, sure): texts (of ``ids``, if given) that may hold a phrase with a letter or digit; those that are ``sure`` do.
 
     * A letter or digit run that stands between other characters of the phrase is a whole token of any text with the
       phrase. Of these the rarest is the phrase's key.
@@ -103,7 +103,9 @@ def candidates(index: TextIndex, phrases: DataFrame) -> DataFrame:
     partial = asked.filter((F.size("inner") == 0) & (F.size("runs") > 0)).select("phrase", longest.alias("part"))
     keyed = whole.unionByName(_by_part(index, partial)).distinct()
     sure = F.col("phrase").rlike(f"^{TOKEN}$") & (F.length("phrase") <= LONG)
-    return index.occurrences.select("id", "token").join(keyed, "token").select("id", "phrase").distinct().withColumn("sure", sure)
+    held = index.occurrences.select("id", "token")
+    held = held if ids is None else held.join(ids, "id", "left_semi")
+    return held.join(keyed, "token").select("id", "phrase").distinct().withColumn("sure", sure)
 
 
 def verified(found: DataFrame, texts: DataFrame) -> DataFrame:
@@ -116,6 +118,12 @@ def verified(found: DataFrame, texts: DataFrame) -> DataFrame:
     return found.filter("sure").unionByName(tested.select(*found.columns)).drop("sure")
 
 
+def marked_texts(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(id, phrase) for the phrases without letters and digits that are part of the texts; phrases are sent in blocks."""
+    marks = phrases.select("phrase").distinct().filter(~F.col("phrase").rlike(TOKEN))
+    return in_blocks(marks, MOST_MARKS, lambda block: texts.join(block, F.contains("text", "phrase"))).select("id", "phrase").distinct()
+
+
 def containing(texts: DataFrame, phrases: DataFrame, index: TextIndex | None = None) -> DataFrame:
     """(id, phrase) for the ``phrases`` (phrase) that are part of the ``texts`` (id, text), each pair once.
 
@@ -125,7 +133,4 @@ def containing(texts: DataFrame, phrases: DataFrame, index: TextIndex | None = N
     texts in blocks. Null texts and phrases are in no pair.
     """
     out = verified(candidates(index or text_index(texts), phrases), texts).select("id", "phrase")
-    marks = phrases.select("phrase").distinct().filter(~F.col("phrase").rlike(TOKEN))
-    return out.unionByName(
-        in_blocks(marks, MOST_MARKS, lambda block: texts.join(block, F.contains("text", "phrase"))).select("id", "phrase").distinct()
-    )
+    return out.unionByName(marked_texts(texts, phrases))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.search import TextIndex, candidates, containing, text_index, token_key, verified
+from ..functions.search import TextIndex, candidates, containing, marked_texts, text_index, token_key, verified
 from ..functions.sets import in_blocks
 from ..functions.shared import checkpointed, written
 from ..functions.text import TOKEN, fold, quoted, token_estimate
@@ -131,15 +131,16 @@ def lexical_rank(tasks: DataFrame, units: DataFrame, k: int | None = None, index
         others = tasks.select("task_id").join(edge.filter("edge > 0"), "task_id", "left_anti")
 
     def wanted(found: DataFrame) -> DataFrame:
-        """Of (task_id, unit_id): those that the bound leaves."""
+        """Of rows with task_id and unit_id: those that the bound leaves."""
         if others is None:
             return found
-        return found.join(hits.select(*keys), keys, "left_semi").unionByName(found.join(others, "task_id", "left_semi")).distinct()
+        marked = found.join(hits.select(*keys, F.lit(True).alias("__hit")), keys, "left").join(others.withColumn("__open", F.lit(True)), "task_id", "left")
+        return marked.filter(F.coalesce("__hit", "__open", F.lit(False))).drop("__hit", "__open")
 
-    paths = units.select("path").distinct().select(F.col("path").alias("id"), fold(F.col("path")).alias("text"))
+    places = written(units.select("unit_id", "path"))
+    paths = places.select("path").distinct().select(F.col("path").alias("id"), fold(F.col("path")).alias("text"))
     by_path = containing(paths, asked.select(F.col("term").alias("phrase")).distinct())
     by_path = by_path.select(F.col("id").alias("path"), F.col("phrase").alias("term")).join(asked, "term").select("task_id", "path").distinct()
-    places = units.select("unit_id", "path")
     if others is None:
         by_path = by_path.join(places, "path").select(*keys)
     else:
@@ -147,12 +148,12 @@ def lexical_rank(tasks: DataFrame, units: DataFrame, k: int | None = None, index
         by_path = some.unionByName(by_path.join(others, "task_id", "left_semi").join(places, "path").select(*keys)).distinct()
     phrases = tasks.select("task_id", F.explode(F.transform(quoted(F.col("task_text")), fold)).alias("phrase"))
     spoken = phrases.filter(F.col("phrase").rlike(TOKEN))
-    maybe = candidates(index, spoken).join(phrases, "phrase").select("task_id", F.col("id").alias("unit_id"), "phrase", "sure")
-    if others is not None:
-        maybe = maybe.join(wanted(maybe.select(*keys)), keys, "left_semi")
+    # Where every task has its k-th best, only the units that are left are searched.
+    some = hits.select(F.col("unit_id").alias("id")).distinct() if others is not None and others.isEmpty() else None
+    maybe = wanted(candidates(index, spoken, some).join(phrases, "phrase").select("task_id", F.col("id").alias("unit_id"), "phrase", "sure"))
     by_phrase = verified(maybe.withColumnRenamed("unit_id", "id"), texts).select("task_id", F.col("id").alias("unit_id"))
     marks = phrases.filter(~F.col("phrase").rlike(TOKEN)).select("phrase")
-    by_mark = containing(texts, marks, index).join(phrases, "phrase").select("task_id", F.col("id").alias("unit_id"))
+    by_mark = marked_texts(texts, marks).join(phrases, "phrase").select("task_id", F.col("id").alias("unit_id"))
     by_phrase = by_phrase.unionByName(wanted(by_mark)).distinct()
     found = hits.join(by_path.withColumn("in_path", F.lit(True)), keys, "full_outer").join(by_phrase.withColumn("in_phrase", F.lit(True)), keys, "full_outer")
     score = F.coalesce("base", F.lit(0.0)) + F.when(F.col("in_phrase"), PHRASE).otherwise(0.0) + F.when(F.col("in_path"), PATH).otherwise(0.0)

@@ -50,18 +50,6 @@ def test_entry_module_without_the_llm_subpackage(monkeypatch):
     assert set(__spark_entry__.oracle_sql()) == set(ORACLE_SQL)
 
 
-def test_entry_module_without_a_library_of_the_llm_subpackage(monkeypatch):
-    import sys
-
-    import __spark_entry__
-
-    for name in [m for m in sys.modules if m.startswith("gleanery.llm") or m == "corpus_pipeline"]:
-        monkeypatch.delitem(sys.modules, name)
-    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
-    with pytest.warns(UserWarning):
-        assert set(__spark_entry__.queries()) == set(QUERIES)
-
-
 def test_no_product_without_a_broadcast_side(spark):
     for name in ("lexical_rank", "score_units", "retrieval_metrics"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
