@@ -84,3 +84,16 @@ def test_each_operator_has_one_query(number):
 
 def test_sql_belongs_to_queries():
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_entry_module_without_a_library_of_this_subpackage(monkeypatch):
+    import sys
+
+    import __spark_entry__
+    from gleanery.plans.registry import QUERIES as CORE
+
+    for name in [m for m in sys.modules if m.startswith("gleanery.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    with pytest.warns(UserWarning):
+        assert set(__spark_entry__.queries()) == set(CORE)
