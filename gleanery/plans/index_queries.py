@@ -310,18 +310,14 @@ def _(spark, sf_dir):
     return symbols.join(parents, "parent_symbol_id", "left").select("qualified_name", "kind", "parent")
 
 
-def _edges(spark, sf_dir):
-    parsed = code.parse_python(_sources(spark, sf_dir))
-    symbols = code.python_symbols(parsed, views.NAMESPACE)
-    return code.python_edges(parsed, symbols, views.NAMESPACE), symbols
-
-
 @query(
     "python_edges",
     "SELECT 'pkg/part_' || p_partkey || '.py' AS path, kind, resolution, n FROM part, (VALUES ('contains', 'resolved_internal', 3), ('defines', 'resolved_internal', 3), ('imports', 'unresolved', 2), ('depends_on', 'unresolved', 2), ('references', 'unresolved', 5)) v(kind, resolution, n) WHERE p_partkey % 50 <> 0",
 )
 def _(spark, sf_dir):
-    return _edges(spark, sf_dir)[0].groupBy("path", "kind", "resolution").agg(F.count(F.lit(1)).alias("n"))
+    parsed = code.parse_python(_sources(spark, sf_dir))
+    edges = code.python_edges(parsed, code.python_symbols(parsed, views.NAMESPACE), views.NAMESPACE)
+    return edges.groupBy("path", "kind", "resolution").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -1,7 +1,11 @@
 """Symbols and edges that follow changes equal those of a full build."""
 
+import ast
 import random
+from collections import Counter
+from pathlib import Path
 
+import gleanery.plans
 from gleanery.operators import code
 from gleanery.sources.snapshots import read_latest_snapshot
 from gleanery.streaming.incremental import follow_code
@@ -64,3 +68,10 @@ def test_a_stream_of_versions_equals_a_full_build(spark, tmp_path):
     symbols, edges = full(spark, now)
     for kind, expected in (("symbols", symbols), ("edges", edges)):
         assert rows(read_latest_snapshot(spark, root, kind), SEEN[kind]) == rows(expected, SEEN[kind])
+
+
+def test_no_helper_of_the_queries_is_defined_twice():
+    """A second helper of the same name would be taken by the queries of the first, as happened to python_edges."""
+    for file in Path(gleanery.plans.__file__).parent.glob("*.py"):
+        names = Counter(node.name for node in ast.parse(file.read_text()).body if isinstance(node, ast.FunctionDef))
+        assert [name for name, n in names.items() if n > 1 and name != "_"] == [], file.name
