@@ -19,11 +19,12 @@ from .tokens import arrow_type, id_type, little_endian, slices, token_ids
 BLOCK = 1 << 18
 
 
-def read_token_files(spark: SparkSession, path: str, bits: int = 16, block: int = BLOCK) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, bits: int = 16, block: int = BLOCK, names: DataFrame | None = None) -> DataFrame:
     """Blocks (file, block, data) of flat files of little-endian unsigned ids, without any index.
 
     Files are listed with their lengths, not read; each task then reads the byte ranges of its blocks, so a file of any
-    size is read by many tasks and no task holds more than a block of it. Empty files have no block.
+    size is read by many tasks and no task holds more than a block of it. Empty files have no block. With ``names``
+    (column ``file``), only files of these names are read; no bytes of a file are shuffled.
     """
     step = block * bits // 8
 
@@ -36,8 +37,12 @@ def read_token_files(spark: SparkSession, path: str, bits: int = 16, block: int
                 yield pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([k], pa.int64()), "data": pa.array([data], pa.binary())})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").filter("length > 0")
+    if names is not None:
+        files = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(names.select("file").distinct(), "file", "left_semi")
     parts = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))).alias("block"), "length")
-    return parts.repartition("path", "block").mapInArrow(ranges, "file string, block long, data binary")
+    # A fixed number of tasks: by the size of their rows, which are paths, all blocks would be merged into one.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(tasks, "path", "block").mapInArrow(ranges, "file string, block long, data binary")
 
 
 def write_token_files(
@@ -84,8 +89,7 @@ def count_documents(spark: SparkSession, names: DataFrame, folder: str, end_id:
     The files are read by byte ranges and searched (:func:`token_counts`); names are joined by file and ordinal
     afterwards. Which file a document is in, and so its ordinal and start, depends on how the input was split.
     """
-    blocks = read_token_files(spark, folder, bits, block).withColumn("file", F.element_at(F.split("file", "/"), -1))
-    blocks = blocks.join(names.select("file").distinct(), "file", "left_semi")
+    blocks = read_token_files(spark, folder, bits, block, names).withColumn("file", F.element_at(F.split("file", "/"), -1))
     return token_counts(blocks, end_id, bits).join(names, ["file", "ordinal"]).select("name", "part", "ordinal", "start", "n_tokens", "ended")
 
 

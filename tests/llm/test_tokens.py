@@ -140,6 +140,16 @@ def test_token_counts_of_flat_files(spark, tmp_path):
     ]
 
 
+def test_unnamed_files_are_not_read_and_blocks_are_not_shuffled(spark, tmp_path):
+    for name in ("a.bin", "b.bin"):
+        np.arange(1_000, dtype="<u2").tofile(tmp_path / name)
+    found = read_token_files(spark, str(tmp_path), block=100, names=spark.createDataFrame([("a.bin",)] * 2, "file string"))
+    assert sorted((r.file[-5:], r.block, len(r.data)) for r in found.collect()) == [("a.bin", k, 200) for k in range(10)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow") and plan.index("MapInArrow") < plan.index("Join LeftSemi")
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_documents_of_many_blocks(spark, tmp_path):
     """A file of one long document between short ones, with more blocks than separators."""
     ids = np.concatenate(([1, 2, 50256], np.arange(300_000) % 50_000, [50256, 3, 50256])).astype("<u2")
