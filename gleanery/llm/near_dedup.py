@@ -174,11 +174,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("common") >= percent * (F.col("nx") + F.col("ny") - F.col("common"))).select("a", "b")
 
 
-def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of the classes in ``wanted``, from the text of one document of each.
+def _only(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``column`` is in ``keys``, a written table of that column without repeats.
 
-    A Bloom filter, sized by their number up to a limit, drops most other documents before their text is shuffled.
+    A Bloom filter, sized by their number up to a limit, drops most other rows before they are shuffled. The exact join is an
+    inner one: Spark would move a semi join below the filter, and shuffle all rows.
     """
+    blocks = sized(keys)
+    key = F.col(column).cast("string").alias("key")
+    near = may_contain(rows.select("*", key), bloom_filter(keys.select(key), blocks), blocks)
+    return near.drop("key").join(keys, column)
+
+
+def _full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the ``classes``, a written table, from the text of one document of each."""
     schema = pa.schema([("set_hash", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,14 +199,9 @@ def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: in
                 schema=schema,
             )
 
-    named = cut(classes.join(wanted, "node", "left_semi").select("node", "set_hash", "doc_id"))
-    blocks = sized(named)
-    key = F.col("doc_id").cast("string").alias("key")
-    near = may_contain(docs.select("doc_id", "text", key), bloom_filter(named.select(key), blocks), blocks)
-    made = near.select("doc_id", "text").join(
-        named.select("doc_id").distinct(), "doc_id", "left_semi",
-    ).mapInArrow(shingle, "set_hash binary, shingles array<long>")
-    return made.join(named.select("node", "set_hash"), "set_hash").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    texts = _only(docs.select("doc_id", "text"), "doc_id", cut(classes.select("doc_id").distinct())).select("doc_id", "text")
+    made = texts.mapInArrow(shingle, "set_hash binary, shingles array<long>")
+    return made.join(classes.select("node", "set_hash"), "set_hash").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -289,15 +293,17 @@ def near_dedup(
     values = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * rows + 1, F.lit(rows))))
     placed = classes.select("node", F.explode(values).alias("bucket"))
     sizes = cut(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = placed.join(sizes, "bucket")
+    members = _only(placed, "bucket", sizes)
     # How many others a class meets: most for the one that differs least from the rest of a group.
     members = cut(members.join(members.groupBy("node").agg(F.sum("n").alias("met")), "node").select("bucket", "node", "met"))
-    full = cut(_full_sets(plain, classes, members.select("node").distinct(), words))
+    # Only classes that share a bucket are ever compared.
+    shared = cut(_only(classes, "node", cut(members.select("node").distinct())))
+    full = cut(_full_sets(plain, shared, words))
     labels = classes.select("node", F.col("node").alias("c"))
 
     def joined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """The labels after links among the pairs (a, b) are confirmed."""
-        links = _confirmed(cut(_likely(pairs, classes, percent / 100 - slack)), full, percent)
+        links = _confirmed(cut(_likely(pairs, shared, percent / 100 - slack)), full, percent)
         for end in ("a", "b"):
             links = links.join(labels.select(F.col("node").alias(end), F.col("c").alias(f"c{end}")), end)
         moved = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("id", "c")

@@ -215,6 +215,17 @@ def test_prefix_join_loses_no_pair(spark):
     assert near._by_prefix(core, core.select("node", F.col("node").alias("c")), 80).count() == 0
 
 
+def test_rows_that_are_not_wanted_are_dropped_before_the_exact_join(spark):
+    """Bloom filter first: as a semi join, the exact one was moved below it, and every text was shuffled."""
+    docs = near.cut(table(spark, [(i, f"text {i}") for i in range(2_000)]))
+    classes = near.cut(spark.createDataFrame([(n, n * 100, near.set_hash(Shingler(1)(f"text {n * 100}"))) for n in range(10)], "node long, doc_id long, set_hash binary"))
+    sets = near._full_sets(docs, classes, 1)
+    assert sorted((r.node, len(r.shingles)) for r in sets.collect()) == [(n, 2) for n in range(10)]
+    joins = [line for line in sets._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+    assert "LeftSemi" not in "".join(joins)
+    assert ["set_hash" in joins[0], "doc_id" in joins[1], "block" in joins[2]] == [True] * 3
+
+
 def test_sketches_are_mergeable_and_estimate_similarity():
     make = Shingler(1)
     a, b = make(" ".join(f"w{i}" for i in range(1000))), make(" ".join(f"w{i}" for i in range(200, 1200)))
