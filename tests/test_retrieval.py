@@ -355,3 +355,25 @@ def test_traversal_limits_as_a_queue_meets_them(spark):
         got = {r.task_id: (r.depth_limited, r.fan_out_limited, r.candidate_limited) for r in out.collect()}
         expected = {t: queue([s for u, s, _ in seeds if u == t], depth, most, fan) for t, _, _ in seeds}
         assert got == expected
+
+
+def test_greedy_holds_a_task_together_where_spark_turns_a_join_into_a_broadcast(spark):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        one = lambda c: F.lit(1).cast("long").alias(c)
+        rows = spark.range(2000, numPartitions=8).select(
+            (F.col("id") % 3).alias("task_id"), one("pos"), F.format_string("c%09d", "id").alias("candidate_id"),
+            F.lit("a").alias("artifact_id"), one("bytes"), one("characters"), one("tokens"), F.lit(False).alias("is_excerpt"),
+        )
+        budgets = rows.select("task_id").distinct().withColumn("max_items", F.lit(10))
+        got = greedy(rows, budgets).filter("fits").select("task_id", "candidate_id", "selected_rank").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted((r.task_id, r.selected_rank, r.candidate_id) for r in got) == [(t, n + 1, f"c{t + 3 * n:09d}") for t in range(3) for n in range(10)]
