@@ -199,7 +199,7 @@ def _texts(spark, sf_dir):
     t = views.tasks(spark, sf_dir).select("task_id", F.get("keywords", 0).alias("a"), F.get("keywords", 1).alias("b"))
     text = F.format_string(
         'Corrigir src/pkg_%s/mod.py and rename `make_%s` to "New%s" in Core.Widget%s for the %s-%s, see readme.md.',
-        "task_id", "a", F.initcap("a"), "task_id", "a", "b",
+        "task_id", "a", F.initcap("a"), "task_id", "a", F.coalesce("b", F.lit("")),
     )
     return t.select("task_id", "a", "b", text.alias("task_text"), F.when(F.col("task_id") % 2 == 0, "modify").otherwise("unknown").alias("task_kind"))
 

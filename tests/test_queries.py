@@ -54,3 +54,23 @@ def test_no_product_without_a_broadcast_side(spark):
     for name in ("lexical_rank", "score_units", "retrieval_metrics"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan
+
+
+def against_sql(spark, folder, changed, *names):
+    """The queries against their SQL on the small tables, of which ``changed`` (name: SQL) are made anew in ``folder``."""
+    con = duckdb.connect()
+    for file in os.listdir(DATA):
+        name = file.split(".")[0]
+        con.execute(f"CREATE VIEW given_{name} AS SELECT * FROM read_parquet('{DATA}/{file}')")
+        con.execute(f"COPY ({changed.get(name, f'SELECT * FROM given_{name}')}) TO '{folder}/{file}' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{file}')")
+    for name in names:
+        got, expected = QUERIES[name](spark, str(folder)).toPandas(), con.execute(ORACLE_SQL[name]).df()
+        assert len(expected) and plain(got) == plain(expected[list(got.columns)])
+
+
+ONE_WORD = "SELECT item_id, 'a single something' AS text FROM given_benchmark LIMIT 3"
+
+
+def test_keywords_of_tasks_with_a_single_word(spark, tmp_path):
+    against_sql(spark, tmp_path, {"benchmark": ONE_WORD}, "task_keywords")
