@@ -74,3 +74,7 @@ ONE_WORD = "SELECT item_id, 'a single something' AS text FROM given_benchmark LI
 
 def test_keywords_of_tasks_with_a_single_word(spark, tmp_path):
     against_sql(spark, tmp_path, {"benchmark": ONE_WORD}, "task_keywords")
+
+
+def test_terms_of_tasks_with_a_single_word(spark, tmp_path):
+    against_sql(spark, tmp_path, {"benchmark": ONE_WORD}, "task_terms")
