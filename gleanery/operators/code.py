@@ -13,7 +13,9 @@ from ..functions.shared import written
 from ..functions.text import uuid5
 
 MAX_UNIT = 4096
-PARSED = "project_id string, path string, tag string, seq int, name string, qualified string, parent string, kind string, target string, start_line int, start_column int, end_line int, end_column int, text string"
+PARSED = "project_id string, path string, tag string, seq int, name string, qualified string, parent string, kind string, target string, start_line int, start_column int, end_line int, end_column int, text string, parent_seq int"
+#: Files whose facts are held at a time.
+FILES = 500
 
 
 def module_name(path: str) -> str:
@@ -79,6 +81,9 @@ def _rows(path: str, text: str) -> list[dict]:
             "start_column": 1, "end_line": max(1, len(lines)), "end_column": 1,
         },
     )
+    last = {r["qualified"]: n for n, r in enumerate(out) if "qualified" in r}
+    for r in out:
+        r["parent_seq"] = last.get(r.get("parent"))
     return out
 
 
@@ -86,45 +91,47 @@ def parse_python(contents: DataFrame) -> DataFrame:
     """Tagged facts (module, definition, import, reference, error) of the Python files in contents (project_id, path, content).
 
     Names in decorators, defaults and annotations count inside the definition's own scope. A file that doesn't parse
-    gives one error and nothing else. Lines and columns count characters from one.
+    gives one error and nothing else. Lines and columns count characters from one. ``parent_seq`` is the fact that the
+    parent's name stands for: of repeated qualified names the last definition of the file.
     """
     names = [f.split()[0] for f in PARSED.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for project, path, text in batch.itertuples(index=False, name=None):
-                rows += [{"project_id": project, "path": path, "seq": n, **r} for n, r in enumerate(_rows(path, text or ""))]
-            frame = pd.DataFrame(rows, columns=names)
-            for c in ("seq", "start_line", "start_column", "end_line", "end_column"):
-                frame[c] = frame[c].astype("Int32")
-            yield frame
+            for at in range(0, len(batch), FILES):
+                rows = []
+                for project, path, text in batch.iloc[at : at + FILES].itertuples(index=False, name=None):
+                    rows += [{"project_id": project, "path": path, "seq": n, **r} for n, r in enumerate(_rows(path, text or ""))]
+                frame = pd.DataFrame(rows, columns=names)
+                for c in ("seq", "start_line", "start_column", "end_line", "end_column", "parent_seq"):
+                    frame[c] = frame[c].astype("Int32")
+                yield frame
 
     python = contents.filter(F.col("path").endswith(".py")).select("project_id", "path", F.col("content").cast("string"))
     return python.mapInPandas(parse, PARSED)
 
 
-def _symbol_id(namespace: str):
-    return uuid5(namespace, F.concat_ws(":", "project_id", "path", "qualified", F.col("seq").cast("string")))
+def _symbol_id(namespace: str, qualified: str = "qualified", seq: str = "seq") -> Column:
+    return uuid5(namespace, F.concat_ws(":", "project_id", "path", qualified, F.col(seq).cast("string")))
+
+
+def _parent_id(namespace: str) -> Column:
+    return F.when(F.col("parent_seq").isNotNull(), _symbol_id(namespace, "parent", "parent_seq"))
 
 
 def python_symbols(parsed: DataFrame, namespace: str) -> DataFrame:
     """Symbols of modules and definitions with their parent; of repeated qualified names the last definition is the parent."""
-    own = parsed.filter(F.col("tag").isin("module", "definition")).withColumn("symbol_id", _symbol_id(namespace))
-    scopes = own.groupBy("project_id", "path", F.col("qualified").alias("parent")).agg(F.max_by("symbol_id", "seq").alias("parent_symbol_id"))
-    return own.join(scopes, ["project_id", "path", "parent"], "left").select(
-        "project_id", "path", "symbol_id", "name", "kind", F.col("qualified").alias("qualified_name"),
-        "parent_symbol_id", "start_line", "start_column", "end_line", "end_column", F.lit("python").alias("language"),
+    own = parsed.filter(F.col("tag").isin("module", "definition"))
+    return own.select(
+        "project_id", "path", _symbol_id(namespace).alias("symbol_id"), "name", "kind", F.col("qualified").alias("qualified_name"),
+        _parent_id(namespace).alias("parent_symbol_id"), "start_line", "start_column", "end_line", "end_column", F.lit("python").alias("language"),
     )
 
 
 def python_edges(parsed: DataFrame, symbols: DataFrame, namespace: str) -> DataFrame:
     """Raw edges: contains and defines (resolved) to each definition, imports and depends_on to modules, references to names."""
-    scopes = parsed.filter(F.col("tag").isin("module", "definition")).withColumn("symbol_id", _symbol_id(namespace))
-    scopes = scopes.groupBy("project_id", "path", F.col("qualified").alias("parent")).agg(F.max_by("symbol_id", "seq").alias("source_reference"))
-    rows = parsed.filter(
-        F.col("tag").isin("definition", "import", "reference")
-    ).withColumn("own", _symbol_id(namespace)).join(scopes, ["project_id", "path", "parent"])
+    rows = parsed.filter(F.col("tag").isin("definition", "import", "reference") & F.col("parent_seq").isNotNull())
+    rows = rows.withColumns({"own": _symbol_id(namespace), "source_reference": _parent_id(namespace)})
     kinds = F.when(
         F.col("tag") == "definition", F.array(F.lit("contains"), F.lit("defines")),
     ).when(F.col("tag") == "import", F.array(F.lit("imports"), F.lit("depends_on"))).otherwise(F.array(F.lit("references")))

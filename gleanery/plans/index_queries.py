@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.sets import spread
+from ..functions.shared import written
 from ..operators import code, index, scan, terms
 from . import views
 from .views import FOLD, with_views
@@ -286,7 +288,7 @@ def _sources(spark, sf_dir):
         'import os\nfrom pkg.part_%s import Shape%s as other\n\n\nclass Shape%s:\n    """%s"""\n\n    def area(self, x=os):\n        return helper(x)\n\n\ndef helper(value):\n    return other(value)\n',
         "next", "next", "p_partkey", "p_name",
     )
-    part = views.table(spark, sf_dir, "part").withColumn("next", F.col("p_partkey") + 1)
+    part = spread(views.table(spark, sf_dir, "part")).withColumn("next", F.col("p_partkey") + 1)
     broken = F.when(F.col("p_partkey") % 50 == 0, "def broken(:\n").otherwise(text)
     return part.select(
         "p_partkey", F.concat(F.lit("p"), F.col("p_partkey") % 7).alias("project_id"),
@@ -305,7 +307,8 @@ def _(spark, sf_dir):
 @query("python_symbols", """SELECT 'pkg.part_' || p_partkey || x AS qualified_name, kind, CASE parent WHEN '-' THEN NULL ELSE 'pkg.part_' || p_partkey || parent END AS parent FROM (
   SELECT p_partkey, x.* FROM part, (VALUES ('', 'module', '-'), ('.Shape{}', 'class', ''), ('.Shape{}.area', 'method', '.Shape{}'), ('.helper', 'function', '')) x(a, kind, b), LATERAL (SELECT replace(a, '{}', p_partkey::VARCHAR) AS x, kind, replace(b, '{}', p_partkey::VARCHAR) AS parent) x WHERE p_partkey % 50 <> 0)""".replace("SELECT p_partkey, x.* FROM part, (VALUES", "SELECT p_partkey, y.* FROM part, (VALUES").replace("x(a, kind, b), LATERAL (SELECT replace(a, '{}', p_partkey::VARCHAR) AS x, kind, replace(b, '{}', p_partkey::VARCHAR) AS parent) x", "v(a, k, b), LATERAL (SELECT replace(a, '{}', p_partkey::VARCHAR) AS x, k AS kind, replace(b, '{}', p_partkey::VARCHAR) AS parent) y"))
 def _(spark, sf_dir):
-    symbols = code.python_symbols(code.parse_python(_sources(spark, sf_dir)), views.NAMESPACE)
+    # Written, as Spark can't tell how much Python returns and would send the parents to all tasks by way of the driver.
+    symbols = written(code.python_symbols(code.parse_python(_sources(spark, sf_dir)), views.NAMESPACE))
     parents = symbols.select(F.col("symbol_id").alias("parent_symbol_id"), F.col("qualified_name").alias("parent"))
     return symbols.join(parents, "parent_symbol_id", "left").select("qualified_name", "kind", "parent")
 

@@ -75,3 +75,20 @@ def test_no_helper_of_the_queries_is_defined_twice():
     for file in Path(gleanery.plans.__file__).parent.glob("*.py"):
         names = Counter(node.name for node in ast.parse(file.read_text()).body if isinstance(node, ast.FunctionDef))
         assert [name for name, n in names.items() if n > 1 and name != "_"] == [], file.name
+
+
+TWICE = "class A:\n    def f(self):\n        return A\n\n\nclass A:\n    def g(self):\n        return f\n"
+
+
+def test_parents_come_with_the_facts_of_their_file(spark):
+    """No join, so nothing of a table that Python made goes through the driver; of repeated names the last is the parent."""
+    parsed = code.parse_python(spark.createDataFrame([("p", f"a{k}.py", TWICE) for k in range(1, 3)], "project_id string, path string, content string"))
+    symbols = code.python_symbols(parsed, NAMESPACE)
+    edges = code.python_edges(parsed, symbols, NAMESPACE)
+    for rows in (symbols, edges):
+        assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+    found = symbols.filter("path = 'a1.py'").collect()
+    last = max((r for r in found if r.kind == "class"), key=lambda r: r.start_line)
+    module = next(r for r in found if r.kind == "module")
+    assert {r.name: r.parent_symbol_id for r in found} == {"a1": None, "A": module.symbol_id, "f": last.symbol_id, "g": last.symbol_id}
+    assert edges.filter("path = 'a1.py'").count() == 4 * 2 + 2
