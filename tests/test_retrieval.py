@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gleanery.functions.search import containing
+from gleanery.functions.search import candidates, containing, text_index
 from gleanery.functions.text import fold, identifier_parts, token_estimate, uuid5
 from gleanery.operators import audit, code, evaluation, retrieval, terms
 from gleanery.operators.budget import greedy
@@ -377,3 +377,15 @@ def test_greedy_holds_a_task_together_where_spark_turns_a_join_into_a_broadcast(
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert sorted((r.task_id, r.selected_rank, r.candidate_id) for r in got) == [(t, n + 1, f"c{t + 3 * n:09d}") for t in range(3) for n in range(10)]
+
+
+def test_few_keys_go_to_the_occurrences_of_an_index(spark):
+    index = text_index(spark.range(300).select(F.col("id").cast("string").alias("id"), F.concat_ws(" ", *(F.sha1((F.col("id") * 20 + k).cast("string")) for k in range(20))).alias("text")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        out = candidates(index, spark.createDataFrame([("356a192b7913",), ("nothing",)], "phrase string"))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert [r.id for r in out.collect()] == ["0"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
